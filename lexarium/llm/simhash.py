@@ -1,9 +1,8 @@
 """SimHash near-dedup by multi-index hashing.
 
-A 64-bit fingerprint has two segments of 32 bits. Fingerprints that differ in ``2 r`` bits or fewer, r = 2, differ in
-at most 2 bits of one segment or at most 1 of the other. Each distinct fingerprint is filed under the 33 values within
-one bit of each segment: segments that differ in up to two bits then share a value. Fingerprints that meet
-in a bucket are verified over all 64 bits.
+A 64-bit fingerprint has two segments of 32 bits. Fingerprints that differ in up to five bits differ in at most two bits of
+one of them. Each distinct fingerprint is filed under the 33 values within one bit of each segment: segments that
+differ in up to two bits then share a value. Fingerprints that meet in a bucket are verified over all 64 bits.
 
 Most buckets hold one fingerprint and are dropped by a count. A bucket of two gives its pair, one of up to ``SMALL`` is
 compared in place, and a larger one is dealt in blocks to tasks that return only a spanning star of each
@@ -24,8 +23,9 @@ from pyspark.sql import functions as F
 from ._common import arrow_map, batch_of, id_text, settle, table, texts
 from .components import star_components
 
-#: Bits in which linked fingerprints may differ: the two segments and balls of one bit are made for this number.
+#: Bits in which linked fingerprints may differ; the balls find all links of up to MOST_BITS.
 BITS = 4
+MOST_BITS = 5
 SEED = 42
 #: A bucket up to this size is compared in place.
 SMALL = 32
@@ -76,17 +76,13 @@ def _keys(distinct: DataFrame) -> DataFrame:
     return distinct.select("fp", F.explode(both).alias("key"))
 
 
-def _close(a, b):
-    return F.bit_count(a.bitwiseXOR(b)) <= BITS
-
-
-def _stars(pdf: pd.DataFrame) -> pd.DataFrame:
+def _stars(pdf: pd.DataFrame, bits: int) -> pd.DataFrame:
     """Links of one block, or between two: of each component that they form, every member with its smallest."""
     fps = np.unique(pdf["fp"].to_numpy())
     label = np.arange(len(fps))
     near = []
     for i in range(0, len(fps), 256):
-        d = np.bitwise_count(fps[i : i + 256, None].view("u8") ^ fps[None, :].view("u8")) <= BITS
+        d = np.bitwise_count(fps[i : i + 256, None].view("u8") ^ fps[None, :].view("u8")) <= bits
         near.append(np.nonzero(d))
     rows = np.concatenate([r + 256 * i for i, (r, _) in enumerate(near)])
     cols = np.concatenate([c for _, c in near])
@@ -101,11 +97,17 @@ def _stars(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": fps[label[far]], "b": fps[far]})
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """Pairs (a, b) of distinct fingerprints such that what they connect is what all pairs within BITS connect.
+def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
+    """Pairs (a, b) of distinct fingerprints such that what they connect is what all pairs within ``bits`` connect.
 
     Every link of a bucket of up to SMALL is there; of larger buckets, a spanning star for each component of each block pair.
     """
+    if bits > MOST_BITS:
+        raise ValueError(f"bits: {MOST_BITS} at most")
+
+    def _close(a, b):
+        return F.bit_count(a.bitwiseXOR(b)) <= bits
+
     buckets = settle(
         _keys(distinct).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
     )
@@ -121,24 +123,33 @@ def links(distinct: DataFrame) -> DataFrame:
         own = large.withColumn("i", F.pmod(F.xxhash64("fp"), F.col("of")))
         dealt = own.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("of") - 1)))
         dealt = dealt.select("key", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "fp")
-        pairs = pairs.unionByName(dealt.groupBy("key", "i", "j").applyInPandas(_stars, "a long, b long"))
+        pairs = pairs.unionByName(dealt.groupBy("key", "i", "j").applyInPandas(lambda pdf: _stars(pdf, bits), "a long, b long"))
     return pairs.distinct()
 
 
-def near_groups(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id, fp and component_id (smallest doc_id reachable over links of at most BITS bits) of each row.
+def near_groups(docs: DataFrame, shingle: int = 4, bits: int = BITS) -> DataFrame:
+    """doc_id, fp and component_id (smallest doc_id reachable over links of at most ``bits`` bits) of each row.
 
     Texts without a word have fingerprint 0 and link like any other. Rows that share an id each have a row. Null ids are
     ignored when the smallest is taken; a component with none but null ids has component_id null.
     """
     fps = settle(fingerprints(docs, shingle))
     classes = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    stars = star_components(links(classes.select("fp")))  # b -> a
+    stars = star_components(links(classes.select("fp"), bits))  # b -> a
     roots = classes.join(stars.select(F.col("b").alias("fp"), F.col("a").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     return fps.join(roots.join(least, "root").select("fp", "component_id"), "fp")
 
 
+def drop_near_copies(docs: DataFrame, shingle: int = 5, bits: int = MOST_BITS) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: the one with the smallest doc_id. All columns stay.
+
+    Rows with a null id stay. Of rows that share the smallest id all stay.
+    """
+    goes = near_groups(docs, shingle, bits).where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(goes, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
