@@ -16,16 +16,20 @@ from __future__ import annotations
 import hashlib
 import os
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import arrow_map, batch_of, id_text, table, texts
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 32 << 20
+#: Words that a task holds before it hands them on.
+HELD = 1_000_000
 #: Words are split at these; the tokenizer drops all white space, so any subset of it gives the same ids.
 SPACE = r"[ \t\n\x0B\f\r]+"
 
@@ -60,16 +64,68 @@ def _in_blocks(docs: DataFrame) -> DataFrame:
 
 
 def word_table(blocks: DataFrame, path: str) -> DataFrame:
-    """(block, word, ids): the distinct words of each block, each encoded where all of its blocks meet."""
-    words = blocks.select("block", F.explode(F.split("text", SPACE)).alias("word")).where("word <> ''").distinct()
-    sorted_words = words.repartition("word").sortWithinPartitions("word")
+    """(block, words, ids): the distinct words of each block, each encoded where all of its blocks meet.
 
-    def each(batch):
-        found = batch.column(1).dictionary_encode()
-        ids = pa.array(_encoded(found.dictionary.to_pylist(), path), pa.binary())
-        yield batch_of(block=batch.column(0), word=batch.column(1).cast(pa.binary()), ids=ids.take(found.indices))
-
-    return arrow_map(sorted_words, each, "block long, word binary, ids binary")
+    Words are made distinct in each task before the one shuffle by word. After it they are sorted, so that a word is encoded once
+    for all of its blocks, and go back in packed lists: ``words`` joined by spaces, ``ids`` with a count for each word.
+    """
+    words = blocks.select("block", F.explode(F.split("text", SPACE)).alias("word")).where("word <> ''")
+
+    def distinct(batches):
+        seen: set[tuple] = set()
+
+        def out():
+            return batch_of(block=pa.array([b for b, _ in seen], pa.int64()), word=pa.array([w for _, w in seen], pa.string()))
+
+        for batch in batches:
+            for block in batch.column(0).unique().to_pylist():  # one or two in a batch
+                own = batch.column(1).filter(pc.equal(batch.column(0), block)).dictionary_encode().dictionary
+                seen.update(zip(repeat(block), own.to_pylist()))
+            if len(seen) >= HELD:
+                yield out()
+                seen.clear()
+        if seen:
+            yield out()
+
+    def meet(batches):
+        lists: dict[int, tuple[list, list]] = {}
+        n = 0
+        for batch in batches:
+            found = batch.column(1).dictionary_encode()
+            known = list(zip(found.dictionary.cast(pa.binary()).to_pylist(), _encoded(found.dictionary.to_pylist(), path), strict=True))
+            for block, i in zip(batch.column(0).to_pylist(), found.indices.to_pylist(), strict=True):
+                own = lists.setdefault(block, ([], []))
+                own[0].append(known[i][0])
+                own[1].append(known[i][1])
+            n += batch.num_rows
+            if n >= HELD:
+                yield _packed(lists)
+                lists, n = {}, 0
+        if lists:
+            yield _packed(lists)
+
+    met = words.mapInArrow(distinct, "block long, word string").repartition("word").sortWithinPartitions("word")
+    return met.mapInArrow(meet, "block long, words binary, ids binary")
+
+
+def _packed(lists: dict[int, tuple[list, list]]) -> pa.RecordBatch:
+    z = zstandard.ZstdCompressor(level=3)
+    ids = []
+    for _, own in lists.values():
+        flat = np.frombuffer(b"".join(own), "<u4")
+        counts = np.array([len(x) // 4 for x in own], "<u4")
+        kind = "<u2" if max(flat.max(initial=0), counts.max(initial=0)) < 1 << 16 else "<u4"
+        ids.append(kind[2:].encode() + z.compress(np.concatenate([counts, flat]).astype(kind).tobytes()))
+    return batch_of(block=pa.array(list(lists), pa.int64()), words=pa.array([z.compress(b" ".join(w)) for w, _ in lists.values()], pa.binary()), ids=pa.array(ids, pa.binary()))
+
+
+def _unpacked(words: bytes, ids: bytes) -> dict[bytes, bytes]:
+    z = zstandard.ZstdDecompressor()
+    known = z.decompress(words).split(b" ")
+    numbers = np.frombuffer(z.decompress(ids[1:]), f"<u{ids[:1].decode()}").astype("<u4")
+    ends = np.cumsum(4 * numbers[: len(known)].astype(np.int64)).tolist()
+    flat = numbers[len(known) :].tobytes()
+    return {w: flat[a:b] for w, a, b in zip(known, [0, *ends], ends, strict=False)}
 
 
 def encode(docs: DataFrame, path: str, keep_ids: bool = True) -> DataFrame:
@@ -86,8 +142,9 @@ def encode(docs: DataFrame, path: str, keep_ids: bool = True) -> DataFrame:
     packed = arrow_map(blocks, pack, "doc_id long, block long, z binary")
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = dict(zip(right["word"].to_pylist(), right["ids"].to_pylist(), strict=True))
-        right = None
+        known: dict[bytes, bytes] = {}
+        for words, ids in zip(right["words"].to_pylist(), right["ids"].to_pylist(), strict=True):
+            known |= _unpacked(words, ids)
         piece, z = pieces(path), zstandard.ZstdDecompressor()
         out: dict[str, list] = {k: [] for k in ("n_tokens", "ids_sha256", "decoded_sha256", *(("ids", "decoded") if keep_ids else ()))}
         for x in left["z"].to_pylist():
