@@ -74,8 +74,9 @@ def word_table(blocks: DataFrame, path: str) -> DataFrame:
     def distinct(batches):
         seen: set[tuple] = set()
 
-        def out():
-            return batch_of(block=pa.array([b for b, _ in seen], pa.int64()), word=pa.array([w for _, w in seen], pa.string()))
+        def out():  # sorted, so that neighbours in a shuffle block begin alike
+            rows = sorted(seen)
+            return batch_of(block=pa.array([b for b, _ in rows], pa.int64()), word=pa.array([w for _, w in rows], pa.string()))
 
         for batch in batches:
             for block in batch.column(0).unique().to_pylist():  # one or two in a batch
@@ -136,7 +137,7 @@ def encode(docs: DataFrame, path: str, keep_ids: bool = True) -> DataFrame:
     blocks = _in_blocks(id_text(docs))
 
     def pack(batch):
-        z = zstandard.ZstdCompressor(level=3)
+        z = zstandard.ZstdCompressor(level=6)
         yield batch_of(doc_id=batch.column(0), block=batch.column(2), z=pa.array([z.compress(t.encode()) for t in texts(batch)], pa.binary()))
 
     packed = arrow_map(blocks, pack, "doc_id long, block long, z binary")
