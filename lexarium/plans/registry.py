@@ -2,5 +2,99 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import contracts as K
+from ..operators import corpus as C
+from ..sources.fixtures import read, view, view_sql
+
+AS_OF = "2006-06-30"
+
+
+def _clean(s, d):
+    return C.clean_dates(view(s, d, "legal_raw"))
+
+
+def _status(s, d):
+    docs = C.dedup_three_key(_clean(s, d))
+    return C.status_flag(C.effective_date(docs), C.resolve_relations(C.replaced_numbers(docs), docs), AS_OF)
+
+
+def _ingest_status(s, d):
+    return _status(s, d).groupBy("status_flag").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _upsert(s, d):
+    docs = view(s, d, "legal_raw").select("doc_id", "signer", "title")
+    new = docs.where("length(doc_id) % 2 = 0").select("doc_id", F.upper("signer").alias("signer"), F.lit("x").alias("title"), F.lit(1).alias("seq"))
+    return C.upsert(docs, new, "doc_id", ("title",))
+
+
+def _kb(s, d):
+    return K.build_kb(view(s, d, "kb_chunks"), view(s, d, "legal_raw"))
+
+
+def _knn(s, d):
+    v = read(s, d, "embeddings")
+    return K.knn(v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding"), v)
+
+
+def _risks(s, d):
+    return K.collect_risks(K.parse_responses(view(s, d, "llm_responses")))
+
+
+QUERIES = {
+    "ingest_status": _ingest_status,
+    "c3_fix_date": lambda s, d: _clean(s, d).select("doc_id", "issued_date", "year_published"),
+    "c10_normalize_query": lambda s, d: view(s, d, "legal_raw").select("doc_id", T.normalize_query(F.col("title")).alias("q")),
+    "c11_normalize_doc_number": lambda s, d: view(s, d, "legal_raw").select("doc_id", T.normalize_doc_number(F.col("doc_number")).alias("k")),
+    "b3_doc_id_from_url": lambda s, d: read(s, d, "pages").select("page_id", T.doc_id_from_url(F.col("url")).alias("id")),
+    "b11_year_filter": lambda s, d: C.year_filter(_clean(s, d)).select("doc_id", "year_published"),
+    "d2_dedup_three_key": lambda s, d: C.dedup_three_key(_clean(s, d)).select("doc_id"),
+    "a3_upsert": _upsert,
+    "e6_parse_vn_date": lambda s, d: view(s, d, "legal_raw").select("doc_id", T.parse_vn_date(F.col("content")).alias("iso")),
+    "e7_effective_date": lambda s, d: C.effective_date(_clean(s, d)),
+    "f1_replaced_numbers": lambda s, d: C.replaced_numbers(view(s, d, "legal_raw")),
+    "f7_status_flag": _status,
+    "g10_extract_clauses": lambda s, d: K.extract_clauses(view(s, d, "contracts")),
+    "h2_parties": lambda s, d: K.contract_parties(view(s, d, "contracts")),
+    "i1_build_kb": _kb,
+    "i3_knn": _knn,
+    "j3_collect_risks": _risks,
+    "j5_overall_risk": lambda s, d: K.overall_risk(_risks(s, d)),
+    "j8_last_turns": lambda s, d: K.last_turns(read(s, d, "conversations")),
+}
+
+_RAW = f"with raw as ({view_sql('legal_raw')})"
+_PLAIN = f"translate(strip_accents(lower(%s)), '{T.ACCENTED}', '{T.PLAIN}')"
+_CLEAN = f"""{_RAW}, clean as (select * replace (case when trim(issued_date) = '' then null when length(issued_date) = 10 then coalesce(strftime(try_strptime(issued_date, '%d/%m/%Y'), '%Y-%m-%d'), issued_date) else issued_date end as issued_date) from raw)"""
+_EFF = """select doc_id, case
+  when regexp_matches(content, 'có hiệu lực thi hành kể từ ngày [0-9]+ tháng') then
+    regexp_extract(content, 'năm ([0-9]{4})', 1) || '-' || lpad(regexp_extract(content, 'tháng ([0-9]+) năm', 1), 2, '0') || '-' || lpad(regexp_extract(content, 'từ ngày ([0-9]+) tháng', 1), 2, '0')
+  when contains(content, 'có hiệu lực kể từ ngày ký') then strftime(try_strptime(issued_date, '%Y-%m-%d'), '%Y-%m-%d')
+  when contains(content, 'sau 45 ngày kể từ ngày ký') then strftime(try_strptime(issued_date, '%Y-%m-%d') + interval 45 day, '%Y-%m-%d') end as effective_date"""
+_DEDUP = f"""{_CLEAN}, nth as (select *, row_number() over (partition by coalesce(doc_number, doc_id), issued_date, signer order by doc_id) as n from clean),
+ kept as (select * from nth where n = 1 or issued_date is null or signer is null)"""
+_RISKS = f"""with resp as ({view_sql('llm_responses')}), j as (select contract_id, pos, regexp_extract(response, '\\{{[^}}]*\\}}') as t from resp),
+ risks as (select contract_id, json_extract_string(t, '$.clause_ref') as clause_ref, json_extract_string(t, '$.issue') as issue, json_extract_string(t, '$.severity') as severity
+  from j where t <> '' and json_extract_string(t, '$.severity') in ('critical', 'warning'))"""
+
+ORACLES: dict[str, str] = {
+    "c3_fix_date": f"{_CLEAN} select doc_id, issued_date, coalesce(try_cast(substring(issued_date, 1, 4) as integer), 0) as year_published from clean",
+    "c11_normalize_doc_number": f"{_RAW} select doc_id, regexp_replace({_PLAIN % 'doc_number'}, '[^a-z0-9]', '', 'g') as k from raw",
+    "c10_normalize_query": f"{_RAW} select doc_id, trim(regexp_replace(regexp_replace(replace({_PLAIN % 'trim(title)'}, 'đ', 'd'), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) as q from raw",
+    "b3_doc_id_from_url": r"select page_id, regexp_replace(case when regexp_replace(string_split(url, '/')[-1], '\.(aspx|html)$', '') = '' then url else regexp_replace(string_split(url, '/')[-1], '\.(aspx|html)$', '') end, '[^A-Za-z0-9_-]', '_', 'g') as id from pages",
+    "b11_year_filter": f"{_CLEAN}, y as (select doc_id, coalesce(try_cast(substring(issued_date, 1, 4) as integer), 0) as year_published from clean) select * from y where year_published <= 0 or year_published between 2004 and 2026",
+    "d2_dedup_three_key": f"{_DEDUP} select doc_id from kept",
+    "a3_upsert": f"{_RAW} select doc_id, case when length(doc_id) % 2 = 0 then upper(signer) else signer end as signer, title from raw",
+    "e6_parse_vn_date": f"{_RAW}, p as (select doc_id, regexp_extract(content, 'ngày ([0-9]+) tháng [0-9]+ năm [0-9]{{4}}', 1) as a, regexp_extract(content, 'ngày [0-9]+ tháng ([0-9]+) năm [0-9]{{4}}', 1) as b, regexp_extract(content, 'ngày [0-9]+ tháng [0-9]+ năm ([0-9]{{4}})', 1) as c from raw) select doc_id, case when a <> '' then c || '-' || lpad(b, 2, '0') || '-' || lpad(a, 2, '0') end as iso from p",
+    "e7_effective_date": f"{_CLEAN} {_EFF} from clean",
+    "f1_replaced_numbers": f"{_RAW} select doc_id, regexp_extract(content, 'Thay thế Nghị định số ([0-9]+/[0-9]+/NĐ-CP)', 1) as doc_number from raw where contains(content, 'Thay thế Nghị định số')",
+    "h2_parties": f"with c as ({view_sql('contracts')}) select contract_id, regexp_extract(text, 'Công ty: ([^\\n]+)', 1) as company, regexp_extract(text, 'Mã số thuế: ([0-9]+)', 1) as tax_id, regexp_extract(text, 'Họ và tên: ([^\\n]+)', 1) as worker from c",
+    "i1_build_kb": f"{_RAW}, ch as ({view_sql('kb_chunks')}) select doc_id, chunk_ref, chunk_index, substring(chunk_text, 1, 1000) as chunk_text, doc_number, coalesce(issued_date, '') as issued_date from ch join raw using (doc_id) where trim(chunk_text) <> ''",
+    "j3_collect_risks": f"{_RISKS} select * from risks",
+    "j5_overall_risk": f"{_RISKS}, n as (select contract_id, count(*) filter (severity = 'critical') as critical, count(*) filter (severity = 'warning') as warning from risks group by 1) select *, case when critical >= 3 then 'critical' when critical >= 1 then 'high' when warning >= 3 then 'medium' else 'low' end as overall_risk from n",
+    "j8_last_turns": "with l as (select *, row_number() over (partition by conv_id order by turn desc) as n from conversations) select conv_id, string_agg(concat_ws(': ', role, text), chr(10) order by turn) as history from l where n <= 5 group by conv_id",
+    "i3_knn": "with s as (select q.vec_id as query_id, v.vec_id, round(list_inner_product(cast(q.embedding as double[]), cast(v.embedding as double[])), 6) as score from embeddings q, embeddings v where q.vec_id < 20), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s where score >= 0.6) select query_id, vec_id, rank, score from r where rank <= 5",
+}
