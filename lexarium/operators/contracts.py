@@ -99,3 +99,23 @@ def last_turns(turns: DataFrame, n: int = 5) -> DataFrame:
     last = turns.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n)
     lines = F.array_sort(F.collect_list(F.struct("turn", F.concat_ws(": ", "role", "text").alias("line"))))
     return last.groupBy("conv_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("history"))
+
+
+def knn_filtered(queries: DataFrame, kb: DataFrame, on: str, k: int = 5, min_score: float = 0.6) -> DataFrame:
+    """query_id, vec_id, rank, score: the exact top k among the rows of ``kb`` with the query's value of ``on``; equal scores by vec_id."""
+    q = queries.select("query_id", on, F.col("embedding").alias("q"))
+    dot = F.aggregate(F.zip_with("q", "embedding", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x)
+    scored = kb.join(q, on).select("query_id", "vec_id", F.round(dot, 6).alias("score")).where(F.col("score") >= min_score)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "vec_id", "rank", "score")
+
+
+def owned(requests: DataFrame, registry: DataFrame) -> DataFrame:
+    """Requests whose (contract_id, user_id) is registered."""
+    return requests.join(registry.select("contract_id", "user_id"), ["contract_id", "user_id"], "left_semi")
+
+
+def reassemble(chunks: DataFrame) -> DataFrame:
+    """contract_id, text: a contract's chunks joined with newlines in the order of chunk_index, then text."""
+    parts = F.array_sort(F.collect_list(F.struct("chunk_index", "text")))
+    return chunks.groupBy("contract_id").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n").alias("text"))
