@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,19 +12,35 @@ from pyspark.sql.window import Window
 QUERY_BLOCK = 1000
 
 
+def clause_array(text: Column) -> Column:
+    """Array of (n, b): number and what follows the head of each line-start 'Điều n'."""
+    led = F.concat(F.lit("\n"), text)
+    numbers = F.regexp_extract_all(led, F.lit(r"\n[ \t]*Điều (\d+)[.:–-]?"), F.lit(1))
+    return F.arrays_zip(numbers.alias("n"), F.slice(F.split(led, r"\n[ \t]*Điều \d+[.:–-]?"), 2, 1 << 20).alias("b"))
+
+
 def extract_clauses(contracts: DataFrame) -> DataFrame:
     """contract_id, pos, clause_number, title: pieces from line-start 'Điều n' on; title is the first line, at most 150 characters."""
-    text = F.concat(F.lit("\n"), F.col("text"))
-    numbers = F.regexp_extract_all(text, F.lit(r"\n[ \t]*Điều (\d+)[.:–-]?"), F.lit(1))
-    bodies = F.slice(F.split(text, r"\n[ \t]*Điều \d+[.:–-]?"), 2, 1 << 20)
-    each = contracts.select("contract_id", F.posexplode(F.arrays_zip(numbers.alias("n"), bodies.alias("b"))).alias("pos", "c"))
+    each = contracts.select("contract_id", F.posexplode(clause_array(F.col("text"))).alias("pos", "c"))
     return each.select("contract_id", "pos", F.col("c.n").alias("clause_number"), F.substring(F.trim(F.split("c.b", "\n")[0]), 1, 150).alias("title"))
 
 
+def _party_columns(text: Column) -> dict[str, Column]:
+    pick = lambda p: F.nullif(F.regexp_extract(text, p, 1), F.lit(""))
+    return {"company": pick(r"Công ty: ([^\n]+)"), "tax_id": pick(r"Mã số thuế: (\d+)"), "worker": pick(r"Họ và tên: ([^\n]+)")}
+
+
 def contract_parties(contracts: DataFrame) -> DataFrame:
     """contract_id, company, tax_id, worker."""
-    pick = lambda p: F.nullif(F.regexp_extract("text", p, 1), F.lit(""))
-    return contracts.select("contract_id", pick(r"Công ty: ([^\n]+)").alias("company"), pick(r"Mã số thuế: (\d+)").alias("tax_id"), pick(r"Họ và tên: ([^\n]+)").alias("worker"))
+    return contracts.select("contract_id", *[c.alias(k) for k, c in _party_columns(F.col("text")).items()])
+
+
+def party_array(text: Column) -> Column:
+    """Array of (role, name, tax_id) of the parties that are named."""
+    p = _party_columns(text)
+    a = F.struct(F.lit("Bên A").alias("role"), p["company"].alias("name"), p["tax_id"].alias("tax_id"))
+    b = F.struct(F.lit("Bên B").alias("role"), p["worker"].alias("name"), F.lit(None).cast("string").alias("tax_id"))
+    return F.filter(F.array(a, b), lambda x: x["name"].isNotNull())
 
 
 def build_kb(chunks: DataFrame, docs: DataFrame, limit: int = 1000) -> DataFrame:

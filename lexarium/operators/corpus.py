@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.cleaning import fix_category, fix_doc_number, fix_doc_type, strip_invisible, validate_content
 from ..functions.text import DOC_NUMBER, fix_date, normalize_doc_number, parse_vn_date
 
 
@@ -71,3 +72,32 @@ def status_flag(docs: DataFrame, relations: DataFrame, as_of: str) -> DataFrame:
     eff = F.col("effective_date")
     flag = F.when(F.col("gone"), 2).when(eff.isNull(), 0).when(eff > as_of, 3).otherwise(1)
     return docs.join(gone, "doc_id", "left").select("doc_id", flag.alias("status_flag"))
+
+
+def clean_documents(raw: DataFrame) -> DataFrame:
+    """raw with text, number, kind, category and dates repaired, year_published where it was missing, and ``_skip`` where the text isn't valid.
+
+    Columns that raw lacks count as null.
+    """
+    have = lambda c: F.col(c) if c in raw.columns else F.lit(None).cast("string")
+    text = strip_invisible(have("content"))
+    year = F.col("year_published") if "year_published" in raw.columns else F.lit(0)
+    issued = fix_date(have("issued_date"))
+    return raw.withColumns(
+        {
+            "content": text,
+            "_skip": ~validate_content(text),
+            "doc_number": fix_doc_number(have("doc_number"), text, have("url")),
+            "doc_type": fix_doc_type(have("doc_type"), have("title"), have("url")),
+            "category": fix_category(have("category"), have("title")),
+            "issued_date": issued,
+            "effective_date": fix_date(have("effective_date")),
+            "expiry_date": fix_date(have("expiry_date")),
+            "year_published": F.coalesce(F.nullif(year, F.lit(0)), F.substring(issued, 1, 4).try_cast("int"), F.lit(0)),
+        }
+    )
+
+
+def cap_documents(docs: DataFrame, max_docs: int, max_pages: int, *order: str) -> DataFrame:
+    """The first max_docs rows, in order, of the first max_pages pages of listing (column ``page``)."""
+    return docs.where(F.col("page") <= max_pages).orderBy(*order).limit(max_docs)

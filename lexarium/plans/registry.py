@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..operators import contracts as K
 from ..operators import corpus as C
 from ..sources.fixtures import read, view, view_sql
+from . import mining
 
 AS_OF = "2006-06-30"
 
@@ -108,3 +109,6 @@ ORACLES: dict[str, str] = {
     "j11_owned": f"with c as ({view_sql('contracts')}) select contract_id, user_id from c where user_id = 'U-7'",
     "d3_ingest_summary": "select event_type as outcome, count(*) as n from events group by 1",
 }
+
+QUERIES |= mining.QUERIES
+ORACLES |= mining.ORACLES
