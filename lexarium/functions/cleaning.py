@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import terms as W
@@ -20,6 +20,12 @@ def strip(s: Column) -> Column:
     return F.btrim(s, F.lit(SPACE))
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with the columns, each computed once a row: filters on them don't move below, where they would compute them again."""
+    one = F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))).alias("_once")
+    return df.select("*", one).select("*", "_once.*").drop("_once")
+
+
 def blank_to_null(s: Column) -> Column:
     return F.nullif(s, F.lit(""))
 

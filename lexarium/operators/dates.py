@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cleaning import UNI, any_of, blank_to_null, detect_category, strip
+from ..functions.cleaning import UNI, any_of, blank_to_null, computed, detect_category, strip
 from ..functions.text import DOC_NUMBER, normalize_doc_number
 from .corpus import effective_date
 
@@ -53,7 +53,8 @@ def effective_section(docs: DataFrame) -> DataFrame:
     A paragraph over 2000 characters is narrowed to its article, if it has one.
     """
     paragraphs = F.filter(F.transform(F.split("content", rf"{UNI}\n\s*\n"), strip), lambda p: F.lower(p).rlike(any_of(IN_FORCE_WORDS)))
-    out = docs.select("doc_id", effective_article(F.col("content")).alias("article_text"), F.coalesce(F.get(F.reverse(paragraphs), F.lit(0)), F.lit("")).alias("p"))
+    last = F.coalesce(F.get(F.reverse(paragraphs), F.lit(0)), F.lit(""))
+    out = computed(docs.select("doc_id", "content"), article_text=effective_article(F.col("content")), p=last)
     narrow = F.when(F.length("p") > 2000, effective_article(F.col("p")))
     return out.select("doc_id", "article_text", F.coalesce(narrow, "p").alias("section_text"))
 
@@ -65,10 +66,13 @@ def effective_from_enforcement(chunks: DataFrame) -> DataFrame:
 
 def _date(s: Column) -> Column:
     """d/m/y, d-m-y or 'd tháng m năm y' as ISO; days to 31, years 1900 to 2100."""
-    n = F.regexp_extract_all(s, F.lit(r"(\d+)"), F.lit(1))
-    d, m, y = (F.get(n, F.lit(i)) for i in range(3))
-    ok = d.try_cast("int").between(1, 31) & m.try_cast("int").between(1, 12) & y.try_cast("int").between(1900, 2100)
-    return F.when(ok, F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")))
+
+    def iso(n: Column) -> Column:
+        d, m, y = (F.get(n, F.lit(i)) for i in range(3))
+        ok = d.try_cast("int").between(1, 31) & m.try_cast("int").between(1, 12) & y.try_cast("int").between(1900, 2100)
+        return F.when(ok, F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")))
+
+    return F.transform(F.array(F.regexp_extract_all(s, F.lit(r"(\d+)"), F.lit(1))), iso)[0]
 
 
 def expiry_in(section: Column) -> Column:
@@ -81,16 +85,14 @@ def expiry_in(section: Column) -> Column:
     paragraphs = F.split(text, rf"(?m){UNI}^\s*(?=(?:\d+|điều\s+\d+)\\?[.)]\s)")
     number = rf"số\s+{DOC_NUMBER}"
 
-    def end(p: Column) -> Column:
-        before = F.split(p, UNI + number, 2)[0]
-        found = []
-        for patterns, where in ((ENDS + ENDS_NARROW, before), (ENDS_BROAD, p)):
-            for w in patterns:
-                for d in (SHORT, LONG):
-                    found.append(_date(F.regexp_extract(where, rf"{UNI}{w}\s+({d})", 1)))
-        return F.when(~p.rlike(UNI + OTHERS_END), F.coalesce(*found))
+    def end(x: Column) -> Column:
+        wordings = [(w, x["before"]) for w in ENDS + ENDS_NARROW] + [(w, x["p"]) for w in ENDS_BROAD]
+        found = [F.regexp_extract(where, rf"{UNI}{w}\s+({d})", 1) for w, where in wordings for d in (SHORT, LONG)]
+        return F.get(F.filter(F.transform(F.array(*found), _date), lambda d: d.isNotNull()), F.lit(0))
 
-    return F.get(F.filter(F.transform(paragraphs, end), lambda x: x.isNotNull()), F.lit(0))
+    own = F.filter(paragraphs, lambda p: p.rlike(r"\d{4}") & ~p.rlike(UNI + OTHERS_END))
+    cut = F.transform(own, lambda p: F.struct(F.split(p, UNI + number, 2)[0].alias("before"), p.alias("p")))
+    return F.get(F.filter(F.transform(cut, end), lambda d: d.isNotNull()), F.lit(0))
 
 
 def validate_expiry(expiry: Column, effective: Column) -> Column:

@@ -155,6 +155,6 @@ ORACLES: dict[str, str] = {
     "i9_merge_law": f"{_LAW}, c as ({view_sql('contracts')}), tp as (" + " union all ".join(f"select contract_id, '{t}' as topic, {i} as o from c where regexp_matches(lower(text), '{'|'.join(words)}')" for i, (t, words) in enumerate(W.TOPICS.items())) + """),
       j as (select contract_id, topic, o, pos as p, vec_id, text, row_number() over (partition by contract_id, text order by o, pos) as nth from tp join law using (topic))
       select contract_id, row_number() over (partition by contract_id order by o, p) as pos, topic, vec_id, text from j where nth = 1""",
-    "j7_evaluations_payload": f"with resp as ({view_sql('llm_responses')}), t as (select contract_id, pos, regexp_extract(response, '\\{{[^}}]*\\}}') as t from resp), e as (select contract_id, pos, json_extract_string(t, '$.clause_ref') as c, json_extract_string(t, '$.severity') as s, json_extract_string(t, '$.issue') as i from t where t <> '') select contract_id, '[' || string_agg('{{\"clause_ref\":\"' || c || '\",\"severity\":\"' || s || '\",\"issue\":\"' || i || '\"}}', ',' order by pos) || ']' as json from e group by 1".replace("{{", "{").replace("}}", "}"),
+    "j7_evaluations_payload": f"with resp as ({view_sql('llm_responses')}), t as (select contract_id, pos, regexp_extract(response, '\\{{[^}}]*\\}}') as t from resp), e as (select contract_id, pos, json_extract_string(t, '$.clause_ref') as c, json_extract_string(t, '$.severity') as s, json_extract_string(t, '$.issue') as i from t where t <> '') select contract_id, '[' || string_agg('{{\"clause_ref\":\"' || c || '\",\"severity\":\"' || s || '\",\"issue\":\"' || i || '\"}}', ',' order by pos, c, s, i) || ']' as json from e group by 1".replace("{{", "{").replace("}}", "}"),
     "j10_source_clauses": f"with ch as ({view_sql('kb_chunks')}) select doc_id as question_id, coalesce(string_agg(distinct cast(chunk_index as varchar), '|' order by cast(chunk_index as varchar)) filter (chunk_index % 3 <> 0), '') as clauses from ch group by 1",
 }

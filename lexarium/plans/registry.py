@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..operators import contracts as K
 from ..operators import corpus as C
 from ..sources.fixtures import read, view, view_sql
-from . import mining
+from . import mining, pages, relations
 
 AS_OF = "2006-06-30"
 
@@ -110,5 +110,5 @@ ORACLES: dict[str, str] = {
     "d3_ingest_summary": "select event_type as outcome, count(*) as n from events group by 1",
 }
 
-QUERIES |= mining.QUERIES
-ORACLES |= mining.ORACLES
+QUERIES |= mining.QUERIES | relations.QUERIES | pages.QUERIES
+ORACLES |= mining.ORACLES | relations.ORACLES | pages.ORACLES

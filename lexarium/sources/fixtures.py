@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = {"legal_raw": ("orders", "customer", "nation"), "contracts": ("orders", "customer"), "llm_responses": ("lineitem",), "kb_chunks": ("lineitem",)}
+TABLES = {"legal_pages": ("orders", "customer"), "legal_raw": ("orders", "customer", "nation"), "contracts": ("orders", "customer"), "llm_responses": ("lineitem",), "kb_chunks": ("lineitem",)}
 
 
 @lru_cache(maxsize=None)
