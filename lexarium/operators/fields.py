@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cleaning import UNI, blank_to_null, strip
+from ..functions.cleaning import UNI, blank_to_null, computed, strip
 from .contracts import clause_array, party_array
 
 #: How dates, money and kinds of clause are worded.
@@ -49,9 +49,12 @@ def first_match(text: Column, patterns: list[str], flags: str = "(?is)") -> Colu
     return F.coalesce(*[F.when(F.length(x) > 1, x) for x in found])
 
 
-def line_around(text: Column, word: str, after: int = 2) -> Column:
-    """The first line with the pattern and ``after`` more, without a clause head as last line, white space collapsed; null if there is none."""
-    lines = F.split(text, "\n")
+def line_around(text: Column, word: str, after: int = 2, lines: Column | None = None) -> Column:
+    """The first line with the pattern and ``after`` more, without a clause head as last line, white space collapsed; null if there is none.
+
+    lines: the text's lines, where a row has them already.
+    """
+    lines = F.split(text, "\n") if lines is None else lines
     at = F.array_position(F.transform(lines, lambda x: x.rlike(f"(?i){UNI}{word}")), True).cast("int")
     near = F.array_join(F.slice(lines, F.greatest(at, F.lit(1)), after + 1), "\n")
     near = F.regexp_replace(near, rf"{UNI}\n(?:Điều|ĐIỀU)\s+\d+.*$", "")
@@ -81,10 +84,10 @@ def finance(contracts: DataFrame) -> DataFrame:
     return contracts.select("contract_id", *_money(F.col("text")))
 
 
-def _clause_columns(text: Column) -> list[Column]:
+def _clause_columns(text: Column, lines: Column) -> list[Column]:
     def pick(name, ok=lambda x: F.lit(True)):
         after, least, words = CLAUSES[name]
-        found = [line_around(text, w, after) for w in words]
+        found = [line_around(text, w, after, lines) for w in words]
         return F.coalesce(*[F.when((F.length(x) > least) & ok(x), x) for x in found])
 
     penalty = pick("penalty_clause")
@@ -97,7 +100,8 @@ def clause_fields(contracts: DataFrame) -> DataFrame:
 
     A termination that speaks of compensation, and an indemnity equal to the penalty, don't count.
     """
-    return contracts.select("contract_id", *_clause_columns(F.col("text")))
+    cut = computed(contracts.select("contract_id", "text"), _lines=F.split("text", "\n"))
+    return cut.select("contract_id", *_clause_columns(F.col("text"), F.col("_lines")))
 
 
 def contract_type(text: Column) -> Column:
@@ -111,8 +115,9 @@ def parse_contracts(contracts: DataFrame) -> DataFrame:
     """One row a contract: kind, parties, dates, money, kinds of clause and the array of clauses."""
     text = F.col("text")
     kind = contract_type(text).alias("contract_type")
-    with_clauses = contracts.select("contract_id", "text", clause_array(text).alias("clauses"), party_array(text).alias("parties"), kind, *_dates(text), *_money(text))
-    return with_clauses.select("*", F.lit(None).cast("string").alias("duration"), *_clause_columns(text)).drop("text")
+    cut = computed(contracts.select("contract_id", "text"), _lines=F.split("text", "\n"))
+    with_clauses = cut.select("contract_id", "text", "_lines", clause_array(text).alias("clauses"), party_array(text).alias("parties"), kind, *_dates(text), *_money(text))
+    return with_clauses.select("*", F.lit(None).cast("string").alias("duration"), *_clause_columns(text, F.col("_lines"))).drop("text", "_lines")
 
 
 def contract_summary(analysis: DataFrame) -> DataFrame:

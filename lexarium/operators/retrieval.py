@@ -12,7 +12,7 @@ from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions import terms as W
-from ..functions.cleaning import any_of
+from ..functions.cleaning import any_of, computed
 from .contracts import knn
 
 
@@ -49,7 +49,7 @@ def clause_topic(clauses: DataFrame) -> DataFrame:
     low = F.lower("text")
     first = [F.when(low.rlike(any_of(words)), F.struct(F.lit(t).alias("topic"), F.coalesce(*[F.when(F.contains(low, F.lit(w)), F.lit(w)) for w in words]).alias("keyword"))) for t, words in W.TOPICS.items()]
     none = F.struct(F.lit(W.GENERAL).alias("topic"), F.lit("").alias("keyword"))
-    return clauses.withColumn("_t", F.coalesce(*first, none)).withColumns({"topic": F.col("_t.topic"), "keyword": F.col("_t.keyword")}).drop("_t")
+    return computed(clauses, _t=F.coalesce(*first, none)).withColumns({"topic": F.col("_t.topic"), "keyword": F.col("_t.keyword")}).drop("_t")
 
 
 def _once(hits: DataFrame, key: str, order: list[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions import terms as W
-from ..functions.cleaning import UNI, blank_to_null, strip
+from ..functions.cleaning import UNI, blank_to_null, computed, strip
 
 #: Depth of sections that are neither numbered nor titles; nothing hangs under them.
 LEAF = 99
@@ -179,8 +179,8 @@ def clause_dicts(contracts: DataFrame) -> DataFrame:
     """
     text = F.translate("text", HEAD + BODY, "")
     marked = F.regexp_replace(text, rf"(?m){UNI}(?:^|\n)\s*(?:Điều|ĐIỀU)\s+\d+\s*[.:)\-]\s*", f"{HEAD}$0{BODY}")
-    parts = F.split(marked, HEAD)
-    each = contracts.select("contract_id", F.size(parts).alias("_n"), F.posexplode(parts).alias("pos", "p"))
+    parts = computed(contracts.select("contract_id", "text"), _parts=F.split(marked, HEAD))
+    each = parts.select("contract_id", F.size("_parts").alias("_n"), F.posexplode("_parts").alias("pos", "p"))
     cut = F.split("p", BODY)
     body = F.when(F.col("_n") == 1, F.col("p")).when(F.col("pos") == 0, strip(F.col("p"))).otherwise(F.concat(F.get(cut, F.lit(0)), strip(F.get(cut, F.lit(1)))))
     number = F.when(F.col("pos") == 0, "0").otherwise(F.regexp_extract(F.get(cut, F.lit(0)), r"(\d+)", 1))

@@ -137,10 +137,12 @@ _LAW = """with v as (select *, 'Luật ' || cast(vec_id % 50 as varchar) as text
  law as (select topic, row_number() over (partition by topic order by qpos, rank, vec_id) as pos, vec_id, text, score from o where nth = 1 qualify pos <= 10)"""
 
 ORACLES: dict[str, str] = {
-    "b6_content_checks": r"""with t as (select doc_id, coalesce(text, '') as text from documents), w as (select *, regexp_extract_all(text, '[a-zA-ZÀ-ỹ]+') as words from t)
-      select doc_id, length(trim(text, e' \t\n\r')) >= 200 and not regexp_matches(lower(text), 'just a moment\.\.\.|checking your browser|challenges\.cloudflare\.com') as valid,
-        length(trim(text, e' \t\n\r')) >= 100 as content_valid, length(text) > 200 and len(list_filter(words, lambda x: regexp_full_match(x, '[a-zA-Z]+'))) > len(words) * 0.6 as translation,
-        trim(text, e' \t\n\r') = '' as placeholder, false as garbage, length(trim(text, e' \t\n\r')) as n from w""",
+    "b6_content_checks": rf"""with t as (select doc_id, coalesce(text, '') as text from documents),
+      w as (select *, regexp_extract_all(text, '[a-zA-ZÀ-ỹ]+') as words, trim(text, e' \t\n\r') as s, {" + ".join(f"cast(regexp_matches(text, '{p}') as int)" for p in W.FURNITURE)} as other from t)
+      select doc_id, length(s) >= 200 and not regexp_matches(lower(text), 'just a moment\.\.\.|checking your browser|challenges\.cloudflare\.com') as valid,
+        length(s) >= 100 and ({" or ".join(f"regexp_matches(text, '{p[2:]}')" for p in W.LEGAL)} or other = 0 or length(text) > 4000 and other <= 4) as content_valid,
+        length(text) > 200 and len(list_filter(words, lambda x: regexp_full_match(x, '[a-zA-Z]+'))) > len(words) * 0.6 as translation,
+        s = '' as placeholder, {" or ".join(f"contains(text, '{m}')" for m in W.FOOTER)} as garbage, length(s) as n from w""",
     "c1_fix_doc_number": rf"{_RAW} select doc_id, coalesce(nullif(regexp_replace(regexp_replace(replace(doc_number, ' ', ''), '-+', '-', 'g'), '/+', '/', 'g'), ''), nullif(regexp_extract(content, 'Số: ([^\s]+)', 1), ''), regexp_extract(url, 'dinh-([0-9]+)-', 1) || '/' || regexp_extract(url, 'dinh-[0-9]+-([0-9]+)-', 1) || '/ND-CP') as doc_number from raw",
     "c8_clean_footer": f"{_RAW} select doc_id, trim(content, e' \\n') as content from raw",
     "d4_cap_documents": f"{_RAW} select doc_id from raw where length(title) % 7 <= 3 order by doc_id limit 50",
