@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexarium.llm import exact_dedup, packing, secrets, simhash, toxicity
+from lexarium.llm import exact_dedup, near_copies, packing, secrets, toxicity
 from lexarium.llm._common import table
 
 
@@ -29,8 +29,8 @@ def copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by fingerprints of five-word shingles: the one with the smallest doc_id."""
-    return simhash.drop_near_copies(docs)
+    """One document of each group of five-word shingle similarity of about 0.8 or more: the one with the smallest doc_id."""
+    return near_copies.drop_near_copies(docs)
 
 
 def secrets_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
