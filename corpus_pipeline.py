@@ -55,8 +55,13 @@ STAGES = [
 ORACLE_SQL = None
 
 
+#: Rows of an Arrow batch: texts of a few thousand rows, twice in a Python worker and twice in the JVM, fit beside a heap.
+ARROW_ROWS = 2000
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STAGES over ``documents``; tables between them are in the folder that spark.checkpoint.dir names."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", min(ARROW_ROWS, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))))
     shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):

@@ -78,8 +78,8 @@ def _keys(classes: DataFrame) -> DataFrame:
     flips = (np.arange(2**LOOSE)[:, None] >> np.arange(LOOSE)) & 1
 
     def each(batch):
-        for at in range(0, batch.num_rows, 1000):
-            part = batch.slice(at, 1000)
+        for at in range(0, batch.num_rows, 250):
+            part = batch.slice(at, 250)
             n = part.num_rows
             fp = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(n, 8 * WORDS)
             bits = np.unpackbits(fp, axis=1)[:, :_USED].reshape(n, SEGMENTS, SEGMENT).astype(np.int64)
