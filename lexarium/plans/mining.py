@@ -46,7 +46,7 @@ def _vectors(s, d):
 def _topic_law(s, d):
     topic = F.element_at(F.array(*[F.lit(t) for t in W.TOPICS]), (F.col("vec_id") % 5 + 1).cast("int"))
     v = _vectors(s, d)
-    return R.law_for_topics(v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), topic.alias("topic"), F.col("vec_id").alias("qpos"), "embedding"), v, 5)
+    return R.law_for_topics(v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), topic.alias("topic"), F.col("vec_id").alias("qpos"), "embedding"), v, 5)
 
 
 def _law(s, d):
@@ -68,7 +68,7 @@ def _prompts(s, d):
 
 def _chat(s, d):
     v = _vectors(s, d)
-    q = v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "label", "embedding")
+    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label", "embedding")
     text = v.select("vec_id", "text")
     of = lambda hits: hits.join(text, "vec_id").select(F.col("query_id").alias("question_id"), "rank", "text")
     history = K.last_turns(read(s, d, "conversations")).select(F.col("conv_id").alias("question_id"), "history")
@@ -131,7 +131,7 @@ _TREE = f"""{_LINES}, f as (select *, case when section_type = 'body' and row_nu
 _TOPIC = " ".join(f"when regexp_matches(lower(text), '{'|'.join(words)}') then '{t}'" for t, words in W.TOPICS.items())
 _CATEGORY = " ".join(f"when regexp_matches(lower(title), '{'|'.join(p.replace(' ', '[ ]*') for p in ps)}') then '{c}'" for c, ps in W.CATEGORIES.items())
 _LAW = """with v as (select *, 'Luật ' || cast(vec_id % 50 as varchar) as text from embeddings),
- s as (select q.vec_id as qpos, (array['salary', 'working_time', 'overtime', 'insurance', 'leave'])[q.vec_id % 5 + 1] as topic, v.vec_id, v.text, round(list_inner_product(cast(q.embedding as double[]), cast(v.embedding as double[])), 6) as score from v q, v where q.vec_id < 20),
+ s as (select q.vec_id as qpos, (array['salary', 'working_time', 'overtime', 'insurance', 'leave'])[q.vec_id % 5 + 1] as topic, v.vec_id, v.text, round(list_inner_product(cast(q.embedding as double[]), cast(v.embedding as double[])), 6) as score from v q, v where q.vec_id % 100 = 0),
  r as (select *, row_number() over (partition by qpos order by score desc, vec_id) as rank from s where score >= 0.6),
  o as (select *, row_number() over (partition by topic, text order by qpos, rank, vec_id) as nth from r where rank <= 5),
  law as (select topic, row_number() over (partition by topic order by qpos, rank, vec_id) as pos, vec_id, text, score from o where nth = 1 qualify pos <= 10)"""

@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..operators import contracts as K
 from ..operators import corpus as C
 from ..sources.fixtures import read, view, view_sql
-from . import mining, pages, relations
+from . import mining, pages, relations, scalars
 
 AS_OF = "2006-06-30"
 
@@ -38,7 +38,7 @@ def _kb(s, d):
 
 def _knn(s, d):
     v = read(s, d, "embeddings")
-    return K.knn(v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding"), v)
+    return K.knn(v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), v)
 
 
 def _risks(s, d):
@@ -62,7 +62,7 @@ QUERIES = {
     "h2_parties": lambda s, d: K.contract_parties(view(s, d, "contracts")),
     "i1_build_kb": _kb,
     "i3_knn": _knn,
-    "i4_knn_filtered": lambda s, d: K.knn_filtered(read(s, d, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "label", "embedding"), read(s, d, "embeddings"), "label"),
+    "i4_knn_filtered": lambda s, d: K.knn_filtered(read(s, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label", "embedding"), read(s, d, "embeddings"), "label"),
     "i5_get_where": lambda s, d: view(s, d, "kb_chunks").where("section_type = 'enforcement'").select("chunk_ref", "doc_id"),
     "g11_reassemble": lambda s, d: K.reassemble(view(s, d, "kb_chunks").where("chunk_text is not null").select(F.col("doc_id").alias("contract_id"), "chunk_index", F.col("chunk_text").alias("text"))),
     "j11_owned": lambda s, d: K.owned(view(s, d, "contracts").select("contract_id", F.lit("U-7").alias("user_id")), view(s, d, "contracts")),
@@ -102,13 +102,13 @@ ORACLES: dict[str, str] = {
     "j3_collect_risks": f"{_RISKS} select * from risks",
     "j5_overall_risk": f"{_RISKS}, n as (select contract_id, count(*) filter (severity = 'critical') as critical, count(*) filter (severity = 'warning') as warning from risks group by 1) select *, case when critical >= 3 then 'critical' when critical >= 1 then 'high' when warning >= 3 then 'medium' else 'low' end as overall_risk from n",
     "j8_last_turns": "with l as (select *, row_number() over (partition by conv_id order by turn desc) as n from conversations) select conv_id, string_agg(concat_ws(': ', role, text), chr(10) order by turn) as history from l where n <= 5 group by conv_id",
-    "i3_knn": "with s as (select q.vec_id as query_id, v.vec_id, round(list_inner_product(cast(q.embedding as double[]), cast(v.embedding as double[])), 6) as score from embeddings q, embeddings v where q.vec_id < 20), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s where score >= 0.6) select query_id, vec_id, rank, score from r where rank <= 5",
-    "i4_knn_filtered": "with s as (select q.vec_id as query_id, v.vec_id, round(list_inner_product(cast(q.embedding as double[]), cast(v.embedding as double[])), 6) as score from embeddings q join embeddings v on q.label = v.label where q.vec_id < 20), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s where score >= 0.6) select query_id, vec_id, rank, score from r where rank <= 5",
+    "i3_knn": "with s as (select q.vec_id as query_id, v.vec_id, round(list_inner_product(cast(q.embedding as double[]), cast(v.embedding as double[])), 6) as score from embeddings q, embeddings v where q.vec_id % 100 = 0), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s where score >= 0.6) select query_id, vec_id, rank, score from r where rank <= 5",
+    "i4_knn_filtered": "with s as (select q.vec_id as query_id, v.vec_id, round(list_inner_product(cast(q.embedding as double[]), cast(v.embedding as double[])), 6) as score from embeddings q join embeddings v on q.label = v.label where q.vec_id % 100 = 0), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s where score >= 0.6) select query_id, vec_id, rank, score from r where rank <= 5",
     "i5_get_where": f"with ch as ({view_sql('kb_chunks')}) select chunk_ref, doc_id from ch where section_type = 'enforcement'",
     "g11_reassemble": f"with ch as ({view_sql('kb_chunks')}) select doc_id as contract_id, string_agg(chunk_text, chr(10) order by chunk_index, chunk_text) as text from ch where chunk_text is not null group by doc_id",
     "j11_owned": f"with c as ({view_sql('contracts')}) select contract_id, user_id from c where user_id = 'U-7'",
     "d3_ingest_summary": "select event_type as outcome, count(*) as n from events group by 1",
 }
 
-QUERIES |= mining.QUERIES | relations.QUERIES | pages.QUERIES
-ORACLES |= mining.ORACLES | relations.ORACLES | pages.ORACLES
+QUERIES |= mining.QUERIES | relations.QUERIES | pages.QUERIES | scalars.QUERIES
+ORACLES |= mining.ORACLES | relations.ORACLES | pages.ORACLES | scalars.ORACLES
