@@ -65,7 +65,7 @@ _CATEGORY = " ".join(f"when regexp_matches(lower(title), '{'|'.join(p.replace('
 
 ORACLES: dict[str, str] = {
     "b2_resolve_url": f"with p as ({view_sql('legal_pages')}) select url, '{BASE}' || regexp_extract(html, 'href=\"([^\"]+)\"', 1) as link from p",
-    "c4_strip_invisible": r"select doc_id, md5(trim(regexp_replace(text, '[\x{feff}\x{200b}\x{200c}\x{200d}\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g'), e' \t\n\r\u0085 ')) as text_md5 from documents",
+    "c4_strip_invisible": r"select doc_id, md5(trim(regexp_replace(text, '[\x{feff}\x{200b}\x{200c}\x{200d}\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g'), e' \t\n\r')) as text_md5 from documents",
     "c6_fix_category": f"{_RAW} select doc_id, case when length(title) % 2 <> 0 then 'Thuế' {_CATEGORY} else 'Khác' end as category from raw",
     "e8_enforcement_date": f"{_CLEAN} select doc_id, case {_NAMED} {_AFTER} end as effective_date from clean",
     "e9_cross_reference": f"""{_EFF}, known as (select {_KEY % 'doc_number'} as k, min(effective_date) as ref_effective_date from eff where doc_number is not null group by 1),
