@@ -1,10 +1,15 @@
-"""Near copies of a similarity of about 0.8 or more, by multi-index hashing of wide SimHash fingerprints.
+"""Near copies of a Jaccard similarity of 0.8 or more: candidates by multi-index hashing of wide SimHash fingerprints, verified on shingles.
 
 A fingerprint has 18 segments of 28 bits over the distinct word shingles of a text. Two texts of Jaccard similarity s have sets of
 cosine c = 2s / (1 + s), and each bit differs with probability acos(c) / pi: 76 of 504 bits are expected at 0.8, give or take 8.
 Such texts rarely agree in whole segments, but bits that differ are nearly always those whose votes were close. So a fingerprint
 is filed, for each segment, under the small Hamming ball over its three least certain bits: 8 values. Two texts meet if
-all bits that differ in some segment are uncertain in either. What meets is verified over all 504 bits.
+all bits that differ in some segment are uncertain in either. As some pairs of 0.8 never do, a text is also filed under the first
+fifth of its hashes and one more, in an order that all texts share: two texts of similarity 0.8 have one of these in common. Shingles
+that a sample shows to be common are last in this order, so they are hardly ever keys.
+
+What meets is a candidate up to ``BITS``, far beyond what 0.8 lets expect. Candidates only propose: the components they form get the distinct
+shingle hashes of their members, each once a block, and only pairs of similarity 0.8 on these are links.
 
 Candidates of chance are 18 * 64 / 2^28 of all pairs; ``SEGMENT`` would grow with the logarithm of the number of documents.
 """
@@ -28,8 +33,14 @@ WORDS = 8
 SEGMENT, SEGMENTS = 28, 18
 #: Uncertain bits of a segment that the ball flips.
 LOOSE = 3
-#: Bits in which linked fingerprints may differ: what similarity 0.8 lets expect, and a standard deviation.
-BITS = 84
+#: Bits in which candidates may differ. Similarity 0.8 lets expect 76 +- 8, and 95 +- 9 at worst (4 of 5 shingles): over four deviations more.
+BITS = 136
+#: Linked texts share this part of the shingles of both: 4 / 5.
+ALIKE, OF = 4, 5
+#: A shingle is common if so many of one in SAMPLED texts have it; at most MAX_COMMON, which any order allows.
+COMMON, SAMPLED, MAX_COMMON = 20, 50, 100_000
+#: Shingle hashes of a block of a large component of candidates.
+PART = 1 << 20
 #: Fingerprints of a block of a large bucket.
 BLOCK = 2048
 #: Bucket keys that may be broadcast (8 bytes each).
@@ -64,17 +75,49 @@ def fingerprint(hashes: np.ndarray) -> tuple[bytes, bytes]:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """doc_id, fp, loose. Null text counts as empty; all texts without a word share one fingerprint."""
+    """doc_id, set (digest of the distinct shingle hashes), n (how many), fp, loose, few (32 bits of each of the first hashes).
+
+    Null text counts as empty; all texts without a word share one set.
+    """
+
+    last = common(docs, shingle)
+
+    def first(h):
+        late = np.isin(h, last, assume_unique=True) if len(last) else np.zeros(len(h), bool)
+        return np.concatenate([h[~late], h[late]])[: len(h) // OF + 1].astype(np.uint32).tobytes()
+
+    def each(batch):
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            found = [shingle_hashes(t, shingle) for t in texts(part)]
+            both = [fingerprint(h) for h in found]
+            few = [first(h) for h in found]
+            yield batch_of(
+                doc_id=part.column(0), set=pa.array([_digest(h) for h in found], pa.binary()), n=pa.array([len(h) for h in found], pa.int64()),
+                fp=pa.array([b[0] for b in both], pa.binary()), loose=pa.array([b[1] for b in both], pa.binary()), few=pa.array(few, pa.binary()),
+            )
+
+    return arrow_map(id_text(docs), each, "doc_id long, set binary, n long, fp binary, loose binary, few binary")
+
+
+def common(docs: DataFrame, shingle: int = 5) -> np.ndarray:
+    """Sorted hashes of the common shingles of a sample."""
 
     def each(batch):
-        both = [fingerprint(shingle_hashes(t, shingle)) for t in texts(batch)]
-        yield batch_of(doc_id=batch.column(0), fp=pa.array([b[0] for b in both], pa.binary()), loose=pa.array([b[1] for b in both], pa.binary()))
+        for at in range(0, batch.num_rows, 500):
+            yield batch_of(h=pa.array(np.concatenate([shingle_hashes(t, shingle) for t in texts(batch.slice(at, 500))]).view(np.int64), pa.int64()))
 
-    return arrow_map(id_text(docs), each, "doc_id long, fp binary, loose binary")
+    some = id_text(docs).where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0)
+    most = arrow_map(some, each, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "h").limit(MAX_COMMON)
+    return np.sort(np.array(most.select("h").toArrow()["h"].to_pylist(), np.int64).view(np.uint64))
+
+
+def _digest(hashes: np.ndarray) -> bytes:
+    return xxhash.xxh128_digest(hashes.tobytes(), SEED)
 
 
 def _keys(classes: DataFrame) -> DataFrame:
-    """node under each key: the segment's number above one value of its ball."""
+    """node under each key: the segment's number above one value of its ball; the first hashes, above all these."""
     flips = (np.arange(2**LOOSE)[:, None] >> np.arange(LOOSE)) & 1
 
     def each(batch):
@@ -88,8 +131,11 @@ def _keys(classes: DataFrame) -> DataFrame:
             masks = ((np.int64(1) << loose)[:, :, None, :] * flips).sum(axis=3)
             keys = (value[:, :, None] ^ masks) | (np.arange(SEGMENTS)[None, :, None] << SEGMENT)
             yield batch_of(key=pa.array(keys.reshape(-1), pa.int64()), node=pa.array(np.repeat(part.column(0).to_numpy(), SEGMENTS * 2**LOOSE), pa.int64()))
+            few = part.column(3).to_pylist()
+            keys = np.frombuffer(b"".join(few), np.uint32).astype(np.int64) | np.int64(1 << 40)
+            yield batch_of(key=pa.array(keys, pa.int64()), node=pa.array(np.repeat(part.column(0).to_numpy(), [len(x) // 4 for x in few]), pa.int64()))
 
-    return arrow_map(classes.select("node", "fp", "loose"), each, "key long, node long")
+    return arrow_map(classes.select("node", "fp", "loose", "few"), each, "key long, node long")
 
 
 def _words(fps: list[bytes]) -> np.ndarray:
@@ -118,12 +164,36 @@ def spanning(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(ends[0]), np.concatenate(ends[1])
 
 
-def _in_runs(bits: int):
-    """mapInArrow function: rows sorted by (key, i, j, node) to the spanning links of each run of equal ones."""
+def spanning_alike(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Links (places in ``sets``, sorted distinct hashes) of a tree over each component of the links of similarity ALIKE / OF or more."""
+    n, sizes = len(sets), np.array([len(x) for x in sets], np.int64)
+    owner, ends = np.repeat(np.arange(n), sizes), np.append(0, np.cumsum(sizes))
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    having, first = owner[np.argsort(ids, kind="stable")], np.append(0, np.cumsum(np.bincount(ids)))
+    left, links = np.ones(n, bool), ([], [])
+    for start in range(n):
+        if not left[start]:
+            continue
+        left[start], edge = False, [start]
+        while edge and left.any():
+            x = edge.pop()
+            own = ids[ends[x] : ends[x + 1]]
+            many = first[own + 1] - first[own]
+            shared = np.bincount(having[np.arange(many.sum()) + np.repeat(first[own] - np.cumsum(many) + many, many)], minlength=n)
+            met = np.nonzero(left & (OF * shared >= ALIKE * (sizes[x] + sizes - shared)))[0]
+            left[met] = False
+            links[0].extend([x] * len(met))
+            links[1].extend(met.tolist())
+            edge.extend(met.tolist())
+    return np.array(links[0], int), np.array(links[1], int)
+
+
+def _in_runs(column: str, spanning_of):
+    """mapInArrow function: rows sorted by (key, i, j, node) to the spanning links, over ``column``, of each run of equal ones."""
 
     def links_of(run: pa.Table) -> pa.RecordBatch:
-        nodes, fps = run["node"].to_numpy(), _words(run["fp"].to_pylist())
-        a, b = spanning(fps, bits)
+        nodes = run["node"].to_numpy()
+        a, b = spanning_of(run[column].to_pylist())
         return batch_of(a=pa.array(nodes[a], pa.int64()), b=pa.array(nodes[b], pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,23 +233,49 @@ def links(classes: DataFrame, bits: int = BITS) -> DataFrame:
         dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)))
         dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node").join(fps, "node")
         runs = dealt.select("key", "i", "j", "node", "fp").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
-        found = found.unionByName(runs.mapInArrow(_in_runs(bits), "a long, b long"))
+        found = found.unionByName(runs.mapInArrow(_in_runs("fp", lambda fps: spanning(_words(fps), bits)), "a long, b long"))
     return found.distinct()
 
 
+def verified(docs: DataFrame, classes: DataFrame, stars: DataFrame, shingle: int = 5) -> DataFrame:
+    """(a, b) of nodes that connect what all pairs of similarity ALIKE / OF in a component of candidates connect.
+
+    ``stars``: (a, b) as of star_components. Of each class one text is read again; a component of many hashes is dealt in blocks.
+    """
+    members = stars.union(stars.select("a", "a").distinct()).toDF("key", "node").join(classes.select("node", "set", "n", "least"), "node")
+    members = settle(members)
+    of = members.groupBy("key").agg(F.ceil(F.greatest(F.sum("n"), F.lit(1)) / PART).alias("of"))
+    dealt = members.join(of, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("of"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "set")
+
+    def each(batch):
+        for at in range(0, batch.num_rows, 500):
+            found = [shingle_hashes(t, shingle) for t in texts(batch.slice(at, 500))]
+            yield batch_of(set=pa.array([_digest(h) for h in found], pa.binary()), hashes=pa.array([h.tobytes() for h in found], pa.binary()))
+
+    wanted = members.select(F.col("least").alias("__id")).distinct()
+    read = id_text(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    hashes = arrow_map(read, each, "set binary, hashes binary").join(members.select("set"), "set", "left_semi").dropDuplicates(["set"])
+    runs = dealt.join(hashes, "set").select("key", "i", "j", "node", "hashes").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+    alike = _in_runs("hashes", lambda rows: spanning_alike([np.frombuffer(x, np.uint64) for x in rows]))
+    return runs.mapInArrow(alike, "a long, b long").distinct()
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, bits: int = BITS) -> DataFrame:
-    """doc_id and component_id (smallest doc_id reachable over links) of each row.
+    """doc_id and component_id (smallest doc_id reachable over links of similarity ALIKE / OF or more) of each row.
 
     Texts without a word are one group. Rows that share an id each have a row. Null ids are ignored when the smallest is taken;
     a component with none but null ids has component_id null. An empty table gives an empty result.
     """
     fps = settle(fingerprints(docs, shingle))
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("loose").alias("loose"))
+    # texts of one set have equal bits, of equal certainty
+    classes = fps.groupBy("set").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "fp", "loose", "few")])
     classes = settle(classes.withColumn("node", F.monotonically_increasing_id()))
-    stars = star_components(links(classes, bits)).select(F.col("b").alias("node"), F.col("a").alias("root"))
-    roots = classes.select("node", "fp", "least").join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    near = star_components(links(classes, bits))
+    stars = star_components(verified(docs, classes, near, shingle)).select(F.col("b").alias("node"), F.col("a").alias("root"))
+    roots = classes.select("node", "set", "least").join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.select("doc_id", "fp").join(roots.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "component_id")
+    return fps.select("doc_id", "set").join(roots.join(least, "root").select("set", "component_id"), "set").select("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = 5, bits: int = BITS) -> DataFrame:

@@ -72,3 +72,39 @@ def test_large_buckets_in_blocks(spark, monkeypatch):
     words = [f"w{i}" for i in range(200)]
     docs = spark.createDataFrame([(i, " ".join(words[:i] + ["x"] + words[i + 1 :])) for i in range(120)], "doc_id long, text string")
     assert {r.component_id for r in near_copies.similar_groups(docs).collect()} == {0}
+
+
+def test_similarity_is_verified_on_shingles(spark):
+    """Groups are those of all pairs of Jaccard similarity 0.8, on both sides of it and of very short texts: none missed, none added."""
+    rng = np.random.default_rng(11)
+    rows, known = [], []
+
+    def add(words):
+        rows.append((len(rows), " ".join(words)))
+        known.append(near_copies.shingle_hashes(rows[-1][1]))
+
+    for k in range(120):
+        w = [f"{k}w{x}" for x in range(8)]  # 4 shingles, and 5 of which 4 are the same
+        add(w)
+        add([*w, "more"])
+    for k in range(120):
+        w = [f"{k}v{x}" for x in range(204)]
+        add(w)
+        add(w[: 204 - 15 - k % 15] + [f"{k}u{x}" for x in range(15 + k % 15)])
+    want = list(range(len(rows)))
+    pairs = 0
+    for i in range(0, len(rows), 2):
+        both = len(np.intersect1d(known[i], known[i + 1]))
+        if both >= 0.8 * (len(known[i]) + len(known[i + 1]) - both):
+            want[i + 1], pairs = i, pairs + 1
+    assert 120 < pairs < 240
+    got = dict(near_copies.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert [got[i] for i in range(len(rows))] == want
+
+
+def test_alike_sets_in_blocks(spark, monkeypatch):
+    """A component of candidates in several blocks is linked as one; chance candidates aren't."""
+    monkeypatch.setattr(near_copies, "PART", 2000)
+    words = [f"w{i}" for i in range(200)]
+    docs = spark.createDataFrame([(i, " ".join(words[:i] + ["x"] + words[i + 1 :])) for i in range(60)] + [(100, " ".join(words[:150] + ["y"] * 50))], "doc_id long, text string")
+    assert {tuple(r) for r in near_copies.similar_groups(docs).collect()} == {*[(i, 0) for i in range(60)], (100, 100)}
