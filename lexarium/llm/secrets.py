@@ -33,15 +33,20 @@ class Rule:
     base: bool = False
 
 
+#: What follows the first line of a private key: all up to its END line; if there is none, key headers and the run of base64 lines, the last of which may be short.
+_KEY_BODY = (
+    r"(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,20}PRIVATE KEY-----"
+    r"|(?:\s*+(?:Proc-Type|DEK-Info):[^\n]*+)*+(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{16,}+)*+(?:(?:\r?\n|\\n)[A-Za-z0-9+/]{1,15}+={0,2}+(?=[ \t\r]*+(?:\n|\\n|$)))?)"
+)
 #: The kinds in their order, base kinds first.
 RULES = (
     Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, True),
     Rule("access", r"AKIA[A-Z0-9]{16,}", base=True),
     Rule("hex", r"[0-9a-f]{24,}", base=True),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
-    Rule("hosted_git", r"gh[pousr]_[A-Za-z0-9]{36,255}"),
-    Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,250}"),
-    Rule("cloud_key", r"AIza[0-9A-Za-z_-]{35}"),
+    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----" + _KEY_BODY),
+    Rule("hosted_git", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("cloud_key", r"AIza[0-9A-Za-z_-]{35,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
 )
 
