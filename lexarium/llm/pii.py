@@ -4,7 +4,8 @@ Base kinds are found by their patterns. Every token that looks like an identifie
 instance that stands after a word: the graph joins such words (patterns) with tokens (instances), weighted by how often they
 meet. Seeds are the instances that are base entities. In each round a pattern's score is the share of its
 occurrences whose instance is believed, and an instance's score is one minus the product of its patterns' doubts. Patterns of
-high score with enough different seeds find further instances, whose spans are added as kind ``context``.
+high score with enough different seeds find further instances, whose spans are added as kind ``context``. Instances that are believed
+count as seeds in the rounds after; rounds go on until no more patterns or instances are believed.
 """
 
 from __future__ import annotations
@@ -15,9 +16,9 @@ from pyspark.sql import functions as F
 from ._common import id_text, settle, table
 from .spans import SPAN, by_kind, count_of, matches, written
 
-#: Rounds of scoring.
+#: Rounds of scoring, at least.
 ROUNDS = 2
-#: Score from which a pattern is believed, and different seeds it needs.
+#: Score from which a pattern or an instance is believed, and different believed instances that a pattern needs.
 CONFIDENT = 0.9
 SEEDS = 3
 #: A pattern is doubted by this many unseen occurrences that are nothing.
@@ -72,21 +73,27 @@ def base_spans(text: Column) -> Column:
 
 
 def confident_patterns(seen: DataFrame) -> DataFrame:
-    """(word, score) of the patterns to believe, after ROUNDS over the graph of ``seen``.
+    """(word, score) of the patterns to believe, after rounds over the graph of ``seen`` until what is believed stays; beliefs never fall.
 
     Edges are first counted, so a word or token that is everywhere is a row for each partner; each round joins two grouped tables.
     """
     edges = settle(seen.groupBy("word", "token").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("seed").cast("int")).alias("seed")))
     belief = edges.groupBy("token").agg(F.max("seed").cast("double").alias("belief"))
-    patterns = None
-    for _ in range(ROUNDS):
+    was, turn = None, 0
+    while True:
         scored = edges.join(belief, "token").groupBy("word").agg(
-            (F.sum(F.col("n") * F.col("belief")) / (F.sum("n") + F.lit(PRIOR))).alias("score"), F.sum("seed").alias("seeds")
+            (F.sum(F.col("n") * F.col("belief")) / (F.sum("n") + F.lit(PRIOR))).alias("score"), F.sum((F.col("belief") >= CONFIDENT).cast("int")).alias("seeds")
         )
         patterns = settle(scored.where(F.col("seeds") >= SEEDS))
         doubt = F.exp(F.sum(F.log(F.lit(1.0) - F.least(F.col("score"), F.lit(0.99)))))
         reached = edges.join(patterns, "word").groupBy("token").agg((F.lit(1.0) - doubt).alias("reach"))
         belief = settle(edges.groupBy("token").agg(F.max("seed").cast("double").alias("seed")).join(reached, "token", "left").select("token", F.greatest("seed", F.coalesce(F.col("reach"), F.lit(0.0))).alias("belief")))
+        # in thousandths, so that beliefs that still grow towards the threshold go on
+        now = patterns.count(), belief.agg(F.sum(F.floor(F.col("belief") * 1000))).first()[0]
+        turn += 1
+        if now == was and turn >= ROUNDS:
+            break
+        was = now
     return patterns.where(F.col("score") >= CONFIDENT).select("word", "score")
 
 
