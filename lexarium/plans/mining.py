@@ -53,7 +53,7 @@ def _law(s, d):
     """Law pieces by topic with the columns that format_context needs."""
     docs = _raw(s, d)
     topic = F.element_at(F.array(*[F.lit(t) for t in W.TOPICS]), (F.col("chunk_index") % 5 + 1).cast("int"))
-    chunks = view(s, d, "kb_chunks").where("trim(chunk_text) <> ''").select("doc_id", topic.alias("topic"), F.col("chunk_index").alias("pos"), F.substring("chunk_text", 1, 40).alias("text"))
+    chunks = view(s, d, "kb_chunks").where("trim(chunk_text) <> ''").select("doc_id", topic.alias("topic"), F.col("chunk_index").alias("pos"), F.col("chunk_text").alias("text"))
     return chunks.join(docs.select("doc_id", "doc_number", "title"), "doc_id").select("*", F.lit(1).alias("status_flag"), F.lit("2020-01-01").alias("effective_date"), F.lit("").alias("expiry_date"))
 
 

@@ -128,3 +128,14 @@ def test_stream_adds_each_page_once(spark, tmp_path):
 
     assert add(1, 2) == ["1/2020/NĐ-CP", "2/2020/NĐ-CP"]
     assert add(2, 3) == ["1/2020/NĐ-CP", "2/2020/NĐ-CP", "3/2020/NĐ-CP"]
+
+
+def test_context_holds_whole_chunks(spark):
+    """i10_format_context: every chunk stands in its document's context in whole (3000 characters at most)."""
+    import __spark_entry__
+    from lexarium.sources.fixtures import view
+
+    at = "/root/testdata/sf0.001"
+    context = dict(__spark_entry__.queries()["i10_format_context"](spark, at).collect())
+    chunks = [r for r in view(spark, at, "kb_chunks").where("trim(chunk_text) <> ''").select("doc_id", "chunk_text").collect() if r.doc_id in context]
+    assert max(len(r.chunk_text) for r in chunks) > 40 and all(r.chunk_text[:3000] in context[r.doc_id] for r in chunks)
