@@ -86,7 +86,7 @@ def confident_patterns(seen: DataFrame) -> DataFrame:
         )
         patterns = settle(scored.where(F.col("seeds") >= SEEDS))
         doubt = F.exp(F.sum(F.log(F.lit(1.0) - F.least(F.col("score"), F.lit(0.99)))))
-        reached = edges.join(patterns, "word").groupBy("token").agg((F.lit(1.0) - doubt).alias("reach"))
+        reached = edges.join(patterns.where(F.col("score") >= CONFIDENT), "word").groupBy("token").agg((F.lit(1.0) - doubt).alias("reach"))
         belief = settle(edges.groupBy("token").agg(F.max("seed").cast("double").alias("seed")).join(reached, "token", "left").select("token", F.greatest("seed", F.coalesce(F.col("reach"), F.lit(0.0))).alias("belief")))
         # in thousandths, so that beliefs that still grow towards the threshold go on
         now = patterns.count(), belief.agg(F.sum(F.floor(F.col("belief") * 1000))).first()[0]

@@ -109,8 +109,8 @@ def test_pii(docs, empty, spark):
 def test_pii_goes_on_from_what_it_found(spark):
     """Identifiers after a believed word make a second word believed, and those after it a third, neither with a base entity."""
     text = [f"zz member {i}{i}11@x.example.org end" for i in range(10, 70)]
-    text += [f"zz member QX-77{i} end" for i in range(1000, 1004)] + [f"zz badge QX-77{i} end" for i in range(1000, 1004)] * 10 + [f"zz badge RV-88{i} end" for i in range(1000, 1004)]
-    text += [f"zz account RV-88{i} end" for i in range(1000, 1004)] * 10 + ["zz account TK-993311 end", "zz invoice TK-993322 end"]
+    text += [f"zz member QX-77{i} end" for i in range(1000, 1004)] + [f"zz badge QX-77{i} end" for i in range(1000, 1004)] * 20 + [f"zz badge RV-88{i} end" for i in range(1000, 1004)]
+    text += [f"zz account RV-88{i} end" for i in range(1000, 1004)] * 20 + ["zz account TK-993311 end", "zz invoice TK-993322 end"]
     found = [x.spans for x in pii.find(spark.createDataFrame(list(enumerate(text)), "doc_id long, text string")).orderBy("doc_id").collect()]
     assert [(s.kind, s.value) for s in found[-2]] == [("context", "TK-993311")] and not found[-1]
 
