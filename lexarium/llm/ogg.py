@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,8 @@ _PAGE = struct.Struct("<4sBBqIIIB")
 #: Of the first packet of a stream: name, version, stream's number, number of streams, frame, rate, unpadded bytes.
 _HEAD = struct.Struct("<8sBBBxIIQ")
 _MAGIC = b"PCM     "
+#: A first packet that speaks of more is none of ours.
+MOST_BYTES = 1 << 31
 _REVERSED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
 
 
@@ -105,6 +107,8 @@ class Stream:
     granules: list[int] = field(default_factory=list)
     lost: int = 0
     ended: bool = False
+    #: The first page is missing.
+    headless: bool = False
     _open: bytearray | None = None
     _next: int = 0
 
@@ -135,6 +139,7 @@ def demux(media: bytes) -> tuple[dict[int, Stream], dict[str, int]]:
         seen["pages"] += 1
         s = streams.setdefault(serial, Stream(serial))
         if number != s._next:  # pages are missing
+            s.headless |= s._next == 0
             s.lost += 1
             s._open = None
         s._next = number + 1
@@ -164,42 +169,83 @@ def demux(media: bytes) -> tuple[dict[int, Stream], dict[str, int]]:
     return streams, seen
 
 
-def timed_packets(stream: Stream) -> list[tuple[float, float, bytes]]:
-    """(begin, end, samples) of the data packets. Where a page gives no granule position for a packet, it follows from the next."""
-    head = _HEAD.unpack(stream.packets[0])
-    own, streams, frame, rate = head[2], head[3], head[4], head[5]
-    ends = list(stream.granules)
-    for i in range(len(ends) - 2, 0, -1):
+@dataclass(frozen=True)
+class Head:
+    """What the first packet of a stream says; ``own`` is the stream's place among ``streams``."""
+
+    own: int
+    streams: int
+    frame: int
+    rate: int
+    length: int
+
+    @property
+    def frames(self) -> int:
+        return max(1, -(-self.length // self.frame))
+
+
+def head_of(packet: bytes) -> Head | None:
+    """None if this isn't a first packet as ``mux`` writes it."""
+    if len(packet) != _HEAD.size or packet[:8] != _MAGIC:
+        return None
+    _, version, own, streams, frame, rate, length = _HEAD.unpack(packet)
+    return Head(own, streams, frame, rate, length) if version == 1 and own < streams and frame and rate and length <= MOST_BYTES else None
+
+
+def timed_packets(stream: Stream, head: Head) -> list[tuple[int, bytes]]:
+    """(granule position at the end, samples) of the data packets that are whole frames in the stream's places; others are counted as lost.
+
+    Where a page gives no granule position for a packet, it follows from the next, which ends on the same page.
+    """
+    first = 1 if stream.packets and head_of(stream.packets[0]) else 0
+    data, ends = stream.packets[first:], list(stream.granules[first:])
+    for i in range(len(ends) - 2, -1, -1):
         if ends[i] < 0:
-            ends[i] = ends[i + 1] - len(stream.packets[i + 1]) * streams
+            ends[i] = ends[i + 1] - len(data[i + 1]) * head.streams
     out = []
-    for samples, end in zip(stream.packets[1:], ends[1:], strict=True):
-        frames = len(samples) // frame
-        begin = end - (frame * streams * (frames - 1) + frame)
-        out.append((begin / rate, end / rate, samples))
-    assert 0 <= own < streams
+    for samples, end in zip(data, ends, strict=True):
+        n, last = len(samples) // head.frame, end // head.frame - 1
+        fits = n and len(samples) % head.frame == 0 and end % head.frame == 0 and last % head.streams == head.own
+        if fits and last - head.streams * (n - 1) >= 0 and last < head.frames:
+            out.append((end, samples))
+        else:
+            stream.lost += 1
     return out
 
 
 def demuxed_payload(media: bytes) -> tuple[bytes, int, list[tuple[int, float, float, int]], dict[str, int]]:
-    """Payload, its unpadded length, (serial, begin, end, bytes) of the packets, and the counts of ``demux``."""
+    """Payload, its unpadded length, (serial, begin, end, bytes) of the packets, and the counts of ``demux`` with lost and missing.
+
+    Each packet is placed by its granule position; what no packet fills is zeros, and ``missing`` counts these bytes. A stream whose
+    first packet is lost has the place that is left, if there is but one. Streams of other kinds are left out. Without any first
+    packet there is no payload.
+    """
     streams, seen = demux(media)
-    parts, length = [], 0
+    heads = {k: h for k, s in sorted(streams.items()) if s.packets and (h := head_of(s.packets[0]))}
+    seen |= {"lost": 0, "missing": 0}
     spans: list[tuple[int, float, float, int]] = []
-    for serial in sorted(streams):
-        s = streams[serial]
-        if not s.packets or s.packets[0][:8] != _MAGIC:
-            continue
-        length = _HEAD.unpack(s.packets[0])[6]
-        timed = timed_packets(s)
-        spans += [(serial, b, e, len(x)) for b, e, x in timed]
-        parts.append(np.frombuffer(b"".join(x for _, _, x in timed), np.uint8).reshape(-1, FRAME))
-    if not parts:
+    if not heads:
+        seen["lost"] = sum(s.lost for s in streams.values())
         return b"", 0, spans, seen
-    frames = np.zeros((sum(map(len, parts)), FRAME), np.uint8)
-    for s, own in enumerate(parts):
-        frames[s :: len(parts)] = own
-    return frames.tobytes(), length, spans, seen
+    known = next(iter(heads.values()))
+    heads = {k: h for k, h in heads.items() if h == replace(known, own=h.own)}
+    headless = [k for k, s in streams.items() if k not in heads and s.headless]
+    free = sorted(set(range(known.streams)) - {h.own for h in heads.values()})
+    if len(headless) == len(free) == 1:
+        heads[headless[0]] = replace(known, own=free[0])
+    frames = np.zeros((known.frames, known.frame), np.uint8)
+    filled = np.zeros(known.frames, bool)
+    for serial in sorted(heads):
+        head = heads[serial]
+        for end, samples in timed_packets(streams[serial], head):
+            n, last = len(samples) // head.frame, end // head.frame - 1
+            begin = last - head.streams * (n - 1)
+            frames[begin : last + 1 : head.streams] = np.frombuffer(samples, np.uint8).reshape(n, head.frame)
+            filled[begin : last + 1 : head.streams] = True
+            spans.append((serial, begin * head.frame / head.rate, end / head.rate, len(samples)))
+        seen["lost"] += streams[serial].lost
+    seen["missing"] = int((~filled).sum()) * known.frame
+    return frames.tobytes(), known.length, spans, seen
 
 
 def feature(payload: bytes, spans: list[tuple[int, float, float, int]]) -> str:
@@ -234,27 +280,34 @@ def to_media(docs: DataFrame) -> DataFrame:
     return arrow_map(id_text(docs), each, "doc_id long, media binary")
 
 
+_FOUND = {
+    "doc_id": "long", "n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string",
+    "feature": "string", "pages": "long", "bad_pages": "long", "lost_packets": "long", "missing_bytes": "long",
+}
+
+
 def from_media(media: DataFrame) -> DataFrame:
     """What the stored bytes of (doc_id, media) hold: payload and stored form as digests and lengths, page counts and the feature.
 
-    Bad pages are left out and counted. Null media gives zeros and a payload of no bytes.
+    Bad pages are left out and counted, as are packets of which part is lost; samples that no packet gives are zeros and counted as
+    missing. Null media, and media without a first packet of this kind, give zeros and a payload of no bytes.
     """
 
     def each(batch):
-        out: dict[str, list] = {k: [] for k in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pages", "bad_pages", "lost_packets")}
-        for m in batch.column(1).to_pylist():
+        for i, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             m = m or b""
             payload, length, spans, seen = demuxed_payload(m)
-            row = (
-                length, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature(payload, spans), seen["pages"], seen["bad"],
-                sum(s.lost for s in demux(m)[0].values()) if seen["bad"] else 0,
+            yield (
+                i, length, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature(payload, spans),
+                seen["pages"], seen["bad"], seen["lost"], seen["missing"],
             )
-            for k, v in zip(out, row, strict=True):
-                out[k].append(v)
-        yield batch_of(doc_id=batch.column(0), **{k: pa.array(v, pa.string() if "sha" in k or k == "feature" else pa.int64()) for k, v in out.items()})
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pages long, bad_pages long, lost_packets long"
-    return arrow_map(media.select("doc_id", "media"), each, schema)
+    def rows(batches):
+        for batch in batches:
+            cols = list(zip(*each(batch), strict=True)) or [[]] * len(_FOUND)
+            yield batch_of(**{n: pa.array(c, pa.string() if k == "string" else pa.int64()) for (n, k), c in zip(_FOUND.items(), cols, strict=True)})
+
+    return media.select("doc_id", "media").mapInArrow(rows, ", ".join(f"{n} {k}" for n, k in _FOUND.items()))
 
 
 def packets(media: DataFrame) -> DataFrame:

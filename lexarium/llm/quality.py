@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import arrow_map, batch_of, held_out, table, texts
-from .toxicity import sample
+from .toxicity import sample, within
 
 PASSAGE = 64
 #: Labelled rows that the model is fitted on, at most.
@@ -50,7 +50,7 @@ def _powers(n: int, base: np.uint64) -> np.ndarray:
 
 
 def encode(group: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Features of all passages (rows), and the number of passages of each text: 1 at least."""
+    """Features of all passages (rows), and the number of passages of each text: 1 at least. Those of a text are its own, whatever is beside it."""
     raw = [t.encode("utf-8", "surrogatepass") for t in group]
     b = np.frombuffer(b" ".join([*raw, b""]), np.uint8)
     if not group:
@@ -84,8 +84,9 @@ def encode(group: list[str]) -> tuple[np.ndarray, np.ndarray]:
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
-        three = h[:-2] * np.uint64(3) + h[1:-1] * np.uint64(5) + h[2:] * np.uint64(7) if len(h) > 2 else h[:0]
-        in_doc = three ^ (word_doc[: len(three)].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        whole = np.flatnonzero(word_doc[:-2] == word_doc[2:])  # first words of three that are of one text
+        three = h[whole] * np.uint64(3) + h[whole + 1] * np.uint64(5) + h[whole + 2] * np.uint64(7)
+        in_doc = three ^ (word_doc[whole].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         in_passage = h ^ (word_passage.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     out[:, _CLASSES : _CLASSES + _HASHED] = np.bincount(word_passage * _HASHED + (h % np.uint64(_HASHED)).astype(np.int64), minlength=total * _HASHED).reshape(total, _HASHED) / words_in[:, None]
     k = _CLASSES + _HASHED
@@ -93,8 +94,8 @@ def encode(group: list[str]) -> tuple[np.ndarray, np.ndarray]:
     _, first = np.unique(in_passage, return_index=True)
     out[:, k + 1] = np.bincount(word_passage[first], minlength=total) / words_in
     _, inverse, counts = np.unique(in_doc, return_inverse=True, return_counts=True)
-    out[:, k + 2] = np.bincount(word_passage[: len(three)], counts[inverse] > 1, total) / words_in
-    out[:, k + 3] = np.bincount(byte_passage[1:], b[1:] == b[:-1], total) / bytes_in
+    out[:, k + 2] = np.bincount(word_passage[whole], counts[inverse] > 1, total) / words_in
+    out[:, k + 3] = np.bincount(byte_passage[1:], (b[1:] == b[:-1]) & (doc_of[1:] == doc_of[:-1]), total) / bytes_in
     out[:, k + 4] = np.log1p(n_words)[np.repeat(np.arange(len(raw)), n_passages)] / 10
     return out, n_passages
 
@@ -183,7 +184,7 @@ class GatedAttention:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE) -> GatedAttention:
-    """The model of at most ``rows`` labelled documents."""
+    """The model of at most ``rows`` labelled documents, of SAMPLE_BYTES when encoded."""
 
     def each(batch):
         ts, ids, ys = texts(batch), batch.column(0).to_pylist(), batch.column(2).to_pylist()
@@ -194,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
             yield batch_of(doc_id=pa.array(ids[at : at + len(part)], pa.int64()), y=pa.array(ys[at : at + len(part)], pa.int32()), x=pa.array([s.tobytes() for s in split], pa.binary()))
             at += len(part)
 
-    found = arrow_map(sample(docs, labels, label, rows), each, "doc_id long, y int, x binary").toArrow().sort_by("doc_id")
+    found = within(arrow_map(sample(docs, labels, label, rows), each, "doc_id long, y int, x binary"), "x").toArrow().sort_by("doc_id")
     bags = [np.frombuffer(v, np.float32).reshape(-1, FEATURES) for v in found["x"].to_pylist()]
     return GatedAttention.fit(np.concatenate(bags) if bags else np.zeros((0, FEATURES)), np.array([len(v) for v in bags], np.int64), np.array(found["y"].to_pylist(), float))
 
@@ -209,7 +210,7 @@ def scored(docs: DataFrame, labels: DataFrame, learn=None) -> DataFrame:
     def each(batch):
         ts, ids, at = texts(batch), batch.column(0), 0
         for part in groups(ts):
-            s = model.score(*encode(part))
+            s = np.round(model.score(*encode(part)), 9)  # so that it doesn't depend on the texts beside
             yield batch_of(doc_id=ids.slice(at, len(part)), score=pa.array(s, pa.float64()), predicted=pa.array((s >= 0.3).astype(np.int32), pa.int32()))
             at += len(part)
 

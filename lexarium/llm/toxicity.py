@@ -20,11 +20,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ._common import arrow_map, batch_of, held_out, table, texts
+from ._common import arrow_map, batch_of, held_out, settle, table, texts
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 12_000
+#: Bytes of these, encoded, that reach the driver, at most.
+SAMPLE_BYTES = 96 << 20
 BUCKETS = 1 << 18
 FACTORS = 4
 #: Letters of a word's beginnings.
@@ -60,11 +63,22 @@ def terms(text: str) -> np.ndarray:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE) -> DataFrame:
-    """text and label of at most ``rows`` labelled documents; null labels don't count, of repeated ids the largest label does."""
+    """text and label of at most ``rows`` labelled documents; null labels don't count, of repeated ids the largest label and the least text do."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return text.join(F.broadcast(some), "doc_id").select("doc_id", "text", "y")
+    return text.join(F.broadcast(some), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
+
+
+def within(found: DataFrame, column: str, most: int = SAMPLE_BYTES) -> DataFrame:
+    """Of the encoded rows of a sample, in the order in which it was drawn, those up to which ``column`` has ``most`` bytes.
+
+    ``found`` is written once; the order is found from ids and sizes alone, SAMPLE of them at most.
+    """
+    found = settle(found)
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id")
+    fits = found.select("doc_id", F.sum(F.octet_length(column)).over(order).alias("upto")).where(F.col("upto") <= most).select("doc_id")
+    return found.join(F.broadcast(fits), "doc_id", "left_semi")
 
 
 def _association(counts, hits, n: int, positive: float):
@@ -134,12 +148,12 @@ class FactorizationMachine:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE) -> FactorizationMachine:
-    """The model of at most ``rows`` labelled documents."""
+    """The model of at most ``rows`` labelled documents, of SAMPLE_BYTES when encoded."""
 
     def each(batch):
         yield batch_of(doc_id=batch.column(0), y=batch.column(2), terms=pa.array([terms(t).astype(np.int32).tobytes() for t in texts(batch)], pa.binary()))
 
-    found = arrow_map(sample(docs, labels, label, rows), each, "doc_id long, y int, terms binary").toArrow().sort_by("doc_id")
+    found = within(arrow_map(sample(docs, labels, label, rows), each, "doc_id long, y int, terms binary"), "terms").toArrow().sort_by("doc_id")
     return FactorizationMachine.fit([np.frombuffer(x.as_buffer(), np.int32) for x in found["terms"]], np.array(found["y"].to_pylist(), float))
 
 
