@@ -17,16 +17,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def settle(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, so lost executors can't undo it.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a temporary one is taken.
+    The folder is ``shared_folder``'s.
     """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; a temporary folder only where that is unset and all runs on one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return named or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
+#: A key is hot from 1/HOT of all rows on, so at most HOT keys are.
+HOT = 512
+
+
+def join_split(rows: DataFrame, known: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join of ``rows``, ``total`` in all, with ``known`` by ``key``, which is unique there; its column n says how many of ``rows`` have the key.
+
+    Rows of hot keys stay where they are and meet a broadcast table of at most HOT rows; the others meet by hash. n is dropped.
+    """
+    least = max(1, total // HOT)
+    few = known.where(F.col("n") > least)
+    hot = few.limit(HOT).collect()  # the limit never cuts: see HOT
+    if not hot:
+        return rows.join(known.drop("n"), key)
+    is_hot = F.col(key).isin([r[key] for r in hot])
+    found = rows.sparkSession.createDataFrame(hot, known.schema).drop("n")
+    return rows.where(~is_hot).join(known.where(F.col("n") <= least).drop("n"), key).unionByName(rows.where(is_hot).join(F.broadcast(found), key))
+
+
 def arrow_map(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch."""
 
@@ -50,6 +75,14 @@ def batch_of(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x) for x in columns.values()], names=list(columns))
 
 
+def helper(name: str, df: DataFrame) -> str:
+    """A column name that ``df`` doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def id_text(docs: DataFrame) -> DataFrame:
     """Only what the operators read of ``documents``, so extra columns and their names don't matter."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

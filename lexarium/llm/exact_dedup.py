@@ -4,7 +4,7 @@ Rows are combined three times, each time by comparing the whole normalised conte
 digest: inside an Arrow batch and a task (local), by (digest, salt), and over the salts of a digest. Only
 digests with more than ``1/HOT`` of all rows are salted: there are at most ``HOT`` of them, so that list is
 small whatever the input. A text thus moves once at most, and the winners of the salts of hot digests
-a second time. Membership goes back to the documents by digest, without texts.
+a second time. Membership goes back to the documents by digest, without texts; that of hot digests by broadcast.
 """
 
 from __future__ import annotations
@@ -15,12 +15,8 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ._common import arrow_map, batch_of, id_text, settle, texts
-
-#: A digest is hot from 1/HOT of all rows on, so at most HOT digests are.
-HOT = 512
+from ._common import HOT, arrow_map, batch_of, helper, id_text, join_split, settle, texts
 #: Parts of a hot digest.
 SALTS = 64
 
@@ -81,15 +77,15 @@ def exact_groups(docs: DataFrame, digest: Callable[[bytes], bytes] = sha256) ->
     only null ids has keep_id null and one row kept. An empty table gives an empty result.
     """
     docs = id_text(docs)
-    ids = settle(_digests(docs, digest))
-    counts = ids.groupBy("digest").count()
-    least = max(1, ids.count() // HOT)
-    hot = [bytes(r["digest"]) for r in counts.where(F.col("count") > least).limit(HOT).collect()]  # the limit never cuts: see HOT
+    ids = settle(_digests(docs, digest).withColumn("row", F.monotonically_increasing_id()))
+    # the row to stay: the largest id, and of several rows with it the last
+    tops = settle(ids.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("doc_id", "row")).alias("top")))
+    total = ids.count()
+    hot = [bytes(r["digest"]) for r in tops.where(F.col("n") > max(1, total // HOT)).limit(HOT).collect()]  # the limit never cuts: see HOT
     classes = settle(_classes(_combined(docs, digest), hot))
     plain = classes.where("contents = 1").select("digest", F.col("top").alias("keep_id"), F.col("n").alias("group_size"))
-    # which of several rows with the same id and content is the one to stay
-    first = F.row_number().over(Window.partitionBy("doc_id", "digest").orderBy(F.lit(0)))
-    out = ids.join(plain, "digest").select("doc_id", "keep_id", "group_size", "digest", first.alias("nth"))
+    known = plain.join(tops.select("digest", "n", F.col("top.row").alias("stays")), "digest")
+    out = join_split(ids, known, "digest", total)
     collided = classes.where("contents > 1").select("digest")
     if not collided.isEmpty():
         # different contents with one digest: these few are told apart by content in a join of their own
@@ -98,22 +94,34 @@ def exact_groups(docs: DataFrame, digest: Callable[[bytes], bytes] = sha256) ->
             yield batch_of(doc_id=batch.column(0), digest=pa.array([digest(t) for t in ts], pa.binary()), content=pa.array(ts, pa.binary()))
 
         rows = arrow_map(docs, each, "doc_id long, digest binary, content binary").join(collided, "digest", "left_semi")
-        sizes = rows.groupBy("digest", "content").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        nth = F.row_number().over(Window.partitionBy("doc_id", "digest", "content").orderBy(F.lit(0)))
-        out = out.unionByName(rows.join(sizes, ["digest", "content"]).select("doc_id", "keep_id", "group_size", "digest", nth.alias("nth")))
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)
-    return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "digest")
+        rows = settle(rows.withColumn("row", F.monotonically_increasing_id()))
+        sizes = rows.groupBy("digest", "content").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.max(F.struct("doc_id", "row")).alias("top"))
+        out = out.unionByName(rows.join(sizes.withColumn("stays", F.col("top.row")), ["digest", "content"]).select(*out.columns))
+    return out.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("stays")).alias("kept"), "digest")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each class of equal texts: the one with the largest doc_id. All columns stay."""
-    stays = exact_groups(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
+    """``docs`` with one row of each class of equal texts: the one with the largest doc_id. All columns stay.
+
+    Null text counts as empty. Of rows that repeat both doc_id and text one stays.
+    """
+    groups = settle(exact_groups(docs))
+    n, has = helper("rows", docs), docs.columns
+    id_, digest = helper("id", docs), helper("digest", docs)
+    stays = groups.where("kept").select(F.col("doc_id").alias(id_), F.col("digest").alias(digest))
     lower = F.translate(F.coalesce(F.col("text"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    found = docs.join(stays, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")))
     # a repeated id may stand for several texts, of which others stay, or for the same text twice
-    found = found.where(F.unhex(F.sha2(lower, 256)) == F.col("__digest"))
-    nth = F.row_number().over(Window.partitionBy("__id", "__digest").orderBy(F.lit(0)))
-    return found.withColumn("__nth", nth).where("__nth = 1").select(*docs.columns)
+    repeated = groups.groupBy(F.col("doc_id").alias(id_), F.col("digest").alias(digest)).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > 1)
+    twice = not repeated.isEmpty()
+    if twice:
+        stays = stays.join(repeated, (stays[id_].eqNullSafe(repeated[id_])) & (stays[digest] == repeated[digest]), "left").select(stays[id_], stays[digest], n)
+    found = docs.join(stays, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)))
+    found = found.where(F.unhex(F.sha2(lower, 256)) == F.col(digest))
+    once = found.where(F.col(n).isNull()) if twice else found
+    if not twice:
+        return once.select(*has)
+    one = found.where(F.col(n).isNotNull()).groupBy(id_, digest).agg(F.first(F.struct(*has)).alias(n))
+    return once.select(*has).unionByName(one.select(*[F.col(n)[c].alias(c) for c in has]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

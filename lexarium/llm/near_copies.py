@@ -24,8 +24,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, batch_of, id_text, settle, texts
+from ._common import arrow_map, batch_of, helper, id_text, join_split, settle, texts
 from .components import star_components
+from .simhash import components
 
 SEED = 42
 WORDS = 8
@@ -269,13 +270,13 @@ def similar_groups(docs: DataFrame, shingle: int = 5, bits: int = BITS) -> DataF
     """
     fps = settle(fingerprints(docs, shingle))
     # texts of one set have equal bits, of equal certainty
-    classes = fps.groupBy("set").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "fp", "loose", "few")])
+    classes = fps.groupBy("set").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"), *[F.first(c).alias(c) for c in ("n", "fp", "loose", "few")])
     classes = settle(classes.withColumn("node", F.monotonically_increasing_id()))
     near = star_components(links(classes, bits))
-    stars = star_components(verified(docs, classes, near, shingle)).select(F.col("b").alias("node"), F.col("a").alias("root"))
-    roots = classes.select("node", "set", "least").join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.select("doc_id", "set").join(roots.join(least, "root").select("set", "component_id"), "set").select("doc_id", "component_id")
+    stars = star_components(verified(docs, classes, near, shingle))
+    found = components(classes.select("node", "least", F.col("rows").alias("n")), stars, "node")
+    sets = classes.select("node", "set").join(found, "node").select("set", "component_id", "n")
+    return join_split(fps.select("doc_id", "set"), sets, "set", fps.count()).select("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = 5, bits: int = BITS) -> DataFrame:
@@ -283,5 +284,6 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, bits: int = BITS) -> Dat
 
     Rows with a null id stay. Of rows that share the smallest id all stay.
     """
-    goes = similar_groups(docs, shingle, bits).where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(goes, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+    id_ = helper("id", docs)
+    goes = similar_groups(docs, shingle, bits).where("doc_id <> component_id").select(F.col("doc_id").alias(id_)).distinct()
+    return docs.join(goes, F.col("doc_id").cast("long") == F.col(id_), "left_anti")

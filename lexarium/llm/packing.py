@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import arrow_map, batch_of, id_text, settle, table, texts
+from ._common import arrow_map, batch_of, helper, id_text, settle, table, texts
 from .bpe import tokenizer
 
 CAPACITY = 1024
 END = 2
-#: Pieces of a bucket in which ranks are counted.
-BUCKET = 100_000
+#: Pieces of a bucket of one length, in which ranks are counted, about.
+BUCKET = 1000
 #: Units whose ids a task remembers.
 REMEMBERED = 400_000
 #: Splits where the tokenizer's own pattern always splits, in texts of the characters of _PLAIN.
@@ -158,13 +158,17 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     cut = settle(cut)
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most ``capacity`` rows
     slots = _slots(plan(counts, capacity))
-    parts = max(1, -(-sum(counts.values()) // BUCKET))
-    keyed = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)))
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = keyed.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")).select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    ranked = keyed.withColumn("within", within).join(base, ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("within"))
-    ranked = ranked.select(*cut.columns, F.col("rank").cast("long").alias("rank"))
+    # as many buckets for each length as it needs: a row for each length at most
+    parts = cut.sparkSession.createDataFrame([(k, -(-n // BUCKET)) for k, n in counts.items()], "length long, parts long")
+    row, bucket, base, within = (helper(x, cut) for x in ("row", "bucket", "base", "within"))
+    keyed = cut.withColumn(row, F.monotonically_increasing_id()).join(F.broadcast(parts.withColumnRenamed("parts", bucket)), "length")
+    keyed = keyed.withColumn(bucket, F.pmod(F.xxhash64(row), F.col(bucket)))
+    before = Window.partitionBy("length").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = keyed.groupBy("length", bucket).agg(F.count(F.lit(1)).alias("n"))
+    bases = sizes.select("length", bucket, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(base))
+    nth = F.row_number().over(Window.partitionBy("length", bucket).orderBy(row)) - 1
+    ranked = keyed.withColumn(within, nth).join(bases, ["length", bucket])
+    ranked = ranked.select(*cut.columns, (F.col(base) + F.col(within)).cast("long").alias("rank"))
 
     def place(batch):
         t = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}

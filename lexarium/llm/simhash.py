@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, batch_of, id_text, settle, table, texts
+from ._common import arrow_map, batch_of, helper, id_text, join_split, settle, table, texts
 from .components import star_components
 
 #: Bits in which linked fingerprints may differ; the balls find all links of up to MOST_BITS.
@@ -134,11 +134,17 @@ def near_groups(docs: DataFrame, shingle: int = 4, bits: int = BITS) -> DataFram
     ignored when the smallest is taken; a component with none but null ids has component_id null.
     """
     fps = settle(fingerprints(docs, shingle))
-    classes = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    classes = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     stars = star_components(links(classes.select("fp"), bits))  # b -> a
-    roots = classes.join(stars.select(F.col("b").alias("fp"), F.col("a").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(roots.join(least, "root").select("fp", "component_id"), "fp")
+    found = components(classes, stars, "fp")
+    return join_split(fps, found, "fp", fps.count())
+
+
+def components(classes: DataFrame, stars: DataFrame, key: str) -> DataFrame:
+    """(key, component_id, n): of ``classes`` (key, least, n) those in one star share the least of all."""
+    roots = settle(classes.join(stars.select(F.col("b").alias(key), F.col("a").alias("root")), key, "left").withColumn("root", F.coalesce("root", key)))
+    least = roots.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    return join_split(roots.select("root", key, F.col("n").alias("rows")), least, "root", roots.count()).select(key, "component_id", F.col("rows").alias("n"))
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = 5, bits: int = MOST_BITS) -> DataFrame:
@@ -146,8 +152,9 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, bits: int = MOST_BITS) -
 
     Rows with a null id stay. Of rows that share the smallest id all stay.
     """
-    goes = near_groups(docs, shingle, bits).where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(goes, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+    id_ = helper("id", docs)
+    goes = near_groups(docs, shingle, bits).where("doc_id <> component_id").select(F.col("doc_id").alias(id_)).distinct()
+    return docs.join(goes, F.col("doc_id").cast("long") == F.col(id_), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
