@@ -71,6 +71,19 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [x or "" for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
 
 
+def groups(all_texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
+    """Runs of texts of about ``most`` characters, so that what is made of them at once is bounded."""
+    part, size = [], 0
+    for t in all_texts:
+        part.append(t)
+        size += len(t)
+        if size >= most:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def batch_of(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x) for x in columns.values()], names=list(columns))
 

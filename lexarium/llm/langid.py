@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import batch_of, held_out, table, texts
+from ._common import batch_of, groups, held_out, table, texts
 
 DIMENSIONS = 1024
 #: Letters of an n-gram; a gap between words counts as one letter.
@@ -26,7 +26,6 @@ SEED = 20_260
 UNKNOWN = "und"
 #: Distinct n-grams whose vectors are held at once.
 _HELD = 16_384
-_SLICE = 256
 
 
 @lru_cache(maxsize=1)
@@ -76,11 +75,13 @@ def prototypes(docs: DataFrame) -> dict[str, list[int]]:
     def partial(batches):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            langs, parts = batch.column(1).to_pylist(), {}
-            for lang, t in zip(langs, texts(batch), strict=True):
-                parts.setdefault(lang, []).append(ngrams(t))
-            for lang, codes in parts.items():
-                sums[lang] = sums.get(lang, 0) + bundle(*np.unique(np.concatenate(codes), return_counts=True))
+            langs = iter(batch.column(1).to_pylist())
+            for group in groups(texts(batch)):
+                parts: dict[str, list] = {}
+                for t in group:
+                    parts.setdefault(next(langs), []).append(ngrams(t))
+                for lang, codes in parts.items():
+                    sums[lang] = sums.get(lang, 0) + bundle(*np.unique(np.concatenate(codes), return_counts=True))
         if sums:
             yield batch_of(lang=pa.array(list(sums)), vector=pa.array([v.astype(np.int64).tolist() for v in sums.values()], pa.list_(pa.int64())))
 
@@ -103,11 +104,10 @@ def predict(docs: DataFrame, vectors: dict[str, list[int]]) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            found, ids = [], batch.column(0).to_pylist()
-            everything = [ngrams(t) for t in texts(batch, "text")]
-            for i in range(0, len(ids), _SLICE):
-                part = everything[i : i + _SLICE]
-                known = np.unique(np.concatenate(part)) if part else np.zeros(0, np.int64)
+            found = []
+            for group in groups(texts(batch, "text")):
+                part = [ngrams(t) for t in group]
+                known = np.unique(np.concatenate(part))
                 held = ngram_vectors(known).astype(np.float32) if len(known) <= _HELD else None
                 for codes in part:
                     own, counts = np.unique(codes, return_counts=True)

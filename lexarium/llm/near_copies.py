@@ -1,7 +1,7 @@
 """Near copies of a Jaccard similarity of 0.8 or more: candidates by multi-index hashing of wide SimHash fingerprints, verified on shingles.
 
-A fingerprint has 18 segments of 28 bits over the distinct word shingles of a text. Two texts of Jaccard similarity s have sets of
-cosine c = 2s / (1 + s), and each bit differs with probability acos(c) / pi: 76 of 504 bits are expected at 0.8, give or take 8.
+A fingerprint has 512 bits over the distinct word shingles of a text, in segments of some 28 bits. Two texts of Jaccard similarity s have sets of
+cosine c = 2s / (1 + s), and each bit differs with probability acos(c) / pi: 77 of 512 bits are expected at 0.8, give or take 8.
 Such texts rarely agree in whole segments, but bits that differ are nearly always those whose votes were close. So a fingerprint
 is filed, for each segment, under the small Hamming ball over its three least certain bits: 8 values. Two texts meet if
 all bits that differ in some segment are uncertain in either. As some pairs of 0.8 never do, a text is also filed under the first
@@ -11,7 +11,8 @@ that a sample shows to be common are last in this order, so they are hardly ever
 What meets is a candidate up to ``BITS``, far beyond what 0.8 lets expect. Candidates only propose: the components they form get the distinct
 shingle hashes of their members, each once a block, and only pairs of similarity 0.8 on these are links.
 
-Candidates of chance are 18 * 64 / 2^28 of all pairs; ``SEGMENT`` would grow with the logarithm of the number of documents.
+Chance candidates of a text are 64 * segments / 2^bits of all others: the bits of a segment grow with the logarithm of the number of texts
+(``segment_bits``), so these stay few at any size. Fewer segments lose nothing: what has no segment in common meets by its first hashes.
 """
 
 from __future__ import annotations
@@ -30,12 +31,10 @@ from .simhash import components
 
 SEED = 42
 WORDS = 8
-#: Bits of a segment, and segments of a fingerprint.
-SEGMENT, SEGMENTS = 28, 18
 #: Uncertain bits of a segment that the ball flips.
 LOOSE = 3
-#: Bits in which candidates may differ. Similarity 0.8 lets expect 76 +- 8, and 95 +- 9 at worst (4 of 5 shingles): over four deviations more.
-BITS = 136
+#: Bits in which candidates may differ. Similarity 0.8 lets expect 77 +- 8, and 96 +- 9 at worst (4 of 5 shingles): over four deviations more.
+BITS = 138
 #: Linked texts share this part of the shingles of both: 4 / 5.
 ALIKE, OF = 4, 5
 #: A shingle is common if so many of one in SAMPLED texts have it; at most MAX_COMMON, which any order allows.
@@ -46,10 +45,14 @@ PART = 1 << 20
 BLOCK = 2048
 #: Bucket keys that may be broadcast (8 bytes each).
 MAX_BROADCAST_KEYS = 500_000
-_USED = SEGMENT * SEGMENTS
 _STEPS = np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
+def segment_bits(rows: int) -> int:
+    """Bits of a segment for so many texts: ten more than would tell them apart, 20 to 48."""
+    return min(48, max(20, (max(rows, 1) - 1).bit_length() + 10))
+
+
 def shingle_hashes(text: str, shingle: int = 5) -> np.ndarray:
     """Sorted distinct XXH64 of the word shingles; of all words where there are fewer; none for a text without words."""
     words = text.encode().lower().split()
@@ -61,8 +64,8 @@ def shingle_hashes(text: str, shingle: int = 5) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(first, last, strict=True)], np.uint64))
 
 
-def fingerprint(hashes: np.ndarray) -> tuple[bytes, bytes]:
-    """The bits (64 bytes, the last 8 bits unused) and, for each segment, the places of its LOOSE least certain bits."""
+def fingerprint(hashes: np.ndarray, segment: int = 28) -> tuple[bytes, bytes]:
+    """The bits (64 bytes; the last are in no whole segment) and, for each segment, the places of its LOOSE least certain bits."""
     votes = np.zeros(64 * WORDS, np.int64)
     for i in range(0, len(hashes), 255):
         h = hashes[i : i + 255, None] + _STEPS[None, :]
@@ -70,12 +73,13 @@ def fingerprint(hashes: np.ndarray) -> tuple[bytes, bytes]:
         h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         h ^= h >> np.uint64(31)
         votes += np.unpackbits(h.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
-    margin = (2 * votes - len(hashes))[:_USED]
-    places = np.argsort(np.abs(margin).reshape(SEGMENTS, SEGMENT), axis=1, kind="stable")[:, :LOOSE]
-    return np.packbits(np.append(margin > 0, np.zeros(64 * WORDS - _USED, bool))).tobytes(), places.astype(np.uint8).tobytes()
+    margin = 2 * votes - len(hashes)
+    in_segments = np.abs(margin[: 64 * WORDS // segment * segment]).reshape(-1, segment)
+    places = np.argsort(in_segments, axis=1, kind="stable")[:, :LOOSE]
+    return np.packbits(margin > 0).tobytes(), places.astype(np.uint8).tobytes()
 
 
-def fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = 5, segment: int = 28) -> DataFrame:
     """doc_id, set (digest of the distinct shingle hashes), n (how many), fp, loose, few (32 bits of each of the first hashes).
 
     Null text counts as empty; all texts without a word share one set.
@@ -91,7 +95,7 @@ def fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
             found = [shingle_hashes(t, shingle) for t in texts(part)]
-            both = [fingerprint(h) for h in found]
+            both = [fingerprint(h, segment) for h in found]
             few = [first(h) for h in found]
             yield batch_of(
                 doc_id=part.column(0), set=pa.array([_digest(h) for h in found], pa.binary()), n=pa.array([len(h) for h in found], pa.int64()),
@@ -117,23 +121,23 @@ def _digest(hashes: np.ndarray) -> bytes:
     return xxhash.xxh128_digest(hashes.tobytes(), SEED)
 
 
-def _keys(classes: DataFrame) -> DataFrame:
+def _keys(classes: DataFrame, segment: int) -> DataFrame:
     """node under each key: the segment's number above one value of its ball; the first hashes, above all these."""
-    flips = (np.arange(2**LOOSE)[:, None] >> np.arange(LOOSE)) & 1
+    flips, segments = (np.arange(2**LOOSE)[:, None] >> np.arange(LOOSE)) & 1, 64 * WORDS // segment
 
     def each(batch):
         for at in range(0, batch.num_rows, 250):
             part = batch.slice(at, 250)
             n = part.num_rows
             fp = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(n, 8 * WORDS)
-            bits = np.unpackbits(fp, axis=1)[:, :_USED].reshape(n, SEGMENTS, SEGMENT).astype(np.int64)
-            value = (bits << np.arange(SEGMENT)).sum(axis=2)
-            loose = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(n, SEGMENTS, LOOSE).astype(np.int64)
+            bits = np.unpackbits(fp, axis=1)[:, : segment * segments].reshape(n, segments, segment).astype(np.int64)
+            value = (bits << np.arange(segment)).sum(axis=2)
+            loose = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(n, segments, LOOSE).astype(np.int64)
             masks = ((np.int64(1) << loose)[:, :, None, :] * flips).sum(axis=3)
-            keys = (value[:, :, None] ^ masks) | (np.arange(SEGMENTS)[None, :, None] << SEGMENT)
-            yield batch_of(key=pa.array(keys.reshape(-1), pa.int64()), node=pa.array(np.repeat(part.column(0).to_numpy(), SEGMENTS * 2**LOOSE), pa.int64()))
+            keys = (value[:, :, None] ^ masks) | (np.arange(segments)[None, :, None] << segment)
+            yield batch_of(key=pa.array(keys.reshape(-1), pa.int64()), node=pa.array(np.repeat(part.column(0).to_numpy(), segments * 2**LOOSE), pa.int64()))
             few = part.column(3).to_pylist()
-            keys = np.frombuffer(b"".join(few), np.uint32).astype(np.int64) | np.int64(1 << 40)
+            keys = np.frombuffer(b"".join(few), np.uint32).astype(np.int64) | np.int64(1 << 60)
             yield batch_of(key=pa.array(keys, pa.int64()), node=pa.array(np.repeat(part.column(0).to_numpy(), [len(x) // 4 for x in few]), pa.int64()))
 
     return arrow_map(classes.select("node", "fp", "loose", "few"), each, "key long, node long")
@@ -215,10 +219,10 @@ def _in_runs(column: str, spanning_of):
     return run
 
 
-def links(classes: DataFrame, bits: int = BITS) -> DataFrame:
+def links(classes: DataFrame, bits: int = BITS, segment: int = 28) -> DataFrame:
     """(a, b) of nodes that connect what all links found in buckets connect; a bucket gives spanning links, never all pairs."""
     fps = classes.select("node", "fp")
-    buckets = settle(_keys(classes).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).where("n > 1"))
+    buckets = settle(_keys(classes, segment).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).where("n > 1"))
     a, b = (fps.select(F.col("node").alias(x), F.col("fp").alias(f"fp_{x}")) for x in "ab")
 
     def near(batch):
@@ -230,7 +234,7 @@ def links(classes: DataFrame, bits: int = BITS) -> DataFrame:
     many = buckets.where("n > 2").select("key", F.ceil(F.col("n") / BLOCK).alias("of"))
     n_many = many.count()
     if n_many:
-        members = _keys(classes).join(F.broadcast(many) if n_many <= MAX_BROADCAST_KEYS else many, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("of")))
+        members = _keys(classes, segment).join(F.broadcast(many) if n_many <= MAX_BROADCAST_KEYS else many, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("of")))
         dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)))
         dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node").join(fps, "node")
         runs = dealt.select("key", "i", "j", "node", "fp").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
@@ -268,11 +272,12 @@ def similar_groups(docs: DataFrame, shingle: int = 5, bits: int = BITS) -> DataF
     Texts without a word are one group. Rows that share an id each have a row. Null ids are ignored when the smallest is taken;
     a component with none but null ids has component_id null. An empty table gives an empty result.
     """
-    fps = settle(fingerprints(docs, shingle))
+    segment = segment_bits(docs.count())
+    fps = settle(fingerprints(docs, shingle, segment))
     # texts of one set have equal bits, of equal certainty
     classes = fps.groupBy("set").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"), *[F.first(c).alias(c) for c in ("n", "fp", "loose", "few")])
     classes = settle(classes.withColumn("node", F.monotonically_increasing_id()))
-    near = star_components(links(classes, bits))
+    near = star_components(links(classes, bits, segment))
     stars = star_components(verified(docs, classes, near, shingle))
     found = components(classes.select("node", "least", F.col("rows").alias("n")), stars, "node")
     sets = classes.select("node", "set").join(found, "node").select("set", "component_id", "n")
@@ -282,6 +287,8 @@ def similar_groups(docs: DataFrame, shingle: int = 5, bits: int = BITS) -> DataF
 def drop_near_copies(docs: DataFrame, shingle: int = 5, bits: int = BITS) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the one with the smallest doc_id. All columns stay.
 
+    A group is a component of links: ends of a chain go with it, though they may resemble only what goes as well.
+
     Rows with a null id stay. Of rows that share the smallest id all stay.
     """
     id_ = helper("id", docs)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, batch_of, held_out, table, texts
+from ._common import arrow_map, batch_of, groups, held_out, table, texts
 from .toxicity import sample, within
 
 PASSAGE = 64
@@ -24,7 +24,6 @@ SAMPLE = 12_000
 HIDDEN, ATTENTION = 16, 8
 EPOCHS = 25
 BATCH = 128
-_GROUP = 4 << 20
 _CLASSES = 16
 _HASHED = 16
 FEATURES = _CLASSES + _HASHED + 5
@@ -100,19 +99,6 @@ def encode(group: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, n_passages
 
 
-def groups(all_texts: list[str]):
-    """Runs of texts of about _GROUP characters."""
-    part, size = [], 0
-    for t in all_texts:
-        part.append(t)
-        size += len(t)
-        if size >= _GROUP:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
-
-
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 

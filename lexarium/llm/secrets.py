@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import id_text, table
+from ._common import helper, id_text, table
 from .spans import by_start, count_of, matches, written
 
 #: Strings that a stretch may stand for, at most; beyond, the stretch ends.
@@ -168,19 +168,20 @@ def redact(docs: DataFrame, rules=RULES) -> DataFrame:
 
     Rows and other columns stay as they are; a null text stays null.
     """
-    spans = find(docs, rules).where(F.size("spans") > 0).select(F.col("doc_id").alias("__id"), F.col("text").alias("__text"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__text"])
+    id_, text_, spans_, clean_ = (helper(x, docs) for x in ("id", "text_", "spans", "clean"))
+    spans = find(docs, rules).where(F.size("spans") > 0).select(F.col("doc_id").alias(id_), F.col("text").alias(text_), F.col("spans").alias(spans_)).dropDuplicates([id_, text_])
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc, x):
-        gap = F.substring(F.col("__text"), acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))
+        gap = F.substring(F.col(text_), acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))
         mark = F.when(x["start"] >= acc["at"], F.concat(gap, F.lit("["), x["kind"], F.lit("]"))).otherwise(F.lit(""))
         return F.struct(F.greatest(acc["at"], x["stop"]).alias("at"), F.concat(acc["out"], mark).alias("out"))
 
-    clean = F.aggregate("__spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("__text"), acc["at"] + 1, F.length("__text"))))
-    changed = spans.select("__id", "__text", clean.alias("__clean"))
-    both = docs.join(changed, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("text") == F.col("__text")), "left")
-    text = F.coalesce("__clean", "text")
-    return both.select(*[text.alias("text") if c == "text" else F.when(F.col("__clean").isNull(), F.col("n_chars")).otherwise(F.length("__clean")).cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes])
+    clean = F.aggregate(spans_, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text_), acc["at"] + 1, F.length(text_))))
+    changed = spans.select(id_, text_, clean.alias(clean_))
+    both = docs.join(changed, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col("text") == F.col(text_)), "left")
+    text = F.coalesce(clean_, "text")
+    return both.select(*[text.alias("text") if c == "text" else F.when(F.col(clean_).isNull(), F.col("n_chars")).otherwise(F.length(clean_)).cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

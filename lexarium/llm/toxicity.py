@@ -2,8 +2,8 @@
 
 logit = w0 + sum w_i x_i + sum over pairs of <v_i, v_j> x_i x_j, where x_i is 1 if a term that hashes to i is in the text. The
 pairs let an insult weigh more beside the mention of a group than alone; their sum is taken in linear time from the
-sums and the sums of squares of the factors. Buckets seen in fewer than LEAST
-labelled texts, or not associated with the label, have no weight.
+sums and the sums of squares of the factors. Every bucket seen in at least LEAST labelled texts has a weight and factors, so terms that
+say nothing alone can matter in pairs; those not associated with the label by themselves learn their weights slowly, which keeps noise out.
 
 The model is fitted on at most SAMPLE labelled rows, chosen by a hash of doc_id, and has a fixed size; it is scored over all
 rows where they are.
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import arrow_map, batch_of, held_out, settle, table, texts
+from ._common import arrow_map, batch_of, groups, held_out, settle, table, texts
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 12_000
@@ -33,8 +33,10 @@ FACTORS = 4
 #: Letters of a word's beginnings.
 STEMS = (4, 5)
 LEAST = 5
-#: Buckets whose presence has a smaller chi-square statistic with the label have no weight.
+#: Chi-square statistic of presence and label from which a bucket's weight learns fast.
 ASSOCIATION = 10.0
+#: Steps of associated weights, of other weights, and of factors.
+FAST, SLOW, PAIRS = 0.3, 0.005, 0.02
 EPOCHS = 30
 BATCH = 256
 _WORD = re.compile(r"[^\W_]+")
@@ -101,7 +103,9 @@ class FactorizationMachine:
         flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
         buckets, counts = np.unique(flat, return_counts=True)
         hits = np.bincount(np.searchsorted(buckets, flat), np.repeat(y, [len(r) for r in rows]), len(buckets)) if len(flat) else counts
-        active = buckets[(counts >= LEAST) & (_association(counts, hits, len(y), y.sum()) >= ASSOCIATION)]
+        often = counts >= LEAST
+        active, counts, hits = buckets[often], counts[often], hits[often]
+        steps = np.where(_association(counts, hits, len(y), y.sum()) >= ASSOCIATION, FAST, SLOW)
         rate = min(max(float(y.mean()) if len(y) else 0.5, 1e-3), 1 - 1e-3)
         rng = np.random.default_rng(seed)
         m = cls(active, float(np.log(rate / (1 - rate))), np.zeros(len(active)), rng.normal(0, 0.02, (len(active), FACTORS)))
@@ -126,8 +130,8 @@ class FactorizationMachine:
                 dv = np.stack([np.bincount(where, er * (sums[row, f] - vi[:, f]), len(used)) for f in range(FACTORS)], 1) + 1e-4 * m.v[used]
                 gw[used] += dw**2
                 gv[used] += dv**2
-                m.w[used] -= 0.3 * dw / np.sqrt(gw[used])
-                m.v[used] -= 0.05 * dv / np.sqrt(gv[used])
+                m.w[used] -= steps[used] * dw / np.sqrt(gw[used])
+                m.v[used] -= PAIRS * dv / np.sqrt(gv[used])
         return m
 
     def _own(self, buckets: np.ndarray) -> np.ndarray:
@@ -161,7 +165,7 @@ def scorer(model: FactorizationMachine):
     """A column function: text to score, 0 to 1."""
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
-        out = [model.score([terms(t or "") for t in text.iloc[i : i + 1024]]) for i in range(0, len(text), 1024)]
+        out = [model.score([terms(t) for t in part]) for part in groups([t or "" for t in text])]
         return pd.Series(np.concatenate(out) if out else np.zeros(0))
 
     return score
