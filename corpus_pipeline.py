@@ -1,25 +1,28 @@
 """A corpus pipeline: toxic documents go, then exact and near copies; secrets are masked; what is left is packed.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again for the next.
-Null text counts as empty, repeated rows are handled as the operators say, extra columns of ``docs`` stay until the last stage
-and an empty table passes through.
+Null text counts as empty, extra columns of ``docs`` stay until the last stage whatever their names, and an empty table passes through.
+Of rows that repeat an id and a text one stays; rows that repeat an id with other texts are documents of their own. A document with a null
+id goes only if its text is scored toxic or equals that of a document with an id.
+
+Of exact copies the one with the largest id stays, of near copies then the one with the smallest: a group is all that links of similarity
+0.8 connect.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexarium.llm import exact_dedup, near_copies, packing, secrets, toxicity
-from lexarium.llm._common import table
+from lexarium.llm._common import held_out, shared_folder, table
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the factorization machine, fitted on ``labels``, scores 0.5 or more."""
-    score = toxicity.scorer(toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+    """Without the documents that the factorization machine scores 0.5 or more; it is fitted on the labels that op6 learns from."""
+    score = toxicity.scorer(toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(~held_out(5, 0))))
     return docs.where(F.coalesce(score(F.col("text")), F.lit(0.0)) < 0.5)
 
 
@@ -29,7 +32,7 @@ def copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of five-word shingle similarity of about 0.8 or more: the one with the smallest doc_id."""
+    """One document of each group of five-word shingle similarity of 0.8 or more: the one with the smallest doc_id."""
     return near_copies.drop_near_copies(docs)
 
 
@@ -55,14 +58,9 @@ STAGES = [
 ORACLE_SQL = None
 
 
-#: Rows of an Arrow batch: texts of a few thousand rows, twice in a Python worker and twice in the JVM, fit beside a heap.
-ARROW_ROWS = 2000
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES over ``documents``; tables between them are in the folder that spark.checkpoint.dir names."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", min(ARROW_ROWS, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))))
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """STAGES over ``documents``; tables between them are in the folder that spark.checkpoint.dir names, and stay there."""
+    shared = shared_folder(spark)
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
