@@ -1,7 +1,8 @@
 """Personal data by bootstrapped contextual extraction, with SQL functions only.
 
-Base kinds are found by their patterns. Every token that looks like an identifier (it has four digits or an @) is an
-instance that stands after a word: the graph joins such words (patterns) with tokens (instances), weighted by how often they
+Base kinds are found by their patterns. Every token that looks like an identifier (it has four digits or an @) and stands after a word is
+an instance of lexical patterns: the word before it; the two words before it; the word before and the shape of the token (its runs of
+digits and letters); the word before and the word after. The graph joins patterns with instances, weighted by how often they
 meet. Seeds are the instances that are base entities. In each round a pattern's score is the share of its
 occurrences whose instance is believed, and an instance's score is one minus the product of its patterns' doubts. Patterns of
 high score with enough different seeds find further instances, whose spans are added as kind ``context``. Instances that are believed
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import id_text, settle, table
-from .spans import SPAN, by_kind, count_of, matches, written
+from .spans import SPAN, THEN, by_kind, count_of, matches, written
 
 #: Rounds of scoring, at least.
 ROUNDS = 2
@@ -30,9 +31,11 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-
 IP = r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"
 CARD = r"[0-9]+(?:[\x20-][0-9]+)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: A word, up to three other characters, and a token that looks like an identifier.
+#: One or two words, up to three other characters, and a token that looks like an identifier.
 _TOKEN = r"[\p{L}\p{N}+][\p{L}\p{N}@._%+-]*+"
-IN_CONTEXT = r"(?<![\p{L}\p{N}])(\p{L}{1,40}+)[:#=\x20(]{1,3}+(?=[^\s]{0,60}[0-9@])(" + _TOKEN + ")"
+IN_CONTEXT = r"(?<![\p{L}\p{N}])(?:\p{L}{1,40}+\x20)?\p{L}{1,40}+[:#=\x20(]{1,3}+(?=[^\s]{0,60}[0-9@])" + _TOKEN
+#: Characters after a token in which the next word is looked for.
+AFTER = 48
 
 
 def _digits(value: Column) -> Column:
@@ -105,26 +108,32 @@ def find(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = id_text(docs).select("doc_id", F.monotonically_increasing_id().alias("row"), text.alias("text"))
     found = rows.select("row", "doc_id", "text", base_spans(F.col("text")).alias("spans"))
-    hits = matches(F.col("text"), IN_CONTEXT, "context", len(KINDS), only_if=F.col("text").rlike("[0-9@]"))
+    hits = matches(F.col("text"), IN_CONTEXT, "context", len(KINDS), only_if=F.col("text").rlike("[0-9@]"), after=AFTER)
     base = settle(found.select("row", "doc_id", "spans", hits.alias("hits")))
     seen = settle(_occurrences(base))
     known = confident_patterns(seen)
     new = seen.where(~F.col("seed")).join(known, "word").groupBy("row").agg(
-        F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("order"), "stop", F.lit("context").alias("kind"), F.col("token").alias("value"))).cast(SPAN).alias("new")
+        F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("order"), "stop", F.lit("context").alias("kind"), F.col("token").alias("value"))).cast(SPAN).alias("new")
     )
     both = base.join(new, "row", "left")
     return both.select("doc_id", by_kind(F.concat("spans", F.coalesce("new", F.lit([]).cast(SPAN)))).alias("spans"))
 
 
 def _occurrences(base: DataFrame) -> DataFrame:
-    """(row, word, token, start, stop, seed): tokens that look like identifiers after a word; seed: a base span overlaps."""
+    """(row, word, token, start, stop, seed): tokens that look like identifiers, under each of their patterns; seed: a base span overlaps."""
     each = base.select("row", "spans", F.explode("hits").alias("hit"))
-    word = F.regexp_extract("hit.value", r"^(\p{L}+)", 1)
-    token = F.regexp_extract("hit.value", f"({_TOKEN})$", 1)
-    each = each.select("row", "spans", F.lower(word).alias("word"), token.alias("token"), F.col("hit.stop").alias("stop")).withColumn("start", F.col("stop") - F.length("token"))
-    seed = F.exists("spans", lambda s: (s["start"] < F.col("stop")) & (s["stop"] > F.col("start")))
+    hit, then = F.split("hit.value", THEN, 2)[0], F.split("hit.value", THEN, 2)[1]
+    token = F.regexp_extract(hit, f"({_TOKEN})$", 1)
+    each = each.select("row", "spans", F.col("hit.stop").alias("stop"), hit.alias("hit"), token.alias("token"), F.lower(F.regexp_extract(then, r"^[\x20,;:.)]{1,3}(\p{L}{1,40})(?![\p{L}\p{N}])", 1)).alias("right"))
     looks = (F.length(_digits(F.col("token"))) >= 4) | F.contains("token", F.lit("@"))
-    return each.where(looks & (F.length("token") >= 6)).select("row", "word", "token", "start", "stop", seed.alias("seed"))
+    each = each.where(looks & (F.length("token") >= 6)).withColumn("start", F.col("stop") - F.length("token"))
+    words = F.lower(F.regexp_extract(F.expr("substring(hit, 1, length(hit) - length(token))"), r"^((?:\p{L}+\x20)?\p{L}+)", 1))
+    each = each.select("*", words.alias("words")).select("*", F.element_at(F.split("words", " "), -1).alias("left"))
+    shape = F.regexp_replace(F.regexp_replace("token", r"\p{L}+", "A"), "[0-9]+", "9")
+    two, after = F.when(F.contains("words", F.lit(" ")), F.col("words")), F.when(F.col("right") != "", F.concat_ws(" _ ", "left", "right"))
+    patterns = F.array_compact(F.array(F.col("left"), two, F.concat_ws(" | ", F.col("left"), shape), after))
+    seed = F.exists("spans", lambda s: (s["start"] < F.col("stop")) & (s["stop"] > F.col("start")))
+    return each.select("row", F.explode(patterns).alias("word"), "token", "start", "stop", seed.alias("seed"))
 
 
 def digest(found: DataFrame) -> DataFrame:

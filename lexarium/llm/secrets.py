@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.cleaning import computed
 from ._common import helper, id_text, table
 from .spans import by_start, count_of, matches, written
 
@@ -120,10 +121,11 @@ def plan(rules=RULES) -> list[tuple[str, int, int, str, int, int]]:
 
 
 def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """(trigram, doc_id) of those trigrams that are in a text, without regard to case."""
-    low = F.lower(F.coalesce("text", F.lit("")))
-    found = docs.select("doc_id", low.alias("low")).select("doc_id", F.filter(F.array(*map(F.lit, trigrams)), lambda t: F.contains(F.col("low"), t)).alias("has"))
-    return found.where(F.size("has") > 0).select(F.explode("has").alias("trigram"), "doc_id")
+    """(trigram, doc_id) of those trigrams that are in a text, without regard to the case of A-Z."""
+    # each computed once a row: a filter on ``has`` or an explode of it would else be moved below and compute it again
+    low = computed(docs.select("doc_id", "text"), low=F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).select("doc_id", "low")
+    found = computed(low, has=F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), t) for t in trigrams])))
+    return found.select(F.explode("has").alias("trigram"), "doc_id")
 
 
 def candidates(spark: SparkSession, docs: DataFrame, rules=RULES) -> DataFrame:
