@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import HOT, arrow_map, batch_of, helper, id_text, join_split, settle, texts
+from ._common import HOT, arrow_batches, arrow_map, batch_of, helper, id_text, join_split, settle, texts
 #: Parts of a hot digest.
 SALTS = 64
 
@@ -77,12 +77,14 @@ def exact_groups(docs: DataFrame, digest: Callable[[bytes], bytes] = sha256) ->
     only null ids has keep_id null and one row kept. An empty table gives an empty result.
     """
     docs = id_text(docs)
-    ids = settle(_digests(docs, digest).withColumn("row", F.monotonically_increasing_id()))
+    with arrow_batches(docs.sparkSession):
+        ids = settle(_digests(docs, digest).withColumn("row", F.monotonically_increasing_id()))
     # the row to stay: the largest id, and of several rows with it the last
     tops = settle(ids.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("doc_id", "row")).alias("top")))
     total = ids.count()
     hot = [bytes(r["digest"]) for r in tops.where(F.col("n") > max(1, total // HOT)).limit(HOT).collect()]  # the limit never cuts: see HOT
-    classes = settle(_classes(_combined(docs, digest), hot))
+    with arrow_batches(docs.sparkSession, 4000):
+        classes = settle(_classes(_combined(docs, digest), hot))
     plain = classes.where("contents = 1").select("digest", F.col("top").alias("keep_id"), F.col("n").alias("group_size"))
     known = plain.join(tops.select("digest", "n", F.col("top.row").alias("stays")), "digest")
     out = join_split(ids, known, "digest", total)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, batch_of, helper, id_text, join_split, settle, texts
+from ._common import arrow_batches, arrow_map, batch_of, helper, id_text, join_split, settle, texts
 from .components import star_components
 from .simhash import components
 
@@ -273,12 +273,13 @@ def similar_groups(docs: DataFrame, shingle: int = 5, bits: int = BITS) -> DataF
     a component with none but null ids has component_id null. An empty table gives an empty result.
     """
     segment = segment_bits(docs.count())
-    fps = settle(fingerprints(docs, shingle, segment))
-    # texts of one set have equal bits, of equal certainty
-    classes = fps.groupBy("set").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"), *[F.first(c).alias(c) for c in ("n", "fp", "loose", "few")])
-    classes = settle(classes.withColumn("node", F.monotonically_increasing_id()))
-    near = star_components(links(classes, bits, segment))
-    stars = star_components(verified(docs, classes, near, shingle))
+    with arrow_batches(docs.sparkSession):
+        fps = settle(fingerprints(docs, shingle, segment))
+        # texts of one set have equal bits, of equal certainty
+        classes = fps.groupBy("set").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"), *[F.first(c).alias(c) for c in ("n", "fp", "loose", "few")])
+        classes = settle(classes.withColumn("node", F.monotonically_increasing_id()))
+        near = star_components(links(classes, bits, segment))
+        stars = star_components(verified(docs, classes, near, shingle))
     found = components(classes.select("node", "least", F.col("rows").alias("n")), stars, "node")
     sets = classes.select("node", "set").join(found, "node").select("set", "component_id", "n")
     return join_split(fps.select("doc_id", "set"), sets, "set", fps.count()).select("doc_id", "component_id")
