@@ -26,22 +26,41 @@ def normalize_query(s: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[^a-z0-9\s]", " "), r"\s+", " "))
 
 
+def once(value: Column, use) -> Column:
+    """``use`` of a column that is computed once a row, though ``use`` names it several times."""
+    return F.transform(F.array(value), use)[0]
+
+
 def fix_date(s: Column) -> Column:
-    """First d/m/y or y-m-d as ISO if valid; a year alone stays; anything else unchanged; blank is null."""
-    day = F.regexp_extract(s, r"(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})", 0)
-    part = F.split(F.regexp_replace(day, "[.-]", "/"), "/")
-    dmy = F.concat_ws("-", F.get(part, F.lit(2)), F.lpad(F.get(part, F.lit(1)), 2, "0"), F.lpad(F.get(part, F.lit(0)), 2, "0"))
-    ymd = F.regexp_extract(s, r"\d{4}-\d{1,2}-\d{1,2}", 0)
-    iso = lambda x: F.date_format(F.try_to_date(x, "yyyy-M-d"), "yyyy-MM-dd")
-    return F.when(F.trim(s) == "", None).otherwise(F.coalesce(F.when(ymd != "", iso(ymd)), F.when(day != "", iso(dmy)), s))
+    """First n/n/n (also with - or .) as ISO, if it begins or ends with a year of four digits and is a day; else a year from 1900 to 2099;
+    else unchanged but for white space around. An n/n/n that is no day stays as it is; blank is null."""
+    text = F.btrim(s, F.lit(" \t\n\r"))
+    found = F.regexp_extract_all(F.regexp_extract(text, r"(\d{1,4})[/\-.](\d{1,2})[/\-.](\d{1,4})", 0), F.lit(r"(\d+)"), F.lit(1))
+
+    def iso(n: Column) -> Column:
+        y, m, d = (F.when(F.length(n[0]) == 4, n[i]).when(F.length(n[2]) == 4, n[2 - i]) for i in range(3))
+        return F.date_format(F.try_to_date(F.concat_ws("-", y, m, d), "yyyy-M-d"), "yyyy-MM-dd")
+
+    year = F.regexp_extract(text, r"\b(19\d{2}|20\d{2})\b", 1)
+    return F.when(text != "", once(found, lambda n: F.when(F.size(n) == 3, F.coalesce(iso(n), text)).otherwise(F.coalesce(F.nullif(year, F.lit("")), text))))
+
+
+#: How days are written, in the order in which they are tried.
+DAYS = [r"(?:ngày\s+)?\d{1,2}\s+tháng\s+\d{1,2}\s+năm\s+\d{4}", r"\d{1,2}[/\-]\d{1,2}[/\-]\d{4}", r"\d{4}-\d{1,2}-\d{1,2}"]
 
 
 def parse_vn_date(s: Column) -> Column:
-    """'ngày d tháng m năm y' as ISO; days to 31 and years 1900 to 2100, no calendar check."""
-    p = r"(?iu)ngày\s+(\d{1,2})\s+tháng\s+(\d{1,2})\s+năm\s+(\d{4})"
-    d, m, y = (F.regexp_extract(s, p, i) for i in (1, 2, 3))
-    ok = (d != "") & d.try_cast("int").between(1, 31) & m.try_cast("int").between(1, 12) & y.try_cast("int").between(1900, 2100)
-    return F.when(ok, F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")))
+    """The first day as ISO: 'd tháng m năm y', else d/m/y or d-m-y, else y-m-d; the order of the forms counts, not their places.
+
+    Days to 31, months to 12 and years 1900 to 2100, no calendar check; of each form the first hit counts.
+    """
+
+    def iso(n: Column) -> Column:
+        d, m, y = (F.when(F.length(n[0]) == 4, n[2 - i]).otherwise(n[i]) for i in range(3))
+        ok = (F.size(n) == 3) & d.cast("int").between(1, 31) & m.cast("int").between(1, 12) & y.cast("int").between(1900, 2100)
+        return F.when(ok, F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")))
+
+    return F.coalesce(*[once(F.regexp_extract_all(F.regexp_extract(s, f"(?Ud){p}", 0), F.lit(r"(\d+)"), F.lit(1)), iso) for p in DAYS])
 
 
 def doc_id_from_url(url: Column) -> Column:

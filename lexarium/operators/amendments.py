@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.cleaning import UNI, blank_to_null, strip
-from ..functions.text import DOC_NUMBER, normalize_doc_number
+from ..functions.cleaning import UNI, blank_to_null, computed, strip
+from ..functions.text import DOC_NUMBER, normalize_doc_number, once
 from .dates import LONG, _date
 
 #: Up to three words and 'số' before an act's number; the act's number; who issued it.
@@ -36,62 +36,95 @@ _ACT = r"(?:Luật|Nghị\s+định|Thông\s+tư|Quyết\s+định)"
 ENDS_WITH_THIS = rf"(?i){_ACT}\s+[\w\s]*?số\s+{_NUM}[^\n]*?hết\s+hiệu\s+lực\s+kể\s+từ\s+ngày\s+{_ACT}\s+này\s+có\s+hiệu\s+lực"
 BULLET = rf"(?im)^(?:[a-zđ]\)\s*|–\s*|•\s*|\d+\.\s*){_TO}{_NUM}"
 #: Changes of a line, in order: action, what is named (of article, clause, point, special, old, new), pattern.
-_FIX, _ART, _CL, _PT, _APP = r"Sửa\s*đổi,\s*bổ\s*sung", r"(?:của\s+)?Điều\s+(\d+)", r"khoản\s+(\d+[a-zđ]*)", r"điểm\s+([a-zđ])", r"Phụ\s+lục\s+([IVXL\d]+|[A-Z]+)"
+_FIX = r"Sửa\s*đổi,\s*bổ\s*sung"
+_ART = r"(?:của\s+)?Điều\s+(\d+)"
+_CL = r"khoản\s+(\d+[a-zđ]*)"
+_PT = r"điểm\s+([a-zđ])"
+_APP = r"Phụ\s+lục\s+([IVXL\d]+|[A-Z]+)"
 _SWAP = r'Thay\s+thế\s+cụm\s+từ\s*"([^"]+)"\s*bằng\s*(?:cụm\s+từ\s*)?"([^"]+)"\s+tại'
 CHANGES = [
     ("replaced_phrase", "old new point clause article", rf"{_SWAP}\s+{_PT}\s+{_CL}\s+{_ART}"),
     ("replaced_phrase", "old new clause article", rf"{_SWAP}\s+{_CL}\s+{_ART}"),
     ("amended", "point clause article", rf"{_FIX}\s+{_PT}\s+{_CL}\s+{_ART}"),
     ("amended", "special clause article", rf"{_FIX}\s+(đoạn\s+đầu)\s+(?:của\s+)?{_CL}\s+{_ART}"),
-    ("amended", "clause article", rf"{_FIX}\s+{_CL}(?:(?:,|\s+và)\s*khoản\s+\d+[a-zđ]*)*\s+{_ART}"),
-    ("amended", "article", rf"{_FIX}\s+(?:một\s+số\s+khoản\s+)?{_ART}"),
+    ("amended", "clauses article", rf"{_FIX}\s+((?:khoản\s+\d+[a-zđ]*(?:\s*,\s*|\s+và\s+)?)+)\s+{_ART}"),
+    ("amended", "article", rf"{_FIX}\s+Điều\s+(\d+)"),
     ("supplemented", "clause article", rf"Bổ\s*sung\s+{_CL}\s+vào\s+sau\s+khoản\s+\d+[a-zđ]*\s+{_ART}"),
     ("abolished", "clause article", rf"Bãi\s*bỏ\s+{_CL}\s+{_ART}"),
     ("abolished", "article", rf"Bãi\s*bỏ\s+{_ART}"),
     ("amended", "section chapter", rf"{_FIX}\s+tên\s+Mục\s+(\d+)\s+Chương\s+([IVXL\d]+)"),
     ("supplemented", "special", rf"Bổ\s*sung\s+{_APP}\s+vào\s+sau"),
-    ("amended", "special", rf"(?:{_FIX}|Bổ\s*sung,\s*(?:bãi\s*bỏ|sửa\s*đổi))\s+(?:một\s+số\s+số\s+thứ\s+tự\s+(?:của\s+)?)?{_APP}"),
-    ("amended", "special", rf"Thay\s+thế\s+{_APP}"),
+    ("amended", "appendix", rf"(?:{_FIX}|Bổ\s*sung,\s*(?:bãi\s*bỏ|sửa\s*đổi))\s+(?:một\s+số\s+số\s+thứ\s+tự\s+(?:của\s+)?)?{_APP}"),
+    ("replaced_phrase", "special", rf"Thay\s+thế\s+{_APP}"),
     ("abolished", "special", rf"Bãi\s*bỏ\s+{_APP}"),
-    ("abolished", "special", r"Bãi\s*bỏ\s+(?:ngành,\s*nghề\s+)?[^.]*số\s+thứ\s+tự\s+(\d+)"),
-    ("amended", "special", r"(?:Sửa\s*đổi,\s*bổ\s*sung|Bổ\s*sung|Sửa\s*đổi)\s+số\s+thứ\s+tự\s+(\d+)"),
+    ("abolished", "row", r"Bãi\s*bỏ\s+(?:ngành,\s*nghề\s+)?[^.]*?số\s+thứ\s+tự\s+(\d+)"),
+    ("amended", "row", r"(?:Sửa\s*đổi,\s*bổ\s*sung|Sửa\s*đổi)\s+số\s+thứ\s+tự\s+(\d+)"),
+    ("supplemented", "row", r"(?<!đổi, )Bổ\s*sung\s+số\s+thứ\s+tự\s+(\d+)"),
 ]
+#: A list of clauses on the lines after, a line of it, and where it ends; an act that ends but for some articles.
+SOME_CLAUSES = rf"{_FIX}\s+một\s+số\s+khoản\s+{_ART}"
+SUB_CLAUSE = rf"[a-zđ]\)\s*{_FIX}\s+{_CL}"
+NEXT_ITEM = r"^\d+[.)]\s+(?:Sửa|Bãi|Bổ)"
+PARTLY = r"(?:Luật|Nghị\s*định)\s+(?:số\s+)?(\d+/\d+/[A-ZĐ]+\d*(?:-[A-ZĐ]+\d*)*)[^;.]*?hết\s+hiệu\s+lực[^;.]*?trừ\s+(.+?)(?:[.;]\s*\z|[.;]\s)"
 FIELDS = ("article", "clause", "point", "chapter", "section", "special", "old", "new")
 ACT_NUMBER = r"\d+/\d+/[A-ZĐ]+\d*(?:-[A-ZĐ]+\d*)*"
 #: Lines and characters of the block after a change.
 BLOCK_LINES, BLOCK_CHARS = 60, 2000
+#: Lines after a head in which its list is looked for, and lines before a row in which its appendix is.
+LIST_LINES, APPENDIX_LINES = 40, 20
 NEXT_HEAD = r"^(?:(?:Điều|Chương|Mục|Phần|Phụ lục)\s+[\dIVXLCH]|\d+[a-zđ]*\.\s|[a-zđ]\)\s)"
 
 
+#: Characters after an act's number in which its day of issue is looked for.
+NEAR = 500
+_EDGE = "array<struct<doc_number:string,relation_type:string,provision:string,issuing_authority_hint:string,old_issued_date:string,_o:int>>"
+
+
 def _edges(text: Column, pattern: str, groups: tuple[int, int, int], kind: str, order: int = 0) -> Column:
-    """Array of edges of one wording, of which the groups (0: none) give provision, number and issuer."""
+    """Array of edges of one wording, of which the groups (0: none) give provision, number and issuer; the text is searched once.
 
-    def every(i):
-        return F.regexp_extract_all(text, F.lit(UNI + pattern), F.lit(i)) if i else F.transform(every(groups[1]), lambda _: F.lit(""))
+    old_issued_date: the first day 'ngày …' in the hit or the NEAR characters after it.
+    """
+    p, none = UNI + pattern, F.lit([]).cast(_EDGE)
+    part = lambda hit, i: F.regexp_extract(hit, p, i) if i else F.lit("")
 
-    zipped = F.arrays_zip(*[every(i).alias(n) for i, n in zip(groups, ("p", "n", "a"))])
-    edge = lambda z: F.struct(
-        F.rtrim(z["n"], F.lit("-/")).alias("doc_number"), F.lit(kind).alias("relation_type"), F.substring(z["p"], 1, 50).alias("provision"),
-        blank_to_null(strip(z["a"])).alias("issuing_authority_hint"), F.lit(order).alias("_o"),
-    )
-    return F.filter(F.transform(zipped, edge), lambda e: F.length(e["doc_number"]) >= 5)
+    def day(near: Column) -> Column:
+        return F.coalesce(*[_date(F.regexp_extract(near, rf"(?i){UNI}ngày\s+({d})", 1)) for d in (LONG, r"\d{1,2}[/\-]\d{1,2}[/\-]\d{4}")])
+
+    def edge(hit: Column, then: Column) -> Column:
+        return F.struct(
+            F.rtrim(part(hit, groups[1]), F.lit("-/")).alias("doc_number"), F.lit(kind).alias("relation_type"), F.substring(part(hit, groups[0]), 1, 50).alias("provision"),
+            blank_to_null(strip(part(hit, groups[2]))).alias("issuing_authority_hint"), day(F.concat(F.substring(hit, -50, 50), then)).alias("old_issued_date"), F.lit(order).alias("_o"),
+        )
+
+    def of(hits: Column, gaps: Column) -> Column:
+        then = lambda i: F.substring(F.concat(F.get(gaps, i + 1), F.coalesce(F.get(hits, i + 1), F.lit("")), F.coalesce(F.get(gaps, i + 2), F.lit(""))), 1, NEAR)
+        return F.filter(F.transform(hits, lambda h, i: edge(h, then(i))), lambda e: F.length(e["doc_number"]) >= 5).cast(_EDGE)
+
+    some = lambda hits: F.when(F.size(hits) > 0, once(F.split(text, p, -1), lambda gaps: of(hits, gaps))).otherwise(none)
+    return once(F.regexp_extract_all(text, F.lit(p), F.lit(0)), some)
 
 
 def _relations(text: Column) -> Column:
     parts = [_edges(text, p, (1, 2, 3), "amends_partial") for p in PARTS]
-    return F.concat(*parts, *[_edges(text, p, (0, 1, 2), kind) for p, kind in WHOLE])
+    listed = F.when(text.rlike(f"(?i){UNI}thay\\s+thế\\s*:|bãi\\s+bỏ\\s*:"), _edges(text, BULLET, (0, 1, 0), "abolishes")).otherwise(F.lit([]).cast(_EDGE))
+    return F.concat(*parts, *[_edges(text, p, (0, 1, 2), kind) for p, kind in WHOLE], listed)
 
 
 def extract_relations(docs: DataFrame) -> DataFrame:
-    """doc_id, doc_number, relation_type, provision, issuing_authority_hint: distinct by all but the hint.
+    """doc_id, doc_number, relation_type, provision, issuing_authority_hint, old_issued_date: distinct by all but the hints.
 
-    An ``amends`` goes where the same document amends the act in part. Numbers of fewer than five characters don't count. The texts are
-    read once; only edges are shuffled.
+    An ``amends`` goes where the same document amends the act in part, and an ``abolishes`` at a bullet where it is replaced or changed otherwise.
+    Numbers of fewer than five characters don't count. The texts are read once; only edges are shuffled.
     """
-    edges = docs.select("doc_id", F.explode(_relations(F.col("content"))).alias("e")).select("doc_id", "e.*")
-    once = edges.groupBy("doc_id", "doc_number", "relation_type", "provision").agg(F.min("issuing_authority_hint").alias("issuing_authority_hint"))
-    partly = F.max(F.col("relation_type") == "amends_partial").over(Window.partitionBy("doc_id", "doc_number"))
-    return once.withColumn("_p", partly).where(~(F.col("_p") & (F.col("relation_type") == "amends"))).drop("_p")
+    likely = F.col("content").rlike(r"\d/")  # every number has this
+    edges = docs.where(likely).select("doc_id", F.explode(_relations(F.col("content"))).alias("e")).select("doc_id", "e.*")
+    once_ = edges.groupBy("doc_id", "doc_number", "relation_type", "provision").agg(F.min("issuing_authority_hint").alias("issuing_authority_hint"), F.min("old_issued_date").alias("old_issued_date"))
+    act = Window.partitionBy("doc_id", "doc_number")
+    partly = F.max(F.col("relation_type") == "amends_partial").over(act)
+    other = F.max(F.col("relation_type") != "abolishes").over(act)
+    goes = (F.col("_p") & (F.col("relation_type") == "amends")) | (F.col("_q") & (F.col("relation_type") == "abolishes"))
+    return once_.withColumns({"_p": partly, "_q": other}).where(~goes).drop("_p", "_q")
 
 
 def expiry_relations(chunks: DataFrame) -> DataFrame:
@@ -100,7 +133,7 @@ def expiry_relations(chunks: DataFrame) -> DataFrame:
     An ``amends`` goes as in extract_relations. Text that speaks of an end but names no act gives the number 0.
     """
     text = F.regexp_replace("content", LINKS, "$1")
-    ends, empty = text.rlike(f"(?i){UNI}hết\\s+hiệu\\s+lực|bãi\\s+bỏ"), F.filter(_edges(text, BULLET, (0, 1, 0), "abolishes", 2), lambda e: F.lit(False))
+    ends, empty = text.rlike(f"(?i){UNI}hết\\s+hiệu\\s+lực|bãi\\s+bỏ"), F.lit([]).cast(_EDGE)
     found = F.concat(_relations(text), _edges(text, ENDS_WITH_THIS, (0, 1, 0), "abolishes", 1), F.when(ends, _edges(text, BULLET, (0, 1, 0), "abolishes", 2)).otherwise(empty))
     edges = chunks.select("doc_id", F.explode(found).alias("e")).select("doc_id", "e.doc_number", "e.relation_type", "e._o")
     none = chunks.where(text.rlike(f"(?i){UNI}hết\\s+hiệu\\s+lực|bãi\\s+bỏ|thay\\s+thế")).select("doc_id", F.lit("0").alias("doc_number"), F.lit("abolishes").alias("relation_type"), F.lit(9).alias("_o"))
@@ -110,39 +143,122 @@ def expiry_relations(chunks: DataFrame) -> DataFrame:
     return marked.where(kept).select("doc_id", "doc_number", "relation_type").distinct()
 
 
-def amendment_target(docs: DataFrame) -> DataFrame:
-    """doc_id, target_doc_number: of 'amends articles of act X', else the first act named with its number; null if none."""
-    text = F.col("content")
+def _target(text: Column) -> Column:
     of = rf"(?i){UNI}{_FIX}\s+(?:một\s+số\s+điều|các\s+điều)\s+(?:của\s+)?(?:Luật|Nghị\s*định|Thông\s*tư)\s+(?:số\s+)?({ACT_NUMBER})"
     any_act = rf"(?i){UNI}(?:Luật|Nghị\s*định|Thông\s*tư|Pháp\s*lệnh)\s+(?:số\s+)?({ACT_NUMBER})"
-    return docs.select("doc_id", F.coalesce(*[blank_to_null(F.regexp_extract(text, p, 1)) for p in (of, any_act)]).alias("target_doc_number"))
+    return F.coalesce(*[blank_to_null(F.regexp_extract(text, p, 1)) for p in (of, any_act)])
+
+
+def amendment_target(docs: DataFrame) -> DataFrame:
+    """doc_id, target_doc_number: of 'amends articles of act X', else the first act named with its number; null if none."""
+    return docs.select("doc_id", _target(F.col("content")).alias("target_doc_number"))
+
+
+_CHANGE = "array<struct<action:string,article:string,clause:string,point:string,chapter:string,section:string,special:string,old:string,new:string,_at:int,_block:string>>"
+
+
+def _change(action: Column | str, at: Column, block: Column | None = None, **fields: Column) -> Column:
+    """One change; ``at`` is the line whose block it takes unless the block is given."""
+    null = F.lit(None).cast("string")
+    return F.struct(
+        (F.lit(action) if isinstance(action, str) else action).alias("action"), *[fields.get(f, null).alias(f) for f in FIELDS], at.cast("int").alias("_at"), (null if block is None else block).alias("_block")
+    )
+
+
+def _changes_of(line: Column, at: Column, lines: Column) -> Column:
+    """All changes that a line names, of every wording every hit; ``at``: its place among ``lines``."""
+    after = F.slice(lines, at + 2, LIST_LINES - 1)
+    index = lambda a, p: F.array_position(F.transform(a, lambda x: x.rlike(f"(?i){UNI}{p}")), True).cast("int")
+    upto = lambda a, end: F.when(end > 0, F.slice(a, 1, end - 1)).otherwise(a)
+
+    def hits(p, use):
+        return once(F.regexp_extract_all(line, F.lit(f"(?i){UNI}{p}"), F.lit(0)), lambda h: F.when(F.size(h) > 0, use(h)).otherwise(F.lit([]).cast(_CHANGE)))
+
+    def clause_list(hit, group):
+        """The lines 'a) Sửa đổi, bổ sung khoản n' up to the next item, each with the lines between."""
+        number = F.regexp_extract(hit, f"(?i){UNI}{SOME_CLAUSES}", group)
+
+        def of(own):
+            starts = F.filter(F.transform(own, lambda x, i: F.when(x.rlike(f"(?i){UNI}{SUB_CLAUSE}"), i)), lambda i: i.isNotNull())
+            text = lambda s, k: F.array_join(F.slice(own, s[k] + 2, F.greatest(F.coalesce(F.get(s, k + 1), F.size(own)) - s[k] - 1, F.lit(0))), "\n")
+            return once(starts, lambda s: F.transform(s, lambda i, k: _change("amended", at, F.substring(strip(text(s, k)), 1, BLOCK_CHARS), article=number, clause=F.regexp_extract(own[i], f"(?i){UNI}{SUB_CLAUSE}", 1))).cast(_CHANGE))
+
+        return once(upto(after, index(after, NEXT_ITEM)), of)
+
+    def rows_of(appendix):
+        """Rows 'a) … số thứ tự n' of an appendix up to the next item; without such rows the appendix."""
+        row = rf"(?i){UNI}^[a-zđ]\)\s*.*?(Sửa\s*đổi|Bổ\s*sung|Bãi\s*bỏ)[^.]*?số\s+thứ\s+tự\s+(\d+)"
+
+        def of(own):
+            named = F.filter(F.transform(own, lambda x, i: F.when(x.rlike(row), i)), lambda i: i.isNotNull())
+
+            def one(i):
+                word = F.lower(F.regexp_extract(own[i], row, 1))
+                action = F.when(word.startswith("bãi"), "abolished").when(word.startswith("bổ"), "supplemented").otherwise("amended")
+                return _change(action, at + 1 + i, special=F.concat(F.lit("PL"), appendix, F.lit("."), F.regexp_extract(own[i], row, 2)))
+
+            return once(named, lambda n: F.when(F.size(n) > 0, F.transform(n, one).cast(_CHANGE)).otherwise(F.array(_change("amended", at, special=F.concat(F.lit("PL"), appendix))).cast(_CHANGE)))
+
+        return once(upto(after, index(after, NEXT_ITEM)), of)
+
+    def appendix_before():
+        """The nearest appendix that a line of the APPENDIX_LINES before amends."""
+        p = next(p for _, named, p in CHANGES if named == "appendix")
+        before = F.reverse(F.slice(lines, F.greatest(at - APPENDIX_LINES + 1, F.lit(1)), F.least(at, F.lit(APPENDIX_LINES))))
+        return F.get(F.filter(F.transform(before, lambda x: F.regexp_extract(x, f"(?i){UNI}{p}", 1)), lambda x: x != ""), F.lit(0))
+
+    def of(action, named, p):
+        names = named.split()
+        get = lambda h, f: F.regexp_extract(h, f"(?i){UNI}{p}", names.index(f) + 1)
+        if named == "clauses article":
+            many = lambda h: F.transform(F.regexp_extract_all(get(h, "clauses"), F.lit(r"(?i)(?:\s|^)(\d+[a-zđ]*)"), F.lit(1)), lambda c: _change(action, at, article=get(h, "article"), clause=c))
+            return hits(p, lambda hs: F.flatten(F.transform(hs, many)).cast(_CHANGE))
+        if named == "appendix":
+            return hits(p, lambda hs: F.flatten(F.transform(hs, lambda h: rows_of(get(h, "appendix")))))
+        if named == "row":
+            each = lambda hs: once(appendix_before(), lambda a: F.when(a.isNotNull(), F.transform(hs, lambda h: _change(action, at, special=F.concat(F.lit("PL"), a, F.lit("."), get(h, "row")))).cast(_CHANGE)).otherwise(F.lit([]).cast(_CHANGE)))
+            # rows 'a) …' under their appendix are counted there
+            return F.when(line.rlike(r"(?i)^[a-zđ]\)"), F.lit([]).cast(_CHANGE)).otherwise(hits(p, each))
+        special = lambda h: F.concat(F.lit("PL"), get(h, "special")) if "Phụ" in p else get(h, "special")
+        return hits(p, lambda hs: F.transform(hs, lambda h: _change(action, at, **{f: special(h) if f == "special" else get(h, f) for f in names})).cast(_CHANGE))
+
+    lists = hits(SOME_CLAUSES, lambda hs: F.flatten(F.transform(hs, lambda h: clause_list(h, 1))))
+    return F.concat(*[of(*c) for c in CHANGES], lists)
+
+
+def _partly_abolished(docs: DataFrame) -> DataFrame:
+    """Articles that are excepted where an act of another number ends: action abolished_partial, with that act as target."""
+    hit = F.explode(F.regexp_extract_all("content", F.lit(f"(?is){UNI}{PARTLY}"), F.lit(0)))
+    likely = F.contains("content", F.lit("trừ")) | F.contains("content", F.lit("Trừ"))
+    each = docs.where(likely).select("doc_id", F.split("content", "\n").alias("_all"), hit.alias("hit"))
+    each = each.select("*", F.regexp_extract("hit", f"(?is){UNI}{PARTLY}", 1).alias("target_doc_number"), F.regexp_extract("hit", f"(?is){UNI}{PARTLY}", 2).alias("_but"))
+    first = F.array_position(F.transform("_all", lambda x: F.contains(x, F.split(F.col("hit"), "\n")[0])), True).cast("int") - 1
+    named = each.select("*", first.alias("line_start"), F.explode(F.regexp_extract_all("_but", F.lit(f"(?i){UNI}Điều\\s+(\\d+)"), F.lit(1))).alias("article"))
+    null = F.lit(None).cast("string")
+    return named.select("doc_id", "line_start", F.col("line_start").alias("line_end"), F.lit("abolished_partial").alias("action"), "article", *[null.alias(f) for f in FIELDS[1:]], F.substring("hit", 1, 200).alias("description"), F.substring("hit", 1, BLOCK_CHARS).alias("content"), "target_doc_number")
 
 
 def extract_amendments(docs: DataFrame) -> DataFrame:
-    """One row for each line that changes an act: doc_id, line_start, line_end, action, target_doc_number, FIELDS, description, content.
+    """One row for each change of an act that a line names: doc_id, line_start, line_end, action, target_doc_number, FIELDS, description, content.
 
-    Of CHANGES the first that fits a line counts; content is the block up to the next head or item. Repeated changes of whole articles
-    count once a document.
+    Every hit of every wording of CHANGES counts, each clause of a list by itself; 'some clauses of an article' and rows of an appendix are read from the
+    lines after. content is the block up to the next head or item. Repeated changes of whole articles count once a document. Articles
+    excepted where another act ends have the action abolished_partial and that act as target. special of an appendix: PL<n>, of its row PL<n>.<row>.
     """
-    lines = F.transform(F.split("content", "\n"), strip)
-    each = docs.select("doc_id", lines.alias("_all"), F.posexplode(lines).alias("line_start", "line")).where(F.col("line").rlike(rf"(?i){UNI}sửa\s*đổi|bổ\s*sung|thay\s+thế|bãi\s*bỏ"))
-    fits = [F.col("line").rlike(f"(?i){UNI}{p}") for _, _, p in CHANGES]
-    which = F.coalesce(*[F.when(f, i) for i, f in enumerate(fits)])
-    each = each.withColumn("_w", which).where("_w is not null")
-
-    def field(name):
-        found = [F.when(F.col("_w") == i, F.regexp_extract("line", f"(?i){UNI}{p}", named.split().index(name) + 1)) for i, (_, named, p) in enumerate(CHANGES) if name in named.split()]
-        return blank_to_null(F.coalesce(*found)).alias(name)
-
-    action = F.element_at(F.array(*[F.lit(a) for a, _, _ in CHANGES]), F.col("_w") + 1)
-    after = F.slice(F.col("_all"), F.col("line_start") + 2, BLOCK_LINES)
-    stop = F.array_position(F.transform(after, lambda x: x.rlike(f"(?i){UNI}{NEXT_HEAD}")), True).cast("int")
-    block = F.when(stop > 0, F.slice(after, 1, stop - 1)).otherwise(after)
-    out = each.select("doc_id", "line_start", (F.col("line_start") + F.size(block)).alias("line_end"), action.alias("action"), *[field(f) for f in FIELDS], F.col("line").alias("description"), F.substring(strip(F.array_join(block, "\n")), 1, BLOCK_CHARS).alias("content"))
-    same = Window.partitionBy("doc_id", "action", "article", "_whole").orderBy("line_start")
-    whole = F.when((F.col("action") == "amended") & F.col("article").isNotNull() & F.col("clause").isNull(), F.lit(-1)).otherwise(F.col("line_start"))
-    out = out.withColumn("_whole", whole).withColumn("_n", F.row_number().over(same)).where("_n = 1").drop("_n", "_whole")
-    return out.join(amendment_target(docs), "doc_id", "left")
+    plain = F.transform(F.split("content", "\n"), lambda x: F.regexp_replace(strip(x), r"\\([.\-*_])", "$1"))
+    target = computed(docs.select("doc_id", "content"), _all=plain, target_doc_number=_target(F.col("content")))
+    each = target.select("doc_id", "_all", "target_doc_number", F.posexplode("_all").alias("line_start", "line")).where(F.col("line").rlike(rf"(?i){UNI}sửa\s*đổi|bổ\s*sung|thay\s+thế|bãi\s*bỏ"))
+    each = each.select("*", F.explode(_changes_of(F.col("line"), F.col("line_start"), F.col("_all"))).alias("c")).select("*", "c.*")
+    after = F.slice(F.col("_all"), F.col("_at") + 2, BLOCK_LINES)
+    stop = lambda a: F.array_position(F.transform(a, lambda x: x.rlike(f"(?i){UNI}{NEXT_HEAD}")), True).cast("int")
+    block = once(after, lambda a: once(stop(a), lambda n: F.when(n > 0, F.slice(a, 1, n - 1)).otherwise(a)))
+    each = computed(each, _lines=block)
+    own = F.coalesce("_block", F.substring(strip(F.array_join("_lines", "\n")), 1, BLOCK_CHARS))
+    out = each.select("doc_id", "line_start", (F.col("line_start") + F.size("_lines")).alias("line_end"), "action", *FIELDS, F.col("line").alias("description"), own.alias("content"), "target_doc_number")
+    whole = (F.col("action") == "amended") & F.col("article").isNotNull() & F.col("clause").isNull()
+    same = Window.partitionBy("doc_id", "article").orderBy("line_start")
+    first = out.where(whole).withColumn("_n", F.row_number().over(same)).where("_n = 1").drop("_n")
+    return out.where(~whole).unionByName(first).unionByName(_partly_abolished(docs))
 
 
 def roman(s: Column) -> Column:
@@ -199,14 +315,25 @@ def amendment_dates(chunks: DataFrame) -> DataFrame:
 
 
 def amended_by(chunks: DataFrame, amendments: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc_id, article, by: chunks (doc_id, article) that an amendment names, and the amending documents with their dates, joined with '; '.
+    """chunks (doc_id, article, clause if it has one) that an amendment names, and by: the amending documents with their dates, joined with '; '.
 
-    amendments: doc_id (the amending one), target_doc_number, article. docs: doc_id, doc_number, effective_date. Numbers meet normalised.
+    An amendment of a whole article names all its clauses, one of a clause names it and its article. amendments: doc_id (the amending one),
+    target_doc_number, article, clause. docs: doc_id, doc_number, effective_date. Numbers meet normalised.
     """
     number = lambda c: normalize_doc_number(F.col(c))
     known = docs.where("doc_number is not null").select("doc_id", number("doc_number").alias("_k"), "doc_number", "effective_date")
     targets = known.select(F.col("doc_id").alias("_dst"), "_k")
-    act = amendments.where("article is not null and target_doc_number is not null").select("doc_id", number("target_doc_number").alias("_k"), "article").distinct()
+    act = amendments.where("article is not null and target_doc_number is not null").select("doc_id", number("target_doc_number").alias("_k"), "article", "clause").distinct()
     by = act.join(known.drop("_k"), "doc_id").withColumn("_by", F.concat_ws(" ", "doc_number", "effective_date")).drop("doc_id", "doc_number", "effective_date")
-    own = by.join(targets, "_k").groupBy(F.col("_dst").alias("doc_id"), "article").agg(F.array_join(F.array_sort(F.collect_set("_by")), "; ").alias("by"))
-    return chunks.select("doc_id", "article").distinct().join(own, ["doc_id", "article"])
+    key = ["doc_id", "article", "clause"] if "clause" in chunks.columns else ["doc_id", "article"]
+    own = by.join(targets, "_k").select(F.col("_dst").alias("doc_id"), "article", "clause", "_by")
+    wanted = chunks.select(*key).distinct()
+    joined = lambda c: F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))), "; ").alias("by")
+    whole = own.where("clause is null" if "clause" in key else "true").groupBy("doc_id", "article").agg(F.collect_set("_by").alias("_all"))
+    found = wanted.join(whole, ["doc_id", "article"]).select(*key, "_all")
+    if "clause" in key:
+        single = own.where("clause is not null").groupBy("doc_id", "article", "clause").agg(F.collect_set("_by").alias("_all"))
+        of_article = own.where("clause is not null").groupBy("doc_id", "article").agg(F.collect_set("_by").alias("_all"))
+        found = found.unionByName(wanted.join(single, key).select(*key, "_all"))
+        found = found.unionByName(wanted.where("clause is null").join(of_article, ["doc_id", "article"]).select(*key, "_all"))
+    return found.groupBy(*key).agg(joined("_all"))

@@ -8,84 +8,133 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Queries of a block that is compared with every vector.
-QUERY_BLOCK = 1000
+from ..functions.cleaning import UNI, blank_to_null, strip
+from ..functions.text import once
+
+#: Queries and vectors of the blocks that are compared with each other, and queries that are multiplied at once.
+QUERY_BLOCK, VECTOR_BLOCK, AT_ONCE = 4096, 20_000, 256
+#: Heads of clauses and of the parties, and how a party's fields are written.
+CLAUSE_HEAD = r"(?:^|\n)\s*(?:Điều|ĐIỀU)\s+(\d+)\s*[.:)\-–]\s*"
+PARTY_A = r"BÊN\s+A\s*:?\s*\(?\s*([^)\n]*?)\s*\)?\s*\n"
+PARTY_B = r"BÊN\s+B\s*:?\s*\(?\s*([^)\n]*?)\s*\)?\s*\n"
+COMPANY = r"(?:Công\s+ty|Doanh\s+nghiệp)\s*[:\t]+\s*(.+)"
+TAX_ID = r"Mã\s+số\s+thuế\s*[:\t]+\s*(\d+)"
+REPRESENTATIVE = r"Đại\s+diện\s*[:\t]+\s*(.+)"
+ADDRESS = r"(?:Địa\s+chỉ|Đia\s+chỉ)\s*[:|\t]+\s*(.+?)(?:\t|\||\n|Điện\s+thoại|$)"
+WORKER = r"(?:Họ\s+và\s+tên|Họ\s+tên)\s*\|?\s*[:\t]+\s*(.+?)(?:\t|\||\n|Giới\s+tính|Sinh\s+ngày)"
+ID_NUMBER = r"(?:CMND|CCCD)\s*(?:số\s*)?\s*[:|\t\-\s]+\s*(\d{9,12})"
+ROLES = ("Người sử dụng lao động", "Người lao động")
+#: Characters after the first party's heading in which its fields are, and of a representative.
+PARTY_BLOCK, REPRESENTATIVE_CHARS = 2000, 120
 
 
 def clause_array(text: Column) -> Column:
-    """Array of (n, b): number and what follows the head of each line-start 'Điều n'."""
-    led = F.concat(F.lit("\n"), text)
-    numbers = F.regexp_extract_all(led, F.lit(r"\n[ \t]*Điều (\d+)[.:–-]?"), F.lit(1))
-    return F.arrays_zip(numbers.alias("n"), F.slice(F.split(led, r"\n[ \t]*Điều \d+[.:–-]?"), 2, 1 << 20).alias("b"))
+    """Array of (clause_number, title, summary) of the pieces from line-start 'Điều n' on.
 
+    title: the first line that isn't blank, 150 characters at most; null if there is none. summary: the lines, white space collapsed, without '- ' before.
+    """
+    head = f"(?m){UNI}{CLAUSE_HEAD}"
 
-def extract_clauses(contracts: DataFrame) -> DataFrame:
-    """contract_id, pos, clause_number, title: pieces from line-start 'Điều n' on; title is the first line, at most 150 characters."""
-    each = contracts.select("contract_id", F.posexplode(clause_array(F.col("text"))).alias("pos", "c"))
-    return each.select("contract_id", "pos", F.col("c.n").alias("clause_number"), F.substring(F.trim(F.split("c.b", "\n")[0]), 1, 150).alias("title"))
-
+    def clause(n: Column, body: Column) -> Column:
+        lines = F.filter(F.transform(F.split(strip(body), "\n"), strip), lambda x: x != "")
+        flat = lambda ls: F.regexp_replace(F.trim(F.regexp_replace(F.array_join(ls, " "), rf"{UNI}\s+", " ")), "^- ", "")
+        return once(lines, lambda ls: F.struct(n.alias("clause_number"), F.substring(F.get(ls, F.lit(0)), 1, 150).alias("title"), flat(ls).alias("summary")))
 
-def _party_columns(text: Column) -> dict[str, Column]:
-    pick = lambda p: F.nullif(F.regexp_extract(text, p, 1), F.lit(""))
-    return {"company": pick(r"Công ty: ([^\n]+)"), "tax_id": pick(r"Mã số thuế: (\d+)"), "worker": pick(r"Họ và tên: ([^\n]+)")}
+    return F.zip_with(F.regexp_extract_all(text, F.lit(head), F.lit(1)), F.slice(F.split(text, head, -1), 2, 1 << 30), clause)
 
 
-def contract_parties(contracts: DataFrame) -> DataFrame:
-    """contract_id, company, tax_id, worker."""
-    return contracts.select("contract_id", *[c.alias(k) for k, c in _party_columns(F.col("text")).items()])
+def extract_clauses(contracts: DataFrame) -> DataFrame:
+    """contract_id, pos, clause_number, title, summary; see clause_array."""
+    return contracts.select("contract_id", F.posexplode(clause_array(F.col("text"))).alias("pos", "c")).select("contract_id", "pos", "c.*")
 
 
 def party_array(text: Column) -> Column:
-    """Array of (role, name, tax_id) of the parties that are named."""
-    p = _party_columns(text)
-    a = F.struct(F.lit("Bên A").alias("role"), p["company"].alias("name"), p["tax_id"].alias("tax_id"))
-    b = F.struct(F.lit("Bên B").alias("role"), p["worker"].alias("name"), F.lit(None).cast("string").alias("tax_id"))
+    """Array of (name, role, address, tax_id, representative) of the parties that are named.
+
+    The first: company, tax id, address and representative in the block after its heading; none without heading and company. The second: the worker's name and id
+    number of the whole text, the address of its last quarter, else of all; its heading may be missing.
+    """
+    pick = lambda t, p: blank_to_null(strip(F.regexp_extract(t, f"(?i){UNI}{p}", 1)))
+    role = lambda p, default: F.coalesce(pick(text, p), F.lit(default))
+
+    def party(name, role, address, tax_id, representative):
+        return F.struct(name.alias("name"), role.alias("role"), address.alias("address"), tax_id.alias("tax_id"), representative.alias("representative"))
+
+    block = F.substring(F.get(F.split(text, f"(?i){UNI}{PARTY_A}", 2), F.lit(1)), 1, PARTY_BLOCK)
+    a = once(block, lambda b: party(pick(b, COMPANY), role(PARTY_A, ROLES[0]), pick(b, ADDRESS), pick(b, TAX_ID), F.substring(pick(b, REPRESENTATIVE), 1, REPRESENTATIVE_CHARS)))
+    n = F.length(text)
+    tail = F.substring(text, F.floor(n * 3 / 4).cast("int") + 1, n)
+    cell = lambda x: strip(F.regexp_replace(x, rf"{UNI}\s*\|.*$", ""))
+    address = F.regexp_replace(cell(F.coalesce(pick(tail, ADDRESS), pick(text, ADDRESS))), rf"{UNI}^[:|\s]+", "")
+    b = party(blank_to_null(cell(pick(text, WORKER))), role(PARTY_B, ROLES[1]), address, pick(text, ID_NUMBER), F.lit(None).cast("string"))
     return F.filter(F.array(a, b), lambda x: x["name"].isNotNull())
 
 
-def build_kb(chunks: DataFrame, docs: DataFrame, limit: int = 1000) -> DataFrame:
-    """Chunks with their document's number and date; blank chunks go, text is cut to ``limit`` characters. Only slim columns of ``docs`` are joined."""
-    slim = docs.select("doc_id", "doc_number", F.coalesce("issued_date", F.lit("")).alias("issued_date"))
+def contract_parties(contracts: DataFrame) -> DataFrame:
+    """contract_id, name, role, address, tax_id, representative: a row for each party; see party_array."""
+    return contracts.select("contract_id", F.explode(party_array(F.col("text"))).alias("p")).select("contract_id", "p.*")
+
+
+def build_kb(chunks: DataFrame, docs: DataFrame, limit: int = 1000, in_force: bool = False) -> DataFrame:
+    """Chunks with their document's number and date; blank chunks go, text is cut to ``limit`` characters. Only slim columns of ``docs`` are joined.
+
+    in_force: only of documents whose status_flag is 1.
+    """
+    kept = docs.where("status_flag = 1") if in_force else docs
+    slim = kept.select("doc_id", "doc_number", F.coalesce("issued_date", F.lit("")).alias("issued_date"))
     own = chunks.where(F.trim("chunk_text") != "").select("doc_id", "chunk_ref", "chunk_index", F.substring("chunk_text", 1, limit).alias("chunk_text"))
     return own.join(slim, "doc_id")
 
 
-def knn(queries: DataFrame, kb: DataFrame, k: int = 5, min_score: float = 0.6) -> DataFrame:
-    """query_id, vec_id, rank, score: exact inner-product top k, equal scores by vec_id.
+def _in_blocks(rows: DataFrame, others: DataFrame, id_: str, sizes: tuple[int, int], on: list[str]) -> DataFrame:
+    """rows, each in a block of its own and once for each block of ``others`` (with its value of ``on``): own, other.
 
-    Queries go out in blocks of QUERY_BLOCK; a task multiplies its batches with a block and keeps k rows a query, so what is shuffled is
-    k rows for each query and batch.
+    How many blocks there are is counted: rows meet counts, never each other here.
     """
-    out = None
-    rows = queries.select("query_id", "embedding").toLocalIterator(prefetchPartitions=True)
-    block: list = []
-
-    def one(block):
-        ids = np.array([r["query_id"] for r in block])
-        q = np.array([r["embedding"] for r in block], np.float64)
-
-        def run(batches):
-            for b in batches:
-                v = np.array(b.column(1).to_pylist(), np.float64)
-                vid = b.column(0).to_numpy()
-                s = np.round(q @ v.T, 6)
-                for i in range(len(ids)):
-                    top = np.lexsort((vid, -s[i]))[:k]
-                    top = top[s[i][top] >= min_score]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), ids[i])), pa.array(vid[top]), pa.array(s[i][top])], names=["query_id", "vec_id", "score"])
-
-        return kb.select("vec_id", "embedding").mapInArrow(run, "query_id long, vec_id long, score double")
-
-    for r in rows:
-        block.append(r)
-        if len(block) == QUERY_BLOCK:
-            out = one(block) if out is None else out.union(one(block))
-            block = []
-    if block or out is None:
-        last = one(block) if block else kb.limit(0).select(F.lit(0).cast("long").alias("query_id"), "vec_id", F.lit(0.0).alias("score"))
-        out = last if out is None else out.union(last)
+    if on:
+        blocks = lambda df, size, name: df.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / size).alias(name))
+        rows = rows.join(blocks(rows, sizes[0], "_own").join(blocks(others, sizes[1], "_other"), on), on)
+    else:
+        rows = rows.withColumns({name: F.lit(-(-df.count() // size)).cast("long") for name, df, size in (("_own", rows, sizes[0]), ("_other", others, sizes[1]))})
+    own = F.pmod(F.xxhash64(id_), F.greatest("_own", F.lit(1))).alias("own")
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("_other") - 1, F.lit(0)))).alias("other")
+    # under names of their own, so that the two sides of a search stay apart
+    return rows.select(*[F.col(c).alias(c) for c in rows.columns if c not in ("_own", "_other")], own, each)
+
+
+def _search(queries: DataFrame, kb: DataFrame, k: int, min_score: float, on: list[str]) -> DataFrame:
+    queries = queries.select("query_id", *on, "embedding").where("embedding is not null")
+    kb = kb.select("vec_id", *on, "embedding").where("embedding is not null")
+    q = _in_blocks(queries, kb, "query_id", (QUERY_BLOCK, VECTOR_BLOCK), on).withColumnsRenamed({"own": "i", "other": "j"})
+    v = _in_blocks(kb, queries, "vec_id", (VECTOR_BLOCK, QUERY_BLOCK), on).withColumnsRenamed({"own": "j", "other": "i"})
+
+    def top(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, vid = left["query_id"].to_numpy(), right["vec_id"].to_numpy()
+        found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+        if len(ids) and len(vid):
+            matrix = lambda t: np.array(t["embedding"].to_pylist(), np.float64)
+            own, all_ = matrix(left), matrix(right)
+            for a in range(0, len(ids), AT_ONCE):
+                for n, s in enumerate(np.round(own[a : a + AT_ONCE] @ all_.T, 6), a):
+                    best = np.flatnonzero(s >= np.partition(s, -min(k, len(s)))[-min(k, len(s))])  # with all ties of the last
+                    best = best[np.lexsort((vid[best], -s[best]))][:k]
+                    best = best[s[best] >= min_score]
+                    for out, x in zip(found, (np.full(len(best), ids[n]), vid[best], s[best]), strict=True):
+                        out.append(x)
+        return pa.table({c: pa.array(np.concatenate(x)) for c, x in zip(("query_id", "vec_id", "score"), found, strict=True)})
+
+    key = [*on, "i", "j"]
+    hits = q.groupBy(*key).cogroup(v.groupBy(*key)).applyInArrow(top, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "vec_id", "rank", "score")
+    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "vec_id", "rank", "score")
+
+
+def knn(queries: DataFrame, kb: DataFrame, k: int = 5, min_score: float = 0.6) -> DataFrame:
+    """query_id, vec_id, rank, score: exact inner-product top k, equal scores by vec_id. Null vectors don't count.
+
+    Blocks of queries meet blocks of vectors, each pair in a task of its own that keeps k rows a query.
+    """
+    return _search(queries, kb, k, min_score, [])
 
 
 def parse_responses(responses: DataFrame) -> DataFrame:
@@ -97,33 +146,51 @@ def parse_responses(responses: DataFrame) -> DataFrame:
 
 
 def collect_risks(evals: DataFrame) -> DataFrame:
+    """contract_id, clause_ref, issue, severity, legal_basis, recommendation of the critical and warning evaluations."""
     sev = F.coalesce("severity", F.lit("ok"))
     ref = F.coalesce(F.col("clause_ref"), F.concat(F.lit("Điều "), F.col("pos")))
-    return evals.where(sev.isin("critical", "warning")).select("contract_id", ref.alias("clause_ref"), "issue", sev.alias("severity"))
+    more = [F.col(c) if c in evals.columns else F.lit(None).cast("string").alias(c) for c in ("legal_basis", "recommendation")]
+    return evals.where(sev.isin("critical", "warning")).select("contract_id", ref.alias("clause_ref"), "issue", sev.alias("severity"), *more)
 
 
-def overall_risk(risks: DataFrame) -> DataFrame:
-    """contract_id, critical, warning, overall_risk."""
+def risk_counts(risks: DataFrame, clauses: DataFrame) -> DataFrame:
+    """contract_id, critical, warning, clauses: of each contract with clauses or risks."""
     n = risks.groupBy("contract_id").agg(F.count_if(F.col("severity") == "critical").alias("critical"), F.count_if(F.col("severity") == "warning").alias("warning"))
+    of = clauses.groupBy("contract_id").agg(F.count(F.lit(1)).alias("clauses"))
+    return of.join(n, "contract_id", "full_outer").select("contract_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("critical", "warning", "clauses")])
+
+
+def overall_risk(risks: DataFrame, clauses: DataFrame | None = None) -> DataFrame:
+    """contract_id, critical, warning, overall_risk; with ``clauses`` their number too, and contracts without a risk."""
+    n = risk_counts(risks, risks.select("contract_id") if clauses is None else clauses)
     grade = F.when(F.col("critical") >= 3, "critical").when(F.col("critical") >= 1, "high").when(F.col("warning") >= 3, "medium").otherwise("low")
-    return n.withColumn("overall_risk", grade)
+    n = n.withColumn("overall_risk", grade)
+    return n.drop("clauses") if clauses is None else n
 
 
 def last_turns(turns: DataFrame, n: int = 5) -> DataFrame:
-    """Each conversation's last n turns, old to new, as text."""
+    """conv_id, history: each conversation's last n pairs of question and answer, old to new, as lines 'User: …' and 'Assistant: …'.
+
+    A pair is a user's turn and the first assistant's turn before the next one of the user; without it the answer is empty. The last
+    n user turns are found with a limit in each task, and all others that are older go before anything is grouped.
+    """
     w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
-    last = turns.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n)
-    lines = F.array_sort(F.collect_list(F.struct("turn", F.concat_ws(": ", "role", "text").alias("line"))))
-    return last.groupBy("conv_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("history"))
+    users = turns.where("role = 'user'").select("conv_id", "turn").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n)
+    since = users.groupBy("conv_id").agg(F.collect_list("turn").alias("_users"))
+    own = turns.where("role in ('user', 'assistant')").join(since, "conv_id").where(F.col("turn") >= F.array_min("_users"))
+    pair = F.size(F.filter("_users", lambda u: u <= F.col("turn"))).alias("pair")
+    said = lambda who: F.coalesce(F.min_by(F.when(F.col("role") == who, F.col("text")), F.when(F.col("role") == who, F.col("turn"))), F.lit(""))
+    pairs = own.select("conv_id", "turn", "role", "text", pair).groupBy("conv_id", "pair").agg(F.concat(F.lit("User: "), said("user"), F.lit("\nAssistant: "), said("assistant")).alias("line"))
+    lines = F.array_sort(F.collect_list(F.struct("pair", "line")))
+    return pairs.groupBy("conv_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("history"))
 
 
 def knn_filtered(queries: DataFrame, kb: DataFrame, on: str, k: int = 5, min_score: float = 0.6) -> DataFrame:
-    """query_id, vec_id, rank, score: the exact top k among the rows of ``kb`` with the query's value of ``on``; equal scores by vec_id."""
-    q = queries.select("query_id", on, F.col("embedding").alias("q"))
-    dot = F.aggregate(F.zip_with("q", "embedding", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    scored = kb.join(q, on).select("query_id", "vec_id", F.round(dot, 6).alias("score")).where(F.col("score") >= min_score)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "vec_id", "rank", "score")
+    """query_id, vec_id, rank, score: the exact top k among the rows of ``kb`` with the query's value of ``on``; equal scores by vec_id.
+
+    The vectors of one value meet in as many blocks as they need.
+    """
+    return _search(queries, kb, k, min_score, [on])
 
 
 def owned(requests: DataFrame, registry: DataFrame) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.cleaning import fix_category, fix_doc_number, fix_doc_type, strip_invisible, validate_content
-from ..functions.text import DOC_NUMBER, fix_date, normalize_doc_number, parse_vn_date
+from ..functions.cleaning import computed, fix_category, fix_doc_number, fix_doc_type, strip_invisible, validate_content
+from ..functions.text import DOC_NUMBER, fix_date, normalize_doc_number, normalize_query
 
 
 def year_filter(docs: DataFrame, low: int = 2004, high: int = 2026) -> DataFrame:
@@ -22,12 +22,21 @@ def clean_dates(raw: DataFrame) -> DataFrame:
     return raw.withColumn("issued_date", iso).withColumn("year_published", F.coalesce(F.substring("issued_date", 1, 4).try_cast("int"), F.lit(0)))
 
 
-def dedup_three_key(docs: DataFrame) -> DataFrame:
-    """One document for each (number else id, issued date, signer), the smallest id. Rows with a null date or signer never match and bypass the shuffle."""
+_KEY = ["_number", "issued_date", "signer"]
+
+
+def dedup_three_key(docs: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """One document for each (number else id, issued date, signer), the smallest id, and none that ``existing`` has.
+
+    Rows with a null date or signer never match and bypass the shuffle.
+    """
     whole = F.col("issued_date").isNotNull() & F.col("signer").isNotNull()
-    w = Window.partitionBy(F.coalesce("doc_number", "doc_id"), "issued_date", "signer").orderBy("doc_id")
-    first = docs.where(whole).withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
-    return first.unionByName(docs.where(~whole))
+    number = F.coalesce("doc_number", "doc_id")
+    w = Window.partitionBy(*_KEY).orderBy("doc_id")
+    first = docs.where(whole).withColumn("_number", number).withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
+    if existing is not None:
+        first = first.join(existing.where(whole).select(number.alias("_number"), "issued_date", "signer").distinct(), _KEY, "left_anti")
+    return first.select(*docs.columns).unionByName(docs.where(~whole))
 
 
 def new_urls(links: DataFrame, known: DataFrame) -> DataFrame:
@@ -42,17 +51,6 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str, kept: tuple[str,
     return e.join(i, F.col(f"e.{key}") == F.col(f"i.{key}"), "full_outer").select(*cols)
 
 
-def effective_date(docs: DataFrame) -> DataFrame:
-    """doc_id, effective_date: a date after 'in force from'; else the issued date if from signing; else N days after it."""
-    text = F.col("content")
-    dated = parse_vn_date(F.regexp_extract(text, r"(?iu)có hiệu lực (?:thi hành )?(?:kể )?từ (ngày \d{1,2} tháng \d{1,2} năm \d{4})", 1))
-    issued = F.try_to_date(F.col("issued_date"), "yyyy-MM-dd")
-    after = F.regexp_extract(text, r"(?iu)sau (\d+) ngày,? kể từ ngày ký", 1).try_cast("int")
-    signed = text.rlike(r"(?iu)có hiệu lực (?:thi hành )?kể từ ngày ký")
-    found = F.when(dated.isNotNull(), dated).when(signed, F.date_format(issued, "yyyy-MM-dd")).when(after.isNotNull(), F.date_format(F.date_add(issued, after), "yyyy-MM-dd"))
-    return docs.select("doc_id", found.alias("effective_date"))
-
-
 def replaced_numbers(docs: DataFrame) -> DataFrame:
     """Edges (doc_id, doc_number) of 'Thay thế … số X'."""
     hits = F.regexp_extract_all("content", F.lit(rf"(?iu)thay thế [\p{{L}} ]{{1,40}}số ({DOC_NUMBER})"), F.lit(1))
@@ -60,18 +58,53 @@ def replaced_numbers(docs: DataFrame) -> DataFrame:
 
 
 def resolve_relations(edges: DataFrame, docs: DataFrame) -> DataFrame:
-    """(src_doc_id, dst_doc_id): edges whose number, normalised, is a stored document's; of several, the smallest id."""
-    known = docs.where("doc_number is not null").groupBy(normalize_doc_number(F.col("doc_number")).alias("k")).agg(F.min("doc_id").alias("dst_doc_id"))
-    keyed = edges.select(F.col("doc_id").alias("src_doc_id"), normalize_doc_number(F.col("doc_number")).alias("k")).where("k <> '0'")
-    return keyed.join(known, "k").select("src_doc_id", "dst_doc_id").distinct()
-
+    """(src_doc_id, dst_doc_id, relation_type): edges whose number, normalised, is a stored document's; đ counts as d.
 
-def status_flag(docs: DataFrame, relations: DataFrame, as_of: str) -> DataFrame:
-    """doc_id, status_flag: 2 replaced, 3 not yet in force, 1 in force, 0 unknown, as of a date."""
-    gone = relations.where("src_doc_id <> dst_doc_id").select(F.col("dst_doc_id").alias("doc_id")).distinct().withColumn("gone", F.lit(True))
+    Of several documents of one number those count whose authority and day of issue are the edge's hints, else those with one of these, else all;
+    then the smallest id. edges: doc_id, doc_number, relation_type, and issuing_authority_hint, old_issued_date if there. docs: doc_id,
+    doc_number, and issuing_authority, issued_date if there. Each step joins a table with one row a key, so a number that many documents
+    share is no pair of all.
+    """
+    has = lambda df, c: F.col(c) if c in df.columns else F.lit(None).cast("string")
+    number = normalize_doc_number(F.translate(F.lower("doc_number"), "đ", "d"))
+    known = docs.where("doc_number is not null").select("doc_id", number.alias("k"), normalize_query(has(docs, "issuing_authority")).alias("a"), has(docs, "issued_date").alias("d"))
+    keyed = edges.select(F.col("doc_id").alias("src_doc_id"), number.alias("k"), "relation_type", normalize_query(has(edges, "issuing_authority_hint")).alias("a"), has(edges, "old_issued_date").alias("d")).where("k <> '0'")
+    for i, on in enumerate((["k"], ["k", "a"], ["k", "d"], ["k", "a", "d"])):
+        best = known.dropna(subset=on).groupBy(*on).agg(F.min("doc_id").alias(f"_{i}"))
+        keyed = keyed.join(best, on, "inner" if i == 0 else "left")
+    found = F.coalesce("_3", F.least("_1", "_2"), "_0")
+    return keyed.select("src_doc_id", found.alias("dst_doc_id"), "relation_type").distinct()
+
+
+def status_flag(docs: DataFrame, relations: DataFrame, as_of: str, provisions: DataFrame | None = None) -> DataFrame:
+    """doc_id, status_flag as of a date: 0 unknown, 1 in force, 2 ended, 3 not yet in force, 4 ended in part, 5 in force in part.
+
+    docs: doc_id, effective_date, and expiry_date if there. An act has ended from its expiry on, or if an act in force (or without a known date)
+    replaces or abolishes it; in part, if such an act changes or abolishes parts of it. It is in force in part if single provisions (provisions:
+    doc_id, effective_date) are in force before it, or not yet though it is. relations: as of resolve_relations; without a type each one ends.
+    """
+    types = relations if "relation_type" in relations.columns else relations.withColumn("relation_type", F.lit("replaces"))
+    since = docs.select(F.col("doc_id").alias("src_doc_id"), F.col("effective_date").alias("_since"))
+    acts = types.where("src_doc_id <> dst_doc_id").join(since, "src_doc_id", "left").where(F.coalesce(F.col("_since") <= as_of, F.lit(True)))
+    by = acts.groupBy(F.col("dst_doc_id").alias("doc_id")).agg(
+        F.max(F.col("relation_type").isin("replaces", "abolishes")).alias("_ended"), F.max(F.col("relation_type").isin("amends_partial", "abolished_partial")).alias("_partly")
+    )
+    found = docs.join(by, "doc_id", "left")
+    if provisions is not None:
+        days = provisions.groupBy("doc_id").agg(F.min("effective_date").alias("_first"), F.max("effective_date").alias("_last"))
+        found = found.join(days, "doc_id", "left")
+    else:
+        found = found.withColumns({"_first": F.lit(None).cast("string"), "_last": F.lit(None).cast("string")})
     eff = F.col("effective_date")
-    flag = F.when(F.col("gone"), 2).when(eff.isNull(), 0).when(eff > as_of, 3).otherwise(1)
-    return docs.join(gone, "doc_id", "left").select("doc_id", flag.alias("status_flag"))
+    over = F.col("_ended") | (F.col("expiry_date") <= as_of) if "expiry_date" in docs.columns else F.col("_ended")
+    flag = F.when(over, 2).when(eff.isNull(), 0).when(eff > as_of, F.when(F.col("_first") <= as_of, 5).otherwise(3)).when(F.col("_partly"), 4).when(F.col("_last") > as_of, 5).otherwise(1)
+    return found.select("doc_id", flag.alias("status_flag"))
+
+
+def ingest_summary(outcomes: DataFrame) -> DataFrame:
+    """outcome, n of rows (outcome), and the row ``total`` with the number of all."""
+    each = outcomes.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+    return each.unionByName(each.agg(F.lit("total").alias("outcome"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")))
 
 
 def clean_documents(raw: DataFrame) -> DataFrame:
@@ -80,13 +113,13 @@ def clean_documents(raw: DataFrame) -> DataFrame:
     Columns that raw lacks count as null.
     """
     have = lambda c: F.col(c) if c in raw.columns else F.lit(None).cast("string")
-    text = strip_invisible(have("content"))
     year = F.col("year_published") if "year_published" in raw.columns else F.lit(0)
-    issued = fix_date(have("issued_date"))
-    return raw.withColumns(
+    cut = computed(raw, _text=strip_invisible(have("content")), _issued=fix_date(have("issued_date")))
+    cut = computed(cut, _skip=~validate_content(F.col("_text")))
+    text, issued = F.col("_text"), F.col("_issued")
+    return cut.withColumns(
         {
             "content": text,
-            "_skip": ~validate_content(text),
             "doc_number": fix_doc_number(have("doc_number"), text, have("url")),
             "doc_type": fix_doc_type(have("doc_type"), have("title"), have("url")),
             "category": fix_category(have("category"), have("title")),
@@ -95,7 +128,7 @@ def clean_documents(raw: DataFrame) -> DataFrame:
             "expiry_date": fix_date(have("expiry_date")),
             "year_published": F.coalesce(F.nullif(year, F.lit(0)), F.substring(issued, 1, 4).try_cast("int"), F.lit(0)),
         }
-    )
+    ).drop("_text", "_issued")
 
 
 def cap_documents(docs: DataFrame, max_docs: int, max_pages: int, *order: str) -> DataFrame:

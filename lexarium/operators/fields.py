@@ -112,7 +112,7 @@ def contract_type(text: Column) -> Column:
 
 
 def parse_contracts(contracts: DataFrame) -> DataFrame:
-    """One row a contract: kind, parties, dates, money, kinds of clause and the array of clauses."""
+    """One row a contract: kind, parties, dates, money, kinds of clause, and the arrays of parties and clauses."""
     text = F.col("text")
     kind = contract_type(text).alias("contract_type")
     cut = computed(contracts.select("contract_id", "text"), _lines=F.split("text", "\n"))

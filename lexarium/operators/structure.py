@@ -72,14 +72,31 @@ def section_tree(docs: DataFrame) -> DataFrame:
     return nodes.select("doc_id", "node_id", parent.alias("parent_id"), "depth", "section_type", "number", "heading", "content")
 
 
+def rolled_up(nodes: list[tuple[int, int | None, str]]) -> dict[int, str]:
+    """Content of each node (id, parent, content; ids in order of the text) with that of its children, where not already in it, from the bottom up."""
+    content = {i: t for i, _, t in nodes}
+    kids: dict[int, list[int]] = {}
+    for i, parent, _ in nodes:
+        if parent is not None:
+            kids.setdefault(parent, []).append(i)
+    for i in sorted(kids, reverse=True):  # a child's number is above its parent's
+        for k in kids[i]:
+            if content[k] not in content[i]:
+                content[i] += "\n" + content[k]
+    return content
+
+
 def rollup_content(tree: DataFrame) -> DataFrame:
-    """The tree with the content of each section's children, where not already in it, added from the bottom up."""
-    key = ["doc_id", "node_id"]
-    for d in range(5, 0, -1):
-        kids = tree.where((F.col("depth") == d) & F.col("parent_id").isNotNull()).groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.array_sort(F.collect_list(F.struct("node_id", "content"))).alias("_kids"))
-        add = F.aggregate("_kids", F.col("content"), lambda a, k: F.when(F.contains(a, k["content"]), a).otherwise(F.concat(a, F.lit("\n"), k["content"])))
-        tree = tree.join(kids, key, "left").withColumn("content", F.coalesce(add, "content")).drop("_kids")
-    return tree
+    """The tree with the content of each section's children, where not already in it, added from the bottom up; one pass over each document."""
+    schema = tree.schema
+
+    def fold(t: pa.Table) -> pa.Table:
+        ids, parents, texts = (t[c].to_pylist() for c in ("node_id", "parent_id", "content"))
+        whole = rolled_up(sorted(zip(ids, parents, texts, strict=True)))
+        at = t.schema.get_field_index("content")
+        return t.set_column(at, t.schema.field(at), pa.array([whole[i] for i in ids], t.schema.field(at).type))
+
+    return tree.groupBy("doc_id").applyInArrow(fold, schema)
 
 
 def mark_enforcement(tree: DataFrame) -> DataFrame:

@@ -93,7 +93,6 @@ QUERIES = {
     "e4_header_section": lambda s, d: _raw(s, d).select("doc_id", D.header_section(F.col("content")).alias("header")),
     "e5_effective_section": lambda s, d: D.effective_section(_raw(s, d)),
     "e10_expiry_date": lambda s, d: D.expiry_date(_raw(s, d).withColumn("content", F.concat("content", F.lit("\nĐiều 9. Hiệu lực thi hành\n3. Nghị định này hết hiệu lực kể từ ngày 1/"), F.length("title") % 12 + 1, F.lit("/2030.")))),
-    "e12_extract_metadata": lambda s, d: D.extract_metadata(C.clean_dates(_raw(s, d))),
     "g1_classify_lines": lambda s, d: G.classify_lines(_raw(s, d)),
     "g2_section_tree": _tree,
     "g4_rollup_content": lambda s, d: G.rollup_content(_tree(s, d)),
@@ -104,7 +103,6 @@ QUERIES = {
     "h4_finance": lambda s, d: H.finance(_contracts(s, d)),
     "h5_clause_fields": lambda s, d: H.clause_fields(_contracts(s, d)),
     "h6_contract_type": lambda s, d: _contracts(s, d).select("contract_id", H.contract_type(F.col("text")).alias("contract_type")),
-    "h8_contract_summary": lambda s, d: H.contract_summary(H.parse_contracts(_contracts(s, d))),
     "i6_detect_topics": lambda s, d: R.detect_topics(_contracts(s, d)),
     "i7_clause_topic": lambda s, d: R.clause_topic(_contracts(s, d)).select("contract_id", "topic", "keyword"),
     "i8_law_for_topics": _topic_law,

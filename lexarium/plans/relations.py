@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import amendments as A
 from ..operators import corpus as C
+from ..operators import dates as D
 from ..operators import structure as G
 from ..sources.fixtures import view, view_sql
 
@@ -20,14 +21,13 @@ def _docs(s, d, content="content"):
 
 def _amended_by(s, d):
     docs = _docs(s, d, CHANGE)
-    eff = C.effective_date(C.clean_dates(docs)).join(docs.select("doc_id", "doc_number"), "doc_id")
+    eff = D.effective_date(C.clean_dates(docs)).join(docs.select("doc_id", "doc_number"), "doc_id")
     tree = G.section_tree(docs).where("section_type = 'dieu'").select("doc_id", F.col("number").alias("article"))
     return A.amended_by(tree, A.extract_amendments(docs), eff)
 
 
 QUERIES = {
     "e13_provision_dates": lambda s, d: A.provision_dates(_docs(s, d, EXCEPT)),
-    "f1_extract_relations": lambda s, d: A.extract_relations(_docs(s, d)),
     "f2_expiry_relations": lambda s, d: A.expiry_relations(_docs(s, d)),
     "f3_extract_amendments": lambda s, d: A.extract_amendments(_docs(s, d, CHANGE)),
     "f4_amendment_target": lambda s, d: A.amendment_target(_docs(s, d)),
@@ -40,7 +40,6 @@ _N = "cast(length(title) % 9 + 1 as varchar)"
 _OLD = "nullif(regexp_extract(content, 'Thay thế Nghị định số ([0-9]+/[0-9]+/NĐ-CP)', 1), '')"
 ORACLES: dict[str, str] = {
     "e13_provision_dates": f"{_RAW} select doc_id, {_N} as article, null as clause, null as appendix, '2026-07-01' as effective_date from raw union all select doc_id, null, null, '4', '2026-07-01' from raw",
-    "f1_extract_relations": f"{_RAW} select doc_id, {_OLD} as doc_number, 'replaces' as relation_type, '' as provision, 'Chính phủ' as issuing_authority_hint from raw where {_OLD} is not null",
     "f2_expiry_relations": f"{_RAW} select doc_id, {_OLD} as doc_number, 'replaces' as relation_type from raw where {_OLD} is not null",
     "f4_amendment_target": f"{_RAW} select doc_id, {_OLD} as target_doc_number from raw",
     "f5_amendment_dates": f"{_RAW} select doc_id, unnest(['D50', 'D50.K3']) as key, '2027-08-02' as date from raw",

@@ -25,31 +25,18 @@ def _clean(s, d):
 
 def _cross(s, d):
     docs = _clean(s, d)
-    dates = C.effective_date(docs).join(docs.select("doc_id", "doc_number"), "doc_id")
+    dates = D.effective_date(docs).join(docs.select("doc_id", "doc_number"), "doc_id")
     return D.cross_reference(docs.withColumn("content", F.expr(CITES)), dates)
 
 
-def _resolved(s, d):
-    docs = view(s, d, "legal_raw")
-    return C.resolve_relations(C.replaced_numbers(docs), docs)
-
-
-def _parsed(s, d):
-    found = H.parse_contracts(view(s, d, "contracts"))
-    return found.select("contract_id", "contract_type", "contract_value", F.size("parties").alias("n_parties"), F.size("clauses").alias("n_clauses"), F.col("clauses")[0]["n"].alias("first_number"))
-
-
 QUERIES = {
     "b2_resolve_url": lambda s, d: view(s, d, "legal_pages").select("url", T.resolve_url(F.regexp_extract("html", 'href="([^"]+)"', 1), BASE).alias("link")),
     "c4_strip_invisible": lambda s, d: read(s, d, "documents").select("doc_id", F.md5(L.strip_invisible(F.col("text"))).alias("text_md5")),
     "c6_fix_category": lambda s, d: view(s, d, "legal_raw").select("doc_id", L.fix_category(F.when(F.length("title") % 2 == 0, " ").otherwise("Thuế"), F.col("title")).alias("category")),
-    "e8_enforcement_date": lambda s, d: D.effective_from_enforcement(_clean(s, d)),
     "e9_cross_reference": _cross,
-    "e11_validate_expiry": lambda s, d: C.effective_date(_clean(s, d)).select("doc_id", D.validate_expiry(F.lit("2005-06-30"), F.col("effective_date")).alias("expiry_date")),
-    "f6_resolve_relations": _resolved,
+    "e11_validate_expiry": lambda s, d: D.effective_date(_clean(s, d)).select("doc_id", D.validate_expiry(F.lit("2005-06-30"), F.col("effective_date")).alias("expiry_date")),
     "h1_first_match": lambda s, d: view(s, d, "contracts").select("contract_id", H.first_match(F.col("text"), [r"Không có: ([^\n]+)", r"Công ty: ([^\n]+)"]).alias("company"), H.line_around(F.col("text"), "Lương cơ bản", 0).alias("line")),
     "h3_contract_dates": lambda s, d: H.contract_dates(view(s, d, "contracts").withColumn("text", F.expr(TERM))),
-    "h7_parse_contracts": _parsed,
 }
 
 _RAW = f"with raw as ({view_sql('legal_raw')})"
@@ -67,13 +54,9 @@ ORACLES: dict[str, str] = {
     "b2_resolve_url": f"with p as ({view_sql('legal_pages')}) select url, '{BASE}' || regexp_extract(html, 'href=\"([^\"]+)\"', 1) as link from p",
     "c4_strip_invisible": r"select doc_id, md5(trim(regexp_replace(text, '[\x{feff}\x{200b}\x{200c}\x{200d}\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g'), e' \t\n\r')) as text_md5 from documents",
     "c6_fix_category": f"{_RAW} select doc_id, case when length(title) % 2 <> 0 then 'Thuế' {_CATEGORY} else 'Khác' end as category from raw",
-    "e8_enforcement_date": f"{_CLEAN} select doc_id, case {_NAMED} {_AFTER} end as effective_date from clean",
     "e9_cross_reference": f"""{_EFF}, known as (select {_KEY % 'doc_number'} as k, min(effective_date) as ref_effective_date from eff where doc_number is not null group by 1),
       refs as (select doc_id, cast(length(title) % 9 + 1 as varchar) || '/2003/nđ-cp' as ref_number from eff)
       select doc_id, ref_number, ref_effective_date from refs left join known on k = {_KEY % 'ref_number'}""",
     "e11_validate_expiry": f"{_EFF} select doc_id, case when not coalesce('2005-06-30' < effective_date, false) then '2005-06-30' end as expiry_date from eff",
-    "f6_resolve_relations": f"""{_RAW}, e as (select doc_id as src_doc_id, {_KEY % "regexp_extract(content, 'Thay thế Nghị định số ([0-9]+/[0-9]+/NĐ-CP)', 1)"} as k from raw where contains(content, 'Thay thế Nghị định số')),
-      known as (select {_KEY % 'doc_number'} as k, min(doc_id) as dst_doc_id from raw where doc_number is not null group by 1) select distinct src_doc_id, dst_doc_id from e join known using (k)""",
     "h1_first_match": f"{_CON} select contract_id, regexp_extract(text, 'Công ty: ([^\\n]+)', 1) as company, regexp_extract(text, 'Lương cơ bản[^\\n]*', 0) as line from c",
-    "h7_parse_contracts": f"{_CON} select contract_id, 'Hợp đồng LAO ĐỘNG' as contract_type, regexp_extract(text, 'Lương cơ bản: ([^\\n]+)', 1) as contract_value, 2 as n_parties, 3 as n_clauses, '1' as first_number from c",
 }

@@ -9,43 +9,85 @@ from pyspark.sql.window import Window
 
 from ..functions.cleaning import computed, is_placeholder, is_translation
 from ..functions.text import doc_id_from_url
-from ..operators.corpus import clean_documents, dedup_three_key, new_urls, year_filter
+from ..operators.corpus import clean_documents, dedup_three_key, upsert
 from ..sources.html import metadata_of, page_parts, title_of, with_content
 
+#: Years of documents that are taken; unknown ones are too.
+YEARS = (2004, 2026)
+
+
+def examined(pages: DataFrame) -> DataFrame:
+    """url, doc_id, title, content, property columns, year_published and outcome of each page (url, html) with a url.
+
+    outcome: ``failed`` without valid content, ``skipped translation``, ``skipped year``, else ``ingested``. What is cheap is looked at first, so
+    titles, numbers and properties are only made of pages that go on.
+    """
+    own = page_parts(pages.where("url is not null")).withColumn("doc_id", doc_id_from_url(F.col("url")))
+    text = F.col("content")
+    first = F.when(is_placeholder(text), "failed").when(is_translation(text, F.col("html")), "skipped translation").otherwise("ingested")
+    docs = computed(with_content(own), _first=first).drop("html")
+    on = lambda c: F.when(F.col("_first") == "ingested", c)
+    docs = computed(docs, page_title=on(title_of(F.col("doc_id"))), **{k: on(c) for k, c in metadata_of().items()})
+    docs = clean_documents(docs.select("doc_id", "url", F.col("page_title").alias("title"), "content", *metadata_of(), "_first"))
+    y = F.col("year_published")
+    year = (y <= 0) | y.between(*YEARS)
+    outcome = F.when(F.col("_first") != "ingested", F.col("_first")).when(F.col("_skip"), "failed").when(~year, "skipped year").otherwise("ingested")
+    return docs.withColumn("outcome", outcome).drop("_first", "_skip")
+
 
 def documents_of(pages: DataFrame) -> DataFrame:
     """Clean documents of pages (url, html): doc_id, url, title, content, property columns, year_published. Null urls go.
 
     Pages without valid content, translations, placeholders and years outside the range go; of documents with one id the smallest url stays.
     """
-    own = page_parts(pages.where("url is not null")).withColumn("doc_id", doc_id_from_url(F.col("url")))
-    docs = computed(with_content(own), page_title=title_of(F.col("doc_id")), **metadata_of())
-    kept = docs.where(~is_placeholder(F.col("content")) & ~is_translation(F.col("content"), F.col("html")))
-    own = kept.select("doc_id", "url", F.col("page_title").alias("title"), "content", *metadata_of())
-    good = year_filter(clean_documents(own).where("not _skip").drop("_skip"))
+    good = examined(pages).where("outcome = 'ingested'").drop("outcome")
     return good.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("url"))).where("_n = 1").drop("_n")
 
 
+def outcomes_of(pages: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """url, outcome of each page: as ``examined``, and ``duplicate`` where its document has the id, or number, date and signer, of an earlier or stored one."""
+    docs = examined(pages)
+    good = docs.where("outcome = 'ingested'")
+    first = good.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("url"))).where("_n = 1").drop("_n")
+    fresh = dedup_three_key(first, existing).select("url", F.lit(True).alias("_fresh"))
+    marked = docs.select("url", "outcome").join(fresh, "url", "left")
+    return marked.select("url", F.when((F.col("outcome") == "ingested") & F.col("_fresh").isNull(), "duplicate").otherwise(F.col("outcome")).alias("outcome"))
+
+
+def merge(existing: DataFrame, docs: DataFrame) -> DataFrame:
+    """``existing`` with the columns of documents of the same id replaced by those of ``docs``, and the new documents of ``docs``.
+
+    New ones that equal a stored document by number, date and signer go.
+    """
+    known = existing.select("doc_id").distinct()
+    new = dedup_three_key(docs.join(known, "doc_id", "left_anti"), existing)
+    return upsert(existing, docs.join(known, "doc_id", "left_semi").unionByName(new).withColumn("seq", F.lit(1)), "doc_id")
+
+
 def add_new(spark: SparkSession, pages: DataFrame, table_dir: str, batch: int) -> None:
-    """Documents of pages whose url the table lacks, deduplicated by number, date and signer against it, as the table's part ``batch``.
+    """Documents of pages into the table: new ones, and stored ones whose page has changed, as a new version of the table.
 
-    A batch that runs again replaces its own part, so each document is written once.
+    A version is a folder ``version=n`` with all documents; the last whole one is the table. A batch that runs again writes its own version
+    anew from the one before, so nothing is added twice.
     """
     docs = documents_of(pages.dropDuplicates(["url"]))
-    key = [F.coalesce("doc_number", "doc_id").alias("_number"), "issued_date", "signer"]
-    try:
-        known = spark.read.parquet(table_dir).where(F.col("batch") != batch)
-    except Exception as e:  # the first batch finds no table
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        known = docs.limit(0)
-    fresh = dedup_three_key(new_urls(docs, known)).withColumn("_number", F.coalesce("doc_number", "doc_id"))
-    fresh = fresh.join(known.select(*key).distinct(), ["_number", "issued_date", "signer"], "left_anti").join(known.select("doc_id").distinct(), "doc_id", "left_anti")
-    fresh.select(*docs.columns).write.mode("overwrite").parquet(f"{table_dir}/batch={batch}")
+    before = latest(spark, table_dir, batch)
+    whole = dedup_three_key(docs) if before is None else merge(before, docs)
+    whole.write.mode("overwrite").parquet(f"{table_dir}/version={batch}")
+
+
+def latest(spark: SparkSession, table_dir: str, before: int | None = None) -> DataFrame | None:
+    """The table's last whole version, or the last below ``before``; None if there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(table_dir)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    whole = sorted(int(n[8:]) for n in names if n.startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{table_dir}/{n}/_SUCCESS")))
+    whole = [n for n in whole if before is None or n < before]
+    return spark.read.parquet(f"{table_dir}/version={whole[-1]}") if whole else None
 
 
 def ingest_stream(spark: SparkSession, in_dir: str, table_dir: str, checkpoint: str, max_files: int = 1000) -> StreamingQuery:
-    """Reads Parquet files (url, html) that are new in in_dir and adds their documents to the table. The table is the only state."""
+    """Reads Parquet files (url, html) that are new in in_dir and upserts their documents into the table (see ``latest``). The table is the only state."""
     pages = spark.readStream.schema("url string, html string").option("maxFilesPerTrigger", max_files).parquet(in_dir)
 
     def one(batch: DataFrame, n: int) -> None:

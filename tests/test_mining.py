@@ -101,7 +101,7 @@ def test_amendments(spark):
     got = [(r.action, r.article, r.clause, r.point, r.special, r.old, r.new, r.content, r.target_doc_number) for r in A.extract_amendments(_docs(spark, text)).orderBy("line_start").collect()]
     target = "10/2012/QH13"
     assert got == [
-        ("amended", "9", "2a", "b", None, None, None, "mới", target), ("replaced_phrase", "4", "3", None, None, "cũ", "mới", "", target), ("abolished", None, None, None, "IV", None, None, "", target),
+        ("amended", "9", "2a", "b", None, None, None, "mới", target), ("replaced_phrase", "4", "3", None, None, "cũ", "mới", "", target), ("abolished", None, None, None, "PLIV", None, None, "", target),
     ]
 
 
