@@ -122,3 +122,11 @@ ENFORCEMENT = (
     r"|Chương\s+[IVXLCDM]+\s+ĐIỀU\s+KHOẢN\s+THI\s+HÀNH|Quyết\s+định\s+\(\s*điều\s+\d+\s*-\s*\d+\s*\)"
 )
 IN_FORCE = r"(?i)(?:quyết\s+định|thông\s+tư|nghị\s+định|văn\s+bản)\s+này\s+có\s+hiệu\s+lực"
+#: What opens the legal basis of an act.
+LEGAL_BASIS = r"(?i)^Căn cứ\s+(?:vào\s+)?(?:Luật|Pháp lệnh|Nghị quyết|Hiến pháp|Bộ luật)\s"
+#: Places of an act's text in a page, by id or class, in order; elements that are blocks; children that make a div no block of its own.
+CONTAINERS = [
+    ("id", "toanvancontent"), ("class", "content1"), ("id", "fulltext"), ("class", "content"), ("id", "ctl00_Content_ThongTinVB_pnlDocContent"), ("class", "detail-content"), ("class", "fulltext"), ("id", "ToFullText"),
+]
+BLOCKS = ["p", "table", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "hr", "pre", "blockquote", "div"]
+INNER_BLOCKS = ["p", "table", "h1", "h2", "h3", "h4", "ul", "ol"]

@@ -102,7 +102,7 @@ def effective_section(docs: DataFrame) -> DataFrame:
 
     A paragraph over 2000 characters is narrowed to its article, if it has one, else to the first article with a word of force.
     """
-    return sections(docs.select("doc_id", "content"))
+    return sections(docs.select("doc_id", "content")).drop("content")
 
 
 def cross_number(text: Column) -> Column:

@@ -22,10 +22,11 @@ HEAD, BODY = "\ue000", "\ue001"
 DEPTH = {k: d for k, d, _ in W.SECTIONS} | {"title_section": 0}
 
 
-def classify_lines(docs: DataFrame) -> DataFrame:
+def classify_lines(docs: DataFrame, legal_basis: bool = False) -> DataFrame:
     """doc_id, line_no, section_type, number, text: each line that isn't blank, without markdown marks.
 
-    section_type is a section's kind, title_section (only before the first chapter, section or article), signing or body.
+    section_type is a section's kind, title_section (only before the first chapter, section or article), signing or body; with legal_basis also
+    that, for lines 'Căn cứ …' before the first chapter, section or article.
     """
     lines = docs.select("doc_id", F.posexplode(F.split("content", "\n")).alias("line_no", "raw")).withColumn("raw", strip(F.col("raw"))).where("raw <> ''")
     plain = F.regexp_replace(F.regexp_replace("raw", r"\*\*", ""), r"\\([.\-+])", "$1")
@@ -38,20 +39,21 @@ def classify_lines(docs: DataFrame) -> DataFrame:
     title = F.length("raw").between(3, 120) & F.upper("raw").rlike(UNI + W.TITLES) & ~F.col("_begun")
     lines = lines.withColumn("_begun", begun)
     signing = F.when(F.col("text").rlike(UNI + W.SIGNING), "signing").otherwise("body")
-    return lines.select("doc_id", "line_no", F.coalesce("_k", F.when(title, "title_section"), signing).alias("section_type"), blank_to_null(number).alias("number"), "text")
+    basis = F.when(F.lit(legal_basis) & F.col("text").rlike(UNI + W.LEGAL_BASIS) & ~F.col("_begun"), "legal_basis")
+    return lines.select("doc_id", "line_no", F.coalesce("_k", F.when(title, "title_section"), basis, signing).alias("section_type"), blank_to_null(number).alias("number"), "text")
 
 
 def _depth(kind: Column) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for kv in DEPTH.items() for x in kv])[kind], F.lit(LEAF))
 
 
-def section_tree(docs: DataFrame) -> DataFrame:
+def section_tree(docs: DataFrame, legal_basis: bool = False) -> DataFrame:
     """doc_id, node_id, parent_id (null: top), depth, section_type, number, heading, content: own lines of each section.
 
     Body lines belong to the section before them; those before any section are its header.
     """
     by_line = Window.partitionBy("doc_id").orderBy("line_no")
-    lines = classify_lines(docs).withColumn("_first", F.row_number().over(by_line) == 1)
+    lines = classify_lines(docs, legal_basis).withColumn("_first", F.row_number().over(by_line) == 1)
     lines = lines.withColumn("section_type", F.when(F.col("_first") & (F.col("section_type") == "body"), "header").otherwise(F.col("section_type")))
     starts = (F.col("section_type") != "body").cast("int")
     run = by_line.rowsBetween(Window.unboundedPreceding, 0)
@@ -62,7 +64,7 @@ def section_tree(docs: DataFrame) -> DataFrame:
     nodes = nodes.select("doc_id", "node_id", "section_type", "number", F.when(F.col("section_type") == "header", "").otherwise(F.col("text")).alias("heading"), F.array_join(text(F.col("_l")), "\n").alias("content"))
     nodes = nodes.withColumn("depth", _depth(F.col("section_type")))
     by_node = Window.partitionBy("doc_id").orderBy("node_id")
-    reset = F.col("section_type").isin("title_section", "phu_luc")
+    reset = F.col("section_type").isin("title_section", "phu_luc", "legal_basis")
     nodes = nodes.withColumn("_epoch", F.sum(reset.cast("int")).over(by_node.rowsBetween(Window.unboundedPreceding, 0)))
     earlier = Window.partitionBy("doc_id", "_epoch").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
     last = [F.max(F.when(F.col("depth") == d, F.col("node_id"))).over(earlier) for d in range(5)]
@@ -72,6 +74,11 @@ def section_tree(docs: DataFrame) -> DataFrame:
     return nodes.select("doc_id", "node_id", parent.alias("parent_id"), "depth", "section_type", "number", "heading", "content")
 
 
+def html_sections(blocks: DataFrame) -> DataFrame:
+    """The section tree of pages (url, content: their blocks as lines, see sources.html.block_text), with url as doc_id; 'Căn cứ …' is legal_basis."""
+    return section_tree(blocks.select(F.col("url").alias("doc_id"), "content"), legal_basis=True)
+
+
 def rolled_up(nodes: list[tuple[int, int | None, str]]) -> dict[int, str]:
     """Content of each node (id, parent, content; ids in order of the text) with that of its children, where not already in it, from the bottom up."""
     content = {i: t for i, _, t in nodes}

@@ -109,7 +109,7 @@ QUERIES = {
     "i9_merge_law": lambda s, d: R.merge_law(R.detect_topics(_contracts(s, d)), _topic_law(s, d)),
     "i10_format_context": _contract_context,
     "j1_clause_prompts": _prompts,
-    "j6_top_actions": lambda s, d: R.top_actions(view(s, d, "llm_responses").select("contract_id", F.split("response", '"').alias("actions"))),
+    "j6_top_actions": lambda s, d: R.top_actions(K.parse_responses(view(s, d, "llm_responses")).groupBy("contract_id").agg(F.array_sort(F.collect_list(F.concat(F.lit("Sửa "), "clause_ref", F.lit(": "), "issue"))).alias("actions"))),
     "j7_evaluations_payload": lambda s, d: R.evaluations_payload(K.parse_responses(view(s, d, "llm_responses")).select("contract_id", "pos", "clause_ref", "severity", "issue")),
     "j9_chat_context": _chat,
     "j10_source_clauses": lambda s, d: _clause_hits(s, d).select("question_id", F.array_join("clauses", "|").alias("clauses")),
@@ -146,6 +146,20 @@ ORACLES: dict[str, str] = {
     "d4_cap_documents": f"{_RAW} select doc_id from raw where length(title) % 7 <= 3 order by doc_id limit 50",
     "e1_detect_category": f"{_RAW} select doc_id, case {_CATEGORY} else 'Khác' end as category from raw",
     "e10_expiry_date": f"{_RAW} select doc_id, '2030-' || lpad(cast(length(title) % 12 + 1 as varchar), 2, '0') || '-01' as expiry_date from raw",
+    "e4_header_section": f"{_RAW} select doc_id, substring(trim(regexp_replace(split_part(content, 'Điều 1.', 1), '[ ' || chr(10) || ']+', ' ', 'g')), 1, 500) as header from raw",
+    "e5_effective_section": f"""{_RAW} select doc_id, case when contains(content, 'Điều 1.') then replace('Điều 1.' || split_part(split_part(content, 'Điều 1.', 2), chr(10) || 'Điều 2.', 1), ' ' || chr(10), chr(10)) end as article_text,
+      case when contains(content, 'Điều 1.') then trim(content, ' ' || chr(10)) else '' end as section_text from raw""",
+    "g4_rollup_content": f"""{_TREE}, lv5 as (select * from tree where depth = 5),
+      lv4 as (select t.* replace (t.content || coalesce((select string_agg(chr(10) || d.content, '' order by d.node_id) from lv5 d where d.doc_id = t.doc_id and d.parent_id = t.node_id), '') as content) from tree t where depth = 4),
+      lv3 as (select t.* replace (t.content || coalesce((select string_agg(chr(10) || k.content, '' order by k.node_id) from lv4 k where k.doc_id = t.doc_id and k.parent_id = t.node_id), '') as content) from tree t where depth = 3),
+      lv1 as (select t.* replace (t.content || coalesce((select string_agg(chr(10) || a.content, '' order by a.node_id) from lv3 a where a.doc_id = t.doc_id and a.parent_id = t.node_id), '') as content) from tree t where depth = 1)
+      select * from lv5 union all select * from lv4 union all select * from lv3 union all select * from lv1 union all select * from tree where depth not in (1, 3, 4, 5)""",
+    "g6_document_chunks": f"""{_TREE}, chunks as (select *, row_number() over (partition by doc_id order by node_id) - 1 as chunk_index from tree)
+      select doc_id, chunk_index, case when heading = 'Điều 2. Hiệu lực thi hành' then 'enforcement' else section_type end as section_type, content as chunk_text, doc_id || '-' || cast(chunk_index as varchar) as chunk_ref from chunks""",
+    "g9_clause_dicts": f"""{_CON}, p as (select contract_id, generate_subscripts(string_split(text, chr(10) || 'Điều '), 1) - 1 as pos, unnest(string_split(text, chr(10) || 'Điều ')) as piece from c)
+      select contract_id, pos, case when pos = 0 then '0' else regexp_extract(piece, '^([0-9]+)', 1) end as clause_number, case when pos = 0 then trim(piece, ' ' || chr(10)) else chr(10) || 'Điều ' || rtrim(piece, ' ' || chr(10)) end as text from p""",
+    "j6_top_actions": f"""with resp as ({view_sql('llm_responses')}), t as (select contract_id, regexp_extract(response, '\\{{[^}}]*\\}}') as t from resp), a as (select contract_id, list_sort(list('Sửa ' || json_extract_string(t, '$.clause_ref') || ': ' || json_extract_string(t, '$.issue')))[1:5] as l from t where t <> '' group by 1)
+      select contract_id, generate_subscripts(l, 1) - 1 as pos, unnest(l) as issue, 'info' as severity from a""",
     "g1_classify_lines": f"{_LINES} select doc_id, line_no, section_type, {_NUMBER} as number, text from k",
     "g2_section_tree": f"{_TREE} select * from tree",
     "h4_finance": rf"{_CON} select contract_id, regexp_extract(text, 'Lương cơ bản: ([^\n]+)', 1) as contract_value, null as payment_method, null as payment_terms from c",

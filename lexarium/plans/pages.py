@@ -32,7 +32,11 @@ def _registry(s, d):
     return S.contract_registry(_files(s, d), G.chunk_by_clause(view(s, d, "contracts")))
 
 
+#: Derived pages with a legal basis, a chapter in a div and an article in a list.
+NESTED = "replace(html, '<p>Điều 1. Phạm vi</p>', '<p>Căn cứ Luật số '||regexp_extract(url, '-([0-9]+)[.]aspx', 1)||' năm 2015</p><div><p>Chương I</p></div><ul><li>Điều '||regexp_extract(url, '-([0-9]+)[.]aspx', 1)||'. Phạm vi</li></ul>')"
+
 QUERIES = {
+    "g3_html_sections": lambda s, d: G.html_sections(P.block_text(_legal(s, d).select("url", F.expr(NESTED).alias("html")))),
     "a1_load_pages": lambda s, d: S.load_pages(s, f"{d}/pages.parquet").select("url", F.length("html").alias("n")),
     "a2_contract_registry": _registry,
     "a4_upsert_contracts": lambda s, d: S.upsert_contracts(
@@ -59,5 +63,10 @@ ORACLES: dict[str, str] = {
     "b4_extract_content": f"{_P} select url, 'Điều 1. Phạm vi' || chr(10) || rtrim(repeat('Nội dung. ', 20)) || ' ' as content from p",
     "b7_html_metadata": f"{_P} select url, {_NUM} as doc_number, {_SIGNER} as signer from p",
     "b9_site_parse": f"{_P} select url, {_NUM} as doc_number, {_SIGNER} as signer, regexp_extract(html, '<title>(.*)</title>', 1) as title, 'Điều 1. Phạm vi' || chr(10) || rtrim(repeat('Nội dung. ', 20)) as content, null as year_published from p",
+    "g3_html_sections": f"""{_P}, k as (select url, regexp_extract(url, '-([0-9]+)[.]aspx', 1) as k from p)
+      select url as doc_id, 1 as node_id, null as parent_id, 99 as depth, 'legal_basis' as section_type, null as number, 'Căn cứ Luật số ' || k || ' năm 2015' as heading, 'Căn cứ Luật số ' || k || ' năm 2015' as content from k
+      union all select url, 2, null, 1, 'chuong', 'I', 'Chương I', 'Chương I' from k union all select url, 3, 2, 3, 'dieu', k, 'Điều ' || k || '. Phạm vi', 'Điều ' || k || '. Phạm vi' from k
+      union all select url, 4, 2, 3, 'dieu', k, 'Điều ' || k || '. Phạm vi', 'Điều ' || k || '. Phạm vi' || chr(10) || rtrim(repeat('Nội dung. ', 20)) from k""",
+    "k1_documents_of": f"{_P} select regexp_extract(url, 'van-ban/(.*)[.]aspx', 1) as doc_id, 'Nghị định ' || regexp_extract(url, '-([0-9]+)[.]aspx', 1) as title, {_NUM} as doc_number, {_SIGNER} as signer, 0 as year_published from p",
     "d1_new_urls": f"{_P} select distinct '{BASE}' || regexp_extract(html, 'href=\"([^\"]+)\"', 1) as url from p",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -108,6 +109,67 @@ def page_parts(pages: DataFrame, panels: list[str] | None = None) -> DataFrame:
     return pages.select("url", "html").mapInArrow(run, f"url string, html string, {PARTS}")
 
 
+class _Blocks(HTMLParser):
+    """Block elements in the order in which they begin, with their texts and the containers they are in."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.blocks: list[dict] = []
+        self.open: list[tuple[str, dict | None, frozenset]] = []
+
+    def handle_starttag(self, tag, attrs):
+        at = dict(attrs)
+        within = self.open[-1][2] if self.open else frozenset()
+        block = {"text": [], "in": within, "outer": False} if tag in W.BLOCKS else None
+        if block:
+            self.blocks.append(block)
+            if tag in W.INNER_BLOCKS and self.open and self.open[-1][0] == "div" and self.open[-1][1]:
+                self.open[-1][1]["outer"] = True
+        if tag not in VOID:
+            own = {("id", at.get("id")), *(("class", c) for c in (at.get("class") or "").split())} & set(W.CONTAINERS)
+            self.open.append((tag, block, within | own | ({("tag", "body")} if tag == "body" else set())))
+
+    def handle_endtag(self, tag):
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i][0] == tag:
+                del self.open[i:]
+                return
+
+    def handle_data(self, data):
+        if data.strip() and not SKIPPED.intersection(o[0] for o in self.open):
+            for _, block, _ in self.open:
+                if block:
+                    block["text"].append(" ".join(data.split()))
+
+
+def block_lines(html: str) -> list[str]:
+    """Texts of the blocks of the first container with any, else of the body; of a text without tags its lines.
+
+    Nested blocks are read one by one, so the text of a list and of its items comes twice; a div with a block as a child isn't a block.
+    """
+    if not re.search(r"<\s*[a-zA-Z_/]", html or ""):
+        return (html or "").split("\n")
+    page = _Blocks()
+    page.feed(html)
+    page.close()
+    kept = [("".join(b["text"]), b["in"]) for b in page.blocks if b["text"] and not b["outer"]]
+    for place in [*W.CONTAINERS, ("tag", "body")]:
+        if own := [t for t, within in kept if place in within]:
+            return own
+    return []
+
+
+def block_text(pages: DataFrame) -> DataFrame:
+    """url, content: the blocks of each page as lines."""
+
+    def run(batches):
+        for b in batches:
+            lines = ["\n".join(block_lines(h)) for h in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lines, pa.string())], names=["url", "content"])
+
+    return pages.select("url", "html").mapInArrow(run, "url string, content string")
+
+
 def _squeezed(s: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(s, rf"{UNI}\n\s*\n", "\n\n"), " +", " ")
 

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from ..functions.cleaning import computed, is_placeholder, is_translation
 from ..functions.text import doc_id_from_url
-from ..operators.corpus import clean_documents, dedup_three_key, upsert
+from ..operators.corpus import clean_documents, dedup_three_key
 from ..sources.html import metadata_of, page_parts, title_of, with_content
 
 #: Years of documents that are taken; unknown ones are too.
@@ -54,40 +54,48 @@ def outcomes_of(pages: DataFrame, existing: DataFrame | None = None) -> DataFram
     return marked.select("url", F.when((F.col("outcome") == "ingested") & F.col("_fresh").isNull(), "duplicate").otherwise(F.col("outcome")).alias("outcome"))
 
 
-def merge(existing: DataFrame, docs: DataFrame) -> DataFrame:
-    """``existing`` with the columns of documents of the same id replaced by those of ``docs``, and the new documents of ``docs``.
+def stored(spark: SparkSession, table_dir: str, besides: int | None = None) -> DataFrame | None:
+    """All rows ever written to the table but those of the batch ``besides``; None if there are none."""
+    try:
+        rows = spark.read.parquet(table_dir)
+    except Exception as e:  # the first batch finds no table
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        return None
+    return rows if besides is None else rows.where(F.col("batch") != besides)
 
-    New ones that equal a stored document by number, date and signer go.
+
+def current(rows: DataFrame) -> DataFrame:
+    """Of each document the row of the last batch. Only ids are grouped."""
+    last = rows.groupBy("doc_id").agg(F.max("batch").alias("batch"))
+    return rows.join(last, ["doc_id", "batch"], "left_semi")
+
+
+def changes(docs: DataFrame, rows: DataFrame | None) -> DataFrame:
+    """What ``docs`` adds to the stored ``rows``: documents of new ids that equal none by number, date and signer, and those whose row has changed.
+
+    docs has a column row_hash; of the stored rows only slim columns are read.
     """
-    known = existing.select("doc_id").distinct()
-    new = dedup_three_key(docs.join(known, "doc_id", "left_anti"), existing)
-    return upsert(existing, docs.join(known, "doc_id", "left_semi").unionByName(new).withColumn("seq", F.lit(1)), "doc_id")
+    if rows is None:
+        return dedup_three_key(docs)
+    slim = current(rows.select("doc_id", "batch", "row_hash", "doc_number", "issued_date", "signer"))
+    known = slim.select("doc_id", F.col("row_hash").alias("_was"))
+    changed = docs.join(known, "doc_id").where("row_hash <> _was").select(*docs.columns)
+    return dedup_three_key(docs.join(known, "doc_id", "left_anti"), slim).unionByName(changed)
 
 
 def add_new(spark: SparkSession, pages: DataFrame, table_dir: str, batch: int) -> None:
-    """Documents of pages into the table: new ones, and stored ones whose page has changed, as a new version of the table.
+    """Documents of pages that are new, or whose page has changed, as the table's part ``batch``; ``current`` gives the table as it is now.
 
-    A version is a folder ``version=n`` with all documents; the last whole one is the table. A batch that runs again writes its own version
-    anew from the one before, so nothing is added twice.
+    A batch that runs again replaces its own part, so each change is written once. Nothing that is stored is written again.
     """
     docs = documents_of(pages.dropDuplicates(["url"]))
-    before = latest(spark, table_dir, batch)
-    whole = dedup_three_key(docs) if before is None else merge(before, docs)
-    whole.write.mode("overwrite").parquet(f"{table_dir}/version={batch}")
-
-
-def latest(spark: SparkSession, table_dir: str, before: int | None = None) -> DataFrame | None:
-    """The table's last whole version, or the last below ``before``; None if there is none."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(table_dir)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-    whole = sorted(int(n[8:]) for n in names if n.startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{table_dir}/{n}/_SUCCESS")))
-    whole = [n for n in whole if before is None or n < before]
-    return spark.read.parquet(f"{table_dir}/version={whole[-1]}") if whole else None
+    docs = docs.withColumn("row_hash", F.xxhash64(*docs.columns))
+    changes(docs, stored(spark, table_dir, batch)).write.mode("overwrite").parquet(f"{table_dir}/batch={batch}")
 
 
 def ingest_stream(spark: SparkSession, in_dir: str, table_dir: str, checkpoint: str, max_files: int = 1000) -> StreamingQuery:
-    """Reads Parquet files (url, html) that are new in in_dir and upserts their documents into the table (see ``latest``). The table is the only state."""
+    """Reads Parquet files (url, html) that are new in in_dir and adds their new and changed documents to the table. The table is the only state."""
     pages = spark.readStream.schema("url string, html string").option("maxFilesPerTrigger", max_files).parquet(in_dir)
 
     def one(batch: DataFrame, n: int) -> None:

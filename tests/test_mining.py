@@ -139,3 +139,109 @@ def test_context_holds_whole_chunks(spark):
     context = dict(__spark_entry__.queries()["i10_format_context"](spark, at).collect())
     chunks = [r for r in view(spark, at, "kb_chunks").where("trim(chunk_text) <> ''").select("doc_id", "chunk_text").collect() if r.doc_id in context]
     assert max(len(r.chunk_text) for r in chunks) > 40 and all(r.chunk_text[:3000] in context[r.doc_id] for r in chunks)
+
+
+def test_changed_pages_replace_their_documents(spark, tmp_path):
+    from lexarium.streaming import ingest as I
+
+    text = "Điều 1. Phạm vi điều chỉnh của nghị định này. " * 10
+    page = lambda n, more="": (f"https://e.org/van-ban/Nghi-dinh-{n}.aspx", f'<title>Nghị định {n}</title><div id="toanvancontent"><p>{text}{more}</p></div>')
+    make = lambda *rows: spark.createDataFrame(list(rows), "url string, html string")
+    at = str(tmp_path / "table")
+    I.add_new(spark, make(page(1), page(2)), at, 0)
+    I.add_new(spark, make(page(1), page(2, "Sửa đổi"), page(3)), at, 1)
+    I.add_new(spark, make(page(1), page(2, "Sửa đổi"), page(3)), at, 1)  # runs again
+    I.add_new(spark, make(page(3)), at, 2)
+    rows = I.stored(spark, at)
+    assert rows.count() == 4
+    now = {r.doc_id: r.content for r in I.current(rows).collect()}
+    assert len(now) == 3 and now["Nghi-dinh-2"].endswith("Sửa đổi") and not now["Nghi-dinh-1"].endswith("Sửa đổi")
+
+
+def test_amendments_of_every_kind(spark):
+    text = "\n".join([
+        "Luật sửa đổi, bổ sung một số điều của Luật số 5/2010/QH12", "1. Bãi bỏ khoản 1 Điều 2; bãi bỏ khoản 3 Điều 4", "2. Sửa đổi, bổ sung khoản 1, khoản 2 và khoản 3a Điều 5", "mới",
+        "3. Sửa đổi, bổ sung một số khoản của Điều 9", "a) Sửa đổi, bổ sung khoản 1", "nội dung một", "b) Sửa đổi, bổ sung khoản 2", "nội dung hai",
+        "4. Sửa đổi, bổ sung một số số thứ tự của Phụ lục IV", "a) Bổ sung số thứ tự 12 vào sau số thứ tự 11", "b) Bãi bỏ ngành, nghề tại số thứ tự 7",
+        "5. Sửa đổi, bổ sung Điều 7", "6. Sửa đổi, bổ sung Điều 7", "7. Nghị định số 3/2001/NĐ-CP hết hiệu lực, trừ Điều 4 và Điều 6. Hết",
+    ])
+    rows = A.extract_amendments(_docs(spark, text)).collect()
+    got = sorted((r.line_start, r.action, r.article or "", r.clause or "", r.special or "", r.content) for r in rows if r.action != "abolished_partial")
+    assert got == [
+        (1, "abolished", "2", "1", "", ""), (1, "abolished", "4", "3", "", ""), (2, "amended", "5", "1", "", "mới"), (2, "amended", "5", "2", "", "mới"), (2, "amended", "5", "3a", "", "mới"),
+        (4, "amended", "9", "1", "", "nội dung một"), (4, "amended", "9", "2", "", "nội dung hai"), (9, "abolished", "", "", "PLIV.7", ""), (9, "supplemented", "", "", "PLIV.12", ""), (12, "amended", "7", "", "", ""),
+    ]
+    assert sorted((r.target_doc_number, r.article) for r in rows if r.action == "abolished_partial") == [("3/2001/NĐ-CP", "4"), ("3/2001/NĐ-CP", "6")]
+
+
+@pytest.mark.parametrize(
+    "text, issued, want",
+    [
+        ("có hiệu lực từ ngày 01/07/2026", None, "2026-07-01"), ("x\n\ncó hiệu lực kể từ ngày ký", "15/03/2020", "2020-03-15"), ("thông qua ngày 28 tháng 11 năm 2013", None, "2013-11-28"),
+        ("Điều 3. Hiệu lực thi hành\ncó hiệu lực kể từ ngày 2-3-2024", None, "2024-03-02"), ("có hiệu lực từ ngày ban hành", "2019-05-06", "2019-05-06"), ("có hiệu lực kể từ ngày ký", "2019", None),
+        ("có hiệu lực kể từ ngày Luật số 20/2026/QH15 có hiệu lực, 1/1/2020", None, None), ("sau 45 ngày kể từ ngày ký", "2020-01-01", "2020-02-15"), ("không", "2020-01-01", None),
+    ],
+)
+def test_entry_into_force(spark, text, issued, want):
+    docs = spark.createDataFrame([("a", text, issued)], "doc_id string, content string, issued_date string")
+    assert D.effective_date(docs).first().effective_date == want
+
+
+def test_long_paragraphs_are_narrowed(spark):
+    long = "\n".join(["mở đầu " * 400, "Điều 1 Phạm vi", "chung", "Điều 2 Khác", "bắt đầu thi hành khi đủ điều kiện", "Điều 3 Cuối", "hết"])
+    row = D.effective_section(_docs(spark, long)).first()
+    assert row.article_text is None and row.section_text == "chung\nĐiều 2 Khác\nbắt đầu thi hành khi đủ điều kiện\nĐiều 3 Cuối"
+
+
+def test_statuses(spark):
+    from lexarium.operators import corpus as C
+
+    docs = spark.createDataFrame([("a", "2005-01-01", None), ("b", "2030-01-01", None), ("c", None, None), ("d", "2001-01-01", None), ("e", "2001-01-01", "2004-01-01"), ("f", "2001-01-01", None), ("g", "2030-01-01", None), ("h", "2001-01-01", None)], "doc_id string, effective_date string, expiry_date string")
+    edges = spark.createDataFrame([("a", "d", "replaces"), ("a", "a", "replaces"), ("a", "f", "amends_partial"), ("b", "a", "abolishes"), ("a", "h", "amends")], "src_doc_id string, dst_doc_id string, relation_type string")
+    parts = spark.createDataFrame([("g", "2004-01-01"), ("h", "2030-01-01")], "doc_id string, effective_date string")
+    got = {r.doc_id: r.status_flag for r in C.status_flag(docs, edges, "2006-01-01", parts).collect()}
+    assert got == {"a": 1, "b": 3, "c": 0, "d": 2, "e": 2, "f": 4, "g": 5, "h": 5}
+
+
+def test_hints_break_ties(spark):
+    from lexarium.operators import corpus as C
+
+    docs = spark.createDataFrame([("1", "5/2001/NĐ-CP", "Bộ A", "2001-01-01"), ("2", "5/2001/ND-CP", "Bộ B", "2001-01-01"), ("3", "5/2001/NĐ-CP", "Bộ B", "2002-01-01"), ("4", None, "Bộ B", None)], "doc_id string, doc_number string, issuing_authority string, issued_date string")
+    cases = [("x", None, None, "1"), ("y", "bộ B", None, "2"), ("z", None, "2002-01-01", "3"), ("u", "Bộ B", "2002-01-01", "3"), ("v", "Bộ C", "1999-01-01", "1")]
+    edges = spark.createDataFrame([(i, "5/2001/NĐ-CP", "replaces", a, d) for i, a, d, _ in cases], "doc_id string, doc_number string, relation_type string, issuing_authority_hint string, old_issued_date string")
+    got = {r.src_doc_id: r.dst_doc_id for r in C.resolve_relations(edges, docs).collect()}
+    assert got == {i: w for i, _, _, w in cases}
+
+
+def test_parties_and_turns(spark):
+    from lexarium.operators import contracts as K
+
+    text = "BÊN A: (Chủ)\nCÔNG TY:\tABC \nĐịa chỉ: 1 phố X | p\nĐại diện: Ông Y\nBÊN B\nHọ tên: Nguyễn Z\tNam\nCMND: 123456789\n" + "x" * 300 + "\nĐịa chỉ: Ngõ 2\tĐiện thoại"
+    rows = {r.name: (r.role, r.address, r.tax_id, r.representative) for r in K.contract_parties(spark.createDataFrame([("a", text), ("b", "không"), ("c", None)], "contract_id string, text string")).collect()}
+    assert rows["ABC"] == ("Chủ", "1 phố X", None, "Ông Y")
+    assert rows["Nguyễn Z"][1:] == ("Ngõ 2", "123456789", None) and len(rows) == 2
+    turns = [("c", i, r, t) for i, (r, t) in enumerate([("user", "q0"), ("assistant", "a0"), ("user", "q1"), ("system", "s"), ("user", "q2"), ("assistant", "a2"), ("assistant", "a2b"), ("user", "q3")])]
+    got = {r.conv_id: r.history for r in K.last_turns(spark.createDataFrame(turns, "conv_id string, turn int, role string, text string"), 3).collect()}
+    assert got == {"c": "User: q1\nAssistant: \nUser: q2\nAssistant: a2\nUser: q3\nAssistant: "}
+
+
+def test_search_in_blocks(spark, monkeypatch):
+    """Small blocks, ties and null vectors: the same as all pairs."""
+    import numpy as np
+
+    from lexarium.operators import contracts as K
+
+    monkeypatch.setattr(K, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(K, "VECTOR_BLOCK", 7)
+    rng = np.random.default_rng(1)
+    vectors = [(i, int(i % 3), [float(x) for x in rng.integers(-2, 3, 3)]) for i in range(50)] + [(99, 0, None)]
+    df = spark.createDataFrame(vectors, "vec_id long, label int, embedding array<double>")
+    q = df.where("vec_id % 5 = 0").withColumnRenamed("vec_id", "query_id")
+    for got, same in ((K.knn(q.drop("label"), df, 4, -9.0), False), (K.knn_filtered(q, df, "label", 4, -9.0), True)):
+        want = set()
+        for i, g, a in vectors:
+            if i % 5 == 0 and a is not None:
+                order = sorted((-sum(x * y for x, y in zip(a, b)), j) for j, h, b in vectors if b is not None and (h == g or not same))
+                want |= {(i, j, n + 1, -s) for n, (s, j) in enumerate(order[:4])}
+        assert {(r.query_id, r.vec_id, r["rank"], r.score) for r in got.collect()} == want
+    assert K.knn(q.drop("label").limit(0), df).count() == 0 and K.knn(q.drop("label"), df.limit(0)).count() == 0
