@@ -65,7 +65,7 @@ def fix_doc_type(kind: Column, title: Column, url: Column) -> Column:
 
 def detect_category(title: Column) -> Column:
     """Category of the first phrase, in the fixed order, that the title holds; else the other one."""
-    table = [("|".join(p.replace(" ", r"\s*") for p in phrases), label) for label, phrases in W.CATEGORIES.items()]
+    table = [(phrase.replace(" ", r"\s*"), label) for phrase, label in W.CATEGORIES]
     return F.coalesce(first_of(F.lower(title), table), F.lit(W.OTHER_CATEGORY))
 
 

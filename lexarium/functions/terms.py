@@ -1,35 +1,55 @@
 """Word lists, labels and patterns of Vietnamese legal text."""
 
-#: Categories in the order in which a title is tried, and the phrases of each. Spaces in a phrase may be missing or many.
-CATEGORIES = {
-    "Hình sự": ["hình sự"],
-    "Hành chính": ["hành chính"],
-    "Dân sự": ["dân sự"],
-    "Tố tụng": ["tố tụng"],
-    "Tư pháp - Hộ tịch": ["tư pháp", "hộ tịch"],
-    "Quốc phòng - An ninh": ["quốc phòng", "an ninh"],
-    "Doanh nghiệp": ["doanh nghiệp"],
-    "Đầu tư": ["đầu tư"],
-    "Thương mại": ["thương mại"],
-    "Tài chính - Ngân hàng": ["tài chính", "ngân hàng"],
-    "Thuế - Phí - Lệ phí": ["thuế", "phí lệ phí"],
-    "Kế toán - Kiểm toán": ["kế toán", "kiểm toán"],
-    "Xuất nhập khẩu - Hải quan": ["xuất nhập khẩu", "hải quan"],
-    "Sở hữu trí tuệ": ["sở hữu trí tuệ"],
-    "Lao động - Tiền lương": ["lao động", "tiền lương"],
-    "Bảo hiểm": ["bảo hiểm"],
-    "Y tế - Sức khỏe": ["y tế", "sức khỏe"],
-    "Giáo dục - Đào tạo": ["giáo dục", "đào tạo"],
-    "Văn hóa - Thể thao - Du lịch": ["văn hóa", "thể thao", "du lịch"],
-    "Cán bộ - Công chức - Viên chức": ["cán bộ", "công chức", "viên chức"],
-    "Đất đai - Nhà ở": ["đất đai", "nhà ở"],
-    "Xây dựng - Đô thị": ["xây dựng", "đô thị"],
-    "Giao thông - Vận tải": ["giao thông", "vận tải"],
-    "Tài nguyên - Môi trường": ["tài nguyên", "môi trường"],
-    "Nông nghiệp - Lâm nghiệp - Thủy sản": ["nông nghiệp", "lâm nghiệp", "thủy sản"],
-    "Công nghệ thông tin - An ninh mạng": ["công nghệ thông tin", "an ninh mạng"],
-    "Cư trú": ["cư trú"],
-}
+#: Phrases in the order in which a title is tried, and their categories. Spaces in a phrase may be missing or many.
+CATEGORIES = [
+    ("hình sự", "Hình sự"),
+    ("hành chính", "Hành chính"),
+    ("dân sự", "Dân sự"),
+    ("tố tụng", "Tố tụng"),
+    ("tư pháp", "Tư pháp - Hộ tịch"),
+    ("hộ tịch", "Tư pháp - Hộ tịch"),
+    ("quốc phòng", "Quốc phòng - An ninh"),
+    ("an ninh", "Quốc phòng - An ninh"),
+    ("doanh nghiệp", "Doanh nghiệp"),
+    ("đầu tư", "Đầu tư"),
+    ("thương mại", "Thương mại"),
+    ("tài chính", "Tài chính - Ngân hàng"),
+    ("ngân hàng", "Tài chính - Ngân hàng"),
+    ("thuế", "Thuế - Phí - Lệ phí"),
+    ("phí lệ phí", "Thuế - Phí - Lệ phí"),
+    ("kế toán", "Kế toán - Kiểm toán"),
+    ("kiểm toán", "Kế toán - Kiểm toán"),
+    ("xuất nhập khẩu", "Xuất nhập khẩu - Hải quan"),
+    ("hải quan", "Xuất nhập khẩu - Hải quan"),
+    ("sở hữu trí tuệ", "Sở hữu trí tuệ"),
+    ("lao động", "Lao động - Tiền lương"),
+    ("tiền lương", "Lao động - Tiền lương"),
+    ("bảo hiểm", "Bảo hiểm"),
+    ("y tế", "Y tế - Sức khỏe"),
+    ("sức khỏe", "Y tế - Sức khỏe"),
+    ("giáo dục", "Giáo dục - Đào tạo"),
+    ("đào tạo", "Giáo dục - Đào tạo"),
+    ("văn hóa", "Văn hóa - Thể thao - Du lịch"),
+    ("thể thao", "Văn hóa - Thể thao - Du lịch"),
+    ("du lịch", "Văn hóa - Thể thao - Du lịch"),
+    ("cán bộ", "Cán bộ - Công chức - Viên chức"),
+    ("công chức", "Cán bộ - Công chức - Viên chức"),
+    ("viên chức", "Cán bộ - Công chức - Viên chức"),
+    ("đất đai", "Đất đai - Nhà ở"),
+    ("nhà ở", "Đất đai - Nhà ở"),
+    ("xây dựng", "Xây dựng - Đô thị"),
+    ("đô thị", "Xây dựng - Đô thị"),
+    ("giao thông", "Giao thông - Vận tải"),
+    ("vận tải", "Giao thông - Vận tải"),
+    ("tài nguyên", "Tài nguyên - Môi trường"),
+    ("môi trường", "Tài nguyên - Môi trường"),
+    ("nông nghiệp", "Nông nghiệp - Lâm nghiệp - Thủy sản"),
+    ("lâm nghiệp", "Nông nghiệp - Lâm nghiệp - Thủy sản"),
+    ("thủy sản", "Nông nghiệp - Lâm nghiệp - Thủy sản"),
+    ("công nghệ thông tin", "Công nghệ thông tin - An ninh mạng"),
+    ("an ninh mạng", "Công nghệ thông tin - An ninh mạng"),
+    ("cư trú", "Cư trú"),
+]
 OTHER_CATEGORY = "Khác"
 
 #: Kinds of documents, in the order in which a slug or title is tried.
@@ -83,9 +103,13 @@ CELL_LABELS = {
 SITE_SUFFIX = r"\s*[-–—]?\s*Thư\s*viện\s*Pháp\s*luật\s*$"
 
 #: Words that aren't keywords.
-STOPWORDS = """và của các có được cho trong với hoặc không theo tại về đến là này một những đã sẽ đang bị phải khi để từ ra lên xuống vào ở
-trên dưới cùng đều hay nếu thì do vì nên mà còn đây đó ấy nào sao thế vậy như cũng vẫn chỉ rất quá lắm hơn kém bằng nhưng tuy nhiên song cả hết
-gì hãy chớ đừng xin cần số ngày tháng năm điều khoản chương mục""".split()
+STOPWORDS = [
+    "và", "của", "các", "có", "được", "cho", "trong", "với", "hoặc", "không", "theo", "tại", "về", "đến", "là", "này",
+    "một", "những", "đã", "sẽ", "đang", "bị", "phải", "khi", "để", "từ", "ra", "lên", "xuống", "vào", "ở", "trên",
+    "dưới", "cùng", "đều", "hay", "nếu", "thì", "do", "vì", "nên", "mà", "còn", "đây", "đó", "ấy", "nào", "sao",
+    "thế", "vậy", "như", "cũng", "vẫn", "chỉ", "rất", "quá", "lắm", "hơn", "kém", "bằng", "nhưng", "tuy", "nhiên", "song",
+    "cả", "hết", "gì", "hãy", "chớ", "đừng", "xin", "cần", "số", "ngày", "tháng", "năm", "điều", "khoản", "chương", "mục",
+]
 
 #: Status of a document.
 STATUS = {0: "Chưa xác định", 1: "Còn hiệu lực", 2: "Hết hiệu lực", 3: "Sắp có hiệu lực", 4: "Hết hiệu lực một phần", 5: "Có hiệu lực một phần"}
