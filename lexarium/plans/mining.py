@@ -83,7 +83,7 @@ def _clause_hits(s, d):
 QUERIES = {
     "b6_content_checks": _doc_columns,
     "c1_fix_doc_number": lambda s, d: _raw(s, d).select("doc_id", L.fix_doc_number(F.col("doc_number"), F.col("content"), F.col("url")).alias("doc_number")),
-    "c2_fix_doc_type": lambda s, d: _raw(s, d).select("doc_id", L.fix_doc_type(F.lit(None).cast("string"), F.col("title"), F.col("url")).alias("doc_type")),
+    "c2_fix_doc_type": lambda s, d: _raw(s, d).select("doc_id", L.fix_doc_type(F.when(F.length("title") % 5 == 0, " Kế hoạch "), F.col("title"), F.when(F.length("title") % 2 == 0, F.col("url"))).alias("doc_type")),
     "c7_clean_documents": lambda s, d: C.clean_documents(_raw(s, d)),
     "c8_clean_footer": lambda s, d: _raw(s, d).select("doc_id", L.clean_footer(F.concat("content", F.lit("\n* Email x\nDecree No. 1"))).alias("content")),
     "d4_cap_documents": lambda s, d: C.cap_documents(_raw(s, d).withColumn("page", F.length("title") % 7), 50, 3, "doc_id").select("doc_id"),
@@ -142,6 +142,8 @@ ORACLES: dict[str, str] = {
         length(text) > 200 and len(list_filter(words, lambda x: regexp_full_match(x, '[a-zA-Z]+'))) > len(words) * 0.6 as translation,
         s = '' as placeholder, {" or ".join(f"contains(text, '{m}')" for m in W.FOOTER)} as garbage, length(s) as n from w""",
     "c1_fix_doc_number": rf"{_RAW} select doc_id, coalesce(nullif(regexp_replace(regexp_replace(replace(doc_number, ' ', ''), '-+', '-', 'g'), '/+', '/', 'g'), ''), nullif(regexp_extract(content, 'Số: ([^\s]+)', 1), ''), regexp_extract(url, 'dinh-([0-9]+)-', 1) || '/' || regexp_extract(url, 'dinh-[0-9]+-([0-9]+)-', 1) || '/ND-CP') as doc_number from raw",
+    "c2_fix_doc_type": f"{_RAW} select doc_id, case when length(title) % 5 = 0 then 'Kế hoạch' when length(title) % 2 = 0 then 'Nghị định' end as doc_type from raw",
+    "h5_clause_fields": f"""{_CON} select contract_id, trim(split_part(text, 'Chấm dứt' || chr(10), 2)) as indemnity, null as force_majeure, null as termination, null as penalty_clause, null as dispute_resolution, null as governing_law, null as confidentiality, null as severability, null as amendments from c""",
     "c8_clean_footer": f"{_RAW} select doc_id, trim(content, e' \\n') as content from raw",
     "d4_cap_documents": f"{_RAW} select doc_id from raw where length(title) % 7 <= 3 order by doc_id limit 50",
     "e1_detect_category": f"{_RAW} select doc_id, case {_CATEGORY} else 'Khác' end as category from raw",

@@ -16,7 +16,9 @@ from ..sources.fixtures import read, view, view_sql
 BASE = "https://example.org"
 #: What makes each raw document cite the day of another act; the number comes from the document.
 CITES = "content || chr(10) || 'Nghị định này có hiệu lực kể từ ngày Nghị định số ' || cast(length(title) % 9 + 1 as string) || '/2003/NĐ-CP có hiệu lực.'"
-TERM = "text || chr(10) || 'Từ ngày 01 tháng 02 năm 2024 đến ngày 03 tháng 04 năm 2025'"
+_D = "lpad(length(text) % 28 + 1, 2, '0')||'/'||(length(text) % 12 + 1)||'/'"
+#: Days of signing, start and end, made of the contract's length.
+TERM = f"text||chr(10)||'Hôm nay, ngày '||{_D}||'2023, hai bên ký'||chr(10)||'Từ ngày: '||{_D}||'2024'||chr(10)||'Đến ngày: '||{_D}||'2025'"
 
 
 def _clean(s, d):
@@ -50,7 +52,9 @@ _KEY = f"regexp_replace(translate(strip_accents(lower(%s)), '{T.ACCENTED}', '{T.
 _EFF = f"{_CLEAN}, eff as (select doc_id, doc_number, title, case {_NAMED} {_SIGNED} {_AFTER} end as effective_date from clean)"
 _CATEGORY = "when cast(substring(doc_id, 4) as integer) % 3 = 0 then 'Thuế - Phí - Lệ phí' when cast(substring(doc_id, 4) as integer) % 3 = 1 then 'Lao động - Tiền lương'"
 
+_DM = "lpad(cast(length(text) % 28 + 1 as varchar), 2, '0') || '/' || cast(length(text) % 12 + 1 as varchar) || '/'"
 ORACLES: dict[str, str] = {
+    "h3_contract_dates": f"{_CON} select contract_id, {_DM} || '2023' as execution_date, {_DM} || '2024' as start_date, {_DM} || '2025' as end_date from c",
     "b2_resolve_url": f"with p as ({view_sql('legal_pages')}) select url, '{BASE}' || regexp_extract(html, 'href=\"([^\"]+)\"', 1) as link from p",
     "c4_strip_invisible": r"select doc_id, md5(trim(regexp_replace(text, '[\x{feff}\x{200b}\x{200c}\x{200d}\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g'), e' \t\n\r')) as text_md5 from documents",
     "c6_fix_category": f"{_RAW} select doc_id, case when length(title) % 2 <> 0 then 'Thuế' {_CATEGORY} else 'Khác' end as category from raw",
