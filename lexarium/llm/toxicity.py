@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -100,18 +101,21 @@ class FactorizationMachine:
     @classmethod
     def fit(cls, rows: list[np.ndarray], y: np.ndarray, seed: int = 7) -> FactorizationMachine:
         """AdaGrad over mini-batches, with a penalty on weights and factors. Equal rows in equal order give equal models."""
-        flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        buckets, counts = np.unique(flat, return_counts=True)
-        hits = np.bincount(np.searchsorted(buckets, flat), np.repeat(y, [len(r) for r in rows]), len(buckets)) if len(flat) else counts
-        often = counts >= LEAST
-        active, counts, hits = buckets[often], counts[often], hits[often]
+        counts, hits = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS)
+        for i in range(0, len(rows), 512):  # some rows at a time: the sample is held once, as 32-bit numbers
+            part = rows[i : i + 512]
+            flat = np.concatenate(part)
+            counts += np.bincount(flat, minlength=BUCKETS)
+            hits += np.bincount(flat, np.repeat(y[i : i + 512], [len(r) for r in part]), BUCKETS)
+        active = np.flatnonzero(counts >= LEAST)
+        counts, hits = counts[active], hits[active]
         steps = np.where(_association(counts, hits, len(y), y.sum()) >= ASSOCIATION, FAST, SLOW)
         rate = min(max(float(y.mean()) if len(y) else 0.5, 1e-3), 1 - 1e-3)
         rng = np.random.default_rng(seed)
         m = cls(active, float(np.log(rate / (1 - rate))), np.zeros(len(active)), rng.normal(0, 0.02, (len(active), FACTORS)))
         if not len(active) or not 0 < y.mean() < 1:
             return m
-        own = [m._own(r) for r in rows]
+        own = [m._own(r).astype(np.int32) for r in rows]
         gw, gv, g0 = np.full(len(active), 1e-2), np.full((len(active), FACTORS), 1e-2), 1e-2
         for _ in range(EPOCHS):
             order = rng.permutation(len(rows))
@@ -157,16 +161,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
     def each(batch):
         yield batch_of(doc_id=batch.column(0), y=batch.column(2), terms=pa.array([terms(t).astype(np.int32).tobytes() for t in texts(batch)], pa.binary()))
 
-    found = within(arrow_map(sample(docs, labels, label, rows), each, "doc_id long, y int, terms binary"), "terms").toArrow().sort_by("doc_id")
-    return FactorizationMachine.fit([np.frombuffer(x.as_buffer(), np.int32) for x in found["terms"]], np.array(found["y"].to_pylist(), float))
+    found = within(arrow_map(sample(docs, labels, label, rows), each, "doc_id long, y int, terms binary"), "terms").toArrow()
+    order = np.argsort(found["doc_id"].to_numpy(), kind="stable")
+    terms_of = [np.frombuffer(x.as_buffer(), np.int32) for x in found["terms"]]
+    return FactorizationMachine.fit([terms_of[i] for i in order], found["y"].to_numpy()[order].astype(float))
 
 
 def scorer(model: FactorizationMachine):
     """A column function: text to score, 0 to 1."""
     @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        out = [model.score([terms(t) for t in part]) for part in groups([t or "" for t in text])]
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for text in parts:
+            out = [model.score([terms(t) for t in part]) for part in groups([t or "" for t in text])]
+            yield pd.Series(np.concatenate(out) if out else np.zeros(0))
+        _hashed.clear()  # workers stay; what they remember needn't
 
     return score
 
