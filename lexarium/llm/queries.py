@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, langid, ogg, packing, pii, quality, secrets, simhash, toxicity
+from . import bpe, exact_dedup, langid, merkle, ogg, packing, pii, quality, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_packing": packing.query,
     "op9_quality": quality.query,
     "op10_simhash": simhash.query,
+    "op12_merkle_manifest": merkle.query,
 }
 
-ORACLES = {"op1_exact_dedup": exact_dedup.SQL}
+ORACLES = {"op1_exact_dedup": exact_dedup.SQL, "op12_merkle_manifest": merkle.SQL}
