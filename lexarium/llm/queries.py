@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, langid, merkle, ogg, packing, pii, quality, secrets, simhash, toxicity
+from . import bpe, exact_dedup, langid, licences, merkle, mining, ogg, packing, pii, quality, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
@@ -15,7 +15,9 @@ QUERIES = {
     "op8_packing": packing.query,
     "op9_quality": quality.query,
     "op10_simhash": simhash.query,
+    "op11_license_scan": licences.query,
     "op12_merkle_manifest": merkle.query,
+    "op13_hard_negatives": mining.query,
 }
 
-ORACLES = {"op1_exact_dedup": exact_dedup.SQL, "op12_merkle_manifest": merkle.SQL}
+ORACLES = {"op1_exact_dedup": exact_dedup.SQL, "op11_license_scan": licences.SQL, "op12_merkle_manifest": merkle.SQL, "op13_hard_negatives": mining.SQL}
