@@ -154,7 +154,7 @@ def test_hard_negatives_odd_tables(spark):
     big = [(0, 1, [1 << 40, 1 << 40]), (1, 1, [1 << 20, 1]), (2, 2, [1 << 19, 0])]
     assert mine(big) == _mined(big)
     high = [(0, 1, [1 << 62]), (1, 1, [1 << 62]), (2, 2, [1])]
-    assert mine(high) == []  # 2^62 of 2^63 - 1 or less, and at least 30 hundredths of it
+    assert mine(high) == [(0, 1, 1, 2, (1 << 63) - 1, 1 << 62)]  # scores stay within a long
 
 
 def test_bounds_hold_and_prune():
