@@ -3,8 +3,8 @@
 Each vector is cut into 1, 4 and 16 segments; of each segment its mean and its deviation (the length of what is left without the mean)
 are stored beside the vector. The product of two segments lies within the means' product, plus or minus the deviations' product, so the
 sums bound the score. An anchor's candidates in a block are bounded coarsely first; those that can still be among the rows asked for are
-bounded by finer segments, and what is left then is scored exactly, in integers. Groups of anchors meet blocks of vectors, each pair in a
-group of its own; a block keeps only as many rows an anchor as can be in the answer, and a window over the anchor's rows merges the blocks.
+bounded by finer segments, and what is left then is scored exactly, in integers. Groups of anchors meet classes of blocks, each pair in a
+group of its own that keeps only as many rows an anchor as can be in the answer; a window over the anchor's rows merges the classes.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ BLOCK, GROUP, CLASS = 4096, 1024, 2
 SEGMENTS = (1, 4, 16)
 #: Integers are exact in a double below this.
 EXACT = 1 << 53
+#: Rows of a block that are scored before bounds of the finest segments exclude others.
+PROBE = 48
 
 
 def matrix(lists: pa.ListArray, dim: int) -> np.ndarray:
@@ -58,25 +60,50 @@ def products(vectors: np.ndarray, anchor: np.ndarray) -> np.ndarray:
     return np.array([min(max(sum(int(x) * y for x, y in zip(v, whole, strict=True)), -(1 << 63)), (1 << 63) - 1) for v in vectors], np.int64)
 
 
-def refined(block: list, anchor: list, at: np.ndarray, keep: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
-    """Of the block's rows ``at`` those that ``keep`` (of lower and upper bounds) leaves at each level of segments."""
-    for (means, devs), (mean, dev) in zip(block, anchor, strict=True):
-        if not len(at):
-            break
-        middle, reach = means[at] @ mean, devs[at] @ dev
-        reach += 0.01 + 1e-9 * (np.abs(middle) + reach)  # rounding of doubles never excludes a row
-        at = at[keep(middle - reach, middle + reach)]
-    return at
+class Goal:
+    """The first k rows whose score is from ``least`` to ``most``: higher scores first, ties by id, then by row."""
+
+    def __init__(self, least: float, most: float, k: int):
+        self.least, self.most, self.k = least, most, k
+        self.scores = self.ids = self.rows = np.zeros(0, np.int64)
 
+    def threshold(self) -> float:
+        return max(self.least, self.scores[-1]) if len(self.scores) == self.k else self.least
 
-def least_sure(lower: np.ndarray, k: int) -> float:
-    """The k-th largest of the lower bounds: a row whose upper bound is below it isn't among the first k."""
-    return np.partition(lower, -k)[-k] if len(lower) >= k else -np.inf
+    def add(self, scores: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
+        fit = (scores >= self.least) & (scores <= self.most)
+        all_ = [np.concatenate(x) for x in ((self.scores, scores[fit]), (self.ids, ids[fit]), (self.rows, rows[fit]))]
+        best = np.lexsort((all_[2], all_[1], -all_[0]))[: self.k]
+        self.scores, self.ids, self.rows = (x[best] for x in all_)
 
 
-def first(scores: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
-    """Places of the first k: higher scores first, ties by id, then by row."""
-    return np.lexsort((rows, ids, -scores))[:k]
+def search(goals: list[Goal], vector: np.ndarray, sums: list, block: tuple, at: np.ndarray) -> int:
+    """Brings the block's rows ``at`` to the goals; the number of rows that were scored exactly.
+
+    Level by level of segments rows go that no goal can take: below its threshold at most, or above its range at least. At the finest level
+    those of the highest middle are scored first, which raises the thresholds for the others.
+    """
+    own, ids, _, _, vectors, summed = block
+    scored = 0
+
+    def score(at: np.ndarray) -> int:
+        scores = products(vectors[at], vector)
+        for goal in goals:
+            goal.add(scores, ids[at], own[at])
+        return len(at)
+
+    for level, ((means, devs), (mean, dev)) in enumerate(zip(summed, sums, strict=True), 1):
+        middle, reach = means[at] @ mean, devs[at] @ dev
+        reach += 0.01 + 1e-9 * (np.abs(middle) + reach)  # rounding of doubles never excludes a row
+        rest = np.arange(len(at))
+        if level == len(SEGMENTS) and len(at) > PROBE:
+            order = np.argpartition(-middle, PROBE)
+            scored, rest = score(at[order[:PROBE]]), order[PROBE:]
+        keep = np.zeros(len(rest), bool)
+        for goal in goals:
+            keep |= (middle[rest] + reach[rest] >= goal.threshold()) & (middle[rest] - reach[rest] <= goal.most)
+        at = at[rest[keep]]
+    return scored + score(at)
 
 
 def _packed(rows: DataFrame, dim: int) -> DataFrame:
@@ -119,7 +146,7 @@ def _anchors(blocks: DataFrame, dim: int) -> DataFrame:
 
 
 def _meet(anchors: DataFrame, blocks: DataFrame, n: tuple[int, int], dim: int, each: Callable, schema: str) -> DataFrame:
-    """``each`` (of an anchor's row, its vector, its summaries and a block) for all of n[0] anchors and all blocks, of n[1] rows: its rows."""
+    """The rows that ``each`` (of an anchor's row, its vector, its summaries and blocks) gives for all of n[0] anchors and all blocks, of n[1] rows."""
     i, j = max(1, -(-n[0] // GROUP)), max(1, -(-n[1] // (BLOCK * CLASS)))
     own = lambda c, many: F.pmod(F.xxhash64(c), F.lit(many))
     all_ = lambda many: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(many - 1).cast("long")))
@@ -131,12 +158,9 @@ def _meet(anchors: DataFrame, blocks: DataFrame, n: tuple[int, int], dim: int, e
         if of.num_rows:
             vectors = matrix(of["q"].combine_chunks(), dim)
             sums = summaries(vectors)
-            rest = of.drop_columns(["q"]).to_pylist()
-            for batch in with_.to_batches():
-                for k in range(batch.num_rows):
-                    block = _unpacked(batch.slice(k, 1).to_pylist()[0], dim)
-                    for a, row in enumerate(rest):
-                        found += each(row, vectors[a], [(m[a], d[a]) for m, d in sums], block)
+            all_blocks = [_unpacked(b, dim) for b in with_.to_pylist()]
+            for a, row in enumerate(of.drop_columns(["q"]).to_pylist()):
+                found += each(row, vectors[a], [(m[a], d[a]) for m, d in sums], all_blocks)
         return pa.Table.from_pylist(found, schema=pa.schema([(c, pa.int64()) for c in schema.replace(" long", "").split(", ")]))
 
     return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(pair, schema)
@@ -158,13 +182,11 @@ def hard_negatives(rows: DataFrame, anchor: Column, positives: int = 5, negative
     anchors = settle(_anchors(blocks, dim))
     n = anchors.count(), blocks.agg(F.sum("n")).first()[0] or 0
 
-    def positives_of(row, vector, sums, block):
-        own, ids, labels, _, vectors, summed = block
-        at = np.flatnonzero((labels == row["label"]) & (own != row["anchor"]))
-        at = refined(summed, sums, at, lambda lower, upper: upper >= least_sure(lower, positives))
-        scores = products(vectors[at], vector)
-        best = first(scores, ids[at], own[at], positives)
-        return [{"anchor": row["anchor"], "positive": int(own[at[k]]), "positive_id": int(ids[at[k]]), "positive_score": int(scores[k])} for k in best]
+    def positives_of(row, vector, sums, with_):
+        goal = Goal(-np.inf, np.inf, positives)
+        for block in with_:
+            search([goal], vector, sums, block, np.flatnonzero((block[2] == row["label"]) & (block[0] != row["anchor"])))
+        return [{"anchor": row["anchor"], "positive": r, "positive_id": i, "positive_score": s} for r, i, s in zip(goal.rows.tolist(), goal.ids.tolist(), goal.scores.tolist(), strict=True)]
 
     near = _meet(anchors, blocks, n, dim, positives_of, "anchor long, positive long, positive_id long, positive_score long")
     w = Window.partitionBy("anchor").orderBy(F.desc("positive_score"), "positive_id", "positive")
@@ -172,25 +194,15 @@ def hard_negatives(rows: DataFrame, anchor: Column, positives: int = 5, negative
     near = near.groupBy("anchor").agg(F.collect_list(F.struct("positive", "positive_id", "positive_score")).alias("positives"))
     with_positives = settle(anchors.join(near, "anchor"))
 
-    def negatives_of(row, vector, sums, block):
-        own, ids, labels, _, vectors, summed = block
-        spans = [(-(-low * p["positive_score"] // 100), high * p["positive_score"] // 100) for p in row["positives"]]
-
-        def keep(lower, upper):
-            out = np.zeros(len(lower), bool)
-            for least, most in spans:
-                if least <= most:
-                    sure = lower[(lower >= least) & (upper <= most)]
-                    out |= (upper >= max(least, least_sure(sure, negatives))) & (lower <= most)
-            return out
-
-        at = refined(summed, sums, np.flatnonzero(labels != row["label"]), keep)
-        scores, found = products(vectors[at], vector), []
-        for p, (least, most) in zip(row["positives"], spans, strict=True):
-            fit = np.flatnonzero((scores >= least) & (scores <= most))
-            fit = fit[first(scores[fit], ids[at[fit]], own[at[fit]], negatives)]
-            found += [{"anchor": row["anchor"], "anchor_id": row["anchor_id"], **p, "negative": int(own[at[k]]), "negative_id": int(ids[at[k]]), "negative_score": int(scores[k])} for k in fit]
-        return found
+    def negatives_of(row, vector, sums, with_):
+        goals = [Goal(-(-low * p["positive_score"] // 100), high * p["positive_score"] // 100, negatives) for p in row["positives"]]
+        open_ = [g for g in goals if g.least <= g.most]
+        for block in with_ if open_ else ():
+            search(open_, vector, sums, block, np.flatnonzero(block[2] != row["label"]))
+        return [
+            {"anchor": row["anchor"], "anchor_id": row["anchor_id"], **p, "negative": r, "negative_id": i, "negative_score": s}
+            for p, g in zip(row["positives"], goals, strict=True) for r, i, s in zip(g.rows.tolist(), g.ids.tolist(), g.scores.tolist(), strict=True)
+        ]
 
     hard = _meet(with_positives, blocks, n, dim, negatives_of, "anchor long, anchor_id long, positive long, positive_id long, positive_score long, negative long, negative_id long, negative_score long")
     w = Window.partitionBy("anchor", "positive").orderBy(F.desc("negative_score"), "negative_id", "negative")
