@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import terms as W
-from .text import normalize_query
+from .text import nfc, normalize_query
 
 #: Unicode classes, and only \n ends a line.
 UNI = "(?Ud)"
@@ -26,6 +26,11 @@ def computed(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", one).select("*", "_once.*").drop("_once")
 
 
+def composed(df: DataFrame) -> DataFrame:
+    """contract_id, text of contracts, with the text's letters composed: what all rules of contracts read."""
+    return computed(df.select("contract_id", F.col("text").alias("_as_is")), text=nfc(F.col("_as_is"))).drop("_as_is")
+
+
 def blank_to_null(s: Column) -> Column:
     return F.nullif(s, F.lit(""))
 

@@ -1,4 +1,4 @@
-"""Relations between acts: whole and partial ones, changes line by line, and dates of single provisions."""
+"""Changes of acts line by line, and dates of single provisions."""
 
 from __future__ import annotations
 
@@ -7,34 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.cleaning import UNI, blank_to_null, computed, strip
-from ..functions.text import DOC_NUMBER, normalize_doc_number, once
+from ..functions.text import normalize_doc_number, once
 from .dates import LONG, _date
 
-#: Up to three words and 'số' before an act's number; the act's number; who issued it.
-_TO = r"(?:\w+\s+){0,3}(?:số\s+)?"
-_NUM = f"({DOC_NUMBER})"
-_BY = r"(?:\s+của\s+([^,;.\n]+))?"
-_PART = r"(?:Điều|điều|khoản|điểm)\s+\w+(?:[,\s]+(?:Điều|điều|khoản|điểm)\s+\w+)*"
-#: Wordings of relations to whole acts (number, issuer) and to parts (part, number, issuer).
-WHOLE = [
-    (rf"[Bb]ãi\s+bỏ\s+(?:toàn\s+bộ\s+)?{_TO}{_NUM}{_BY}", "abolishes"),
-    (rf"[Tt]hay\s+thế\s+{_TO}{_NUM}{_BY}", "replaces"),
-    (rf"[Tt]hay\s+thế\s*:\s*\n\s*[-–•]\s*(?:\w+\s+){{0,5}}(?:số\s+)?{_NUM}{_BY}", "replaces"),
-    (rf"[Hh]ết\s+hiệu\s+lực\s+{_TO}{_NUM}{_BY}", "abolishes"),
-    (rf"{_NUM}\s+hết\s+hiệu\s+lực{_BY}", "abolishes"),
-    (rf"[Ss]ửa\s+đổi[,\s]+bổ\s+sung\s+{_TO}{_NUM}{_BY}", "amends"),
-    (rf"kèm\s+theo\s+{_TO}{_NUM}{_BY}", "amends"),
-]
-PARTS = [
-    rf"[Bb]ãi\s+bỏ\s+((?:khoản|điểm|mục)\s+\w+(?:[,\s]+(?:khoản|điểm|mục)\s+\w+)*(?:\s+[Đđ]iều\s+\w+)?)\s+(?:của\s+)?{_TO}{_NUM}{_BY}",
-    rf"[Ss]ửa\s+đổi\s+({_PART})\s+(?:của\s+)?{_TO}{_NUM}{_BY}",
-    rf"[Bb]ổ\s+sung\s+({_PART})\s+(?:vào\s+)?{_TO}{_NUM}{_BY}",
-    rf"[Ss]ửa\s+đổi[,\s]+bổ\s+sung\s+((?:các\s+)?(?:thủ\s+tục\s+hành\s+chính|nội\s+dung)\s+(?:nêu\s+tại\s+)?[\w,.\s_\-/]+?)\s+ban\s+hành\s+kèm\s+theo\s+{_TO}{_NUM}{_BY}",
-]
-LINKS = r"\[([^\]]+)\]\([^)]+\)"
-_ACT = r"(?:Luật|Nghị\s+định|Thông\s+tư|Quyết\s+định)"
-ENDS_WITH_THIS = rf"(?i){_ACT}\s+[\w\s]*?số\s+{_NUM}[^\n]*?hết\s+hiệu\s+lực\s+kể\s+từ\s+ngày\s+{_ACT}\s+này\s+có\s+hiệu\s+lực"
-BULLET = rf"(?im)^(?:[a-zđ]\)\s*|–\s*|•\s*|\d+\.\s*){_TO}{_NUM}"
 #: Changes of a line, in order: action, what is named (of article, clause, point, special, old, new), pattern.
 _FIX = r"Sửa\s*đổi,\s*bổ\s*sung"
 _ART = r"(?:của\s+)?Điều\s+(\d+)"
@@ -75,74 +50,6 @@ LIST_LINES, APPENDIX_LINES = 40, 20
 NEXT_HEAD = r"^(?:(?:Điều|Chương|Mục|Phần|Phụ lục)\s+[\dIVXLCH]|\d+[a-zđ]*\.\s|[a-zđ]\)\s)"
 
 
-#: Characters after an act's number in which its day of issue is looked for.
-NEAR = 500
-_EDGE = "array<struct<doc_number:string,relation_type:string,provision:string,issuing_authority_hint:string,old_issued_date:string,_o:int>>"
-
-
-def _edges(text: Column, pattern: str, groups: tuple[int, int, int], kind: str, order: int = 0) -> Column:
-    """Array of edges of one wording, of which the groups (0: none) give provision, number and issuer; the text is searched once.
-
-    old_issued_date: the first day 'ngày …' in the hit or the NEAR characters after it.
-    """
-    p, none = UNI + pattern, F.lit([]).cast(_EDGE)
-    part = lambda hit, i: F.regexp_extract(hit, p, i) if i else F.lit("")
-
-    def day(near: Column) -> Column:
-        return F.coalesce(*[_date(F.regexp_extract(near, rf"(?i){UNI}ngày\s+({d})", 1)) for d in (LONG, r"\d{1,2}[/\-]\d{1,2}[/\-]\d{4}")])
-
-    def edge(hit: Column, then: Column) -> Column:
-        return F.struct(
-            F.rtrim(part(hit, groups[1]), F.lit("-/")).alias("doc_number"), F.lit(kind).alias("relation_type"), F.substring(part(hit, groups[0]), 1, 50).alias("provision"),
-            blank_to_null(strip(part(hit, groups[2]))).alias("issuing_authority_hint"), day(F.concat(F.substring(hit, -50, 50), then)).alias("old_issued_date"), F.lit(order).alias("_o"),
-        )
-
-    def of(hits: Column, gaps: Column) -> Column:
-        then = lambda i: F.substring(F.concat(F.get(gaps, i + 1), F.coalesce(F.get(hits, i + 1), F.lit("")), F.coalesce(F.get(gaps, i + 2), F.lit(""))), 1, NEAR)
-        return F.filter(F.transform(hits, lambda h, i: edge(h, then(i))), lambda e: F.length(e["doc_number"]) >= 5).cast(_EDGE)
-
-    some = lambda hits: F.when(F.size(hits) > 0, once(F.split(text, p, -1), lambda gaps: of(hits, gaps))).otherwise(none)
-    return once(F.regexp_extract_all(text, F.lit(p), F.lit(0)), some)
-
-
-def _relations(text: Column) -> Column:
-    parts = [_edges(text, p, (1, 2, 3), "amends_partial") for p in PARTS]
-    listed = F.when(text.rlike(f"(?i){UNI}thay\\s+thế\\s*:|bãi\\s+bỏ\\s*:"), _edges(text, BULLET, (0, 1, 0), "abolishes")).otherwise(F.lit([]).cast(_EDGE))
-    return F.concat(*parts, *[_edges(text, p, (0, 1, 2), kind) for p, kind in WHOLE], listed)
-
-
-def extract_relations(docs: DataFrame) -> DataFrame:
-    """doc_id, doc_number, relation_type, provision, issuing_authority_hint, old_issued_date: distinct by all but the hints.
-
-    An ``amends`` goes where the same document amends the act in part, and an ``abolishes`` at a bullet where it is replaced or changed otherwise.
-    Numbers of fewer than five characters don't count. The texts are read once; only edges are shuffled.
-    """
-    likely = F.col("content").rlike(r"\d/")  # every number has this
-    edges = docs.where(likely).select("doc_id", F.explode(_relations(F.col("content"))).alias("e")).select("doc_id", "e.*")
-    once_ = edges.groupBy("doc_id", "doc_number", "relation_type", "provision").agg(F.min("issuing_authority_hint").alias("issuing_authority_hint"), F.min("old_issued_date").alias("old_issued_date"))
-    act = Window.partitionBy("doc_id", "doc_number")
-    partly = F.max(F.col("relation_type") == "amends_partial").over(act)
-    other = F.max(F.col("relation_type") != "abolishes").over(act)
-    goes = (F.col("_p") & (F.col("relation_type") == "amends")) | (F.col("_q") & (F.col("relation_type") == "abolishes"))
-    return once_.withColumns({"_p": partly, "_q": other}).where(~goes).drop("_p", "_q")
-
-
-def expiry_relations(chunks: DataFrame) -> DataFrame:
-    """doc_id, doc_number, relation_type: relations in enforcement text, acts that end with this one, and numbers at bullets.
-
-    An ``amends`` goes as in extract_relations. Text that speaks of an end but names no act gives the number 0.
-    """
-    text = F.regexp_replace("content", LINKS, "$1")
-    ends, empty = text.rlike(f"(?i){UNI}hết\\s+hiệu\\s+lực|bãi\\s+bỏ"), F.lit([]).cast(_EDGE)
-    found = F.concat(_relations(text), _edges(text, ENDS_WITH_THIS, (0, 1, 0), "abolishes", 1), F.when(ends, _edges(text, BULLET, (0, 1, 0), "abolishes", 2)).otherwise(empty))
-    edges = chunks.select("doc_id", F.explode(found).alias("e")).select("doc_id", "e.doc_number", "e.relation_type", "e._o")
-    none = chunks.where(text.rlike(f"(?i){UNI}hết\\s+hiệu\\s+lực|bãi\\s+bỏ|thay\\s+thế")).select("doc_id", F.lit("0").alias("doc_number"), F.lit("abolishes").alias("relation_type"), F.lit(9).alias("_o"))
-    same = Window.partitionBy("doc_id", F.lower("doc_number"))
-    marked = edges.unionByName(none).withColumns({"_f": F.min("_o").over(same), "_p": F.max(F.col("relation_type") == "amends_partial").over(same), "_l": F.min("_o").over(Window.partitionBy("doc_id"))})
-    kept = (F.col("_o") == F.col("_f")) & ((F.col("_o") < 9) | (F.col("_l") == 9)) & ~(F.col("_p") & (F.col("relation_type") == "amends"))
-    return marked.where(kept).select("doc_id", "doc_number", "relation_type").distinct()
-
-
 def _target(text: Column) -> Column:
     of = rf"(?i){UNI}{_FIX}\s+(?:một\s+số\s+điều|các\s+điều)\s+(?:của\s+)?(?:Luật|Nghị\s*định|Thông\s*tư)\s+(?:số\s+)?({ACT_NUMBER})"
     any_act = rf"(?i){UNI}(?:Luật|Nghị\s*định|Thông\s*tư|Pháp\s*lệnh)\s+(?:số\s+)?({ACT_NUMBER})"
@@ -283,6 +190,7 @@ def _provisions(text: Column) -> Column:
     return F.concat(clauses, articles, appendices)
 
 
+_ACT = r"(?:Luật|Nghị\s+định|Thông\s+tư|Quyết\s+định)"
 _DAY = rf"({LONG}|\d{{2}}/\d{{2}}/\d{{4}})"
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.cleaning import UNI, blank_to_null, strip
+from ..functions.cleaning import UNI, blank_to_null, composed, strip
 from ..functions.text import once
 
 #: Queries and vectors of the blocks that are compared with each other, and queries that are multiplied at once.
@@ -45,7 +45,7 @@ def clause_array(text: Column) -> Column:
 
 def extract_clauses(contracts: DataFrame) -> DataFrame:
     """contract_id, pos, clause_number, title, summary; see clause_array."""
-    return contracts.select("contract_id", F.posexplode(clause_array(F.col("text"))).alias("pos", "c")).select("contract_id", "pos", "c.*")
+    return composed(contracts).select("contract_id", F.posexplode(clause_array(F.col("text"))).alias("pos", "c")).select("contract_id", "pos", "c.*")
 
 
 def party_array(text: Column) -> Column:
@@ -72,7 +72,7 @@ def party_array(text: Column) -> Column:
 
 def contract_parties(contracts: DataFrame) -> DataFrame:
     """contract_id, name, role, address, tax_id, representative: a row for each party; see party_array."""
-    return contracts.select("contract_id", F.explode(party_array(F.col("text"))).alias("p")).select("contract_id", "p.*")
+    return composed(contracts).select("contract_id", F.explode(party_array(F.col("text"))).alias("p")).select("contract_id", "p.*")
 
 
 def build_kb(chunks: DataFrame, docs: DataFrame, limit: int = 1000, in_force: bool = False) -> DataFrame:

@@ -62,18 +62,26 @@ def resolve_relations(edges: DataFrame, docs: DataFrame) -> DataFrame:
 
     Of several documents of one number those count whose authority and day of issue are the edge's hints, else those with one of these, else all;
     then the smallest id. edges: doc_id, doc_number, relation_type, and issuing_authority_hint, old_issued_date if there. docs: doc_id,
-    doc_number, and issuing_authority, issued_date if there. Each step joins a table with one row a key, so a number that many documents
-    share is no pair of all.
+    doc_number, and issuing_authority, issued_date if there. Each document is known by its number, alone and with one or both of the
+    others; of each such key the smallest id is kept, so one join finds all, and a number that many documents share is no pair of all.
     """
     has = lambda df, c: F.col(c) if c in df.columns else F.lit(None).cast("string")
     number = normalize_doc_number(F.translate(F.lower("doc_number"), "đ", "d"))
-    known = docs.where("doc_number is not null").select("doc_id", number.alias("k"), normalize_query(has(docs, "issuing_authority")).alias("a"), has(docs, "issued_date").alias("d"))
-    keyed = edges.select(F.col("doc_id").alias("src_doc_id"), number.alias("k"), "relation_type", normalize_query(has(edges, "issuing_authority_hint")).alias("a"), has(edges, "old_issued_date").alias("d")).where("k <> '0'")
-    for i, on in enumerate((["k"], ["k", "a"], ["k", "d"], ["k", "a", "d"])):
-        best = known.dropna(subset=on).groupBy(*on).agg(F.min("doc_id").alias(f"_{i}"))
-        keyed = keyed.join(best, on, "inner" if i == 0 else "left")
-    found = F.coalesce("_3", F.least("_1", "_2"), "_0")
-    return keyed.select("src_doc_id", found.alias("dst_doc_id"), "relation_type").distinct()
+
+    def keyed(df: DataFrame, columns: list[str], authority: str, day: str) -> DataFrame:
+        """A row for each key: the number, and what else it holds; ``rank`` says how much."""
+        a, d = normalize_query(has(df, authority)), has(df, day)
+        some = df.where("doc_number is not null").select(*columns, number.alias("k"), a.alias("a"), d.alias("d")).where("k not in ('', '0')")
+        key = lambda rank, tag, *parts: F.struct(F.lit(rank).alias("rank"), F.concat(F.lit(tag), *[F.concat(F.length(p).cast("string"), F.lit(":"), p) for p in parts]).alias("key"))
+        k, a, d = F.col("k"), F.col("a"), F.col("d")
+        keys = F.array(key(0, "ad", k, a, d), key(1, "a", k, a), key(1, "d", k, d), key(2, "", k))
+        return some.select(*columns, F.inline(F.filter(keys, lambda x: x["key"].isNotNull())))
+
+    known = keyed(docs, ["doc_id"], "issuing_authority", "issued_date").groupBy("key").agg(F.min("doc_id").alias("dst_doc_id"))
+    own = edges.withColumnRenamed("doc_id", "src_doc_id").withColumn("edge", F.monotonically_increasing_id())
+    sought = keyed(own, ["edge", "src_doc_id", "relation_type"], "issuing_authority_hint", "old_issued_date")
+    best = sought.join(known, "key").groupBy("edge", "src_doc_id", "relation_type").agg(F.min(F.struct("rank", "dst_doc_id")).alias("best"))
+    return best.select("src_doc_id", F.col("best.dst_doc_id").alias("dst_doc_id"), "relation_type").distinct()
 
 
 def status_flag(docs: DataFrame, relations: DataFrame, as_of: str, provisions: DataFrame | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cleaning import UNI, blank_to_null, computed, strip
+from ..functions.cleaning import UNI, blank_to_null, composed, computed, strip
 from .contracts import clause_array, party_array
 
 #: How dates, money and kinds of clause are worded.
@@ -76,12 +76,12 @@ def _money(text: Column) -> list[Column]:
 
 def contract_dates(contracts: DataFrame) -> DataFrame:
     """contract_id, execution_date, start_date, end_date as written."""
-    return contracts.select("contract_id", *_dates(F.col("text")))
+    return composed(contracts).select("contract_id", *_dates(F.col("text")))
 
 
 def finance(contracts: DataFrame) -> DataFrame:
     """contract_id, contract_value, payment_method (null where only a sentence names it), payment_terms."""
-    return contracts.select("contract_id", *_money(F.col("text")))
+    return composed(contracts).select("contract_id", *_money(F.col("text")))
 
 
 def _clause_columns(text: Column, lines: Column) -> list[Column]:
@@ -100,12 +100,12 @@ def clause_fields(contracts: DataFrame) -> DataFrame:
 
     A termination that speaks of compensation, and an indemnity equal to the penalty, don't count.
     """
-    cut = computed(contracts.select("contract_id", "text"), _lines=F.split("text", "\n"))
+    cut = computed(composed(contracts), _lines=F.split("text", "\n"))
     return cut.select("contract_id", *_clause_columns(F.col("text"), F.col("_lines")))
 
 
 def contract_type(text: Column) -> Column:
-    """What follows 'Hợp đồng' on its line (4 to 119 characters), else the first of KINDS."""
+    """What follows 'Hợp đồng' on its line (4 to 119 characters), else the first of KINDS. The text's letters are composed (see functions.text.nfc)."""
     named = strip(F.regexp_extract(text, rf"(?i){UNI}HỢP\s+ĐỒNG\s+(.+?)(?:\n|\(|$)", 1))
     known = [F.when(F.contains(F.upper(text), F.lit(k)), F.initcap(F.lit(k))) for k in KINDS]
     return F.coalesce(F.when(F.length(named).between(4, 119), F.concat(F.lit("Hợp đồng "), named)), *known)
@@ -115,7 +115,7 @@ def parse_contracts(contracts: DataFrame) -> DataFrame:
     """One row a contract: kind, parties, dates, money, kinds of clause, and the arrays of parties and clauses."""
     text = F.col("text")
     kind = contract_type(text).alias("contract_type")
-    cut = computed(contracts.select("contract_id", "text"), _lines=F.split("text", "\n"))
+    cut = computed(composed(contracts), _lines=F.split("text", "\n"))
     with_clauses = cut.select("contract_id", "text", "_lines", clause_array(text).alias("clauses"), party_array(text).alias("parties"), kind, *_dates(text), *_money(text))
     return with_clauses.select("*", F.lit(None).cast("string").alias("duration"), *_clause_columns(text, F.col("_lines"))).drop("text", "_lines")
 

@@ -13,7 +13,7 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions import terms as W
-from ..functions.cleaning import UNI, blank_to_null, computed, strip
+from ..functions.cleaning import UNI, blank_to_null, composed, computed, strip
 
 #: Depth of sections that are neither numbered nor titles; nothing hangs under them.
 LEAF = 99
@@ -186,7 +186,7 @@ def chunk_by_clause(contracts: DataFrame, size: int = 1000, overlap: int = 50) -
     """
     head = r"(?:Điều|ĐIỀU|Khoản|KHOẢN)\s+(\d+)[.:\-)]"
     parts = F.split("text", rf"{UNI}(?={head})")
-    each = contracts.select("contract_id", F.posexplode(F.transform(parts, strip)).alias("part", "text")).where("text <> ''")
+    each = composed(contracts).select("contract_id", F.posexplode(F.transform(parts, strip)).alias("part", "text")).where("text <> ''")
     number = F.regexp_extract("text", rf"{UNI}^{head}", 1)
     each = each.withColumn("clause_number", F.coalesce(blank_to_null(number), F.lit("Preamble")))
     split = _split_rows(each, ["contract_id", "part", "clause_number"], size, overlap)
@@ -203,7 +203,7 @@ def clause_dicts(contracts: DataFrame) -> DataFrame:
     """
     text = F.translate("text", HEAD + BODY, "")
     marked = F.regexp_replace(text, rf"(?m){UNI}(?:^|\n)\s*(?:Điều|ĐIỀU)\s+\d+\s*[.:)\-]\s*", f"{HEAD}$0{BODY}")
-    parts = computed(contracts.select("contract_id", "text"), _parts=F.split(marked, HEAD))
+    parts = computed(composed(contracts), _parts=F.split(marked, HEAD))
     each = parts.select("contract_id", F.size("_parts").alias("_n"), F.posexplode("_parts").alias("pos", "p"))
     cut = F.split("p", BODY)
     body = F.when(F.col("_n") == 1, F.col("p")).when(F.col("pos") == 0, strip(F.col("p"))).otherwise(F.concat(F.get(cut, F.lit(0)), strip(F.get(cut, F.lit(1)))))

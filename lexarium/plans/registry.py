@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -10,10 +13,13 @@ from ..operators import contracts as K
 from ..operators import corpus as C
 from ..operators import dates as D
 from ..operators import fields as H
+from ..operators import relations as R
 from ..operators import structure as G
 from ..sources.fixtures import read, view, view_sql
+from ..sources.shared import settle
 from ..streaming.ingest import outcomes_of
 from . import mining, pages, relations, scalars
+from .relations import edges_sql
 
 AS_OF = "2006-06-30"
 #: Number of a raw document, and what is added to its text: a paragraph on entry into force in eight forms, with days made of the number.
@@ -29,11 +35,16 @@ FORMS = (
     f"when 6 then 'Có hiệu lực kể từ ngày Luật số 20/2005/QH11 ban hành ngày '||{DAY}||'/'||{MONTH}||'/'||{YEAR}||' có hiệu lực.' "
     "else 'Các bộ chịu trách nhiệm thi hành.' end"
 ).replace("{KEY}", KEY)
-#: Relations to other acts, and provisions with days of their own, made of the number.
-OTHER = f"(({KEY} * 13) % 500)||'/'||(2000 + {KEY} % 7)||'/NĐ-CP'"
+#: Relations to other acts in six forms, lists among them, and provisions with days of their own, made of the number.
+_NTH = lambda k: f"(({KEY} * {k}) % 500)||'/'||(2000 + {KEY} % 7)"
+OTHER, SECOND, THIRD = f"{_NTH(13)}||'/NĐ-CP'", f"{_NTH(17)}||'/NĐ-CP'", f"{_NTH(29)}||'/QĐ-TTg'"
 RELATED = (
-    f"content||chr(10)||case {KEY} % 6 when 0 then 'Bãi bỏ Nghị định số '||{OTHER}||' ngày '||{DAY}||' tháng '||{MONTH}||' năm 2001.' "
-    f"when 1 then 'Sửa đổi Điều 3 Nghị định số '||{OTHER}||'.' when 2 then 'Sửa đổi, bổ sung Nghị định số '||{OTHER}||'.' else 'Các bộ thực hiện.' end"
+    f"content||chr(10)||case {KEY} % 6 when 0 then 'Bãi bỏ Nghị định số '||{OTHER}||' ngày '||{DAY}||' tháng '||{MONTH}||' năm 2001 của Chính phủ về quản lý vùng '||{KEY}||'. Các bộ thực hiện.' "
+    f"when 1 then 'Sửa đổi Điều 3 Nghị định số '||{OTHER}||'. Bãi bỏ Nghị định số '||{OTHER}||'.' when 2 then 'Sửa đổi, bổ sung Nghị định số '||{OTHER}||'.' "
+    f"when 3 then 'Các văn bản sau hết hiệu lực:'||chr(10)||'- Nghị định số '||{OTHER}||' ngày '||{DAY}||'/'||{MONTH}||'/2001;'||chr(10)||'– Nghị định số '||{SECOND}||' ngày '||{DAY}||' tháng '||{MONTH}||' năm 2002.'"
+    f"||chr(10)||chr(10)||'• Quyết định số '||{THIRD}||' của Bộ Tài chính về việc chung số '||{KEY}||'; khác'||chr(10)||'1. Luật số 45/2019/QH14 được áp dụng.'||chr(10)||'- Luật số 46/2019/QH14' "
+    f"when 4 then 'Nghị định này thay thế:'||chr(10)||'- Nghị định số '||lower({OTHER})||' ngày '||{DAY}||'-'||{MONTH}||'-2001'||chr(10)||'- Nghị định số '||{SECOND}||chr(10)||'2. Bãi bỏ:'||chr(10)||'– Nghị định số '||{OTHER} "
+    "else 'Các bộ thực hiện.' end"
 )
 PROVISIONS = f"content||chr(10)||case {KEY} % 9 when 0 then '9. Điều 4 có hiệu lực từ ngày 01/07/2026.' when 1 then '9. Điều 4 có hiệu lực từ ngày 01/07/2004.' else '' end"
 
@@ -47,11 +58,11 @@ def _related(s, d):
 
 
 def _status(s, d):
-    docs = C.dedup_three_key(_related(s, d))
+    docs = settle(C.dedup_three_key(_related(s, d)))  # read by all that follows
     ends = F.when(F.expr(f"{KEY} % 10") == 0, F.expr(f"'2006-'||lpad({MONTH}, 2, '0')||'-15'"))
     dates = D.effective_date(docs).withColumn("expiry_date", F.when(F.col("effective_date").isNotNull(), ends))
     provisions = A.provision_dates(docs.withColumn("content", F.expr(PROVISIONS)))
-    return C.status_flag(dates, C.resolve_relations(A.extract_relations(docs), docs), AS_OF, provisions)
+    return C.status_flag(settle(dates), C.resolve_relations(R.extract_relations(docs), docs), AS_OF, provisions)
 
 
 def _outcomes(s, d):
@@ -93,8 +104,14 @@ PARTIES = (
 )
 
 
+#: Precomposed letters of the contracts and their parts, as Unicode's canonical decomposition has them; every second contract is written so.
+DECOMPOSED = {c: unicodedata.normalize("NFD", c) for c in "ôêộờẩạảậáàơềđãĐỘỢỒỆỐ" if unicodedata.normalize("NFD", c) != c}
+
+
 def _contracts(s, d):
-    return view(s, d, "contracts").withColumn("text", F.expr(PARTIES))
+    apart = reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(DECOMPOSED[c])), DECOMPOSED, F.expr(PARTIES))
+    even = F.expr("cast(substring(contract_id, 4) as int) % 2 = 0")
+    return view(s, d, "contracts").withColumn("text", F.when(even, apart).otherwise(F.expr(PARTIES)))
 
 
 def _formed(s, d):
@@ -126,8 +143,8 @@ QUERIES = {
     "e7_effective_date": lambda s, d: D.effective_date(_formed(s, d)),
     "e8_enforcement_date": lambda s, d: D.effective_from_enforcement(_clean(s, d).withColumn("content", F.expr(FORMS))),
     "e12_extract_metadata": lambda s, d: D.extract_metadata(_formed(s, d)),
-    "f1_extract_relations": lambda s, d: A.extract_relations(_related(s, d)),
-    "f6_resolve_relations": lambda s, d: C.resolve_relations(A.extract_relations(_related(s, d)), _clean(s, d)),
+    "f1_extract_relations": lambda s, d: R.extract_relations(_related(s, d)),
+    "f6_resolve_relations": lambda s, d: C.resolve_relations(R.extract_relations(_related(s, d)), _clean(s, d)),
     "f1_replaced_numbers": lambda s, d: C.replaced_numbers(view(s, d, "legal_raw")),
     "f7_status_flag": _status,
     "g10_extract_clauses": lambda s, d: K.extract_clauses(view(s, d, "contracts")),
@@ -167,15 +184,13 @@ _FORMED = f"case when {_FORM} < 4 then {_DAY} when {_FORM} = 4 then {_ISO} when
 _CATEGORY = "case cast(substring(doc_id, 4) as integer) % 3 when 0 then 'Thuế - Phí - Lệ phí' when 1 then 'Lao động - Tiền lương' else 'Khác' end"
 _OLD_DAY = f"'2001' || substring({_DAY}, 5)"
 _NORM = f"regexp_replace({_PLAIN % "replace(lower(%s), 'đ', 'd')"}, '[^a-z0-9]', '', 'g')"
-_EDGES = f"""e0 as (select doc_id, nullif(regexp_extract(content, 'Thay thế Nghị định số ([0-9]+/[0-9]+/NĐ-CP)', 1), '') as doc_number, 'replaces' as relation_type, '' as provision, 'Chính phủ' as issuing_authority_hint, case when {_K} % 6 = 0 then {_OLD_DAY} end as old_issued_date from docs
-  union all select doc_id, cast(({_K} * 13) % 500 as varchar) || '/' || cast(2000 + {_K} % 7 as varchar) || '/NĐ-CP', case {_K} % 6 when 0 then 'abolishes' when 1 then 'amends_partial' else 'amends' end, case {_K} % 6 when 1 then 'Điều 3' else '' end, null, case when {_K} % 6 = 0 then {_OLD_DAY} end from docs where {_K} % 6 < 3),
- edges as (select * from e0 where doc_number is not null and not (relation_type = 'abolishes' and exists (select 1 from e0 b where b.doc_id = e0.doc_id and b.doc_number = e0.doc_number and b.relation_type = 'replaces')))"""
+_EDGES = edges_sql("docs", "content")
 _MET = f"""{_EDGES}, met as (select e.doc_id as src_doc_id, c.doc_id as dst_doc_id, relation_type, row_number() over (partition by e.doc_id, e.doc_number, relation_type, provision order by coalesce(c.issued_date = e.old_issued_date, false) desc, c.doc_id) as n
    from edges e join known c on {_NORM % 'e.doc_number'} = {_NORM % 'c.doc_number'} where c.doc_number is not null),
  resolved as (select distinct src_doc_id, dst_doc_id, relation_type from met where n = 1)"""
 _DEDUP = f"""{_CLEAN}, nth as (select *, row_number() over (partition by coalesce(doc_number, doc_id), issued_date, signer order by doc_id) as n from clean),
  kept as (select * from nth where n = 1 or issued_date is null or signer is null)"""
-_STATUS = f"""{_DEDUP}, docs as (select * from kept), known as (select * from kept), {_MET},
+_STATUS = f"""{_DEDUP}, docs as (select * replace ({RELATED} as content) from kept), known as (select * from kept), {_MET},
  days as (select doc_id, {_BASE} as eff, case when {_K} % 10 = 0 and ({_BASE}) is not null then '2006-' || lpad(cast({_K} % 12 + 1 as varchar), 2, '0') || '-15' end as ends, case {_K} % 9 when 0 then '2026-07-01' when 1 then '2004-07-01' end as part from docs),
  acts as (select dst_doc_id as doc_id, bool_or(relation_type in ('replaces', 'abolishes')) as ended, bool_or(relation_type = 'amends_partial') as partly from resolved join days on days.doc_id = src_doc_id where src_doc_id <> dst_doc_id and coalesce(eff <= '{AS_OF}', true) group by 1),
  flags as (select doc_id, case when coalesce(ended, false) or coalesce(ends <= '{AS_OF}', false) then 2 when eff is null then 0 when eff > '{AS_OF}' then case when coalesce(part <= '{AS_OF}', false) then 5 else 3 end when coalesce(partly, false) then 4 when coalesce(part > '{AS_OF}', false) then 5 else 1 end as status_flag from days left join acts using (doc_id))"""
@@ -190,8 +205,8 @@ _RISKS = f"""with resp as ({view_sql('llm_responses')}), j as (select contract_i
 ORACLES: dict[str, str] = {
     "ingest_status": f"{_STATUS} select status_flag, count(*) as n from flags group by 1",
     "f7_status_flag": f"{_STATUS} select * from flags",
-    "f6_resolve_relations": f"{_CLEAN}, docs as (select * from clean), known as (select * from clean), {_MET} select * from resolved",
-    "f1_extract_relations": f"{_RAW}, docs as (select * from raw), {_EDGES} select * from edges",
+    "f6_resolve_relations": f"{_CLEAN}, docs as (select * replace ({RELATED} as content) from clean), known as (select * from clean), {_MET} select * from resolved",
+    "f1_extract_relations": f"{_RAW}, docs as (select * replace ({RELATED} as content) from raw), {_EDGES} select * from edges",
     "c3_fix_date": f"""{_RAW}, w as (select doc_id, trim(issued_date) as t, ({_K} // 4) % 5 as form, coalesce(strftime(try_strptime(issued_date, '%d/%m/%Y'), '%Y-%m-%d')) as iso from raw),
       r as (select doc_id, case when t = '' then null when length(t) = 10 and form = 2 then t[7:10] when length(t) = 10 then coalesce(iso, case form when 1 then replace(t, '/', '.') when 3 then t[7:10] || '/' || t[4:5] || '/' || t[1:2] when 4 then replace(t, '/', '-') else t end) else t end as issued_date from w)
       select *, coalesce(try_cast(substring(issued_date, 1, 4) as integer), 0) as year_published from r""",

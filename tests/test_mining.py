@@ -7,6 +7,7 @@ from lexarium.functions import cleaning as L
 from lexarium.operators import amendments as A
 from lexarium.operators import dates as D
 from lexarium.operators import fields as H
+from lexarium.operators import relations as E
 from lexarium.operators import retrieval as R
 from lexarium.operators import structure as G
 
@@ -89,13 +90,40 @@ def test_tree_marks_and_rolls_up(spark):
 
 def test_relations(spark):
     text = "Bãi bỏ khoản 2 Điều 3 của Nghị định số 5/2010/NĐ-CP. Sửa đổi, bổ sung Nghị định số 5/2010/NĐ-CP.\nThay thế:\n- Thông tư số 7/2011/TT-BTC của Bộ Tài chính; bãi bỏ 1/A"
-    got = {(r.doc_number, r.relation_type, r.provision, r.issuing_authority_hint) for r in A.extract_relations(_docs(spark, text)).collect()}
+    got = {(r.doc_number, r.relation_type, r.provision, r.issuing_authority_hint) for r in E.extract_relations(_docs(spark, text)).collect()}
     assert got == {("5/2010/NĐ-CP", "amends_partial", "khoản 2 Điều 3", None), ("7/2011/TT-BTC", "replaces", "", "Bộ Tài chính")}
-    assert [(r.doc_number, r.relation_type) for r in A.expiry_relations(_docs(spark, "Các quy định trước đây hết hiệu lực.")).collect()] == [("0", "abolishes")]
-    got = {r.doc_number for r in A.expiry_relations(_docs(spark, "Sau đây hết hiệu lực:\na) Quyết định số [9/2009/QĐ-BTC](u)")).collect()}
+    assert [(r.doc_number, r.relation_type) for r in E.expiry_relations(_docs(spark, "Các quy định trước đây hết hiệu lực.")).collect()] == [("0", "abolishes")]
+    got = {r.doc_number for r in E.expiry_relations(_docs(spark, "Sau đây hết hiệu lực:\na) Quyết định số [9/2009/QĐ-BTC](u)")).collect()}
     assert got == {"9/2009/QĐ-BTC"}
 
 
+def _edges(text):
+    return sorted((e.doc_number, e.relation_type, e.old_issued_date) for e in E.relations_in(text))
+
+
+def test_relation_lists():
+    """Each bullet under a head has the head's type and its own day; what isn't in the list has nothing of it."""
+    assert _edges("Nghị định này thay thế:\n- Nghị định số 1/2001/NĐ-CP ngày 2/3/2001;\n- Quyết định số 22/2002/QĐ-TTg ngày 4 tháng 5 năm 2002.") == [
+        ("1/2001/NĐ-CP", "replaces", "2001-03-02"), ("22/2002/QĐ-TTg", "replaces", "2002-05-04")]
+    assert _edges("Các văn bản sau hết hiệu lực:\n• Nghị định số 1/2001/NĐ-CP ngày 2-3-2001 thay thế Luật cũ") == [("1/2001/NĐ-CP", "abolishes", "2001-03-02")]
+    text = "1. Luật số 45/2019/QH14 được áp dụng.\n2. Bãi bỏ:\n– Quyết định số 9/2001/QĐ-BTC\n\n- Quyết định số 8/2001/QĐ-BTC ngày 32/1/2001\n3. Khác\n- Luật số 46/2019/QH14 ngày 1/1/2019"
+    assert _edges(text) == [("8/2001/QĐ-BTC", "abolishes", None), ("9/2001/QĐ-BTC", "abolishes", None)]
+    assert _edges("Sửa đổi khoản 1 Điều 2 Nghị định 5/2010/NĐ-CP. Bãi bỏ Nghị định 5/2010/NĐ-CP.") == [("5/2010/NĐ-CP", "abolishes", None), ("5/2010/NĐ-CP", "amends_partial", None)]
+    assert _edges("Bãi bỏ Nghị định 5/2010/NĐ-CP.\nBãi bỏ Nghị định 5/2010/nđ-cp.") == [("5/2010/NĐ-CP", "abolishes", None)]
+    assert _edges("Bãi bỏ:\n- Thay thế:\n- Nghị định số 7/2001/NĐ-CP") == [("7/2001/NĐ-CP", "replaces", None)]
+
+
+def test_relation_hints():
+    """Authority and title come from the act's own sentence; another act is no authority."""
+    text = "Thay thế Nghị định số 5/2010/NĐ-CP ngày 3 tháng 4 năm 2010 của Chính phủ quy định chi tiết thi hành Luật Thuế số 3. Các bộ của Quốc hội về mọi việc khác."
+    (e,) = E.relations_in(text)
+    assert (e.issuing_authority_hint, e.old_issued_date, e.title_hint) == ("Chính phủ", "2010-04-03", "chi tiết thi hành Luật Thuế số 3")
+    (e,) = E.relations_in("Bãi bỏ Thông tư 5/2010/TT-BTC của Bộ Tài chính, của Luật cũ về thuế suất mới")
+    assert (e.issuing_authority_hint, e.title_hint) == ("Bộ Tài chính", None)
+    (e,) = E.relations_in("Bãi bỏ Thông tư 5/2010/TT-BTC. Theo đề nghị của Bộ trưởng về các việc khác nhau.")
+    assert (e.issuing_authority_hint, e.title_hint) == (None, None)
+
+
 def test_amendments(spark):
     text = 'Sửa đổi, bổ sung một số điều của Luật số 10/2012/QH13\n1. Sửa đổi, bổ sung điểm b khoản 2a Điều 9\nmới\n2. Thay thế cụm từ "cũ" bằng cụm từ "mới" tại khoản 3 Điều 4\n3. Bãi bỏ Phụ lục IV'
     got = [(r.action, r.article, r.clause, r.point, r.special, r.old, r.new, r.content, r.target_doc_number) for r in A.extract_amendments(_docs(spark, text)).orderBy("line_start").collect()]
@@ -245,3 +273,27 @@ def test_search_in_blocks(spark, monkeypatch):
                 want |= {(i, j, n + 1, -s) for n, (s, j) in enumerate(order[:4])}
         assert {(r.query_id, r.vec_id, r["rank"], r.score) for r in got.collect()} == want
     assert K.knn(q.drop("label").limit(0), df).count() == 0 and K.knn(q.drop("label"), df.limit(0)).count() == 0
+
+
+NAMES = "BÊN A: (Người sử dụng lao động)\nCông ty: Ắ Ệ\nMã số thuế: 123\nĐại diện: Ông Ỷ\nBÊN B: (Người lao động)\nHọ và tên: Nguyễn Thị Ổ\nCMND: 123456789\nĐiều 1. Lương\nLương cơ bản: 5 đồng\nĐiều 2. Bảo mật\nBảo mật mọi thông tin\n"
+
+
+def test_composed_letters(spark):
+    """Decomposed contracts give what composed ones do, by every operator on contracts."""
+    import random
+    import unicodedata
+
+    from lexarium.functions.text import nfc
+    from lexarium.operators import contracts as K
+
+    rng = random.Random(1)
+    text = NAMES + "Điều 3. Chấm dứt\nĐơn phương chấm dứt hợp đồng lao động thì báo trước.\n"
+    mixed = "".join(unicodedata.normalize("NFD", c) if rng.random() < 0.5 else c for c in text)
+    rows = spark.createDataFrame(list({"a": text, "b": unicodedata.normalize("NFD", text), "c": mixed}.items()), "contract_id string, text string").cache()
+    for operator in (H.contract_dates, H.finance, H.clause_fields, H.parse_contracts, K.contract_parties, K.extract_clauses, G.clause_dicts, G.chunk_by_clause):
+        got = [r.asDict() for r in operator(rows).collect()]
+        of = {i: sorted(str(r | {"contract_id": ""}) for r in got if r["contract_id"] == i) for i in "abc"}
+        assert of["a"] and of["a"] == of["b"] == of["c"]
+    odd = [None, "", "a", "e\u0302\u0323 e\u0323\u0302 x\u0301 \u0301 a\u0306\u0301\u0488 Ấ ", mixed * 50]
+    got = [r.x for r in spark.createDataFrame([(t,) for t in odd], "s string").select(nfc(F.col("s")).alias("x")).collect()]
+    assert sorted(map(str, got)) == sorted(str(t and unicodedata.normalize("NFC", t)) for t in odd)
