@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import id_text, settle, table
+from ._common import id_text, join_split, settle, table
 from .spans import SPAN, THEN, by_kind, count_of, matches, written
 
 #: Rounds of scoring, at least.
@@ -33,9 +33,9 @@ CARD = r"[0-9]+(?:[\x20-][0-9]+)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: One or two words, up to three other characters, and a token that looks like an identifier.
 _TOKEN = r"[\p{L}\p{N}+][\p{L}\p{N}@._%+-]*+"
-IN_CONTEXT = r"(?<![\p{L}\p{N}])(?:\p{L}{1,40}+\x20)?\p{L}{1,40}+[:#=\x20(]{1,3}+(?=[^\s]{0,60}[0-9@])" + _TOKEN
-#: Characters after a token in which the next word is looked for.
-AFTER = 48
+IN_CONTEXT = r"(?<![\p{L}\p{N}])(?:\p{L}++\x20)?\p{L}++[:#=\x20(]{1,3}+(?=[\p{L}._%+-]*+[\p{N}@])" + _TOKEN
+#: The next word after a token.
+AFTER = r"^[\x20,;:.)]{1,3}(\p{L}++)(?!\p{N})"
 
 
 def _digits(value: Column) -> Column:
@@ -76,28 +76,30 @@ def base_spans(text: Column) -> Column:
 
 
 def confident_patterns(seen: DataFrame) -> DataFrame:
-    """(word, score) of the patterns to believe, after rounds over the graph of ``seen`` until what is believed stays; beliefs never fall.
+    """(word, score, n) of the patterns to believe and their occurrences, after rounds over the graph of ``seen`` until the patterns and instances believed stay.
 
-    Edges are first counted, so a word or token that is everywhere is a row for each partner; each round joins two grouped tables.
+    Scores and beliefs never fall, so these sets only grow. Edges are first counted, so a word or token that is everywhere is a row for each partner;
+    edges of such a word or token meet its score by broadcast (``join_split``), the others by hash.
     """
-    edges = settle(seen.groupBy("word", "token").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("seed").cast("int")).alias("seed")))
-    belief = edges.groupBy("token").agg(F.max("seed").cast("double").alias("belief"))
+    edges = settle(seen.groupBy("word", "token").agg(F.count(F.lit(1)).alias("times"), F.max(F.col("seed").cast("int")).alias("seed")))
+    total = edges.count()
+    belief = settle(edges.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.max("seed").cast("double").alias("seed"))).withColumn("belief", F.col("seed"))
     was, turn = None, 0
     while True:
-        scored = edges.join(belief, "token").groupBy("word").agg(
-            (F.sum(F.col("n") * F.col("belief")) / (F.sum("n") + F.lit(PRIOR))).alias("score"), F.sum((F.col("belief") >= CONFIDENT).cast("int")).alias("seeds")
-        )
-        patterns = settle(scored.where(F.col("seeds") >= SEEDS))
+        scored = join_split(edges.drop("seed"), belief.select("token", "belief", "n"), "token", total).groupBy("word").agg(
+            (F.sum(F.col("times") * F.col("belief")) / (F.sum("times") + F.lit(PRIOR))).alias("score"), F.sum((F.col("belief") >= CONFIDENT).cast("int")).alias("seeds"),
+            F.count(F.lit(1)).alias("n"), F.sum("times").alias("occurs"),
+        )
+        patterns = settle(scored.where((F.col("seeds") >= SEEDS) & (F.col("score") >= CONFIDENT)))
         doubt = F.exp(F.sum(F.log(F.lit(1.0) - F.least(F.col("score"), F.lit(0.99)))))
-        reached = edges.join(patterns.where(F.col("score") >= CONFIDENT), "word").groupBy("token").agg((F.lit(1.0) - doubt).alias("reach"))
-        belief = settle(edges.groupBy("token").agg(F.max("seed").cast("double").alias("seed")).join(reached, "token", "left").select("token", F.greatest("seed", F.coalesce(F.col("reach"), F.lit(0.0))).alias("belief")))
-        # in thousandths, so that beliefs that still grow towards the threshold go on
-        now = patterns.count(), belief.agg(F.sum(F.floor(F.col("belief") * 1000))).first()[0]
+        reached = join_split(edges.select("word", "token"), patterns.select("word", "score", "n"), "word", total).groupBy("token").agg((F.lit(1.0) - doubt).alias("reach"))
+        belief = settle(belief.drop("belief").join(reached, "token", "left").withColumn("belief", F.greatest("seed", F.coalesce(F.col("reach"), F.lit(0.0)))).drop("reach"))
+        now = patterns.count(), belief.where(F.col("belief") >= CONFIDENT).count()
         turn += 1
         if now == was and turn >= ROUNDS:
             break
         was = now
-    return patterns.where(F.col("score") >= CONFIDENT).select("word", "score")
+    return patterns.select("word", "score", F.col("occurs").alias("n"))
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -112,7 +114,7 @@ def find(docs: DataFrame) -> DataFrame:
     base = settle(found.select("row", "doc_id", "spans", hits.alias("hits")))
     seen = settle(_occurrences(base))
     known = confident_patterns(seen)
-    new = seen.where(~F.col("seed")).join(known, "word").groupBy("row").agg(
+    new = join_split(seen, known, "word", seen.count()).where(~F.col("seed")).groupBy("row").agg(
         F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("order"), "stop", F.lit("context").alias("kind"), F.col("token").alias("value"))).cast(SPAN).alias("new")
     )
     both = base.join(new, "row", "left")
@@ -124,7 +126,7 @@ def _occurrences(base: DataFrame) -> DataFrame:
     each = base.select("row", "spans", F.explode("hits").alias("hit"))
     hit, then = F.split("hit.value", THEN, 2)[0], F.split("hit.value", THEN, 2)[1]
     token = F.regexp_extract(hit, f"({_TOKEN})$", 1)
-    each = each.select("row", "spans", F.col("hit.stop").alias("stop"), hit.alias("hit"), token.alias("token"), F.lower(F.regexp_extract(then, r"^[\x20,;:.)]{1,3}(\p{L}{1,40})(?![\p{L}\p{N}])", 1)).alias("right"))
+    each = each.select("row", "spans", F.col("hit.stop").alias("stop"), hit.alias("hit"), token.alias("token"), F.lower(then).alias("right"))
     looks = (F.length(_digits(F.col("token"))) >= 4) | F.contains("token", F.lit("@"))
     each = each.where(looks & (F.length("token") >= 6)).withColumn("start", F.col("stop") - F.length("token"))
     words = F.lower(F.regexp_extract(F.expr("substring(hit, 1, length(hit) - length(token))"), r"^((?:\p{L}+\x20)?\p{L}+)", 1))

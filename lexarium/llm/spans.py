@@ -21,11 +21,11 @@ def _once(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def matches(text: Column, pattern: str, kind: str, order: int, keep=None, only_if: Column | None = None, after: int = 0) -> Column:
+def matches(text: Column, pattern: str, kind: str, order: int, keep=None, only_if: Column | None = None, after: str = "") -> Column:
     """Array of (start, order, stop, kind, value) of the leftmost non-overlapping matches of a Java pattern; stop is exclusive.
 
     ``keep`` takes the value and says which matches stay. ``only_if`` is a cheap test that holds wherever there is a match. With ``after``
-    a value is followed by THEN and so many of the characters after it, as far as the end of the next match.
+    a value is followed by THEN and group 1 of this pattern in what follows it, as far as the end of the next match.
     The pattern must not match the empty string.
     """
     none = F.lit([]).cast(SPAN)
@@ -55,7 +55,7 @@ def matches(text: Column, pattern: str, kind: str, order: int, keep=None, only_i
     def zipped(hits, gaps):
         cols = [F.transform(F.slice(gaps, 1, F.size(hits)), lambda x: F.length(x)).alias("gap"), hits.alias("hit")]
         if after:
-            rest = F.transform(hits, lambda _, i: F.substring(F.concat(F.substring(F.get(gaps, i + 1), 1, after), F.coalesce(F.get(hits, i + 1), F.lit(""))), 1, after))
+            rest = F.transform(hits, lambda _, i: F.regexp_extract(F.concat(F.get(gaps, i + 1), F.coalesce(F.get(hits, i + 1), F.lit(""))), after, 1))
             cols.append(rest.alias("then"))
         return F.arrays_zip(*cols)
 
