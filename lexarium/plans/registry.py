@@ -18,7 +18,7 @@ from ..operators import structure as G
 from ..sources.fixtures import read, view, view_sql
 from ..sources.shared import settle
 from ..streaming.ingest import outcomes_of
-from . import mining, pages, relations, scalars
+from . import mining, pages, relations, scalars, stores
 from .relations import edges_sql
 
 AS_OF = "2006-06-30"
@@ -248,5 +248,5 @@ ORACLES: dict[str, str] = {
       o as (select case k when 1 then 'failed' when 2 then 'skipped translation' else 'ingested' end as outcome from k) select outcome, count(*) as n from o group by 1 union all select 'total', count(*) from o""",
 }
 
-QUERIES |= mining.QUERIES | relations.QUERIES | pages.QUERIES | scalars.QUERIES
-ORACLES |= mining.ORACLES | relations.ORACLES | pages.ORACLES | scalars.ORACLES
+QUERIES |= mining.QUERIES | relations.QUERIES | pages.QUERIES | scalars.QUERIES | stores.QUERIES
+ORACLES |= mining.ORACLES | relations.ORACLES | pages.ORACLES | scalars.ORACLES | stores.ORACLES

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.corpus import upsert
+from .log import Log
 
 
 def load_pages(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
@@ -51,18 +55,66 @@ def read_table(spark: SparkSession, url: str, table: str, partition_col: str, bo
     return spark.read.format("jdbc").options(**own, **options).load()
 
 
+def _plain(name: str) -> str:
+    """A table's or column's name that can stand in SQL as it is."""
+    if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*)?", name):
+        raise ValueError(f"not a plain name: {name!r}")
+    return name
+
+
+def bounds(spark: SparkSession, url: str, table: str, column: str, **options: str) -> tuple[int, int]:
+    """The least and the largest value of a whole-number column, as the database finds them; (0, 0) for an empty table."""
+    query = f"select min({_plain(column)}) as lo, max({_plain(column)}) as hi from {_plain(table)}"
+    row = spark.read.format("jdbc").options(url=url, query=query, **options).load().first()
+    return (0, 0) if row[0] is None else (int(row[0]), int(row[1]))
+
+
 def write_table(df: DataFrame, url: str, table: str, mode: str = "append", **options: str) -> None:
+    """Rows to a database table, in batches (option batchsize)."""
     df.write.format("jdbc").options(url=url, dbtable=table, **options).mode(mode).save()
 
 
-def write_kb(kb: DataFrame, path: str, append: bool = False) -> None:
-    """Chunks with vectors by section_type; a filter on it prunes folders."""
-    kb.write.mode("append" if append else "overwrite").partitionBy("section_type").parquet(path)
+def upsert_table(rows: DataFrame, url: str, table: str, key: str, **options: str) -> None:
+    """``rows`` replace those of a database table with their key, and are added where it has none; running it again changes nothing.
+
+    They are written to a staging table by all tasks, and moved from there in one transaction of the database. Of rows that repeat a key one is taken;
+    rows with a null key don't count.
+    """
+    staging = f"{_plain(table)}_STAGING"
+    write_table(rows.where(F.col(key).isNotNull()).dropDuplicates([key]), url, staging, "overwrite", **options)
+    jvm = rows.sparkSession._jvm
+    quoted = jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier
+    columns, k = ", ".join(map(quoted, rows.columns)), quoted(key)
+    connection = jvm.java.sql.DriverManager.getConnection(url)
+    try:
+        connection.setAutoCommit(False)
+        for sql in (f"delete from {table} where {k} in (select {k} from {staging})", f"insert into {table} ({columns}) select {columns} from {staging}"):
+            statement = connection.createStatement()
+            statement.executeUpdate(sql)
+            statement.close()
+        connection.commit()
+    except Exception:
+        connection.rollback()
+        raise
+    finally:
+        connection.close()
+
+
+def write_kb(kb: DataFrame, path: str, batch: str | None = None) -> None:
+    """Chunks with vectors, split by section_type: as the whole store, or as the part ``batch`` of it, which replaces an earlier part of that name.
+
+    Readers see the store before or after, never half of it.
+    """
+    log = Log(kb.sparkSession, path, "section_type")
+    log.put(kb, f"batch-{batch}") if batch is not None else log.put(kb, f"whole-{uuid4().hex}", log.parts())
 
 
 def read_kb(spark: SparkSession, path: str, **eq: str) -> DataFrame:
-    """The chunks whose columns equal the given values."""
-    kb = spark.read.parquet(path)
+    """The chunks whose columns equal the given values; only the folders of a given section_type are opened. A store that was never written raises."""
+    log = Log(spark, path, "section_type")
+    kb = log.read()
+    if kb is None:
+        raise FileNotFoundError(f"no store at {path}")
     for c, v in eq.items():
         kb = kb.where(F.col(c) == v)
     return kb

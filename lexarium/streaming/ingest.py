@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections import Counter
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
@@ -11,6 +14,8 @@ from ..functions.cleaning import computed, is_placeholder, is_translation
 from ..functions.text import doc_id_from_url
 from ..operators.corpus import clean_documents, dedup_three_key
 from ..sources.html import metadata_of, page_parts, title_of, with_content
+from ..sources.log import Log
+from ..sources.shared import settle
 
 #: Years of documents that are taken; unknown ones are too.
 YEARS = (2004, 2026)
@@ -54,15 +59,23 @@ def outcomes_of(pages: DataFrame, existing: DataFrame | None = None) -> DataFram
     return marked.select("url", F.when((F.col("outcome") == "ingested") & F.col("_fresh").isNull(), "duplicate").otherwise(F.col("outcome")).alias("outcome"))
 
 
-def stored(spark: SparkSession, table_dir: str, besides: int | None = None) -> DataFrame | None:
-    """All rows ever written to the table but those of the batch ``besides``; None if there are none."""
-    try:
-        rows = spark.read.parquet(table_dir)
-    except Exception as e:  # the first batch finds no table
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        return None
-    return rows if besides is None else rows.where(F.col("batch") != besides)
+#: Buckets of a table, and the parts of a bucket from which they are merged into one.
+BUCKETS, FULL = 64, 4
+_KEY = ["doc_number", "issued_date", "signer"]
+
+
+def _logs(spark: SparkSession, table_dir: str) -> tuple[Log, Log]:
+    """The documents by the hash of their id, and their keys (number else id, day of issue, signer) by the hash of these."""
+    return Log(spark, f"{table_dir}/documents", "bucket"), Log(spark, f"{table_dir}/keys", "bucket")
+
+
+def _bucket(*columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(BUCKETS)).cast("int")
+
+
+def stored(spark: SparkSession, table_dir: str) -> DataFrame | None:
+    """All rows of the table that weren't merged away; None if there are none."""
+    return _logs(spark, table_dir)[0].read()
 
 
 def current(rows: DataFrame) -> DataFrame:
@@ -71,27 +84,54 @@ def current(rows: DataFrame) -> DataFrame:
     return rows.join(last, ["doc_id", "batch"], "left_semi")
 
 
-def changes(docs: DataFrame, rows: DataFrame | None) -> DataFrame:
-    """What ``docs`` adds to the stored ``rows``: documents of new ids that equal none by number, date and signer, and those whose row has changed.
+def _touched(log: Log, rows: DataFrame, besides: str) -> DataFrame | None:
+    """What the log holds in the buckets of ``rows`` (BUCKETS numbers at most come to the driver)."""
+    return log.read({log.folder(r[0]) for r in rows.select("bucket").distinct().collect()}, besides)
 
-    docs has a column row_hash; of the stored rows only slim columns are read.
-    """
-    if rows is None:
-        return dedup_three_key(docs)
-    slim = current(rows.select("doc_id", "batch", "row_hash", "doc_number", "issued_date", "signer"))
-    known = slim.select("doc_id", F.col("row_hash").alias("_was"))
-    changed = docs.join(known, "doc_id").where("row_hash <> _was").select(*docs.columns)
-    return dedup_three_key(docs.join(known, "doc_id", "left_anti"), slim).unionByName(changed)
+
+def _keys_of(docs: DataFrame, alive: bool) -> DataFrame:
+    whole = docs.where("issued_date is not null and signer is not null")
+    return whole.select(F.coalesce("doc_number", "doc_id").alias("doc_number"), "issued_date", "signer", "doc_id", "batch", F.lit(alive).alias("alive")).withColumn("bucket", _bucket(*_KEY))
+
+
+def _last_keys(keys: DataFrame) -> DataFrame:
+    """Of each key and document what the last batch says."""
+    last = keys.groupBy(*_KEY, "doc_id", "bucket").agg(F.max_by("alive", "batch").alias("alive"), F.max("batch").alias("batch"))
+    return last.where("alive").select(*keys.columns)
 
 
 def add_new(spark: SparkSession, pages: DataFrame, table_dir: str, batch: int) -> None:
-    """Documents of pages that are new, or whose page has changed, as the table's part ``batch``; ``current`` gives the table as it is now.
+    """Documents of pages that are new, or whose page has changed, as a part of the table; ``current`` gives the table as it is now.
 
-    A batch that runs again replaces its own part, so each change is written once. Nothing that is stored is written again.
+    A document is new if its id isn't stored and none that is has its number, day of issue and signer. Of the table only slim columns of the buckets
+    that the batch's ids and keys fall into are read. A batch that runs again replaces its own part, so each change is written
+    once. Buckets of more than FULL parts are merged, the others aren't written again.
     """
+    documents, keys = _logs(spark, table_dir)
+    part = f"batch-{batch:010d}"
     docs = documents_of(pages.dropDuplicates(["url"]))
-    docs = docs.withColumn("row_hash", F.xxhash64(*docs.columns))
-    changes(docs, stored(spark, table_dir, batch)).write.mode("overwrite").parquet(f"{table_dir}/batch={batch}")
+    docs = settle(docs.withColumns({"row_hash": F.xxhash64(*docs.columns), "batch": F.lit(batch).cast("long"), "bucket": _bucket("doc_id")}))
+    before = _touched(documents, docs, part)
+    old = docs.limit(0) if before is None else current(before.select("doc_id", "batch", "row_hash", *_KEY))
+    old = settle(old.select("doc_id", F.col("row_hash").alias("_was"), *_KEY).join(docs.select("doc_id"), "doc_id", "left_semi"))
+    changed = docs.join(old.select("doc_id", "_was"), "doc_id").where("row_hash <> _was").select(*docs.columns)
+    fresh = docs.join(old, "doc_id", "left_anti")
+    known = _touched(keys, _keys_of(fresh, True), part)
+    rows = settle(dedup_three_key(fresh, None if known is None else _last_keys(known)).unionByName(changed))
+    documents.put(rows, part)
+    ended = old.join(changed.select("doc_id"), "doc_id", "left_semi").withColumn("batch", F.lit(batch).cast("long"))
+    owned = _keys_of(rows, True)
+    keys.put(owned.unionByName(_keys_of(ended, False).join(owned.select(*_KEY, "doc_id"), [*_KEY, "doc_id"], "left_anti").select(*owned.columns)), part)
+    for log, last in ((documents, current), (keys, _last_keys)):
+        _merge(log, last, f"merged-{batch:010d}")
+
+
+def _merge(log: Log, last: Callable[[DataFrame], DataFrame], part: str) -> None:
+    """Buckets of more than FULL parts as one part of the rows that are current."""
+    parts = log.parts()
+    full = {folder for folder, n in Counter(folder for _, folder in parts).items() if n > FULL}
+    if full:
+        log.put(last(log.read(full)), part, [x for x in parts if x[1] in full])
 
 
 def ingest_stream(spark: SparkSession, in_dir: str, table_dir: str, checkpoint: str, max_files: int = 1000) -> StreamingQuery:

@@ -144,7 +144,7 @@ def test_topics_and_embed(spark):
 
 
 def test_stream_adds_each_page_once(spark, tmp_path):
-    from lexarium.streaming.ingest import ingest_stream
+    from lexarium.streaming.ingest import ingest_stream, stored
 
     def page(k):
         return (f"https://example.org/van-ban/van-ban-{k}.aspx", f"<title>Nghị định số {k}</title><td>Số hiệu:<td>{k}/2020/NĐ-CP<tr><div id=fulltext><p>Điều 1. Phạm vi</p>" + "Nội dung quy định. " * 20)
@@ -152,7 +152,7 @@ def test_stream_adds_each_page_once(spark, tmp_path):
     def add(*ks):
         spark.createDataFrame([page(k) for k in ks], "url string, html string").write.mode("append").parquet(f"{tmp_path}/in")
         ingest_stream(spark, f"{tmp_path}/in", f"{tmp_path}/table", f"{tmp_path}/ckpt").awaitTermination()
-        return sorted(r.doc_number for r in spark.read.parquet(f"{tmp_path}/table").collect())
+        return sorted(r.doc_number for r in stored(spark, f"{tmp_path}/table").collect())
 
     assert add(1, 2) == ["1/2020/NĐ-CP", "2/2020/NĐ-CP"]
     assert add(2, 3) == ["1/2020/NĐ-CP", "2/2020/NĐ-CP", "3/2020/NĐ-CP"]
