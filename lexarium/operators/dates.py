@@ -2,43 +2,27 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from ..functions.cleaning import UNI, any_of, blank_to_null, computed, detect_category, strip
-from ..functions.text import DOC_NUMBER, normalize_doc_number, once, parse_vn_date
+from ..functions.cleaning import UNI, detect_category, strip
+from ..functions.text import normalize_doc_number
+from . import days
 
-#: Where the head of a document ends, in order; words of entry into force.
+#: Where the head of a document ends, in order.
 HEAD_ENDS = [r"QUYẾT ĐỊNH:", r"Điều\s+1\b", r"CHƯƠNG\s+I\b"]
-IN_FORCE_WORDS = [
-    "có hiệu lực thi hành", "hiệu lực thi hành", "có hiệu lực kể từ ngày", "có hiệu lực từ ngày", "có hiệu lực sau", "có hiệu lực vào",
-    "thông qua", "thông qua ngày", "kể từ ngày ký", "kể từ ngày ký ban hành", "kể từ ngày ban hành", "từ ngày ký", "ngày ký ban hành",
-    "bắt đầu có hiệu lực", "bắt đầu thi hành", "thi hành kể từ ngày", "thi hành từ ngày",
-]
-#: What every one of them holds.
-_IN_FORCE_PARTS = ["hiệu lực", "thi hành", "thông qua", "ngày ký", "ngày ban hành"]
-#: What leads to the day of entry into force, in order; the last is a constitution's. Then the words of force from signing, and a delay from it.
-FROM_DAY = [
-    r"có\s+hiệu\s+lực\s+thi\s+hành\s+kể\s+từ\s+ngày\s+([^.,;\n]+)",
-    r"có\s+hiệu\s+lực\s+thi\s+hành\s+từ\s+ngày\s+([^.,;\n]+)",
-    r"có\s+hiệu\s+lực\s+(?:thi\s+hành\s+)?(?:kể\s+từ\s+|từ\s+|vào\s+)?ngày\s+([^.,;\n]+)",
-    r"hiệu\s+lực\s+thi\s+hành\s+(?:kể\s+từ\s+|từ\s+)?ngày\s+([^.,;\n]+)",
-    r"thi\s+hành\s+(?:kể\s+từ\s+|từ\s+)?ngày\s+([^.,;\n]+)",
-    r"thông\s+qua\s+ngày\s+([^.,;\n]+)",
-]
-FROM_SIGNING = [
-    r"có\s+hiệu\s+lực\s+(?:thi\s+hành\s+)?kể\s+từ\s+ngày\s+ký",
-    r"có\s+hiệu\s+lực\s+(?:thi\s+hành\s+)?từ\s+ngày\s+ký",
-    r"hiệu\s+lực\s+thi\s+hành\s+kể\s+từ\s+ngày\s+ký",
-    r"có\s+hiệu\s+lực\s+(?:kể\s+)?từ\s+ngày\s+ban\s+hành",
-]
-DELAY = r"sau\s+(\d+)\s+ngày\s+kể\s+từ\s+ngày\s+ký"
-#: How the end is worded, strict, narrow and broad, in order; each with a short or a long date.
-ENDS = [r"hết\s+hiệu\s+lực\s+(?:thi\s+hành\s+)?(?:kể\s+từ\s+)?ngày", r"hết\s+hiệu\s+lực\s+vào\s+ngày"]
-ENDS_NARROW = [r"đến\s+hết\s+ngày"]
-ENDS_BROAD = [r"đến\s+trước\s+ngày", r"đến\s+ngày"]
-SHORT, LONG = r"\d{1,2}\s*[/\-]\s*\d{1,2}\s*[/\-]\s*\d{4}", r"\d{1,2}\s+tháng\s+\d{1,2}\s+năm\s+\d{4}"
-OTHERS_END = r"(?:các|những)\s+(?:quy[ếe]t\s*đ[ịi]nh|v[ăa]n\s*b[ảa]n|ngh[ịi]\s*đ[ịi]nh|th[ôo]ng\s*t[ưu])\s+sau\s+đ[âa]y\s+h[ếe]t\s+hi[ệe]u\s+l[ựư]c"
+SHORT, LONG = days.SHORT, days.LONG
+
+
+def _by_text(of):
+    """A function of one text as one of a string column; null of null."""
+
+    def each(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else of(t) for t in texts.to_pylist()], pa.string())
+
+    return F.arrow_udf(each, StringType())
 
 
 def header_section(content: Column) -> Column:
@@ -48,53 +32,29 @@ def header_section(content: Column) -> Column:
     return F.substring(strip(F.regexp_replace(cut, rf"{UNI}\s+", " ")), 1, 500)
 
 
-def _bare(line: Column) -> Column:
-    return strip(F.btrim(strip(line), F.lit("*_")))
-
-
-def effective_article(content: Column) -> Column:
-    """Lines from the first 'Điều n.' whose six lines speak of force or effect, up to the next head; null if there is none."""
-    speaks = lambda w: F.array_join(w, " ").rlike(UNI + r"[Hh]iệu\s+lực|thi\s+hành")
-
-    def of_lines(lines: Column) -> Column:
-        first = lambda bare: F.array_position(F.transform(bare, lambda x, i: x.rlike(UNI + r"^Điều\s+[\dIVXLCH]+\s*[.:]") & speaks(F.slice(bare, i + 1, 6))), True).cast("int")
-        return once(once(F.transform(lines, _bare), first), lambda at: F.when(at > 0, once(F.filter(F.transform(F.slice(lines, F.greatest(at, F.lit(1)), 1 << 30), strip), lambda x: x != ""), article)))
-
-    def article(rest: Column) -> Column:
-        head = F.transform(rest, lambda x, i: (i > 0) & _bare(x).rlike(UNI + r"^(?:Điều|Chương|Phần|Mục)\s+[\dIVXLCH]"))
-        return once(F.array_position(head, True).cast("int"), lambda end: F.array_join(F.slice(rest, 1, F.when(end > 0, end - 1).otherwise(1 << 30)), "\n"))
-
-    some = F.contains(content, F.lit("Điều"))
-    return F.when(some, once(F.split(content, "\n"), of_lines))
-
+#: Of a content: the lines from the first 'Điều n.' that speaks of force up to the next head; the first end date; the act from whose day it counts.
+effective_article = _by_text(days.article_of)
+expiry_in = _by_text(days.end_in)
+cross_number = _by_text(lambda text: days.act_counted_from(text.lower()))
 
-def _article_with_words(p: Column) -> Column:
-    """Of a long paragraph the first 'Điều n' with a word of force, and a line on each side; null if there is none."""
+_READ = ("article_text", "section_text", "effective_date", "expiry_date")
 
-    def of_lines(lines: Column) -> Column:
-        heads = F.filter(F.transform(lines, lambda x, i: F.when(_bare(x).rlike(UNI + r"^Điều\s+[\dIVXLCH]+"), i)), lambda i: i.isNotNull())
-        return once(heads, lambda h: pieces(lines, h))
 
-    def pieces(lines: Column, heads: Column) -> Column:
-        stop = lambda i: F.coalesce(F.get(heads, i + 1), F.size(lines))
-        says = F.transform(heads, lambda at, i: F.lower(F.array_join(F.slice(lines, at + 1, stop(i) - at), "\n")).rlike(any_of(IN_FORCE_WORDS)))
-        one = lambda k: once(F.greatest(F.get(heads, k - 1) - 1, F.lit(0)), lambda a: F.array_join(F.slice(lines, a + 1, F.least(stop(k - 1) + 1, F.size(lines)) - a), "\n"))
-        return once(F.array_position(says, True).cast("int"), lambda k: F.when(k > 0, one(k)))
+def _read(content: pa.Array, issued: pa.Array) -> pa.Array:
+    rows = []
+    for text, day in zip(content.to_pylist(), issued.to_pylist(), strict=True):
+        article, section = (None, "") if text is None else (days.article_of(text), days.section_of(text))
+        end = (days.end_in(article) if article else None) or days.end_in(section)
+        rows.append((article, section, days.force_of(text or "", article, section, day), end))
+    return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(len(_READ))], names=list(_READ))
 
-    return once(F.split(p, "\n"), of_lines)
 
-
-def _section(content: Column) -> Column:
-    """The last paragraph with a word of force, '' if none; one of over 2000 characters is narrowed to its article, if it has one."""
-    likely = lambda p: once(F.lower(p), lambda low: low.rlike("|".join(_IN_FORCE_PARTS)) & low.rlike(any_of(IN_FORCE_WORDS)))
-    paragraphs = F.filter(F.transform(F.split(content, rf"{UNI}\n\s*\n"), strip), likely)
-    last = F.coalesce(F.get(F.reverse(paragraphs), F.lit(0)), F.lit(""))
-    return once(last, lambda p: F.when(F.length(p) > 2000, F.coalesce(effective_article(p), _article_with_words(p), p)).otherwise(p))
-
-
-def sections(docs: DataFrame) -> DataFrame:
-    """docs with article_text and section_text, each computed once."""
-    return computed(docs, article_text=effective_article(F.col("content")), section_text=_section(F.col("content")))
+def read_days(docs: DataFrame) -> DataFrame:
+    """docs with the columns article_text, section_text, effective_date and expiry_date instead of its content: all that one reading of a text finds."""
+    day = F.col("issued_date") if "issued_date" in docs.columns else F.lit(None).cast("string")
+    read = F.arrow_udf(_read, StructType([StructField(c, StringType()) for c in _READ]))
+    rest = [c for c in docs.columns if c not in ("content", *_READ)]
+    return docs.select(*rest, read(F.col("content"), day).alias("_read")).select(*rest, *[F.col("_read")[c].alias(c) for c in _READ])
 
 
 def effective_section(docs: DataFrame) -> DataFrame:
@@ -102,62 +62,25 @@ def effective_section(docs: DataFrame) -> DataFrame:
 
     A paragraph over 2000 characters is narrowed to its article, if it has one, else to the first article with a word of force.
     """
-    return sections(docs.select("doc_id", "content")).drop("content")
-
-
-def cross_number(text: Column) -> Column:
-    """The act 'from whose day' a text counts, as its number in lower case; null if none, or under five characters."""
-    act = rf"từ\s+ngày\s+(?:\w+\s+){{1,5}}số\s+({DOC_NUMBER})"
-    found = F.coalesce(*[blank_to_null(F.regexp_extract(F.lower(text), p, 1)) for p in (rf"{UNI}{act}\s+.*?có\s+hiệu\s+lực", rf"{UNI}kể\s+{act}")])
-    return once(F.rtrim(found, F.lit("-/")), lambda n: F.when(F.length(n) >= 5, n))
-
-
-def _issued(day: Column) -> Column:
-    """A day of issue as ISO: as it is, d/m/y or d-m-y without a check, or in words."""
-    d = strip(day)
-    part = F.split(d, "[/-]")
-    short = F.concat_ws("-", part[2], F.lpad(part[1], 2, "0"), F.lpad(part[0], 2, "0"))
-    return F.when(d.rlike(r"^\d{4}-\d{2}-\d{2}$"), d).when(d.rlike(r"^\d{1,2}[/\-]\d{1,2}[/\-]\d{4}$"), short).otherwise(parse_vn_date(d))
-
-
-def _named_day(low: Column, wordings: list[str]) -> Column:
-    """The first day that one of the wordings leads to, in their order, within 80 characters; null where the text counts from another act's day."""
-    found = F.coalesce(*[once(F.substring(F.regexp_extract(low, UNI + p, 1), 1, 80), parse_vn_date) for p in wordings])
-    return F.when(F.contains(low, F.lit("ngày")) & cross_number(low).isNull(), found)
-
-
-def _delayed(low: Column, issued: Column) -> Column:
-    n = F.regexp_extract(low, UNI + DELAY, 1).try_cast("int")
-    return F.date_format(F.date_add(F.try_to_date(_issued(issued), "yyyy-MM-dd"), n), "yyyy-MM-dd")
-
-
-def effective(article: Column, section: Column, content: Column, issued: Column) -> Column:
-    """The day of entry into force: of the article, else of the section, a named day, the day of issue if it counts from signing, or a delay
-    from it; else the last two of the whole text. 'From signing' ends the search even if the day of issue isn't known."""
-
-    def step(text: Column, named: bool) -> Column:
-        def of(low: Column) -> Column:
-            day = _named_day(low, FROM_DAY) if named else F.lit(None).cast("string")
-            signed = low.rlike(UNI + "|".join(FROM_SIGNING))
-            rest = once(_delayed(low, issued), lambda x: F.struct(x.isNotNull().alias("done"), x.alias("day")))
-            return once(day, lambda x: F.when(x.isNotNull(), F.struct(F.lit(True).alias("done"), x.alias("day"))).when(signed, F.struct(F.lit(True).alias("done"), _issued(issued).alias("day"))).otherwise(rest))
-
-        return once(F.lower(F.coalesce(text, F.lit(""))), of)
-
-    after = lambda first, then: once(first, lambda x: F.when(x["done"], x["day"]).otherwise(then))
-    return after(step(article, True), after(step(section, True), after(step(content, False), F.lit(None).cast("string"))))
+    return read_days(docs.select("doc_id", "content")).select("doc_id", "article_text", "section_text")
 
 
 def effective_date(docs: DataFrame) -> DataFrame:
-    """doc_id, effective_date of docs (doc_id, content, issued_date); see ``effective``. A null content has none."""
-    cut = sections(docs.select("doc_id", "content", "issued_date"))
-    return cut.select("doc_id", effective(*map(F.col, ("article_text", "section_text", "content", "issued_date"))).alias("effective_date"))
+    """doc_id, effective_date of docs (doc_id, content, issued_date). A null content has none.
+
+    The day that the article, else the section names; the day of issue where it counts from signing, or a delay from it; else the last two of the whole
+    text. 'From signing' ends the search even if the day of issue isn't known. A text that counts from another act's day names none.
+    """
+    return read_days(docs.select("doc_id", "content", "issued_date")).select("doc_id", "effective_date")
 
 
 def effective_from_enforcement(chunks: DataFrame) -> DataFrame:
     """doc_id, effective_date of enforcement chunks (doc_id, content, issued_date): a named day, else a delay from signing."""
-    found = once(F.lower("content"), lambda low: once(_named_day(low, FROM_DAY[:-1]), lambda day: F.coalesce(day, _delayed(low, F.col("issued_date")))))
-    return chunks.select("doc_id", found.alias("effective_date"))
+
+    def each(content: pa.Array, issued: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else days.force_of_chunk(t, d) for t, d in zip(content.to_pylist(), issued.to_pylist(), strict=True)], pa.string())
+
+    return chunks.select("doc_id", F.arrow_udf(each, StringType())("content", "issued_date").alias("effective_date"))
 
 
 def _date(s: Column) -> Column:
@@ -171,48 +94,21 @@ def _date(s: Column) -> Column:
     return F.transform(F.array(F.regexp_extract_all(s, F.lit(r"(\d+)"), F.lit(1))), iso)[0]
 
 
-def expiry_in(section: Column) -> Column:
-    """The first end date in enforcement text; null if none.
-
-    Numbered paragraphs are read in order, and in each the wordings in order. Paragraphs that list other acts as ended don't count, nor
-    does an end 'of force' or 'to the end of' a day that comes after another act's number.
-    """
-    text = F.regexp_replace(F.lower(section), r"\[([^\]]+)\]\([^)]+\)", "$1")
-    paragraphs = F.split(text, rf"(?m){UNI}^\s*(?=(?:\d+|điều\s+\d+)\\?[.)]\s)")
-    number = rf"số\s+{DOC_NUMBER}"
-
-    def end(p: Column) -> Column:
-        day = lambda w, where: F.coalesce(*[once(F.regexp_extract(where, rf"{UNI}{w}\s+({d})", 1), _date) for d in (SHORT, LONG)])
-        broad = F.coalesce(*[day(w, p) for w in ENDS_BROAD])
-        return once(F.split(p, UNI + number, 2)[0], lambda before: F.coalesce(*[day(w, before) for w in ENDS + ENDS_NARROW], broad))
-
-    # what is cheap to see comes first
-    own = F.filter(paragraphs, lambda p: (F.contains(p, F.lit("đến")) | F.contains(p, F.lit("hết"))) & p.rlike(r"\d{4}") & ~p.rlike(UNI + OTHERS_END))
-    return F.get(F.filter(F.transform(own, end), lambda d: d.isNotNull()), F.lit(0))
-
-
 def validate_expiry(expiry: Column, effective: Column) -> Column:
     """Null where the end is before the start."""
     return F.when(~F.coalesce(expiry < effective, F.lit(False)), expiry)
 
 
-def _expiry(article: Column, section: Column) -> Column:
-    return F.coalesce(expiry_in(article), expiry_in(section))
-
-
 def expiry_date(docs: DataFrame) -> DataFrame:
-    """doc_id, expiry_date from the article of entry into force, else from the section."""
-    return effective_section(docs).select("doc_id", _expiry(F.col("article_text"), F.col("section_text")).alias("expiry_date"))
+    """doc_id, expiry_date from the article of entry into force, else from the section; see days.end_in."""
+    return read_days(docs.select("doc_id", "content")).select("doc_id", "expiry_date")
 
 
 def extract_metadata(docs: DataFrame) -> DataFrame:
     """doc_id, category, effective_date (found, else given), expiry_date that isn't before it. Each row by itself, so doc_id may repeat."""
     given = F.col("effective_date") if "effective_date" in docs.columns else F.lit(None).cast("string")
-    cut = sections(docs.select("doc_id", "title", "content", "issued_date", given.alias("given")))
-    article, section = F.col("article_text"), F.col("section_text")
-    found = F.coalesce(effective(article, section, F.col("content"), F.col("issued_date")), "given")
-    both = computed(cut, effective_date=found, ends=_expiry(article, section))
-    return both.select("doc_id", detect_category(F.col("title")).alias("category"), "effective_date", validate_expiry(F.col("ends"), F.col("effective_date")).alias("expiry_date"))
+    both = read_days(docs.select("doc_id", "title", "content", "issued_date", given.alias("given"))).withColumn("effective_date", F.coalesce("effective_date", "given"))
+    return both.select("doc_id", detect_category(F.col("title")).alias("category"), "effective_date", validate_expiry(F.col("expiry_date"), F.col("effective_date")).alias("expiry_date"))
 
 
 def cross_reference(docs: DataFrame, dates: DataFrame) -> DataFrame:
