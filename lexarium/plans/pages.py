@@ -10,6 +10,7 @@ from ..operators import structure as G
 from ..sources import html as P
 from ..sources import tables as S
 from ..sources.fixtures import read, view, view_sql
+from ..sources.site import site_parse
 from ..streaming.ingest import documents_of
 
 BASE = "https://example.org"
@@ -35,6 +36,24 @@ def _registry(s, d):
 #: Derived pages with a legal basis, a chapter in a div and an article in a list.
 NESTED = "replace(html, '<p>Điều 1. Phạm vi</p>', '<p>Căn cứ Luật số '||regexp_extract(url, '-([0-9]+)[.]aspx', 1)||' năm 2015</p><div><p>Chương I</p></div><ul><li>Điều '||regexp_extract(url, '-([0-9]+)[.]aspx', 1)||'. Phạm vi</li></ul>')"
 
+#: Derived pages of three sites: property cells; classes and an id; cells without end tags and no content element.
+_K = "regexp_extract(url, '-([0-9]+)[.]aspx', 1)"
+SITES = (
+    f"case cast({_K} as int) % 3 when 0 then html when 1 then '<html><head><title>Trang '||{_K}||'</title></head><body><header>Menu</header><h1 class=\"tieu-de big\">Quyết định <b>'||{_K}||'</b></h1>"
+    f"<span class=\"so\">sai</span><span class=\"x so-hieu\">'||{_K}||'/2021/QĐ</span><div class=\"ngay\"> 05/0'||(1 + cast({_K} as int) % 9)||'/2021 </div><div id=\"noidung\"><script>x()</script><p>Căn cứ Luật số '||{_K}||' năm 2015</p><ul><li>Điều 1. Mục '||{_K}||'</li></ul></div><footer>f</footer></body></html>' "
+    f"else '<body><nav>m</nav><p>Điều 2. '||{_K}||'<table><tr><td>SỐ HIỆU: <td> '||{_K}||'/2022/TT<tr><td>Ngày có hiệu lực<td>2022-01-02</table><footer>f</footer></body>' end"
+)
+RULES = {
+    "title": [{"tag": "h1", "class": "tieu-de"}, {"tag": "title"}], "doc_number": [{"tag": "span", "class": "so-hieu"}, {"text_before": "số hiệu"}], "signer": [{"text_before": "Người ký"}],
+    "issued_date": [{"tag": "div", "class": "ngay"}], "effective_date": [{"text_before": "có hiệu lực"}], "content": [{"tag": "div", "id": "toanvancontent"}, {"tag": "div", "id": "noidung"}],
+}
+SITE_COLUMNS = ("url", "doc_id", "title", "doc_number", "doc_type", "signer", "issued_date", "effective_date", "content", "year_published")
+
+
+def _site(s, d):
+    return site_parse(_legal(s, d).select("url", F.expr(SITES).alias("html")), RULES)
+
+
 QUERIES = {
     "g3_html_sections": lambda s, d: G.html_sections(P.block_text(_legal(s, d).select("url", F.expr(NESTED).alias("html")))),
     "a1_load_pages": lambda s, d: S.load_pages(s, f"{d}/pages.parquet").select("url", F.length("html").alias("n")),
@@ -49,7 +68,8 @@ QUERIES = {
     "b5_extract_body": lambda s, d: P.extract_content(_real(s, d)),
     "b7_html_metadata": lambda s, d: P.html_metadata(_legal(s, d)).select("url", "doc_number", "signer"),
     "b8_resolve_title": lambda s, d: P.resolve_title(_real(s, d), doc_id_from_url(F.col("url"))),
-    "b9_site_parse": lambda s, d: P.site_parse(_legal(s, d), {"doc_number": ["#none", "Số hiệu:"], "signer": ["Người ký:"], "title": ["tag:title"]}, ["toanvancontent"]),
+    "b9_site_parse": lambda s, d: _site(s, d).select(*SITE_COLUMNS, F.array_join("sections", "|").alias("sections")),
+    "b9_site_sections": lambda s, d: G.html_sections(_site(s, d).select("url", F.array_join("sections", "\n").alias("content"))),
     "d1_new_urls": lambda s, d: C.new_urls(P.listing_links(_legal(s, d), BASE).select(F.col("link").alias("url")), view(s, d, "legal_raw")),
     "k1_documents_of": lambda s, d: documents_of(_legal(s, d)).select("doc_id", "title", "doc_number", "signer", "year_published"),
 }
@@ -62,7 +82,20 @@ ORACLES: dict[str, str] = {
     "b1_listing_links": f"{_P} select url as page_url, 0 as pos, '{BASE}' || regexp_extract(html, 'href=\"([^\"]+)\"', 1) as link from p",
     "b4_extract_content": f"{_P} select url, 'Điều 1. Phạm vi' || chr(10) || rtrim(repeat('Nội dung. ', 20)) || ' ' as content from p",
     "b7_html_metadata": f"{_P} select url, {_NUM} as doc_number, {_SIGNER} as signer from p",
-    "b9_site_parse": f"{_P} select url, {_NUM} as doc_number, {_SIGNER} as signer, regexp_extract(html, '<title>(.*)</title>', 1) as title, 'Điều 1. Phạm vi' || chr(10) || rtrim(repeat('Nội dung. ', 20)) as content, null as year_published from p",
+    "b9_site_parse": f"""{_P}, k as (select *, {_K} as k, cast({_K} as integer) as n from p)
+      select url, 'Nghi-dinh-' || k as doc_id, case n % 3 when 0 then 'Nghị định ' || k || ' - Thư viện Pháp luật' when 1 then 'Quyết định' || k else 'Không có tiêu đề' end as title,
+        case n % 3 when 0 then {_NUM} when 1 then k || '/2021/QĐ' else k || '/2022/TT' end as doc_number, null as doc_type, case n % 3 when 0 then {_SIGNER} end as signer,
+        case n % 3 when 1 then '05/0' || (1 + n % 9) || '/2021' end as issued_date, case n % 3 when 2 then '2022-01-02' end as effective_date,
+        case n % 3 when 0 then 'Điều 1. Phạm vi' || chr(10) || repeat('Nội dung. ', 20) when 1 then 'Căn cứ Luật số ' || k || ' năm 2015' || chr(10) || 'Điều 1. Mục ' || k
+          else 'Điều 2. ' || k || chr(10) || 'SỐ HIỆU: ' || chr(10) || ' ' || k || '/2022/TT' || chr(10) || 'Ngày có hiệu lực' || chr(10) || '2022-01-02' end as content,
+        case n % 3 when 1 then 2021 when 2 then 2022 end as year_published,
+        case n % 3 when 0 then 'Điều 1. Phạm vi|' || rtrim(repeat('Nội dung. ', 20)) when 1 then 'Căn cứ Luật số ' || k || ' năm 2015' || '|Điều 1. Mục ' || k || '|Điều 1. Mục ' || k
+          else 'Điều 2. ' || k || 'SỐ HIỆU:' || k || '/2022/TTNgày có hiệu lực2022-01-02|SỐ HIỆU:' || k || '/2022/TTNgày có hiệu lực2022-01-02' end as sections from k""",
+    "b9_site_sections": f"""{_P}, k as (select *, {_K} as k, cast({_K} as integer) as n from p)
+      select url as doc_id, 1 as node_id, null as parent_id, 3 as depth, 'dieu' as section_type, '1' as number, 'Điều 1. Phạm vi' as heading, 'Điều 1. Phạm vi' || chr(10) || rtrim(repeat('Nội dung. ', 20)) as content from k where n % 3 = 0
+      union all select url, 1, null, 99, 'legal_basis', null, 'Căn cứ Luật số ' || k || ' năm 2015', 'Căn cứ Luật số ' || k || ' năm 2015' from k where n % 3 = 1
+      union all select url, 2, null, 3, 'dieu', '1', 'Điều 1. Mục ' || k, 'Điều 1. Mục ' || k from k where n % 3 = 1 union all select url, 3, null, 3, 'dieu', '1', 'Điều 1. Mục ' || k, 'Điều 1. Mục ' || k from k where n % 3 = 1
+      union all select url, 1, null, 3, 'dieu', '2', h, h || chr(10) || substring(h, length('Điều 2. ' || k) + 1) from (select url, k, 'Điều 2. ' || k || 'SỐ HIỆU:' || k || '/2022/TTNgày có hiệu lực2022-01-02' as h from k where n % 3 = 2)""",
     "g3_html_sections": f"""{_P}, k as (select url, regexp_extract(url, '-([0-9]+)[.]aspx', 1) as k from p)
       select url as doc_id, 1 as node_id, null as parent_id, 99 as depth, 'legal_basis' as section_type, null as number, 'Căn cứ Luật số ' || k || ' năm 2015' as heading, 'Căn cứ Luật số ' || k || ' năm 2015' as content from k
       union all select url, 2, null, 1, 'chuong', 'I', 'Chương I', 'Chương I' from k union all select url, 3, 2, 3, 'dieu', k, 'Điều ' || k || '. Phạm vi', 'Điều ' || k || '. Phạm vi' from k

@@ -251,21 +251,3 @@ def listing_links(pages: DataFrame, base: str, pattern: str = r"/van-ban/[^\"'?]
     best = F.when(F.size(listed) > 0, listed).when(F.size(fits) > 0, href(fits)).otherwise(raw)
     links = F.array_distinct(F.transform(F.coalesce(best, F.array().cast("array<string>")), lambda h: resolve_url(h, base)))
     return page_parts(pages).select(F.col("url").alias("page_url"), F.posexplode(links).alias("pos", "link"))
-
-
-def site_parse(pages: DataFrame, rules: dict[str, list[str]], content_ids: list[str]) -> DataFrame:
-    """url, one column for each rule, content, year_published.
-
-    A rule lists selectors in order, of which the first with text counts: '#id', 'tag:h1', 'tag:title' or the label before a cell.
-    Content is the first of content_ids with text, else the body; the year is of issued_date, else effective_date.
-    """
-    ids = [s[1:] for ss in rules.values() for s in ss if s[0] == "#"]
-
-    def pick(s: str) -> Column:
-        found = F.col("panels")[s[1:]] if s[0] == "#" else F.col(s[4:]) if s.startswith("tag:") else _cell_after(s)
-        return blank_to_null(strip(found))
-
-    out = page_parts(pages, ids + content_ids).select("url", *[F.coalesce(*map(pick, ss)).alias(k) for k, ss in rules.items()], F.coalesce(*[pick(f"#{i}") for i in content_ids], strip(_squeezed(F.col("body")))).alias("content"))
-    dates = [F.col(c) for c in ("issued_date", "effective_date") if c in rules]
-    year = F.regexp_extract(F.coalesce(*dates, F.lit("")), r"\b((?:19|20)\d{2})\b", 1)
-    return out.withColumn("year_published", blank_to_null(year).try_cast("int"))

@@ -98,3 +98,21 @@ def test_database(spark, tmp_path):
     assert {r.ID: r.SIGNER for r in rows} == want and len(rows) == len(want)
     with pytest.raises(ValueError):
         S.bounds(spark, url, "DOCS", "SIGNER; drop table DOCS", **more)
+
+
+def test_site_selectors():
+    """The first selector that hits counts, whatever the page's form; odd pages have a row of their own."""
+    from lexarium.sources.site import read_page, tree
+
+    rules = {
+        "title": [{"tag": "h2"}, {"tag": "div", "class": "t"}], "doc_number": [{"tag": "p", "id": "nr"}, {"text_before": "SỐ"}], "status": [{"tag": "span", "class": "a"}],
+        "issued_date": [{"text_before": "ngày"}], "content": [{"tag": "div", "class": "none"}, {"tag": "div", "id": "empty"}, {"tag": "div", "id": "c"}],
+    }
+    html = "<div class='x t'> Tên <b>văn</b> bản </div><table><tr><td>Số<td>Ngày<td>5/2019<tr><th>số</th><td>7</table><p id=nr> a <i>b</i><script>z</script></p><div id=empty> </div><div id=c>x<style>y</style><br>z<p>một<p>hai</div>"
+    row = read_page(html, "https://e.org/a/b%20c.html?x=1", rules)
+    assert (row["title"], row["doc_number"], row["status"], row["issued_date"], row["content"], row["sections"], row["year_published"]) == ("Tênvănbản", "a\nb", None, "5/2019", "x\nz\nmột\nhai", ["một", "hai"], 2019)
+    assert row["doc_id"] == "b_20c_x_1"
+    for odd in ("", "<", "plain", "</div></p>", "<p" * 3000, "<div>" * 3000 + "x", "<td>" * 50):
+        row = read_page(odd, "u/", rules)
+        assert row["title"] == "Không có tiêu đề" and row["content"] == "" and row["year_published"] is None
+    assert len(list(tree("<div>" * 3000).elements())) == 3000
