@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,8 +9,6 @@ from pyspark.sql.window import Window
 from ..functions.cleaning import UNI, blank_to_null, composed, strip
 from ..functions.text import once
 
-#: Queries and vectors of the blocks that are compared with each other, and queries that are multiplied at once.
-QUERY_BLOCK, VECTOR_BLOCK, AT_ONCE = 4096, 20_000, 256
 #: Heads of clauses and of the parties, and how a party's fields are written.
 CLAUSE_HEAD = r"(?:^|\n)\s*(?:Điều|ĐIỀU)\s+(\d+)\s*[.:)\-–]\s*"
 PARTY_A = r"BÊN\s+A\s*:?\s*\(?\s*([^)\n]*?)\s*\)?\s*\n"
@@ -86,57 +82,6 @@ def build_kb(chunks: DataFrame, docs: DataFrame, limit: int = 1000, in_force: bo
     return own.join(slim, "doc_id")
 
 
-def _in_blocks(rows: DataFrame, others: DataFrame, id_: str, sizes: tuple[int, int], on: list[str]) -> DataFrame:
-    """rows, each in a block of its own and once for each block of ``others`` (with its value of ``on``): own, other.
-
-    How many blocks there are is counted: rows meet counts, never each other here.
-    """
-    if on:
-        blocks = lambda df, size, name: df.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / size).alias(name))
-        rows = rows.join(blocks(rows, sizes[0], "_own").join(blocks(others, sizes[1], "_other"), on), on)
-    else:
-        rows = rows.withColumns({name: F.lit(-(-df.count() // size)).cast("long") for name, df, size in (("_own", rows, sizes[0]), ("_other", others, sizes[1]))})
-    own = F.pmod(F.xxhash64(id_), F.greatest("_own", F.lit(1))).alias("own")
-    each = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("_other") - 1, F.lit(0)))).alias("other")
-    # under names of their own, so that the two sides of a search stay apart
-    return rows.select(*[F.col(c).alias(c) for c in rows.columns if c not in ("_own", "_other")], own, each)
-
-
-def _search(queries: DataFrame, kb: DataFrame, k: int, min_score: float, on: list[str]) -> DataFrame:
-    queries = queries.select("query_id", *on, "embedding").where("embedding is not null")
-    kb = kb.select("vec_id", *on, "embedding").where("embedding is not null")
-    q = _in_blocks(queries, kb, "query_id", (QUERY_BLOCK, VECTOR_BLOCK), on).withColumnsRenamed({"own": "i", "other": "j"})
-    v = _in_blocks(kb, queries, "vec_id", (VECTOR_BLOCK, QUERY_BLOCK), on).withColumnsRenamed({"own": "j", "other": "i"})
-
-    def top(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, vid = left["query_id"].to_numpy(), right["vec_id"].to_numpy()
-        found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
-        if len(ids) and len(vid):
-            matrix = lambda t: np.array(t["embedding"].to_pylist(), np.float64)
-            own, all_ = matrix(left), matrix(right)
-            for a in range(0, len(ids), AT_ONCE):
-                for n, s in enumerate(np.round(own[a : a + AT_ONCE] @ all_.T, 6), a):
-                    best = np.flatnonzero(s >= np.partition(s, -min(k, len(s)))[-min(k, len(s))])  # with all ties of the last
-                    best = best[np.lexsort((vid[best], -s[best]))][:k]
-                    best = best[s[best] >= min_score]
-                    for out, x in zip(found, (np.full(len(best), ids[n]), vid[best], s[best]), strict=True):
-                        out.append(x)
-        return pa.table({c: pa.array(np.concatenate(x)) for c, x in zip(("query_id", "vec_id", "score"), found, strict=True)})
-
-    key = [*on, "i", "j"]
-    hits = q.groupBy(*key).cogroup(v.groupBy(*key)).applyInArrow(top, "query_id long, vec_id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "vec_id", "rank", "score")
-
-
-def knn(queries: DataFrame, kb: DataFrame, k: int = 5, min_score: float = 0.6) -> DataFrame:
-    """query_id, vec_id, rank, score: exact inner-product top k, equal scores by vec_id. Null vectors don't count.
-
-    Blocks of queries meet blocks of vectors, each pair in a task of its own that keeps k rows a query.
-    """
-    return _search(queries, kb, k, min_score, [])
-
-
 def parse_responses(responses: DataFrame) -> DataFrame:
     """contract_id, pos and the fields of the outermost braces of a model's text; rows that aren't JSON go."""
     schema = "clause_ref string, severity string, issue string, legal_basis string, recommendation string"
@@ -185,14 +130,6 @@ def last_turns(turns: DataFrame, n: int = 5) -> DataFrame:
     return pairs.groupBy("conv_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("history"))
 
 
-def knn_filtered(queries: DataFrame, kb: DataFrame, on: str, k: int = 5, min_score: float = 0.6) -> DataFrame:
-    """query_id, vec_id, rank, score: the exact top k among the rows of ``kb`` with the query's value of ``on``; equal scores by vec_id.
-
-    The vectors of one value meet in as many blocks as they need.
-    """
-    return _search(queries, kb, k, min_score, [on])
-
-
 def owned(requests: DataFrame, registry: DataFrame) -> DataFrame:
     """Requests whose (contract_id, user_id) is registered."""
     return requests.join(registry.select("contract_id", "user_id"), ["contract_id", "user_id"], "left_semi")

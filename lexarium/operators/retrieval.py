@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions import terms as W
 from ..functions.cleaning import any_of, computed
-from .contracts import knn
+from .search import knn
 
 
 def embed(df: DataFrame, encoder: Callable[[], Callable[[list[str]], np.ndarray]], text: str = "text", batch: int = 256) -> DataFrame:

@@ -11,6 +11,7 @@ from ..operators import corpus as C
 from ..operators import dates as D
 from ..operators import fields as H
 from ..operators import retrieval as R
+from ..operators import search as S
 from ..operators import structure as G
 from ..sources.fixtures import read, view, view_sql
 
@@ -73,7 +74,7 @@ def _chat(s, d):
     of = lambda hits: hits.join(text, "vec_id").select(F.col("query_id").alias("question_id"), "rank", "text")
     history = K.last_turns(read(s, d, "conversations")).select(F.col("conv_id").alias("question_id"), "history")
     questions = q.select(F.col("query_id").alias("question_id"), F.lit("?").alias("question"))
-    return R.chat_context(questions, of(K.knn_filtered(q, v, "label")), of(K.knn(q.drop("label"), v, 3)), history)
+    return R.chat_context(questions, of(S.knn_filtered(q, v, "label")), of(S.knn(q.drop("label"), v, 3)), history)
 
 
 def _clause_hits(s, d):

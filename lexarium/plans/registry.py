@@ -14,6 +14,7 @@ from ..operators import corpus as C
 from ..operators import dates as D
 from ..operators import fields as H
 from ..operators import relations as R
+from ..operators import search as S
 from ..operators import structure as G
 from ..sources.fixtures import read, view, view_sql
 from ..sources.shared import settle
@@ -121,7 +122,7 @@ def _formed(s, d):
 def _search(s, d, on=None, **more):
     v = read(s, d, "embeddings")
     q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), *([on] if on else []), "embedding")
-    return K.knn_filtered(q, v, on, **more) if on else K.knn(q, v, **more)
+    return S.knn_filtered(q, v, on, **more) if on else S.knn(q, v, **more)
 
 
 def _existing(s, d):

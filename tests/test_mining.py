@@ -257,7 +257,7 @@ def test_search_in_blocks(spark, monkeypatch):
     """Small blocks, ties and null vectors: the same as all pairs."""
     import numpy as np
 
-    from lexarium.operators import contracts as K
+    from lexarium.operators import search as K
 
     monkeypatch.setattr(K, "QUERY_BLOCK", 3)
     monkeypatch.setattr(K, "VECTOR_BLOCK", 7)
@@ -275,6 +275,33 @@ def test_search_in_blocks(spark, monkeypatch):
     assert K.knn(q.drop("label").limit(0), df).count() == 0 and K.knn(q.drop("label"), df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("least, spread", [(-9.0, 1.0), (0.6, 0.05), (0.9, 0.3)])
+def test_search_in_clusters(spark, monkeypatch, least, spread):
+    """With a few vectors a cluster: the same as all pairs, with string ids, ties, odd lengths, zeros and nulls; near vectors prune."""
+    import numpy as np
+
+    from lexarium.operators import search as K
+
+    monkeypatch.setattr(K, "CLUSTER", 20)
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(6, 8))
+    rows = [(f"v{i:03}", (centres[i % 6] + spread * rng.normal(size=8)).round(3).tolist()) for i in range(300)]
+    rows = [(i, (np.array(v) / np.linalg.norm(v) * (1 + (n % 3 == 0))).tolist()) for n, (i, v) in enumerate(rows)] + [("w1", rows[0][1]), ("w2", rows[0][1])]
+    odd = [("x1", [1.0, 0.0]), ("x2", None), ("x3", [0.0] * 8), ("x4", [float("nan")] * 8), ("x5", []), ("x6", [None, 1.0])]
+    df = spark.createDataFrame(rows + odd, "vec_id string, embedding array<double>")
+    q = df.where("vec_id like '%7' or vec_id like 'x%' or vec_id = 'w1'").withColumnRenamed("vec_id", "query_id")
+    asked = [r.query_id for r in q.collect()]
+    vectors, want = {i: np.array(v, float) for i, v in rows + odd if v is not None}, set()
+    for i in (i for i in asked if i in vectors):
+        scored = sorted((-round(float(vectors[i] @ v), 6), j) for j, v in vectors.items() if len(v) == len(vectors[i]) and not np.isnan(vectors[i] @ v))
+        want |= {(i, j, n, round(-s, 5)) for n, (s, j) in enumerate(scored[:4], 1) if -s >= least}
+    got = {(r.query_id, r.vec_id, r["rank"], round(r.score, 5)) for r in K.knn(q, df, 4, least).collect()}
+    assert got == want and len(K.pivots_of(df, 15)) == 15
+    if spread < 0.1:
+        seen = K.pruning(q, df, 4, least).first()
+        assert seen.needed < 0.6 * seen.queries * (seen.clusters - 1)
+
+
 NAMES = "BÊN A: (Người sử dụng lao động)\nCông ty: Ắ Ệ\nMã số thuế: 123\nĐại diện: Ông Ỷ\nBÊN B: (Người lao động)\nHọ và tên: Nguyễn Thị Ổ\nCMND: 123456789\nĐiều 1. Lương\nLương cơ bản: 5 đồng\nĐiều 2. Bảo mật\nBảo mật mọi thông tin\n"
 
 
