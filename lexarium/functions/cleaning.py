@@ -78,9 +78,22 @@ def fix_category(category: Column, title: Column) -> Column:
     return F.coalesce(blank_to_null(strip(category)), detect_category(title))
 
 
-def strip_invisible(s: Column) -> Column:
-    """Without zero-width and control characters; tab, newline and CR stay. Texts with U+FFFD keep it, and validate_content drops them."""
-    return strip(F.regexp_replace(s, HIDDEN + r"|[\x00-\x08\x0b\x0c\x0e-\x1f]", ""))
+def redecode(s: Column) -> Column:
+    """A text with U+FFFD read again: its characters up to U+00FF as bytes, others as escapes (\\u1ead), decoded as UTF-8; broken bytes become U+FFFD.
+
+    So a text that was decoded as Latin-1 by mistake is right again, while letters that were right turn into escapes. Other texts stay as they are.
+    """
+    code = lambda c: F.lower(F.hex(F.ascii(c)))
+    escape = lambda c: F.when(F.length(code(c)) <= 4, F.concat(F.lit("\\u"), F.lpad(code(c), 4, "0"))).otherwise(F.concat(F.lit("\\U"), F.lpad(code(c), 8, "0")))
+    wide = F.array_distinct(F.regexp_extract_all(s, F.lit("[^\\x00-\\xFF]"), F.lit(0)))
+    narrow = F.aggregate(wide, s, lambda t, c: F.replace(t, c, escape(c)))
+    return F.when(F.contains(s, F.lit("\ufffd")), F.make_valid_utf8(F.encode(narrow, "ISO-8859-1").cast("string"))).otherwise(s)
+
+
+def strip_invisible(s: Column, again: bool = False) -> Column:
+    """Without zero-width and control characters; tab, newline and CR stay. Texts with U+FFFD keep it, and validate_content drops them, unless
+    they are to be decoded ``again`` first."""
+    return strip(F.regexp_replace(redecode(s) if again else s, HIDDEN + r"|[\x00-\x08\x0b\x0c\x0e-\x1f]", ""))
 
 
 def validate_content(s: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -51,6 +51,20 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str, kept: tuple[str,
     return e.join(i, F.col(f"e.{key}") == F.col(f"i.{key}"), "full_outer").select(*cols)
 
 
+def upsert_documents(existing: DataFrame, incoming: DataFrame, now: Column | str) -> DataFrame:
+    """``existing`` with the rows of ``incoming`` (its columns and ``seq``) written over by doc_id: the last by seq counts, a missing doc_number is the doc_id.
+
+    A stored document keeps created_at and status_flag and has ``now`` as updated_at; a new one has ``now`` as both times and the flag 0. Columns that
+    incoming lacks become null, as when a whole row is written.
+    """
+    now = F.lit(now) if isinstance(now, str) else now
+    times = now.cast(existing.schema["updated_at"].dataType)
+    given = [F.col(c) if c in incoming.columns else F.lit(None).cast(existing.schema[c].dataType).alias(c) for c in existing.columns if c not in ("doc_id", "doc_number", "created_at", "updated_at", "status_flag")]
+    number = F.coalesce("doc_number", "doc_id") if "doc_number" in incoming.columns else F.col("doc_id")
+    rows = incoming.select("doc_id", number.alias("doc_number"), *given, times.alias("created_at"), times.alias("updated_at"), F.lit(0).cast(existing.schema["status_flag"].dataType).alias("status_flag"), "seq")
+    return upsert(existing, rows.select(*existing.columns, "seq"), "doc_id", ("created_at", "status_flag"))
+
+
 def replaced_numbers(docs: DataFrame) -> DataFrame:
     """Edges (doc_id, doc_number) of 'Thay thế … số X'."""
     hits = F.regexp_extract_all("content", F.lit(rf"(?iu)thay thế [\p{{L}} ]{{1,40}}số ({DOC_NUMBER})"), F.lit(1))
@@ -115,14 +129,14 @@ def ingest_summary(outcomes: DataFrame) -> DataFrame:
     return each.unionByName(each.agg(F.lit("total").alias("outcome"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")))
 
 
-def clean_documents(raw: DataFrame) -> DataFrame:
+def clean_documents(raw: DataFrame, again: bool = False) -> DataFrame:
     """raw with text, number, kind, category and dates repaired, year_published where it was missing, and ``_skip`` where the text isn't valid.
 
-    Columns that raw lacks count as null.
+    Columns that raw lacks count as null. ``again``: texts with U+FFFD are decoded again (see cleaning.redecode), else they are skipped.
     """
     have = lambda c: F.col(c) if c in raw.columns else F.lit(None).cast("string")
     year = F.col("year_published") if "year_published" in raw.columns else F.lit(0)
-    cut = computed(raw, _text=strip_invisible(have("content")), _issued=fix_date(have("issued_date")))
+    cut = computed(raw, _text=strip_invisible(have("content"), again), _issued=fix_date(have("issued_date")))
     cut = computed(cut, _skip=~validate_content(F.col("_text")))
     text, issued = F.col("_text"), F.col("_issued")
     return cut.withColumns(

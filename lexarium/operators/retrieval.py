@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
+from functools import lru_cache
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +36,37 @@ def embed(df: DataFrame, encoder: Callable[[], Callable[[list[str]], np.ndarray]
     return df.mapInArrow(run, schema)
 
 
+#: Features whose signs a task keeps.
+KEPT_FEATURES = 1 << 16
+
+
+def hashed_ngrams(dim: int = 128, n: int = 2) -> Callable[[], Callable[[list[str]], np.ndarray]]:
+    """An encoder for ``embed`` that needs no model: of each run of up to n lower-cased words the bits of an MD5 are signs in ``dim`` directions, summed up.
+
+    This is a random projection of the counts of these runs, so texts that share many have a high inner product. dim: a multiple of 128.
+    """
+    if dim % 128:
+        raise ValueError(f"dim must be a multiple of 128, not {dim}")
+
+    def make() -> Callable[[list[str]], np.ndarray]:
+        @lru_cache(maxsize=KEPT_FEATURES)
+        def signs(feature: str) -> np.ndarray:
+            digests = b"".join(md5(f"{k}{feature}".encode() if k else feature.encode(), usedforsecurity=False).digest() for k in range(dim // 128))
+            return np.unpackbits(np.frombuffer(digests, np.uint8)).astype(np.float32) * 2 - 1
+
+        def encode(texts: list[str]) -> np.ndarray:
+            out = np.zeros((len(texts), dim), np.float32)
+            for row, text in zip(out, texts, strict=True):
+                words = text.lower().split()
+                for feature, times in Counter(" ".join(words[i : i + m]) for m in range(1, n + 1) for i in range(len(words) - m + 1)).items():
+                    row += times * signs(feature)
+            return out
+
+        return encode
+
+    return make
+
+
 def topics_of(text: Column) -> Column:
     """All topics, in order, of which a word is in the text; words may be inside others."""
     low = F.lower(text)

@@ -50,12 +50,24 @@ def _topic_law(s, d):
     return R.law_for_topics(v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), topic.alias("topic"), F.col("vec_id").alias("qpos"), "embedding"), v, 5)
 
 
+def _embedded(s, d):
+    chunks = view(s, d, "kb_chunks").where("trim(chunk_text) <> ''").select("chunk_ref", F.concat("chunk_text", F.expr("cast(chunk_index % 5 as string)")).alias("text"))
+    return R.embed(chunks, R.hashed_ngrams())
+
+
+def _text_search(s, d):
+    """From texts to neighbours: the chunks of every hundredth document search all chunks."""
+    kb = _embedded(s, d).select(F.col("chunk_ref").alias("vec_id"), "embedding")
+    of_hundreds = F.expr("cast(split(vec_id, '-')[1] as int) % 100 = 0")
+    return S.knn(kb.where(of_hundreds).withColumnRenamed("vec_id", "query_id"), kb, 3, 0.5).withColumn("score", F.round("score", 3))
+
+
 def _law(s, d):
     """Law pieces by topic with the columns that format_context needs."""
     docs = _raw(s, d)
     topic = F.element_at(F.array(*[F.lit(t) for t in W.TOPICS]), (F.col("chunk_index") % 5 + 1).cast("int"))
     chunks = view(s, d, "kb_chunks").where("trim(chunk_text) <> ''").select("doc_id", topic.alias("topic"), F.col("chunk_index").alias("pos"), F.col("chunk_text").alias("text"))
-    return chunks.join(docs.select("doc_id", "doc_number", "title"), "doc_id").select("*", F.lit(1).alias("status_flag"), F.lit("2020-01-01").alias("effective_date"), F.lit("").alias("expiry_date"))
+    return chunks.join(docs.select("doc_id", "doc_number", "title"), "doc_id").select("*", F.expr("length(title) % 6").alias("status_flag"), F.expr("case when length(title) % 4 > 0 then '20'||(10 + length(title) % 9)||'-01-02' end").alias("effective_date"), F.expr("case when length(title) % 3 = 0 then '2030-01-01' else '' end").alias("expiry_date"))
 
 
 def _contract_context(s, d):
@@ -104,6 +116,8 @@ QUERIES = {
     "h4_finance": lambda s, d: H.finance(_contracts(s, d)),
     "h5_clause_fields": lambda s, d: H.clause_fields(_contracts(s, d)),
     "h6_contract_type": lambda s, d: _contracts(s, d).select("contract_id", H.contract_type(F.col("text")).alias("contract_type")),
+    "i2_embed": lambda s, d: _embedded(s, d).select("chunk_ref", *[F.round(F.col("embedding")[k].cast("double"), 2).alias(f"x{k}") for k in (0, 1, 63, 127)]),
+    "i2_search": _text_search,
     "i6_detect_topics": lambda s, d: R.detect_topics(_contracts(s, d)),
     "i7_clause_topic": lambda s, d: R.clause_topic(_contracts(s, d)).select("contract_id", "topic", "keyword"),
     "i8_law_for_topics": _topic_law,
@@ -135,7 +149,46 @@ _LAW = """with v as (select *, 'Luật ' || cast(vec_id % 50 as varchar) as text
  o as (select *, row_number() over (partition by topic, text order by qpos, rank, vec_id) as nth from r where rank <= 5),
  law as (select topic, row_number() over (partition by topic order by qpos, rank, vec_id) as pos, vec_id, text, score from o where nth = 1 qualify pos <= 10)"""
 
+#: Clause 3 of m sentences: over 1000 characters it is cut at the line, and from 35 sentences on after 34 of them; each level repeats the end of the piece before.
+_PIECES = f"""{_CON}, k as (select contract_id, text, 1 + cast(substring(contract_id, 4) as integer) % 60 as m, 'Điều 3. Chấm dứt' as h, 'Bên vi phạm phải bồi thường.' as s from c),
+ third as (select contract_id, case when m < 34 then [h || chr(10) || rtrim(repeat(s || ' ', m))] when m = 34 then [h, h || h || rtrim(repeat(s || ' ', m))]
+   else [h, h || h || rtrim(repeat(s || ' ', 34), '. '), repeat(right(rtrim(repeat(s || ' ', 34), '. '), 50), 3) || repeat(' ' || s, m - 34)] end as l from k),
+ pieces as (select contract_id, 0 as part, 0 as sub, 'Preamble' as clause_number, split_part(text, chr(10) || 'Điều 1.', 1) as text from k
+  union all select contract_id, 1, 0, '1', 'Điều 1.' || split_part(split_part(text, 'Điều 1.', 2), chr(10) || 'Điều 2.', 1) from k
+  union all select contract_id, 2, 0, '2', 'Điều 2.' || split_part(split_part(text, 'Điều 2.', 2), chr(10) || 'Điều 3.', 1) from k
+  union all select contract_id, 3, generate_subscripts(l, 1), '3', unnest(l) from third)"""
+_VECTORS = f"""with ch as (select chunk_ref, chunk_text || (chunk_index % 5) as text from ({view_sql('kb_chunks')}) where trim(chunk_text) <> ''),
+ texts as (select row_number() over () as t, text, regexp_split_to_array(lower(text), ' +') as w from (select distinct text from ch)),
+ grams as (select t, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as gram from texts),
+ counts as (select t, gram, count(*) as n from grams group by all), digests as (select gram, md5(gram) as h from (select distinct gram from grams)),
+ bits as (select gram, j, (((strpos('0123456789abcdef', h[j // 4 + 1]) - 1) >> (3 - j % 4)) & 1) * 2 - 1 as sign from digests, range(128) r(j)),
+ sums as (select t, j, sum(n * sign) as x from counts join bits using (gram) group by t, j),
+ unit as (select t, list(x order by j) as v, sqrt(sum(x * x)) as norm from sums group by t)"""
+
 ORACLES: dict[str, str] = {
+    "i2_embed": f"{_VECTORS} select chunk_ref, " + ", ".join(f"round(v[{k + 1}] / norm, 2) as x{k}" for k in (0, 1, 63, 127)) + " from ch join texts using (text) join unit using (t)",
+    "i2_search": f"""{_VECTORS}, pairs as (select a.t as q, b.t as t, round(list_dot_product(cast(a.v as double[]), cast(b.v as double[])) / a.norm / b.norm, 6) as score from unit a, unit b),
+      s as (select q.chunk_ref as query_id, c.chunk_ref as vec_id, score from ch q join texts x on x.text = q.text join pairs p on p.q = x.t join texts y on y.t = p.t join ch c on c.text = y.text
+        where cast(string_split(q.chunk_ref, '-')[2] as integer) % 100 = 0 and score >= 0.5)
+      select query_id, vec_id, row_number() over (partition by query_id order by score desc, vec_id) as rank, round(score, 3) as score from s qualify rank <= 3""",
+    "c7_clean_documents": f"""{_RAW}, c as (select *, coalesce(nullif(regexp_replace(regexp_replace(replace(doc_number, ' ', ''), '-+', '-', 'g'), '/+', '/', 'g'), ''), nullif(regexp_extract(content, 'Số: ([^\\s]+)', 1), ''), regexp_extract(url, 'dinh-([0-9]+)-', 1) || '/' || regexp_extract(url, 'dinh-[0-9]+-([0-9]+)-', 1) || '/ND-CP') as nr,
+        case when length(issued_date) = 10 then coalesce(strftime(try_strptime(issued_date, '%d/%m/%Y'), '%Y-%m-%d'), issued_date) else issued_date end as iso from raw)
+      select doc_id, title, nr as doc_number, iso as issued_date, signer, issuing_authority, url, trim(content, ' ' || chr(10)) as content, length(trim(content, ' ' || chr(10))) < 200 as _skip, 'Nghị định' as doc_type,
+        case {_CATEGORY} else 'Khác' end as category, null as effective_date, null as expiry_date, coalesce(try_cast(substring(iso, 1, 4) as integer), 0) as year_published from c""",
+    "e3_query_keywords": f"{_RAW} select doc_id, array_to_string(list_transform(list_filter(string_split(lower(title), ' '), lambda w: length(w) >= 3), lambda w: upper(w[1]) || w[2:]), '|') as keywords from raw",
+    "i10_format_context": f"""{_RAW}, ch as ({view_sql('kb_chunks')}), r as (select *, length(title) as n, map {{{", ".join(f"{k}: '{v}'" for k, v in W.STATUS.items())}}}[length(title) % 6] as label from raw),
+      h as (select doc_id, chr(10) || '--- ' || coalesce(doc_number, '') || ' - ' || title || ' ---' || chr(10) || '    Status: ' || label || ' (flag=' || (n % 6) || ')' || case when n % 4 > 0 then ' | Hiệu lực từ: 20' || (10 + n % 9) || '-01-02' else '' end
+        || case when n % 3 = 0 then ' | Hết hiệu lực: 2030-01-01' else '' end as head from r)
+      select doc_id, string_agg(head || chr(10) || substring(chunk_text, 1, 3000), chr(10) order by chunk_index) as context from ch join h using (doc_id) where trim(chunk_text) <> '' group by doc_id""",
+    "f8_amended_by": f"""{_RAW}, clean as (select *, length(title) % 9 + 1 as article, nullif(regexp_extract(content, 'Thay thế Nghị định số ([0-9]+/[0-9]+/NĐ-CP)', 1), '') as target, regexp_replace(replace(lower(doc_number), 'đ', ''), '[^a-z0-9]', '', 'g') as k, case when length(issued_date) = 10 then strftime(try_strptime(issued_date, '%d/%m/%Y'), '%Y-%m-%d') end as iso,
+        case when length(issued_date) = 10 then issued_date[7:10] || '-' || issued_date[4:5] || '-' || issued_date[1:2] end as signed from raw),
+      dated as (select *, case when contains(content, 'có hiệu lực thi hành kể từ ngày') then regexp_extract(content, 'năm ([0-9]{{4}})', 1) || '-' || lpad(regexp_extract(content, 'tháng ([0-9]+) năm', 1), 2, '0') || '-' || lpad(regexp_extract(content, 'từ ngày ([0-9]+) tháng', 1), 2, '0')
+        when contains(content, 'có hiệu lực kể từ ngày ký') then coalesce(iso, signed) when contains(content, 'sau 45 ngày') then strftime(try_strptime(iso, '%Y-%m-%d') + interval 45 day, '%Y-%m-%d') end as eff from clean),
+      acts as (select doc_number, eff, regexp_replace(replace(lower(target), 'đ', ''), '[^a-z0-9]', '', 'g') as k, unnest([cast(article as varchar), '7']) as article from dated where target is not null and doc_number is not null),
+      arts as (select doc_id, k, unnest(['1', '2']) as article from dated where doc_number is not null and contains(content, 'Điều 1.'))
+      select doc_id, article, string_agg(distinct doc_number || coalesce(' ' || eff, ''), '; ' order by doc_number || coalesce(' ' || eff, '')) as by from arts join acts using (k, article) group by doc_id, article""",
+    "g7_chunk_by_clause": f"""{_PIECES} select contract_id, clause_number, cast(row_number() over (partition by contract_id order by part, sub) as integer) as chunk_index, text from pieces""",
+    "i7_clause_topic": f"{_CON} select contract_id, case " + " ".join(f"when contains(lower(text), '{w}') then '{t}'" for t, words in W.TOPICS.items() for w in words) + " else 'general' end as topic, case " + " ".join(f"when contains(lower(text), '{w}') then '{w}'" for words in W.TOPICS.values() for w in words) + " else '' end as keyword from c",
     "b6_content_checks": rf"""with t as (select doc_id, coalesce(text, '') as text from documents),
       w as (select *, regexp_extract_all(text, '[a-zA-ZÀ-ỹ]+') as words, trim(text, e' \t\n\r') as s, {" + ".join(f"cast(regexp_matches(text, '{p}') as int)" for p in W.FURNITURE)} as other from t)
       select doc_id, length(s) >= 200 and not regexp_matches(lower(text), 'just a moment\.\.\.|checking your browser|challenges\.cloudflare\.com') as valid,

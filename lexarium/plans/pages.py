@@ -77,6 +77,9 @@ QUERIES = {
 _P = f"with p as ({view_sql('legal_pages')})"
 _NUM, _SIGNER = "regexp_extract(html, '<td>([0-9]+/2020/NĐ-CP)</td>', 1)", "regexp_extract(html, '<td>(Customer#[0-9]+)</td>', 1)"
 ORACLES: dict[str, str] = {
+    "a2_contract_registry": f"""with c as ({view_sql('contracts')}), k as (select *, length(text) % 3 as kind, 1 + cast(substring(contract_id, 4) as integer) % 60 as m from c)
+      select contract_id, contract_id || case kind when 0 then '.DOCX' else '.pdf' end as filename, case kind when 0 then '.docx' else '.pdf' end as file_type, 'parsed' as status, '' as message, cast(4 + case when m > 34 then 2 when m = 34 then 1 else 0 end as bigint) as chunk_count from k where kind < 2""",
+    "a4_upsert_contracts": f"with c as ({view_sql('contracts')}) select contract_id, contract_id || case length(text) % 3 when 0 then '.DOCX' when 1 then '.pdf' else '' end as filename, 'analyzed' as status, '' as message, cast(1 as bigint) as chunk_count from c",
     "a1_load_pages": "select url, length(html) as n from pages",
     "a5_all_urls": f"with raw as ({view_sql('legal_raw')}) select distinct url from raw where url is not null",
     "b1_listing_links": f"{_P} select url as page_url, 0 as pos, '{BASE}' || regexp_extract(html, 'href=\"([^\"]+)\"', 1) as link from p",

@@ -36,3 +36,14 @@ def test_status(spark):
     docs = spark.createDataFrame([("a", "2005-01-01"), ("b", "2030-01-01"), ("c", None), ("d", "2001-01-01")], "doc_id string, effective_date string")
     edges = spark.createDataFrame([("a", "d"), ("a", "a")], "src_doc_id string, dst_doc_id string")
     assert {r.doc_id: r.status_flag for r in status_flag(docs, edges, "2006-01-01").collect()} == {"a": 1, "b": 3, "c": 0, "d": 2}
+
+
+def test_fixtures_document():
+    """FIXTURES.md shows the SQL of the views as the package has it."""
+    import re
+
+    from lexarium.sources.fixtures import VIEWS, view_sql
+
+    text = open(os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "FIXTURES.md"), encoding="utf-8").read()
+    shown = dict(re.findall(r"### \S+ `(\w+)`.*?```sql\n(.*?)\n```", text, re.S))
+    assert {k: v.strip() for k, v in shown.items()} == {k: view_sql(k) for k in VIEWS}

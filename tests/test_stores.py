@@ -116,3 +116,18 @@ def test_site_selectors():
         row = read_page(odd, "u/", rules)
         assert row["title"] == "Không có tiêu đề" and row["content"] == "" and row["year_published"] is None
     assert len(list(tree("<div>" * 3000).elements())) == 3000
+
+
+def test_redecode(spark):
+    """The same as Python's codec; texts without U+FFFD stay."""
+    import random
+
+    from lexarium.functions.cleaning import redecode, strip_invisible
+
+    rng = random.Random(4)
+    letters = ["a", "é", "ậ", "\ufffd", "😀", "Ã", "©", "\x80", "\x9f", "á", "»", "\x81", "\\u", "\n", "ÿ", "đ"]
+    texts = [None, "", "ậ é", "\ufffd", *("".join(rng.choices(letters, k=rng.randint(1, 30))) for _ in range(300))]
+    got = {r.s: r.x for r in spark.createDataFrame([(t,) for t in texts], "s string").select("s", redecode(F.col("s")).alias("x")).collect()}
+    for t in texts:
+        assert got[t] == (t.encode("raw_unicode_escape").decode("utf-8", "replace") if t and "\ufffd" in t else t), t
+    assert spark.sql("select ' \ufffd Ä\x90\ufeff ' as s").select(strip_invisible(F.col("s"), True).alias("x")).first().x == "\\ufffd Đ\\ufeff"
