@@ -179,7 +179,7 @@ ORACLES: dict[str, str] = {
     "i10_format_context": f"""{_RAW}, ch as ({view_sql('kb_chunks')}), r as (select *, length(title) as n, map {{{", ".join(f"{k}: '{v}'" for k, v in W.STATUS.items())}}}[length(title) % 6] as label from raw),
       h as (select doc_id, chr(10) || '--- ' || coalesce(doc_number, '') || ' - ' || title || ' ---' || chr(10) || '    Status: ' || label || ' (flag=' || (n % 6) || ')' || case when n % 4 > 0 then ' | Hiệu lực từ: 20' || (10 + n % 9) || '-01-02' else '' end
         || case when n % 3 = 0 then ' | Hết hiệu lực: 2030-01-01' else '' end as head from r)
-      select doc_id, string_agg(head || chr(10) || substring(chunk_text, 1, 3000), chr(10) order by chunk_index) as context from ch join h using (doc_id) where trim(chunk_text) <> '' group by doc_id""",
+      select doc_id, string_agg(head || chr(10) || substring(chunk_text, 1, 3000), chr(10) order by chunk_index, substring(chunk_text, 1, 3000)) as context from ch join h using (doc_id) where trim(chunk_text) <> '' group by doc_id""",
     "f8_amended_by": f"""{_RAW}, clean as (select *, length(title) % 9 + 1 as article, nullif(regexp_extract(content, 'Thay thế Nghị định số ([0-9]+/[0-9]+/NĐ-CP)', 1), '') as target, regexp_replace(replace(lower(doc_number), 'đ', ''), '[^a-z0-9]', '', 'g') as k, case when length(issued_date) = 10 then strftime(try_strptime(issued_date, '%d/%m/%Y'), '%Y-%m-%d') end as iso,
         case when length(issued_date) = 10 then issued_date[7:10] || '-' || issued_date[4:5] || '-' || issued_date[1:2] end as signed from raw),
       dated as (select *, case when contains(content, 'có hiệu lực thi hành kể từ ngày') then regexp_extract(content, 'năm ([0-9]{{4}})', 1) || '-' || lpad(regexp_extract(content, 'tháng ([0-9]+) năm', 1), 2, '0') || '-' || lpad(regexp_extract(content, 'từ ngày ([0-9]+) tháng', 1), 2, '0')
