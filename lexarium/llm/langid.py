@@ -17,9 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import batch_of, groups, held_out, table, texts
+from ._common import batch_of, groups, held_out, settle, table, texts
 
 DIMENSIONS = 1024
+#: Languages at most: their prototypes, 8 kB each, are held at the driver and in each task.
+MOST_LANGUAGES = 2000
 #: Letters of an n-gram; a gap between words counts as one letter.
 N = 3
 SEED = 20_260
@@ -70,7 +72,7 @@ def bundle(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def prototypes(docs: DataFrame) -> dict[str, list[int]]:
-    """Prototype of each language of ``docs`` (text, lang; null lang is left out)."""
+    """Prototype of each language of ``docs`` (text, lang; null lang is left out). More than MOST_LANGUAGES values of lang are an error."""
 
     def partial(batches):
         sums: dict[str, np.ndarray] = {}
@@ -87,6 +89,9 @@ def prototypes(docs: DataFrame) -> dict[str, list[int]]:
 
     rows = docs.where("lang is not null").select("text", "lang").mapInArrow(partial, "lang string, vector array<long>")
     rows = rows.select("lang", F.posexplode("vector").alias("at", "v")).groupBy("lang", "at").agg(F.sum("v").alias("v"))
+    rows = settle(rows)
+    if (n := rows.count() // DIMENSIONS) > MOST_LANGUAGES:
+        raise ValueError(f"lang has {n} values; prototypes of {MOST_LANGUAGES} at most are held at the driver and in tasks")
     vectors: dict[str, list[int]] = {}
     for r in rows.collect():
         vectors.setdefault(r["lang"], [0] * DIMENSIONS)[r["at"]] = r["v"]

@@ -216,7 +216,8 @@ def timed_packets(stream: Stream, head: Head) -> list[tuple[int, bytes]]:
 def demuxed_payload(media: bytes) -> tuple[bytes, int, list[tuple[int, float, float, int]], dict[str, int]]:
     """Payload, its unpadded length, (serial, begin, end, bytes) of the packets, and the counts of ``demux`` with lost and missing.
 
-    Each packet is placed by its granule position; what no packet fills is zeros, and ``missing`` counts these bytes. A stream whose
+    Each packet is placed by its granule position; what no packet fills is zeros, ``missing`` counts these bytes, and ``lost`` the packets that they were, or
+    those that were dropped if they are more. A stream whose
     first packet is lost has the place that is left, if there is but one. Streams of other kinds are left out. Without any first
     packet there is no payload.
     """
@@ -245,6 +246,11 @@ def demuxed_payload(media: bytes) -> tuple[bytes, int, list[tuple[int, float, fl
             spans.append((serial, begin * head.frame / head.rate, end / head.rate, len(samples)))
         seen["lost"] += streams[serial].lost
     seen["missing"] = int((~filled).sum()) * known.frame
+    # pages that are gone leave no trace but frames that nothing fills: so many packets, as ``mux`` cuts them, and the first ones of streams
+    step, places = max(1, PACKET // known.frame), [~filled[k :: known.streams] for k in range(known.streams)]
+    gone = sum(int((np.add.reduceat(x, np.arange(0, len(x), step), dtype=np.int64) > 0).sum()) for x in places if len(x))
+    present = sum(bool(streams[k].packets and head_of(streams[k].packets[0])) for k in heads)
+    seen["lost"] = max(seen["lost"], gone + known.streams - present)
     return frames.tobytes(), known.length, spans, seen
 
 

@@ -166,3 +166,23 @@ def test_attention_bag_by_bag():
         want.append(1 / (1 + np.exp(-(z @ p["c"] + p["d"][0]))))
         at += n
     assert np.allclose(m.score(x, sizes), want, atol=1e-8)
+
+
+def test_lost_packets_are_counted_wherever_they_were():
+    """Damage to any page: as many packets are lost as frames that nothing fills amount to, at a stream's end too."""
+    content = bytes(np.random.default_rng(2).integers(0, 256, 120_000, np.uint8))
+    whole = ogg.mux(content)
+    assert ogg.demuxed_payload(whole)[3]["lost"] == 0
+    starts, at = [], whole.find(b"OggS")
+    while at >= 0:
+        starts.append(at)
+        at = whole.find(b"OggS", at + 4)
+    for k, start in enumerate(starts):
+        broken = bytearray(whole)
+        broken[start + 30] ^= 255
+        payload, _, spans, seen = ogg.demuxed_payload(bytes(broken))
+        assert seen["bad"] == 1 and (seen["lost"] > 0) == (k > -1), k
+        packets = -(-seen["missing"] // ogg.PACKET)
+        assert packets <= seen["lost"] <= packets + 3, (k, seen)
+    payload, _, _, seen = ogg.demuxed_payload(whole[: starts[-1]])
+    assert seen["missing"] > 0 and seen["lost"] >= seen["missing"] // ogg.PACKET > 0

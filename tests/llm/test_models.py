@@ -86,3 +86,12 @@ def test_without_labels(spark, label):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     labels = spark.createDataFrame([], f"doc_id long, {label} int")
     assert {r.score for r in toxicity.scored(docs, labels).collect()} == {0.5}
+
+
+def test_too_many_languages(spark, monkeypatch):
+    from lexarium.llm import langid
+
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
+    docs = spark.createDataFrame([(i, "some words of text", f"l{i}") for i in range(3)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="lang has 3 values"):
+        langid.identify(docs)
