@@ -23,12 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import arrow_map, batch_of, groups, held_out, settle, table, texts
+from ._common import arrow_map, batch_of, give_back, groups, held_out, settle, table, texts
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 12_000
 #: Bytes of these, encoded, that reach the driver, at most.
 SAMPLE_BYTES = 96 << 20
+#: Parts in which the sample comes to the driver.
+PARTS = 8
 BUCKETS = 1 << 18
 FACTORS = 4
 #: Letters of a word's beginnings.
@@ -161,10 +163,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
     def each(batch):
         yield batch_of(doc_id=batch.column(0), y=batch.column(2), terms=pa.array([terms(t).astype(np.int32).tobytes() for t in texts(batch)], pa.binary()))
 
-    found = within(arrow_map(sample(docs, labels, label, rows), each, "doc_id long, y int, terms binary"), "terms").toArrow()
+    encoded = within(arrow_map(sample(docs, labels, label, rows), each, "doc_id long, y int, terms binary"), "terms")
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))  # some at a time, so that the driver's JVM never holds the whole sample
+    found = pa.concat_tables([encoded.where(part == k).toArrow() for k in range(PARTS)])
     order = np.argsort(found["doc_id"].to_numpy(), kind="stable")
-    terms_of = [np.frombuffer(x.as_buffer(), np.int32) for x in found["terms"]]
-    return FactorizationMachine.fit([terms_of[i] for i in order], found["y"].to_numpy()[order].astype(float))
+    y, found = found["y"].to_numpy()[order].astype(float), found["terms"]
+    terms_of = [np.frombuffer(found[i].as_buffer(), np.int32) for i in order]
+    del found
+    model = FactorizationMachine.fit(terms_of, y)
+    give_back()
+    return model
 
 
 def scorer(model: FactorizationMachine):
