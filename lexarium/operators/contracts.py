@@ -82,10 +82,20 @@ def build_kb(chunks: DataFrame, docs: DataFrame, limit: int = 1000, in_force: bo
     return own.join(slim, "doc_id")
 
 
+#: Fields of a clause's evaluation.
+EVALUATION = "clause_ref string, severity string, issue string, legal_basis string, recommendation string"
+
+
+def one_json(text: Column, schema: str) -> Column:
+    """The object that a text is as a whole, null if it isn't one: what follows an object isn't passed over, as ``from_json`` does."""
+    inside = lambda before, after, kind: F.from_json(F.concat(F.lit(before), text, F.lit(after)), kind)
+    listed, named = inside("[", "]", f"array<struct<{schema}>>"), inside('{"x":', "}", f"x struct<{schema}>")
+    return F.when((F.size(listed) == 1) & named["x"].isNotNull(), listed[0])
+
+
 def parse_responses(responses: DataFrame) -> DataFrame:
-    """contract_id, pos and the fields of the outermost braces of a model's text; rows that aren't JSON go."""
-    schema = "clause_ref string, severity string, issue string, legal_basis string, recommendation string"
-    j = F.from_json(F.nullif(F.regexp_extract("response", r"(?s)\{.*\}", 0), F.lit("")), schema)
+    """contract_id, pos and the fields of the outermost braces of a model's text; rows whose braces don't hold one JSON object go."""
+    j = one_json(F.nullif(F.regexp_extract("response", r"(?s)\{.*\}", 0), F.lit("")), EVALUATION)
     parsed = responses.select("contract_id", "pos", j.alias("j")).where("j.severity is not null or j.issue is not null")
     return parsed.select("contract_id", "pos", "j.*")
 

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from ..functions import terms as W
 from ..functions.cleaning import any_of, computed
+from .contracts import EVALUATION
 from .search import knn
 
 
@@ -142,11 +143,12 @@ def contract_prompts(contracts: DataFrame, contexts: DataFrame) -> DataFrame:
 
 
 def risk_arrays(responses: DataFrame) -> DataFrame:
-    """contract_id, pos and fields of each risk in a model's JSON array, fenced or bare; texts that aren't such an array give none."""
+    """contract_id, pos and fields of each risk in a model's JSON array, fenced or bare; texts that aren't such an array as a whole give none."""
     fence = F.regexp_extract("response", r"(?s)```(?:json)?\s*(.*?)```", 1)
     text = F.when(fence != "", fence).otherwise(F.col("response"))
-    schema = "array<struct<clause_ref string, severity string, issue string, legal_basis string, recommendation string>>"
-    each = responses.select("contract_id", F.posexplode(F.from_json(F.when(F.trim(text).startswith("["), text), schema)).alias("pos", "r"))
+    # in an object of its own, since what follows an array would be passed over
+    held = F.from_json(F.concat(F.lit('{"x":'), F.when(F.trim(text).startswith("["), text), F.lit("}")), f"x array<struct<{EVALUATION}>>")
+    each = responses.select("contract_id", F.posexplode(held["x"]).alias("pos", "r"))
     return each.select("contract_id", "pos", "r.*")
 
 

@@ -79,6 +79,18 @@ def _prompts(s, d):
     return R.clause_prompts(G.clause_dicts(_contracts(s, d)), law).select("contract_id", "pos", "clause_number", "topic", F.sha2("prompt", 256).alias("prompt_sha256"))
 
 
+def _arrays(s, d):
+    """All evaluations of a contract as one array in a model's text: bare, fenced, or broken."""
+    said = R.evaluations_payload(K.parse_responses(view(s, d, "llm_responses")).select("contract_id", "pos", "clause_ref", "severity", "issue"))
+    n = F.length("json")
+    return said.select("contract_id", F.when(n % 7 == 0, F.concat("json", F.lit(" và thêm"))).when(n % 2 == 0, F.concat(F.lit("```json\n"), "json", F.lit("\n```"))).otherwise(F.col("json")).alias("response"))
+
+
+def _contract_prompts(s, d):
+    law = _contract_context(s, d).select(F.concat(F.lit("HD"), F.substring("doc_id", 3, 99)).alias("contract_id"), "context").where("length(context) % 3 > 0")
+    return R.contract_prompts(_contracts(s, d), law).select("contract_id", F.sha2("prompt", 256).alias("prompt_sha256"))
+
+
 def _chat(s, d):
     v = _vectors(s, d)
     q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label", "embedding")
@@ -124,6 +136,8 @@ QUERIES = {
     "i9_merge_law": lambda s, d: R.merge_law(R.detect_topics(_contracts(s, d)), _topic_law(s, d)),
     "i10_format_context": _contract_context,
     "j1_clause_prompts": _prompts,
+    "j1_contract_prompts": _contract_prompts,
+    "j2_risk_arrays": lambda s, d: R.risk_arrays(_arrays(s, d)),
     "j6_top_actions": lambda s, d: R.top_actions(K.parse_responses(view(s, d, "llm_responses")).groupBy("contract_id").agg(F.array_sort(F.collect_list(F.concat(F.lit("Sửa "), "clause_ref", F.lit(": "), "issue"))).alias("actions"))),
     "j7_evaluations_payload": lambda s, d: R.evaluations_payload(K.parse_responses(view(s, d, "llm_responses")).select("contract_id", "pos", "clause_ref", "severity", "issue")),
     "j9_chat_context": _chat,
@@ -149,6 +163,10 @@ _LAW = """with v as (select *, 'Luật ' || cast(vec_id % 50 as varchar) as text
  o as (select *, row_number() over (partition by topic, text order by qpos, rank, vec_id) as nth from r where rank <= 5),
  law as (select topic, row_number() over (partition by topic order by qpos, rank, vec_id) as pos, vec_id, text, score from o where nth = 1 qualify pos <= 10)"""
 
+_CONTEXT = f"""{_RAW}, ch as ({view_sql('kb_chunks')}), r as (select *, length(title) as n, map {{{", ".join(f"{k}: '{v}'" for k, v in W.STATUS.items())}}}[length(title) % 6] as label from raw),
+      h as (select doc_id, chr(10) || '--- ' || coalesce(doc_number, '') || ' - ' || title || ' ---' || chr(10) || '    Status: ' || label || ' (flag=' || (n % 6) || ')' || case when n % 4 > 0 then ' | Hiệu lực từ: 20' || (10 + n % 9) || '-01-02' else '' end
+        || case when n % 3 = 0 then ' | Hết hiệu lực: 2030-01-01' else '' end as head from r),
+ contexts as (select doc_id, string_agg(head || chr(10) || substring(chunk_text, 1, 3000), chr(10) order by chunk_index, substring(chunk_text, 1, 3000)) as context from ch join h using (doc_id) where trim(chunk_text) <> '' group by doc_id)"""
 #: Clause 3 of m sentences: over 1000 characters it is cut at the line, and from 35 sentences on after 34 of them; each level repeats the end of the piece before.
 _PIECES = f"""{_CON}, k as (select contract_id, text, 1 + cast(substring(contract_id, 4) as integer) % 60 as m, 'Điều 3. Chấm dứt' as h, 'Bên vi phạm phải bồi thường.' as s from c),
  third as (select contract_id, case when m < 34 then [h || chr(10) || rtrim(repeat(s || ' ', m))] when m = 34 then [h, h || h || rtrim(repeat(s || ' ', m))]
@@ -176,10 +194,18 @@ ORACLES: dict[str, str] = {
       select doc_id, title, nr as doc_number, iso as issued_date, signer, issuing_authority, url, trim(content, ' ' || chr(10)) as content, length(trim(content, ' ' || chr(10))) < 200 as _skip, 'Nghị định' as doc_type,
         case {_CATEGORY} else 'Khác' end as category, null as effective_date, null as expiry_date, coalesce(try_cast(substring(iso, 1, 4) as integer), 0) as year_published from c""",
     "e3_query_keywords": f"{_RAW} select doc_id, array_to_string(list_transform(list_filter(string_split(lower(title), ' '), lambda w: length(w) >= 3), lambda w: upper(w[1]) || w[2:]), '|') as keywords from raw",
-    "i10_format_context": f"""{_RAW}, ch as ({view_sql('kb_chunks')}), r as (select *, length(title) as n, map {{{", ".join(f"{k}: '{v}'" for k, v in W.STATUS.items())}}}[length(title) % 6] as label from raw),
-      h as (select doc_id, chr(10) || '--- ' || coalesce(doc_number, '') || ' - ' || title || ' ---' || chr(10) || '    Status: ' || label || ' (flag=' || (n % 6) || ')' || case when n % 4 > 0 then ' | Hiệu lực từ: 20' || (10 + n % 9) || '-01-02' else '' end
-        || case when n % 3 = 0 then ' | Hết hiệu lực: 2030-01-01' else '' end as head from r)
-      select doc_id, string_agg(head || chr(10) || substring(chunk_text, 1, 3000), chr(10) order by chunk_index, substring(chunk_text, 1, 3000)) as context from ch join h using (doc_id) where trim(chunk_text) <> '' group by doc_id""",
+    "i10_format_context": f"{_CONTEXT} select * from contexts",
+    "j1_contract_prompts": f"""{_CONTEXT}, c as ({view_sql('contracts')}), law as (select 'HD-' || substring(doc_id, 4) as contract_id, context from contexts where length(context) % 3 > 0)
+      select contract_id, sha256(substring(text, 1, 10000) || chr(10) || chr(10) || coalesce(context, '{W.NO_LAW}')) as prompt_sha256 from c left join law using (contract_id)""",
+    "j1_clause_prompts": f"""{_LAW}, contexts as (select topic, string_agg(chr(10) || '---  -  ---' || chr(10) || '    Status: Còn hiệu lực (flag=1)' || chr(10) || text, chr(10) order by pos) as context from law group by topic),
+      c as ({view_sql('contracts')}), p as (select contract_id, generate_subscripts(string_split(text, chr(10) || 'Điều '), 1) - 1 as pos, unnest(string_split(text, chr(10) || 'Điều ')) as piece from c),
+      k as (select contract_id, pos, case when pos = 0 then '0' else regexp_extract(piece, '^([0-9]+)', 1) end as clause_number, substring(case when pos = 0 then trim(piece, ' ' || chr(10)) else chr(10) || 'Điều ' || rtrim(piece, ' ' || chr(10)) end, 1, 5000) as text from p),
+      t as (select *, case {_TOPIC} else 'general' end as topic from k)
+      select contract_id, cast(pos as integer) as pos, clause_number, topic, sha256(text || chr(10) || chr(10) || substring(coalesce(context, '{W.NO_LAW}'), 1, 4000)) as prompt_sha256 from t left join contexts using (topic)""",
+    "j2_risk_arrays": f"""with resp as ({view_sql('llm_responses')}), t as (select contract_id, pos, regexp_extract(response, '\\{{[^}}]*\\}}') as t from resp),
+      e as (select contract_id, pos, json_extract_string(t, '$.clause_ref') as c, json_extract_string(t, '$.severity') as s, json_extract_string(t, '$.issue') as i from t where t <> ''),
+      n as (select contract_id, sum(length('{{"clause_ref":"' || c || '","severity":"' || s || '","issue":"' || i || '"}}')) + count(*) + 1 as n from e group by contract_id)
+      select contract_id, cast(row_number() over (partition by contract_id order by pos, c, s, i) - 1 as integer) as pos, c as clause_ref, s as severity, i as issue, null as legal_basis, null as recommendation from e join n using (contract_id) where n % 7 <> 0""",
     "f8_amended_by": f"""{_RAW}, clean as (select *, length(title) % 9 + 1 as article, nullif(regexp_extract(content, 'Thay thế Nghị định số ([0-9]+/[0-9]+/NĐ-CP)', 1), '') as target, regexp_replace(replace(lower(doc_number), 'đ', ''), '[^a-z0-9]', '', 'g') as k, case when length(issued_date) = 10 then strftime(try_strptime(issued_date, '%d/%m/%Y'), '%Y-%m-%d') end as iso,
         case when length(issued_date) = 10 then issued_date[7:10] || '-' || issued_date[4:5] || '-' || issued_date[1:2] end as signed from raw),
       dated as (select *, case when contains(content, 'có hiệu lực thi hành kể từ ngày') then regexp_extract(content, 'năm ([0-9]{{4}})', 1) || '-' || lpad(regexp_extract(content, 'tháng ([0-9]+) năm', 1), 2, '0') || '-' || lpad(regexp_extract(content, 'từ ngày ([0-9]+) tháng', 1), 2, '0')

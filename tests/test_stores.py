@@ -131,3 +131,12 @@ def test_redecode(spark):
     for t in texts:
         assert got[t] == (t.encode("raw_unicode_escape").decode("utf-8", "replace") if t and "\ufffd" in t else t), t
     assert spark.sql("select ' \ufffd Ä\x90\ufeff ' as s").select(strip_invisible(F.col("s"), True).alias("x")).first().x == "\\ufffd Đ\\ufeff"
+
+
+def test_only_whole_objects_are_responses(spark):
+    from lexarium.operators.contracts import parse_responses
+
+    good = '{"severity":"ok","issue":"a } b"}'
+    texts = {1: good, 2: f"```json\n{good}\n```", 3: f"text {good} more", 4: f"{good} tail }}", 5: f"{good},{good}", 6: f"{good}], [{good}", 7: f'{good}, "y": {good}', 8: "{", 9: None, 10: "{}", 11: '{"issue": "only", "deep": {"a": [1]}}', 12: good[:-1]}
+    rows = spark.createDataFrame([("c", i, t) for i, t in texts.items()], "contract_id string, pos int, response string")
+    assert sorted((r.pos, r.issue) for r in parse_responses(rows).collect()) == [(1, "a } b"), (2, "a } b"), (3, "a } b"), (11, "only")]
