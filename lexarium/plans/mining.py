@@ -98,7 +98,7 @@ def _chat(s, d):
     of = lambda hits: hits.join(text, "vec_id").select(F.col("query_id").alias("question_id"), "rank", "text")
     history = K.last_turns(read(s, d, "conversations")).select(F.col("conv_id").alias("question_id"), "history")
     questions = q.select(F.col("query_id").alias("question_id"), F.lit("?").alias("question"))
-    return R.chat_context(questions, of(S.knn_filtered(q, v, "label")), of(S.knn(q.drop("label"), v, 3)), history)
+    return R.chat_context(questions, of(S.knn_filtered(q, v, "label", min_score=-1.0)), of(S.knn(q.drop("label"), v, 3, -1.0)), history)
 
 
 def _clause_hits(s, d):
@@ -183,7 +183,17 @@ _VECTORS = f"""with ch as (select chunk_ref, chunk_text || (chunk_index % 5) as
  sums as (select t, j, sum(n * sign) as x from counts join bits using (gram) group by t, j),
  unit as (select t, list(x order by j) as v, sqrt(sum(x * x)) as norm from sums group by t)"""
 
+#: The last five pairs of question and answer of each conversation.
+HISTORY = """with u as (select conv_id, turn, text as q, lead(turn) over (partition by conv_id order by turn) as until, row_number() over (partition by conv_id order by turn desc) as n from conversations where role = 'user'),
+      p as (select u.conv_id, u.turn, q, coalesce((select min_by(a.text, a.turn) from conversations a where a.conv_id = u.conv_id and a.role = 'assistant' and a.turn > u.turn and (until is null or a.turn < until)), '') as a from u where n <= 5)
+      select conv_id, string_agg('User: ' || coalesce(q, '') || chr(10) || 'Assistant: ' || a, chr(10) order by turn) as history from p group by 1"""
+
 ORACLES: dict[str, str] = {
+    "j9_chat_context": f"""with v as (select *, 'Luật ' || (vec_id % 50) as text from embeddings), history as ({HISTORY}),
+      s as (select q.vec_id as question_id, q.label = v.label as own, v.vec_id, v.text, round(list_inner_product(cast(q.embedding as double[]), cast(v.embedding as double[])), 6) as score from v q, v where q.vec_id % 100 = 0),
+      r as (select *, row_number() over (partition by question_id order by score desc, vec_id) as of_all, row_number() over (partition by question_id, own order by score desc, vec_id) as of_own from s),
+      c as (select question_id, string_agg(text, chr(10) || chr(10) order by of_own) filter (own and of_own <= 5) as c, string_agg(text, chr(10) || chr(10) order by of_all) filter (of_all <= 3) as l from r group by 1)
+      select question_id, coalesce(c, 'Không có dữ liệu hợp đồng.') as contract_context, l as legal_context, coalesce(history, 'Không có lịch sử.') as history, '?' as question from c left join history on conv_id = question_id""",
     "i2_embed": f"{_VECTORS} select chunk_ref, " + ", ".join(f"round(v[{k + 1}] / norm, 2) as x{k}" for k in (0, 1, 63, 127)) + " from ch join texts using (text) join unit using (t)",
     "i2_search": f"""{_VECTORS}, pairs as (select a.t as q, b.t as t, round(list_dot_product(cast(a.v as double[]), cast(b.v as double[])) / a.norm / b.norm, 6) as score from unit a, unit b),
       s as (select q.chunk_ref as query_id, c.chunk_ref as vec_id, score from ch q join texts x on x.text = q.text join pairs p on p.q = x.t join texts y on y.t = p.t join ch c on c.text = y.text

@@ -235,9 +235,7 @@ ORACLES: dict[str, str] = {
       m as (select contract_id, 4 as clauses from c0), b as (select contract_id, coalesce(critical, 0) as critical, coalesce(warning, 0) as warning, coalesce(clauses, 0) as clauses from m full join n using (contract_id))
       select *, case when critical >= 3 then 'critical' when critical >= 1 then 'high' when warning >= 3 then 'medium' else 'low' end as overall_risk from b""",
     "j5_overall_risk": f"{_RISKS}, n as (select contract_id, count(*) filter (severity = 'critical') as critical, count(*) filter (severity = 'warning') as warning from risks group by 1) select *, case when critical >= 3 then 'critical' when critical >= 1 then 'high' when warning >= 3 then 'medium' else 'low' end as overall_risk from n",
-    "j8_last_turns": """with u as (select conv_id, turn, text as q, lead(turn) over (partition by conv_id order by turn) as until, row_number() over (partition by conv_id order by turn desc) as n from conversations where role = 'user'),
-      p as (select u.conv_id, u.turn, q, coalesce((select min_by(a.text, a.turn) from conversations a where a.conv_id = u.conv_id and a.role = 'assistant' and a.turn > u.turn and (until is null or a.turn < until)), '') as a from u where n <= 5)
-      select conv_id, string_agg('User: ' || coalesce(q, '') || chr(10) || 'Assistant: ' || a, chr(10) order by turn) as history from p group by 1""",
+    "j8_last_turns": mining.HISTORY,
     "i3_knn": "with s as (select q.vec_id as query_id, v.vec_id, round(list_inner_product(cast(q.embedding as double[]), cast(v.embedding as double[])), 6) as score from embeddings q, embeddings v where q.vec_id % 100 = 0), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s where score >= 0.6) select query_id, vec_id, rank, score from r where rank <= 5",
     "i4_knn_filtered": "with s as (select q.vec_id as query_id, v.vec_id, round(list_inner_product(cast(q.embedding as double[]), cast(v.embedding as double[])), 6) as score from embeddings q join embeddings v on q.label = v.label where q.vec_id % 100 = 0), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s where score >= 0.6) select query_id, vec_id, rank, score from r where rank <= 5",
     "i3_knn_all": "with s as (select q.vec_id as query_id, v.vec_id, round(list_inner_product(cast(q.embedding as double[]), cast(v.embedding as double[])), 6) as score from embeddings q, embeddings v where q.vec_id % 100 = 0), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s where score >= -1) select query_id, vec_id, rank, score from r where rank <= 5",
