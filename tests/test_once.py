@@ -61,3 +61,21 @@ def test_distinct_texts_are_encoded_once(spark):
     rows = [(i, ["a b", "c", None][i % 3]) for i in range(5000)]
     got = R.embed(spark.createDataFrame(rows, "i int, text string").coalesce(1), counting).orderBy("i").collect()
     assert got[0].embedding == got[4998].embedding and len(got[1].embedding) == 128 and set(got[2].embedding) == {0.0}
+
+
+def test_text_neighbours_are_those_of_all_pairs(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    words = ["luật", "thuế", "đất", "nhà", "lương"]
+    rows = [(f"v{i % 170:03}", " ".join(rng.choice(words, rng.integers(1, 4)))) for i in range(200)]  # some ids and many texts repeat
+    v = R.hashed_ngrams()()([t for _, t in rows]).astype(float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    kb = spark.createDataFrame([*rows, ("null", None)], "vec_id string, text string")
+    got = R.text_neighbours(kb.where("vec_id < 'v040'").withColumnRenamed("vec_id", "query_id"), kb, R.hashed_ngrams(), 3, 0.5)
+    pairs = {}
+    for (q, _), x in zip(rows, v):
+        if q < "v040":
+            pairs.setdefault(q, []).extend((-round(float(x @ y), 6), c) for (c, _), y in zip(rows, v))
+    want = sorted((q, c, n + 1, -s) for q, found in pairs.items() for n, (s, c) in enumerate(sorted(found)[:3]) if s <= -0.5)
+    assert sorted(map(tuple, got.collect())) == want
