@@ -79,3 +79,39 @@ def test_text_neighbours_are_those_of_all_pairs(spark):
             pairs.setdefault(q, []).extend((-round(float(x @ y), 6), c) for (c, _), y in zip(rows, v))
     want = sorted((q, c, n + 1, -s) for q, found in pairs.items() for n, (s, c) in enumerate(sorted(found)[:3]) if s <= -0.5)
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_acts_of_a_shared_number_make_no_pairs_with_its_documents(spark):
+    from lexarium.operators import amendments as A
+
+    n = 300
+    docs = spark.range(2 * n).selectExpr("concat('d', id) as doc_id", f"if(id < {n}, '1/2020/NĐ-CP', '2/2020/NĐ-CP') as doc_number", "'2021-01-01' as effective_date")
+    acts = spark.range(n, 2 * n).selectExpr("concat('d', id) as doc_id", "'1/2020/nđ-cp' as target_doc_number", "'7' as article", "cast(null as string) as clause")
+    chunks = docs.selectExpr("doc_id", "'7' as article")
+    found = A.amended_by(chunks, acts, docs)
+    assert sorted(map(tuple, found.collect())) == sorted((f"d{i}", "7", "2/2020/NĐ-CP 2021-01-01") for i in range(n))
+    assert "_dst" not in _plan(found)  # each act with each document of its number would be n * n rows
+
+
+def test_amendments_read_a_text_once(spark):
+    from lexarium.operators import amendments as A
+
+    df = spark.createDataFrame([("a", "Sửa đổi, bổ sung Điều 3\nx\nSửa đổi, bổ sung Điều 3\nBãi bỏ khoản 2 Điều 4\nBãi bỏ khoản 2 Điều 4")], "doc_id string, content string")
+    found = A.extract_amendments(df)
+    assert _plan(found).count("posexplode(_all") == 1
+    assert sorted((r.line_start, r.action, r.article, r.clause) for r in found.collect()) == [(0, "amended", "3", None), (3, "abolished", "4", "2"), (4, "abolished", "4", "2")]
+
+
+def test_a_value_of_many_rows_is_many_files(spark, tmp_path):
+    from lexarium.sources.log import Log
+
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "100kb")
+    try:
+        log = Log(spark, str(tmp_path), "kind")
+        log.put(spark.range(200_000).selectExpr("id", "sha2(string(id), 256) as text", "if(id < 10, 'few', 'many') as kind"), "whole")
+    finally:
+        spark.conf.set(name, was)
+    assert len(list(tmp_path.glob("data/*/kind=many/*.parquet"))) > 1
+    assert log.read().count() == 200_000
