@@ -115,3 +115,15 @@ def test_a_value_of_many_rows_is_many_files(spark, tmp_path):
         spark.conf.set(name, was)
     assert len(list(tmp_path.glob("data/*/kind=many/*.parquet"))) > 1
     assert log.read().count() == 200_000
+
+
+def test_a_summary_looks_for_no_clauses(spark):
+    """Kinds of clause that a summary doesn't show aren't looked for, and days not where a text has none."""
+    from lexarium.operators import fields as H
+
+    texts = ["HỢP ĐỒNG LAO ĐỘNG\nTừ ngày: 01/02/2020 Đến ngày: 3 THÁNG 4 NĂM 2021\nMức phạt là 5 lần lương tháng\nBồi thường 7 lần", "HỢP ĐỒNG MUA BÁN\nTừ ngày: x"]
+    parsed = H.parse_contracts(spark.createDataFrame(list(enumerate(texts)), "contract_id int, text string"))
+    a, b = sorted(parsed.collect())
+    assert (a.start_date, a.end_date, b.start_date, b.end_date) == ("01/02/2020", "3 THÁNG 4 NĂM 2021", None, None)
+    assert a.penalty_clause.startswith("Mức phạt") and a.indemnity.startswith("Bồi thường")
+    assert "phạt" not in H.contract_summary(parsed)._jdf.queryExecution().optimizedPlan().toString()
