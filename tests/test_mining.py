@@ -324,3 +324,16 @@ def test_composed_letters(spark):
     odd = [None, "", "a", "e\u0302\u0323 e\u0323\u0302 x\u0301 \u0301 a\u0306\u0301\u0488 Ấ ", mixed * 50]
     got = [r.x for r in spark.createDataFrame([(t,) for t in odd], "s string").select(nfc(F.col("s")).alias("x")).collect()]
     assert sorted(map(str, got)) == sorted(str(t and unicodedata.normalize("NFC", t)) for t in odd)
+
+
+def test_content_checks_of_null_texts_are_those_of_the_sql(spark, tmp_path):
+    import duckdb
+
+    from lexarium.plans import mining
+
+    spark.createDataFrame([(1, None), (2, ""), (3, "Điều 1. " * 40), (4, " \n")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = mining.QUERIES["b6_content_checks"](spark, str(tmp_path))
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = c.sql(mining.ORACLES["b6_content_checks"])
+    assert sorted(tuple(r[k] for k in want.columns) for r in got.collect()) == sorted(want.fetchall())
