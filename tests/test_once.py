@@ -127,3 +127,44 @@ def test_a_summary_looks_for_no_clauses(spark):
     assert (a.start_date, a.end_date, b.start_date, b.end_date) == ("01/02/2020", "3 THÁNG 4 NĂM 2021", None, None)
     assert a.penalty_clause.startswith("Mức phạt") and a.indemnity.startswith("Bồi thường")
     assert "phạt" not in H.contract_summary(parsed)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sentences_that_repeat_are_looked_through_once(spark):
+    """The first topic and its first word are those of the whole text, whatever its words and full stops are."""
+    import random
+
+    from lexarium.functions import terms as W
+
+    made = random.Random(5)
+    words = [w for ws in W.TOPICS.values() for w in ws]
+    bits = [*words, *[w[: len(w) // 2] for w in words], "x", "nghỉ", "thời gian"]
+    texts = ["".join(made.choice(bits).upper() + made.choice([" ", ".", ". ", "\n", ""]) for _ in range(made.randint(0, 3))) * made.randint(1, 9) for _ in range(1500)] + ["", ".", "...", None]
+    found = R.clause_topic(spark.createDataFrame(list(enumerate(texts)), "contract_id int, text string"))
+    shown = lambda t: next(((k, w) for k, ws in W.TOPICS.items() for w in ws if w in t), (W.GENERAL, ""))
+    assert {r.contract_id: (r.topic, r.keyword) for r in found.collect()} == {i: shown((t or "").lower()) for i, t in enumerate(texts)}
+    assert not [w for w in words if "." in w] and _plan(found).count("array_distinct") == 1
+
+
+def test_prompts_deal_no_clauses_by_topic(spark):
+    clauses = spark.createDataFrame([("a", 0, "1", "lương " * 2000), ("b", 1, "2", "x")], "contract_id string, pos int, clause_number string, text string")
+    contexts = spark.createDataFrame([("salary", "y" * 5000)], "topic string, context string")
+    prompts = R.clause_prompts(clauses, contexts)
+    assert "strategy=broadcast" in _plan(prompts)
+    assert {r.contract_id: r.prompt for r in prompts.collect()} == {"a": ("lương " * 2000)[:5000] + "\n\n" + "y" * 4000, "b": f"x\n\n{R.W.NO_LAW}"}
+
+
+def test_clauses_are_cut_once(spark):
+    from lexarium.operators import structure as G
+
+    df = spark.createDataFrame([("a", " đầu\nĐiều 1. x \n\n Điều 2: y "), ("b", "không "), ("c", "Điều 3. z"), ("d", None)], "contract_id string, text string")
+    found = G.clause_dicts(df)
+    assert _plan(found).count("split(") <= 2
+    assert sorted(map(tuple, found.collect())) == [("a", 0, "0", "đầu"), ("a", 1, "1", "\nĐiều 1. x"), ("a", 2, "2", "\n\n Điều 2: y"), ("b", 0, "0", "không "), ("c", 1, "3", "Điều 3. z")]
+
+
+def test_few_vectors_need_no_pivots(spark, monkeypatch):
+    from lexarium.operators import search as S
+
+    monkeypatch.setattr(S, "pivots_of", None)
+    v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in S.knn(v.limit(1).withColumnRenamed("vec_id", "query_id"), v, 2).orderBy("rank").collect()] == [0, 1]
