@@ -168,3 +168,30 @@ def test_few_vectors_need_no_pivots(spark, monkeypatch):
     monkeypatch.setattr(S, "pivots_of", None)
     v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "vec_id long, embedding array<double>")
     assert [r.vec_id for r in S.knn(v.limit(1).withColumnRenamed("vec_id", "query_id"), v, 2).orderBy("rank").collect()] == [0, 1]
+
+
+def test_patterns_of_parties_are_looked_for_once(spark):
+    """In either case; the first heading counts, though another is written alike, and 2000 characters of what follows it."""
+    text = "bên a: (Chủ)\n" + "x\n" * 990 + "MÃ SỐ THUẾ: 12\nđại DIỆN: Y\nBÊN A: (Chủ)\ncông TY: B\nHỌ TÊN: Z | q\ncccd: 123456789\nđịa CHỈ: P\n"
+    near = "BÊN A: (X)\nDoanh nghiệp: C\nĐIA CHỈ: Q\nMã số thuế: 7\nĐẠI diện: W\n \nbên b: (Thợ)\nhọ VÀ tên: V\nCmNd số: 987654321\n" + "y" * 90
+    df = spark.createDataFrame([("a", text), ("b", near), ("c", "Công ty: không\n"), ("d", None)], "contract_id string, text string")
+    found = K.contract_parties(df)
+    plan = _plan(found)
+    for p in (K.PARTY_B, K.COMPANY, K.TAX_ID, K.REPRESENTATIVE, K.WORKER, K.ID_NUMBER):
+        assert plan.count(p) == 1
+    assert sorted(map(tuple, found.collect()), key=str) == [("a", "Z", K.ROLES[1], "P", "123456789", None), ("b", "C", "X", "Q", "7", "W"), ("b", "V", "Thợ", "Q", "987654321", None)]
+
+
+def test_every_second_contract_is_written_with_its_letters_apart(spark):
+    """As if each letter were replaced in the text of all fields."""
+    from lexarium.plans import registry as P
+
+    even = F.expr("cast(substring(contract_id, 4) as int) % 2 = 0")
+    text = F.expr(P.PARTIES)
+    for c, parts in P.DECOMPOSED.items():
+        text = F.replace(text, F.lit(c), F.lit(parts))
+    want = view(spark, SF, "contracts").withColumn("text", F.when(even, text).otherwise(F.expr(P.PARTIES)))
+    got = P._contracts(spark, SF)
+    assert got.columns == want.columns and got.count() == want.count() > 0
+    assert got.exceptAll(want).count() == 0
+    assert _plan(got).count("replace(") < len(P.DECOMPOSED)  # not a letter after the other
