@@ -81,7 +81,17 @@ def arrow_map(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | I
             else:
                 yield from out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, after whose last batch the worker gives back what it has freed: workers stay for later tasks and stages, of any operator."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return tidied
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
@@ -107,7 +117,7 @@ def batch_of(**columns) -> pa.RecordBatch:
 
 
 def give_back() -> None:
-    """Memory that this process has freed goes back to the machine, where its libraries can do that: what follows a fit needs it elsewhere."""
+    """Memory that this process has freed goes back to the machine, where its libraries can do that: what follows a fit or a task needs it elsewhere."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     with suppress(OSError, AttributeError):  # of glibc alone

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_batches, arrow_map, batch_of, helper, id_text, join_split, settle, texts
+from ._common import arrow_batches, arrow_map, batch_of, helper, id_text, join_split, settle, texts, tidy
 from .components import star_components
 from .simhash import components
 
@@ -43,7 +43,7 @@ COMMON, SAMPLED, MAX_COMMON = 20, 50, 100_000
 PART = 1 << 20
 #: Fingerprints of a block of a large bucket.
 BLOCK = 2048
-#: Bucket keys that may be broadcast (8 bytes each).
+#: Bucket keys, or ids of near copies, that may be broadcast (8 bytes each).
 MAX_BROADCAST_KEYS = 500_000
 _STEPS = np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
@@ -216,7 +216,7 @@ def _in_runs(column: str, spanning_of):
         if held is not None:
             yield links_of(held)
 
-    return run
+    return tidy(run)
 
 
 def links(classes: DataFrame, bits: int = BITS, segment: int = 28) -> DataFrame:
@@ -291,7 +291,10 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, bits: int = BITS) -> Dat
     A group is a component of links: ends of a chain go with it, though they may resemble only what goes as well.
 
     Rows with a null id stay. Of rows that share the smallest id all stay.
+
+    Up to MAX_BROADCAST_KEYS ids that go are broadcast, so texts are neither moved nor sorted; more meet the rows by hash.
     """
     id_ = helper("id", docs)
-    goes = similar_groups(docs, shingle, bits).where("doc_id <> component_id").select(F.col("doc_id").alias(id_)).distinct()
-    return docs.join(goes, F.col("doc_id").cast("long") == F.col(id_), "left_anti")
+    goes = settle(similar_groups(docs, shingle, bits).where("doc_id <> component_id").select(F.col("doc_id").alias(id_)).distinct())
+    few = goes.count() <= MAX_BROADCAST_KEYS
+    return docs.join(F.broadcast(goes) if few else goes, F.col("doc_id").cast("long") == F.col(id_), "left_anti")

@@ -162,6 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
 
     def each(batch):
         yield batch_of(doc_id=batch.column(0), y=batch.column(2), terms=pa.array([terms(t).astype(np.int32).tobytes() for t in texts(batch)], pa.binary()))
+        _hashed.clear()
 
     encoded = within(arrow_map(sample(docs, labels, label, rows), each, "doc_id long, y int, terms binary"), "terms")
     part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))  # some at a time, so that the driver's JVM never holds the whole sample
@@ -183,6 +184,7 @@ def scorer(model: FactorizationMachine):
             out = [model.score([terms(t) for t in part]) for part in groups([t or "" for t in text])]
             yield pd.Series(np.concatenate(out) if out else np.zeros(0))
         _hashed.clear()  # workers stay; what they remember needn't
+        give_back()
 
     return score
 

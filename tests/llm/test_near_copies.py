@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from lexarium.llm import near_copies
+from lexarium.llm import _common, near_copies
 
 SCHEMA = "doc_id long, text string, component_id string, fp int"
 
@@ -108,3 +108,31 @@ def test_alike_sets_in_blocks(spark, monkeypatch):
     words = [f"w{i}" for i in range(200)]
     docs = spark.createDataFrame([(i, " ".join(words[:i] + ["x"] + words[i + 1 :])) for i in range(60)] + [(100, " ".join(words[:150] + ["y"] * 50))], "doc_id long, text string")
     assert {tuple(r) for r in near_copies.similar_groups(docs).collect()} == {*[(i, 0) for i in range(60)], (100, 100)}
+
+
+def test_texts_stay_where_few_ids_go(spark, monkeypatch):
+    """Up to MAX_BROADCAST_KEYS ids that go are broadcast: the rows aren't dealt anew. Beyond it the same rows stay."""
+    words = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(words[:i] + ["x"] + words[i + 1 :]), "x", 1) for i in range(20)] + [(100, "another", "x", 1), (None, "another", "x", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    few = near_copies.drop_near_copies(docs)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    monkeypatch.setattr(near_copies, "MAX_BROADCAST_KEYS", 0)
+    assert sorted(map(str, few.collect())) == sorted(map(str, near_copies.drop_near_copies(docs).collect())) and few.count() == 3
+
+
+def test_tasks_give_memory_back(monkeypatch):
+    """A worker gives back what a task has freed, once and after its last batch."""
+    order = []
+    monkeypatch.setattr(_common, "give_back", lambda: order.append("back"))
+
+    class Frame:
+        def mapInArrow(self, run, schema):
+            return list(run(iter([1, 2])))
+
+    def each(batch):
+        order.append(batch)
+        yield batch
+
+    assert _common.arrow_map(Frame(), each, "a long") == [1, 2] and order == [1, 2, "back"]
