@@ -337,3 +337,20 @@ def test_content_checks_of_null_texts_are_those_of_the_sql(spark, tmp_path):
     c.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     want = c.sql(mining.ORACLES["b6_content_checks"])
     assert sorted(tuple(r[k] for k in want.columns) for r in got.collect()) == sorted(want.fetchall())
+
+
+def test_content_checks_of_odd_letters_are_those_of_the_sql(spark, tmp_path):
+    """Limits of words, white space and digits are those of ASCII in the SQL, which takes nothing out of a text."""
+    import duckdb
+
+    from lexarium.plans import mining
+
+    some = "Ein,*** einver$$$ und&&& geß " * 8
+    odd = [some + x for x in ("*** Inédit", "*** Insel", "*** In", "* Lưu trữ", "* Emailé", "* In xĐiều 9", "* In Điều\xa09", "* In Điều ١", "* In Khoản\x0b2", "\x1f", "​\x07", "�", "cheCKİNG your browser", "Đang tải")]
+    odd += ["\xa0", "\x0c", "a​", ("Bản dịch này thuộc quyền sở hữu " + "word " * 9) * 5, "\x85" + "a " * 49 + "\xa0", "a" * 199 + "\x1c"]
+    spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = mining.QUERIES["b6_content_checks"](spark, str(tmp_path))
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = c.sql(mining.ORACLES["b6_content_checks"])
+    assert sorted(tuple(r[k] for k in want.columns) for r in got.collect()) == sorted(want.fetchall())
