@@ -354,3 +354,11 @@ def test_content_checks_of_odd_letters_are_those_of_the_sql(spark, tmp_path):
     c.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     want = c.sql(mining.ORACLES["b6_content_checks"])
     assert sorted(tuple(r[k] for k in want.columns) for r in got.collect()) == sorted(want.fetchall())
+
+
+def test_keywords_of_a_whole_text(spark):
+    """References, acronyms and years behind 5000 characters count."""
+    text = "Điều 1 và điều khác. " + "nội dung " * 700 + "Khoản 2 Điều 47 của UBND từ năm 2031. " + "Điều 1, " * 3000 + "QĐ-TTG"
+    assert len(text) > 30_000
+    df = spark.createDataFrame([("Luật lao động", text, None)], "title string, content string, number string")
+    assert df.select(L.keywords(*map(F.col, ("title", "content", "number")))).first()[0] == ["Luật", "Lao", "Động", "Điều 1", "Khoản 2", "Điều 47", "UBND", "QĐ-TTG", "2031"]
