@@ -195,3 +195,19 @@ def test_every_second_contract_is_written_with_its_letters_apart(spark):
     assert got.columns == want.columns and got.count() == want.count() > 0
     assert got.exceptAll(want).count() == 0
     assert _plan(got).count("replace(") < len(P.DECOMPOSED)  # not a letter after the other
+
+
+def test_lines_are_only_read_where_a_clause_word_may_fit(spark):
+    """What the folded text says first: the plan asks it before each word, and odd letters, cases and white space give what all lines give."""
+    import random
+
+    rng = random.Random(5)
+    words = [w for *_, ws in H.CLAUSES.values() for w in ws]
+    said = ["Bất khả kháng", "bẤt  KHẢ kháng", "SỰ KIỆN bất khả kháng", "ſeverab", "SEVERABLE", "confıdentİal", "CONFIDENTIAL", "bồi\nthường", "bồi hoàn", "Tạm hoãn rồi chấm dứt", "tạm hoãn\nchấm dứt", "luật áp dụng", "ĐIỀU 5. x", "Điều 6. y", "K", "lao động", "pháp luật", "force majeure", "forcemajeure"]
+    texts = ["".join(rng.choice([*said, " ", "\n", "x", "\t"]) for _ in range(rng.randrange(1, 14))) for _ in range(300)]
+    df = L.computed(spark.createDataFrame([(t,) for t in texts], "text string"), _lines=F.split("text", "\n"), _low=L.folded(F.col("text"))).cache()
+    for w in words:
+        first, plain = H.line_around(F.col("text"), w, 1, F.col("_lines"), F.col("_low")), H.line_around(F.col("text"), w, 1)
+        assert df.where(~first.eqNullSafe(plain)).count() == 0, w
+    plan = _plan(H.clause_fields(spark.createDataFrame([("a", "x")], "contract_id string, text string")))
+    assert plan.count("Contains(_") > len(words)
