@@ -362,3 +362,27 @@ def test_keywords_of_a_whole_text(spark):
     assert len(text) > 30_000
     df = spark.createDataFrame([("Luật lao động", text, None)], "title string, content string, number string")
     assert df.select(L.keywords(*map(F.col, ("title", "content", "number")))).first()[0] == ["Luật", "Lao", "Động", "Điều 1", "Khoản 2", "Điều 47", "UBND", "QĐ-TTG", "2031"]
+
+
+def test_amended_by_reads_only_texts_that_name_an_act(spark):
+    """Articles without the tree, and amendments with a target, are those of the whole tree and of all amendments."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from lexarium.functions.cleaning import UNI
+    from lexarium.operators import amendments as A
+
+    rng = random.Random(3)
+    said = ["Điều 1. A", "  điều 2", "**Điều 3**. B", "** Điều 4", "\\- Điều 5", "|Điều 6", "Đi**ều 7", "ĐIỀU\xa08", "Điều x", "Chương I", "1. Điều 9", "Số: 5/2008/NĐ-CP", "Thay thế Nghị định số 7/2008/NĐ-CP.", "nghị định 8/2009/nđ-cp", "LUẬT SỐ 9/2010/QH", "Thông tư\n10/2011/TT",
+            "Sửa đổi, bổ sung khoản 2 Điều 3 như sau:", "Nội dung mới", "4. Bãi bỏ Điều 7", "Sửa đổi, bổ sung một số điều của Luật số 3/2001/QH10", "Nghị định 4/2002/NĐ-CP hết hiệu lực, trừ Điều 5 và Điều 6.", "pháp lệnh 5/2", "hạt 6/2000/X", "a) Sửa đổi, bổ sung khoản 3", "Bãi bỏ số thứ tự 4"]
+    texts = ["\n".join(rng.choice(said) for _ in range(rng.randrange(1, 9))) for _ in range(400)]
+    docs = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "doc_id string, content string").cache()
+    rows = lambda df: sorted(map(str, df.collect()))
+    tree = G.section_tree(docs, tasks=4).where("section_type = 'dieu'").select("doc_id", F.col("number").alias("article"))
+    assert rows(G.articles(docs)) == rows(tree) and tree.count() > 300
+    every, some = A.extract_amendments(docs), A.extract_amendments(docs, targeted=True)
+    assert rows(some) == rows(every.where("target_doc_number is not null")) and some.count() < every.count()
+    named = F.col("content").rlike(f"(?i){UNI}{A.ANY_ACT}")
+    assert docs.where(A.names_act(F.col("content")) != named).count() == 0
+    assert A.amendment_target(docs).where("target_doc_number is not null").count() == docs.where(named).count()
