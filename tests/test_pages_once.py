@@ -41,3 +41,18 @@ def test_what_is_certain_in_a_pattern(spark):
     plain = lambda ps: sum((F.col("t").rlike(L.UNI + p).cast("int") for p in ps), F.lit(0))
     for ps in (W.LEGAL, W.FURNITURE):
         assert all(r[0] == r[1] for r in df.select(L.hits(F.col("t"), ps), plain(ps)).collect())
+
+
+def test_titles_are_only_made_of_what_is_taken(spark):
+    """What says whether a document is new doesn't make its title, kind or category; labelled cells come with the page."""
+    from lexarium.sources import html as P
+
+    df = spark.createDataFrame([("Nghị định 1/2020",)], "title string")
+    known = I.documents_of(_pages(spark), 4)
+    made = {"doc_id", "url", "h1", "title", "content", "doc_number", "issued_date", "signer"}
+    assert made <= set(known.columns) and "initcap(" not in known._jdf.queryExecution().analyzed().toString()  # as titles from the url are made
+    assert "initcap(" in I.finished(known)._jdf.queryExecution().analyzed().toString() and "h1" not in I.finished(known).columns
+    assert [(r.title, r.doc_type) for r in I.finished(known).where("doc_id = 'Nghi-dinh-3'").collect()] == [("Nghị định 3", "Nghị định")]
+    assert I.finished(df).columns == ["title"]
+    cells = [{"text": t, "bold": b} for t, b in (("Số hiệu: x", ""), ("", "Người ký:"), ("A", ""), ("Số hiệu:", ""), ("2", ""), ("Lĩnh vực:", ""))]
+    assert [P.cell_after(cells, x) for x in ("Số hiệu:", "Người ký:", "Lĩnh vực:", "Nơi ban hành:")] == ["", "A", None, None]
