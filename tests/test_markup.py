@@ -1,6 +1,7 @@
 """Pages read by tokens give what the standard parser gives."""
 
 import random
+import re
 from html.parser import HTMLParser
 
 from lexarium.sources import html as P
@@ -51,3 +52,15 @@ def test_plain_pages_are_read_by_tokens(monkeypatch):
     assert got | {"body": None} == want[0] | {"body": None}
     assert got["cells"] == [{"text": "Số hiệu:", "bold": ""}, {"text": "1/2020", "bold": "1/2020"}] and got["h1"] == "H" and got["links"] == [{"href": "/x.aspx", "listed": True}]
     assert P.block_lines(page) == want[1]
+
+
+def test_elements_without_attributes_are_read_the_short_way():
+    """A page gives the same with an attribute that means nothing in each of its elements; labels in no cell are known by one look."""
+    rng = random.Random(4)
+    names = ["p", "div", "td", "tr", "table", "b", "a", "h1", "title", "span", "script", "br", "nav", "li", "body", "x"]
+    said = ["Số hiệu:", "1/2020", "\n", "Người ký: A", "Lĩnh vực:", "x"]
+    for _ in range(2000):
+        parts = [rng.choice([f"<{rng.choice(names)}>", f"</{rng.choice(names)}>", rng.choice(said), '<div id="divThuocTinh">', '<p id="fulltext">']) for _ in range(rng.randrange(20))]
+        page = "".join(parts)
+        got, want = (P._read(x, set(P.W.PANELS)) for x in (page, re.sub(r"<([a-z0-9]+)>", r'<\1 data-x="1">', page)))
+        assert got == want and P.labelled_cells(got["cells"]) == {k: P.cell_after(got["cells"], label) for k, label in P.W.CELL_LABELS.items()}
